@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, mixing, packing, token_files
 
 DOCUMENTS = "documents"
 
@@ -19,8 +20,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, DOCUMENTS), exact_dedup.fresh_index(spark))
 
 
+def tokenizer() -> str:
+    """The vocabulary file that the token queries take."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, DOCUMENTS), tokenizer())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, DOCUMENTS)).select("doc_id", "source", "lang", "n_chars", "text", "copy")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    docs = token_files.write_tokens(_table(spark, sf_dir, DOCUMENTS), folder, tokenizer())
+    return token_files.read_tokens(spark, folder, docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_harmonic_packing": op2_harmonic_packing,
+    "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +62,24 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d
     """,
+    "op5_poisson_mixing": """
+        WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        r AS (SELECT source, (SELECT count(*) FROM documents) * (1.0::DOUBLE / (SELECT count(*) FROM n)) / n AS mean FROM n),
+        d AS (SELECT source, mean, greatest(1, ceil(mean / 100.0))::INT AS draws FROM r),
+        k AS (SELECT source, draws, mean / draws AS m, unnest(generate_series(0, (mean / draws + 12 * sqrt(mean / draws) + 30)::INT)) AS k FROM d),
+        p AS (SELECT source, draws, k, exp(k * ln(m) - m - lgamma(k + 1)) AS p FROM k),
+        c AS (SELECT source, draws, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
+        u AS (
+            SELECT doc_id, source, unnest(generate_series(1, (SELECT d.draws FROM d WHERE d.source IS NOT DISTINCT FROM documents.source))) AS draw
+            FROM documents
+        ),
+        v AS (SELECT doc_id, source, draw, ('0x' || substr(sha256('7:' || doc_id || ':' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM u),
+        t AS (
+            SELECT v.doc_id, v.source, count(*) AS times
+            FROM v JOIN c ON v.source IS NOT DISTINCT FROM c.source AND c.c <= v.u
+            GROUP BY v.doc_id, v.source
+        )
+        SELECT doc_id, source, lang, n_chars, text, unnest(generate_series(1, times))::INT AS copy
+        FROM t JOIN documents USING (doc_id, source)
+    """,
 }
