@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, token_files
+from . import brown, exact_dedup, language_id, mixing, packing, simhash, token_files, topk, toxicity
+from .common import doc_fold
 
 DOCUMENTS = "documents"
 
@@ -32,6 +33,21 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, DOCUMENTS)
+    fold = doc_fold(F.col("doc_id"), 4)
+    found = language_id.predict(docs, language_id.fit(docs, fold != 2))
+    return found.withColumn("held_out", fold == 2).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, DOCUMENTS)
+    fold = doc_fold(F.col("doc_id"), 5)
+    field = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold != 0)
+    found = toxicity.score(docs, field)
+    return found.withColumn("held_out", fold == 0).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, DOCUMENTS)).select("doc_id", "source", "lang", "n_chars", "text", "copy")
 
@@ -42,11 +58,32 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, DOCUMENTS))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = doc_fold(F.col("doc_id"), 5)
+    found = brown.score(_table(spark, sf_dir, DOCUMENTS), fold != 1)
+    return found.withColumn("held_out", fold == 1)
+
+
+def op9_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ints = topk.integers(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(ints, ints.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_language_id": op3_language_id,
+    "op4_crf_toxicity": op4_crf_toxicity,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_token_files": op6_token_files,
+    "op7_simhash": op7_simhash,
+    "op8_brown_classes": op8_brown_classes,
+    "op9_bit_sliced_topk": op9_bit_sliced_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +119,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, source, lang, n_chars, text, unnest(generate_series(1, times))::INT AS copy
         FROM t JOIN documents USING (doc_id, source)
     """,
+    "op9_bit_sliced_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
