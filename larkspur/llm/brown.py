@@ -28,14 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_of, text_of, written
-from .words import parts
+from .words import pack, parts, tokens, unpack
 
 #: A word with this share of the training tokens is a unit of its own.
 SHARE = 1 / 500
@@ -52,14 +50,6 @@ END = ENDINGS  # the unit of the end token
 FREQUENT = ENDINGS + 1
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
 CHUNK = "chunk long, doc_ids array<long>, train binary, limits binary, codes binary, words array<string>, counts binary, tokens long, ends long"
 
 
@@ -71,18 +61,10 @@ def chunks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
         for part in parts(batches):
             n = part.num_rows
             learn = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            cut = pc.ascii_split_whitespace(pc.ascii_lower(part.column(1).cast(pa.large_string())))
-            edges = cut.offsets.to_numpy()[: n + 1] - cut.offsets[0].as_py()
-            coded = cut.flatten().dictionary_encode()
-            codes, words = coded.indices.to_numpy(), coded.dictionary
-            full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
-            owner = np.repeat(np.arange(n), np.diff(edges))
-            use = full[codes] if len(codes) else np.empty(0, bool)
-            codes, owner = (np.cumsum(full) - 1)[codes[use]], owner[use]
-            words = words.filter(pa.array(full))
+            owner, codes, words = tokens(part.column(1), lower=True)
             counts = np.bincount(codes[learn[owner]], minlength=len(words))
             limits = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
-            cells = [at, part.column(0).to_pylist(), _pack(learn), _pack(limits), _pack(codes.astype(np.uint32)), words.to_pylist(), _pack(counts), int(counts.sum() + learn.sum()), int(learn.sum())]
+            cells = [at, part.column(0).to_pylist(), pack(learn), pack(limits), pack(codes.astype(np.uint32)), words.to_pylist(), pack(counts), int(counts.sum() + learn.sum()), int(learn.sum())]
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.list_(pa.string()), pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [x.split()[0] for x in CHUNK.split(", ")])
             at += 1
@@ -100,7 +82,7 @@ def ending(word: str) -> int:
 SHARED = "chunk long, places binary, counts binary, units binary, kinds binary, mass binary"
 
 
-def vocabulary(made: DataFrame, tokens: int) -> DataFrame:
+def vocabulary(made: DataFrame, total_tokens: int) -> DataFrame:
     """For each chunk and part of the vocabulary: its words' places, corpus counts and units.
 
     Rows without a chunk hold, for each part, the number of distinct words and of
@@ -108,17 +90,17 @@ def vocabulary(made: DataFrame, tokens: int) -> DataFrame:
     """
     spark = made.sparkSession
     deals = 4 * parts_of(spark)
-    floor = max(1, math.ceil(SHARE * tokens))
+    floor = max(1, math.ceil(SHARE * total_tokens))
     room = math.ceil(1 / SHARE) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, counts in zip(*batch.columns, strict=True):
-                words, counts = words.values.cast(pa.string()), _unpack(counts.as_py(), "<i8")
+                words, counts = words.values.cast(pa.string()), unpack(counts.as_py(), "<i8")
                 to = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % deals for w in words.to_pylist()), np.int64, len(words))
                 order = np.argsort(to, kind="stable")
                 for places in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
-                    cells = [int(to[places[0]]), chunk.as_py(), words.take(pa.array(places)).to_pylist(), _pack(places), _pack(counts[places])]
+                    cells = [int(to[places[0]]), chunk.as_py(), words.take(pa.array(places)).to_pylist(), pack(places), pack(counts[places])]
                     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["deal", "chunk", "words", "places", "counts"])
 
@@ -128,7 +110,7 @@ def vocabulary(made: DataFrame, tokens: int) -> DataFrame:
         known, sums = pa.array([], pa.string()), np.zeros(0, np.int64)
         for batch in batches:
             for chunk, words, places, counts in zip(*batch.columns, strict=True):
-                words, counts = words.values.cast(pa.string()), _unpack(counts.as_py(), "<i8")
+                words, counts = words.values.cast(pa.string()), unpack(counts.as_py(), "<i8")
                 rows.append((chunk.as_py(), places.as_py(), words, counts))
         if not rows:
             return
@@ -140,12 +122,12 @@ def vocabulary(made: DataFrame, tokens: int) -> DataFrame:
         kinds = np.bincount(unit[sums > 0], minlength=ENDINGS) - np.bincount(unit[often], minlength=ENDINGS)
         mass = np.bincount(unit, sums, ENDINGS) - np.bincount(unit[often], sums[often], ENDINGS)
         unit[often] = first + np.arange(len(often))
-        out = [(None, b"", _pack(sums[often]), _pack(unit[often]), _pack(kinds), _pack(mass.astype(np.int64)))]
+        out = [(None, b"", pack(sums[often]), pack(unit[often]), pack(kinds), pack(mass.astype(np.int64)))]
         at = 0
         for chunk, places, words, _ in rows:
             here = number[at : at + len(words)]
             at += len(words)
-            out.append((chunk, places, _pack(sums[here]), _pack(unit[here]), b"", b""))
+            out.append((chunk, places, pack(sums[here]), pack(unit[here]), b"", b""))
             if len(out) >= 64:
                 yield _rows(out)
                 out = []
@@ -172,8 +154,8 @@ def with_counts(made: DataFrame, shared: DataFrame) -> DataFrame:
 
 def _opened(row: dict, place: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(training, limits, codes, counts by code, units by code)."""
-    learn, limits, codes = _unpack(row["train"], "?"), _unpack(row["limits"], "<i8"), _unpack(row["codes"], "<u4")
-    shares = [(_unpack(s["places"], "<i8"), _unpack(s["counts"], "<i8"), _unpack(s["units"], "<i8")) for s in row["shares"] or []]
+    learn, limits, codes = unpack(row["train"], "?"), unpack(row["limits"], "<i8"), unpack(row["codes"], "<u4")
+    shares = [(unpack(s["places"], "<i8"), unpack(s["counts"], "<i8"), unpack(s["units"], "<i8")) for s in row["shares"] or []]
     n = sum(len(s[0]) for s in shares)
     counts, units = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for places, c, u in shares:
@@ -198,22 +180,22 @@ def bigrams(counted: DataFrame, place: dict[int, int], units: int) -> np.ndarray
                 use = learn[owner]
                 table += np.bincount(before[use] * units + flat[use], minlength=units * units)
         table = table.reshape(units, units)
-        rows = [(k, _pack(table[k * band : (k + 1) * band])) for k in range(BANDS)]
+        rows = [(k, pack(table[k * band : (k + 1) * band])) for k in range(BANDS)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["band", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[k] = sums.get(k, 0) + _unpack(cells, "<i8")
+                sums[k] = sums.get(k, 0) + unpack(cells, "<i8")
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([_pack(v) for v in sums.values()], pa.binary())], ["band", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([pack(v) for v in sums.values()], pa.binary())], ["band", "cells"])
 
     partial = counted.mapInArrow(count, "band long, cells binary")
     out = np.zeros((units, units), np.int64)
     for r in partial.repartition(BANDS, "band").mapInArrow(add, "band long, cells binary").collect():
         part = out[r["band"] * band : (r["band"] + 1) * band]
-        part += _unpack(r["cells"], "<i8").reshape(part.shape)
+        part += unpack(r["cells"], "<i8").reshape(part.shape)
     return out
 
 
@@ -284,7 +266,7 @@ class Model:
 
 def fit(made: DataFrame, counted: DataFrame, shared: DataFrame, tokens: int, ends: int) -> tuple[Model, dict[int, int]]:
     heads = shared.where("chunk IS NULL").select("counts", "units").collect()
-    frequent = sorted((u, c) for h in heads for u, c in zip(_unpack(h["units"], "<i8").tolist(), _unpack(h["counts"], "<i8").tolist(), strict=True))
+    frequent = sorted((u, c) for h in heads for u, c in zip(unpack(h["units"], "<i8").tolist(), unpack(h["counts"], "<i8").tolist(), strict=True))
     place = {u: FREQUENT + i for i, (u, _) in enumerate(frequent)}
     units = FREQUENT + len(frequent)
     kinds, mass = np.zeros(units, np.int64), np.zeros(units, np.int64)
@@ -293,7 +275,7 @@ def fit(made: DataFrame, counted: DataFrame, shared: DataFrame, tokens: int, end
         k, m = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
         for batch in batches:
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, m = k + _unpack(a, "<i8"), m + _unpack(b, "<i8")
+                k, m = k + unpack(a, "<i8"), m + unpack(b, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m)], ["kinds", "mass"])
 
     # Sums of the endings' columns: 255 rows a partition, added up by Spark.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, exact_dedup, language_id, mixing, packing, simhash, token_files, topk, toxicity
+from . import brown, exact_dedup, language_id, mixing, packing, simhash, substring, token_files, topk, toxicity
 from .common import doc_fold
 
 DOCUMENTS = "documents"
@@ -74,6 +74,11 @@ def op9_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(ints, ints.where("vec_id % 50 = 0"))
 
 
+def op10_lempel_ziv_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(_table(spark, sf_dir, DOCUMENTS))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_brown_classes": op8_brown_classes,
     "op9_bit_sliced_topk": op9_bit_sliced_topk,
+    "op10_lempel_ziv_passages": op10_lempel_ziv_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -26,12 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .words import Memo, parts
+from .words import Memo, parts, tokens
 
 #: The training sample: documents of each label, by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3000
@@ -106,18 +105,6 @@ def marginals(emit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np
     return p, joint.sum(axis=1).reshape(2, 2), first
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(text of each token, its number among the distinct pieces, those)."""
-    n = len(texts)
-    cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-    edges = cut.offsets.to_numpy()[: n + 1] - cut.offsets[0].as_py()
-    coded = cut.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy()
-    owner = np.repeat(np.arange(n), np.diff(edges))
-    full = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[codes] if len(codes) else np.empty(0, bool)
-    return owner[full], codes[full], coded.dictionary
-
-
 def marked_words(owner: np.ndarray, words: np.ndarray, n_words: int, toxic: np.ndarray) -> np.ndarray:
     """Which words go with the label: by documents that hold them."""
     pair = np.unique(owner.astype(np.int64) * n_words + words)
@@ -135,7 +122,7 @@ def marked_words(owner: np.ndarray, words: np.ndarray, n_words: int, toxic: np.n
 
 
 def train(texts: pa.Array, toxic: np.ndarray) -> Field:
-    owner, codes, pieces = _tokens(texts)
+    owner, codes, pieces = tokens(texts)
     plain = pieces.to_pylist()
     number: dict[str, int] = {}
     word_of = np.array([number.setdefault(normal(p), len(number)) for p in plain], np.int64)
@@ -229,7 +216,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
             n = part.num_rows
             score, spans = np.zeros(n), [[]] * n
             if field:
-                owner, codes, pieces = _tokens(part.column(1))
+                owner, codes, pieces = tokens(part.column(1))
                 table = memo(pieces)
                 starts, sizes = sequences(table[codes, 1] > 0, owner)
                 p = marginals(table[codes, 0], starts, sizes, field.trans, field.start)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 BATCH_BYTES = 12_000_000
 #: Words a Python worker remembers between batches before it starts anew; changes no result.
@@ -38,6 +39,31 @@ def split(texts: pa.Array, not_word: str) -> tuple[np.ndarray, np.ndarray, pa.Ar
     return owner[full], codes[full], words.dictionary
 
 
+def tokens(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same for words [^\\x20\\x09-\\x0D]+; lower: with A-Z in lower case. All of the words listed are used."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    limits = cut.offsets.to_numpy()[: n + 1] - cut.offsets[0].as_py()
+    coded = cut.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    owner = np.repeat(np.arange(n), np.diff(limits))
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not full.all():  # an empty word before or behind white space
+        use = full[codes]
+        owner, codes = owner[use], (np.cumsum(full) - 1)[codes[use]]
+        words = words.filter(pa.array(full))
+    return owner, codes, words
+
+
+def pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def unpack(b: bytes, kind: str | type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
 class Memo:
     """A row of numbers for each word; `make` gives the rows of new words."""
 
