@@ -4,7 +4,7 @@ A byte-level BPE never joins what lies on both sides of the space between two
 words, so a text may be cut before any space that follows a visible character
 without changing its ids. Arrow cuts a batch and lists its distinct pieces, the
 library encodes those it has not met, and a text's ids are its pieces' ids in a row. A batch's
-memory is bounded by its bytes; batches are cut to about BATCH_BYTES of text.
+memory is bounded by its bytes; batches are cut into parts of some megabytes of text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 12_000_000
+from .words import parts
+
 #: Strings a Python worker remembers between batches before it starts anew; changes no result.
 MEMO = 800_000
 #: Words handed to the library at once.
@@ -123,14 +124,8 @@ class Encoder:
 
     def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """(first column, ids, limits) of parts of batches whose second column is text."""
-        for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            group = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    part = batch.slice(a, b - a)
-                    yield part.column(0).to_pylist(), *self.encode(part.column(1))
+        for part in parts(batches):
+            yield part.column(0).to_pylist(), *self.encode(part.column(1))
 
 
 @functools.lru_cache(maxsize=2)
