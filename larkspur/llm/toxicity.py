@@ -106,12 +106,19 @@ def marginals(emit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np
 
 
 def marked_words(owner: np.ndarray, words: np.ndarray, n_words: int, toxic: np.ndarray) -> np.ndarray:
-    """Which words go with the label: by documents that hold them."""
-    pair = np.unique(owner.astype(np.int64) * n_words + words)
+    """Which words go with the label: by documents that hold them.
+
+    Documents of a group of copies aren't independent: a word counts for no more toxic
+    documents than it has different words before its first place in them.
+    """
+    pair, first = np.unique(owner.astype(np.int64) * n_words + words, return_index=True)
     doc, word = pair // n_words, pair % n_words
-    a = np.bincount(word[toxic[doc]], minlength=n_words).astype(float)
-    b = np.bincount(word[~toxic[doc]], minlength=n_words).astype(float)
     na, nb = toxic.sum(), (~toxic).sum()
+    bad = first[toxic[doc]]
+    before = np.where((bad > 0) & (owner[bad - 1] == owner[bad]), words[bad - 1], n_words)
+    contexts = np.unique(words[bad].astype(np.int64) * (n_words + 1) + before) // (n_words + 1)
+    a = np.bincount(contexts, minlength=n_words).astype(float)
+    b = np.bincount(word[~toxic[doc]], minlength=n_words).astype(float)
     rate = (a + b) / (na + nb)
 
     def part(x: np.ndarray, n: float) -> np.ndarray:
