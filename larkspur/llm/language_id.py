@@ -37,7 +37,7 @@ SAMPLE_CHARS = 200_000
 #: Every so manyth row of the sample calibrates the limit instead of training.
 CALIBRATION = 5
 #: The limit lies this much above the labelled texts' highest usual cross-entropy.
-MARGIN = 1.25
+MARGIN = 1.5
 #: Texts with fewer letters are too short to be rejected for their cross-entropy.
 LEAST_LETTERS = 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
