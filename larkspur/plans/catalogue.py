@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import risk_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | risk_queries.QUERIES
+ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | risk_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Rules scores of all packages."""
+    return QUERIES["q07_rules_score"](spark, sf_dir)
