@@ -56,7 +56,7 @@ def _hashes(points: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(points), np.uint64)
     p = points.astype(np.uint64) + np.uint64(1)
     for k in range(n):
-        out[k:] += p[: len(p) - k] * _STEP ** np.uint64(k + 1)
+        out[k:] += p[: max(len(p) - k, 0)] * _STEP ** np.uint64(k + 1)
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -137,6 +137,10 @@ def train(samples: dict[str, tuple[list[str], np.ndarray]]) -> Models:
         for k, g in enumerate(grams):
             level = g[n - 1]
             c = level["count"]
+            if not len(c):  # words too short for this order
+                prior_keys, prior_logs = below[-1]
+                logs[:, k] = prior_logs[np.searchsorted(prior_keys, shorter), k]
+                continue
             once, twice = (c == 1).sum(), (c == 2).sum()
             d = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
             groups, of = np.unique(level["context"], return_inverse=True)
