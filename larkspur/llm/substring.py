@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_of, text_of, written
-from .words import pack, parts, tokens, unpack
+from .words import pack, parts, rows, tokens, unpack
 
 WIDTH, SEED = 13, 5
 NO_ID = np.iinfo(np.int64).max
@@ -108,6 +108,7 @@ class Chunk:
             for k in range(1, WIDTH - SEED + 1):
                 np.minimum(least, seeds[k : n - WIDTH + 1 + k], out=least)
             self.seeds = least[self.starts]
+            del seeds, least
             self.hashes = _mixed(_run(hashes, WIDTH))[self.starts]
         else:
             self.seeds = self.hashes = np.empty(0, np.uint64)
@@ -165,12 +166,11 @@ def _answers(heads: list[tuple[int, int]], bits: np.ndarray, sizes: list[int]) -
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple[int, int]], list[list[np.ndarray]]]:
     heads, cols = [], [[], []]
-    for batch in batches:
-        for row in batch.to_pylist():
-            heads.append((row["chunk"], row["deal"]))
-            cols[0].append(unpack(row["hashes"], "<u8"))
-            if "least" in row:
-                cols[1].append(unpack(row["least"], "<i8"))
+    for row in rows(batches):
+        heads.append((row["chunk"], row["deal"]))
+        cols[0].append(unpack(row["hashes"], "<u8"))
+        if "least" in row:
+            cols[1].append(unpack(row["least"], "<i8"))
     return heads, cols
 
 
@@ -204,28 +204,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deals = 1 << (2 * spread - 1).bit_length()
 
     def send_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _blobs(row["chunk"], Chunk(row).kinds, deals)
+        for row in rows(batches):
+            yield _blobs(row["chunk"], Chunk(row).kinds, deals)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                _, _, kinds, least = c.candidates(_joined(row["seed_bits"], c.kinds, deals))
-                yield _blobs(row["chunk"], kinds, deals, least)
+        for row in rows(batches):
+            c = Chunk(row)
+            _, _, kinds, least = c.candidates(_joined(row["seed_bits"], c.kinds, deals))
+            yield _blobs(row["chunk"], kinds, deals, least)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                at, place, kinds, least = c.candidates(_joined(row["seed_bits"], c.kinds, deals))
-                known = _joined(row["window_bits"], kinds, deals)[place] | (c.doc_ids[c.owner[at]] > least[place])
-                step = np.zeros(len(c.codes) + 1, np.int64)
-                np.add.at(step, c.starts[at[known]], 1)
-                np.add.at(step, c.starts[at[known]] + WIDTH, -1)
-                gone = np.cumsum(step)[:-1] > 0
-                yield _result(row["doc_ids"], c, gone)
+        for row in rows(batches):
+            c = Chunk(row)
+            at, place, kinds, least = c.candidates(_joined(row["seed_bits"], c.kinds, deals))
+            known = _joined(row["window_bits"], kinds, deals)[place] | (c.doc_ids[c.owner[at]] > least[place])
+            step = np.zeros(len(c.codes) + 1, np.int64)
+            np.add.at(step, c.starts[at[known]], 1)
+            np.add.at(step, c.starts[at[known]] + WIDTH, -1)
+            gone = np.cumsum(step)[:-1] > 0
+            yield _result(row["doc_ids"], c, gone)
 
     def back(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("chunk").agg(F.collect_list(F.struct("deal", "bits")).alias(name))

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 
 from .words import parts
 
+#: Text encoded at once: the more, the fewer pieces are looked up again.
+PART_BYTES = 12_000_000
 #: Strings a Python worker remembers between batches before it starts anew; changes no result.
 MEMO = 800_000
 #: Words handed to the library at once.
@@ -124,7 +126,7 @@ class Encoder:
 
     def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """(first column, ids, limits) of parts of batches whose second column is text."""
-        for part in parts(batches):
+        for part in parts(batches, size=PART_BYTES):
             yield part.column(0).to_pylist(), *self.encode(part.column(1))
 
 

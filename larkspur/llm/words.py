@@ -9,16 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 #: Words a Python worker remembers between batches before it starts anew; changes no result.
 MEMO = 500_000
 
 
-def parts(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about BATCH_BYTES of text each; a longer text is a part of its own."""
+def parts(batches: Iterator[pa.RecordBatch], text: int = 1, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about `size` bytes of text each, BATCH_BYTES if not given; a longer text is a part of its own."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+        group = np.cumsum(sizes, dtype=np.int64) // (size or BATCH_BYTES)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
@@ -57,6 +57,13 @@ def tokens(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray
     return owner, codes, words
 
 
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of the batches, one at a time in Python."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
