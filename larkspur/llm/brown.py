@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_of, text_of, written
-from .words import pack, parts, tokens, unpack
+from .words import pack, parts, rows, tokens, unpack
 
 #: A word with this share of the training tokens is a unit of its own.
 SHARE = 1 / 500
@@ -171,17 +171,16 @@ def bigrams(counted: DataFrame, place: dict[int, int], units: int) -> np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(units * units, np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                learn, limits, codes, _, unit = _opened(row, place)
-                flat = np.insert(unit[codes], limits[1:], END)  # the end token after each text
-                owner = np.repeat(np.arange(len(learn)), np.diff(limits) + 1)
-                before = np.concatenate([[END], flat[:-1]])
-                use = learn[owner]
-                table += np.bincount(before[use] * units + flat[use], minlength=units * units)
+        for row in rows(batches):
+            learn, limits, codes, _, unit = _opened(row, place)
+            flat = np.insert(unit[codes], limits[1:], END)  # the end token after each text
+            owner = np.repeat(np.arange(len(learn)), np.diff(limits) + 1)
+            before = np.concatenate([[END], flat[:-1]])
+            use = learn[owner]
+            table += np.bincount(before[use] * units + flat[use], minlength=units * units)
         table = table.reshape(units, units)
-        rows = [(k, pack(table[k * band : (k + 1) * band])) for k in range(BANDS)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["band", "cells"])
+        bands = [(k, pack(table[k * band : (k + 1) * band])) for k in range(BANDS)]
+        yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in bands], pa.int64()), pa.array([b[1] for b in bands], pa.binary())], ["band", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -312,22 +311,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, place = sent.value
         whole = m.tokens + 0.5 * (m.distinct + 1)
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, limits, codes, counts, units = _opened(row, place)
-                n = len(limits) - 1
-                # The end token comes last among the words.
-                counts, units = np.append(counts, m.ends), np.append(units, END)
-                flat = np.insert(codes.astype(np.int64), limits[1:], len(counts) - 1)
-                owner = np.repeat(np.arange(n), np.diff(limits) + 1)
-                base = (counts + 0.5) / whole
-                of = m.classes[units]
-                word = (counts + 0.5) / (m.mass[of] + 0.5 * (m.kinds[of] + 1))
-                alone = np.where(counts > 0, base, base * m.unknown[of])
-                now = of[flat]
-                before = np.concatenate([[m.classes[END]], now[:-1]])
-                p = mix * m.step[before, now] * word[flat] + (1 - mix) * alone[flat]
-                sums = [np.diff(limits) + 1, np.bincount(owner, counts[flat] > 0, n).astype(np.int64), np.bincount(owner, np.log10(base)[flat], n), np.bincount(owner, np.log10(p), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), *map(pa.array, sums)], [x.split()[0] for x in SCORES.split(", ")])
+        for row in rows(batches):
+            _, limits, codes, counts, units = _opened(row, place)
+            n = len(limits) - 1
+            # The end token comes last among the words.
+            counts, units = np.append(counts, m.ends), np.append(units, END)
+            flat = np.insert(codes.astype(np.int64), limits[1:], len(counts) - 1)
+            owner = np.repeat(np.arange(n), np.diff(limits) + 1)
+            base = (counts + 0.5) / whole
+            of = m.classes[units]
+            word = (counts + 0.5) / (m.mass[of] + 0.5 * (m.kinds[of] + 1))
+            alone = np.where(counts > 0, base, base * m.unknown[of])
+            now = of[flat]
+            before = np.concatenate([[m.classes[END]], now[:-1]])
+            p = mix * m.step[before, now] * word[flat] + (1 - mix) * alone[flat]
+            sums = [np.diff(limits) + 1, np.bincount(owner, counts[flat] > 0, n).astype(np.int64), np.bincount(owner, np.log10(base)[flat], n), np.bincount(owner, np.log10(p), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), *map(pa.array, sums)], [x.split()[0] for x in SCORES.split(", ")])
 
     return counted.mapInArrow(work, SCORES).withColumn("train_tokens", F.lit(tokens).cast("long"))
