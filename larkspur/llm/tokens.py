@@ -48,38 +48,53 @@ class Encoder:
         #: The same model without splitting, for strings that are one word.
         self.words = Tokenizer(self.library.model)
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The same for words already spelt as the model spells bytes.
+        self.spelt = Tokenizer(self.library.model)
         self.vocabulary = self.library.get_vocab_size()
         self.known = pa.array([], pa.large_string())
-        self.pool, self.counts = np.empty(0, "<u4"), np.empty(0, np.int64)
+        self.pool, self.starts, self.counts = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for at in range(0, len(texts), 256) for e in self.library.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)]
 
-    def _single(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """ids and their numbers, of strings that are one word each."""
-        ids, counts = [], []
-        for at in range(0, len(words), CALL):
-            part = words.slice(at, CALL).to_pylist()
-            found = self.words.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
-            ids.append(np.asarray(found.ids, "<u4"))
-            counts.append(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(part)))
-        return ids, counts
+    def _single(self, words: pa.Array, at: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """ids of strings that are one word each, and where in a pool of `at` ids they will begin and how many they are."""
+        starts, counts, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), []
+        ascii_ = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        for mask, coder in ((ascii_, self.spelt), (~ascii_, self.words)):
+            where = np.flatnonzero(mask)
+            chosen = words.take(pa.array(where))
+            if coder is self.spelt:  # how the model spells a space and a line end; other ASCII marks stand for themselves
+                chosen = pc.replace_substring(pc.replace_substring(chosen, " ", "\u0120"), "\n", "\u010a")
+            for k in range(0, len(chosen), CALL):
+                part = chosen.slice(k, CALL).to_pylist()
+                found = coder.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
+                own = where[k : k + CALL]
+                ids.append(np.asarray(found.ids, "<u4"))
+                counts[own] = np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(part))
+                starts[own] = at + np.cumsum(counts[own]) - counts[own]
+                at += len(ids[-1])
+        return ids, starts, counts
 
     def _looked_up(self, strings: pa.Array, single: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and where each string's begin and how many they are; the first `single` are one word each."""
         if len(self.known) > MEMO:
-            self.known, self.pool, self.counts = strings.slice(0, 0), self.pool[:0], self.counts[:0]
+            self.known, self.pool, self.starts, self.counts = strings.slice(0, 0), self.pool[:0], self.starts[:0], self.counts[:0]
         at = pc.index_in(strings, value_set=self.known)
         new = at.is_null().to_numpy(zero_copy_only=False)
         place = at.fill_null(0).to_numpy().astype(np.int64)
         place[new] = len(self.known) + np.arange(new.sum())
         fresh = strings.filter(pa.array(new))
-        ids, counts = self._single(fresh.slice(0, int(new[:single].sum())))
-        more = self._whole(fresh.slice(int(new[:single].sum())).to_pylist())
-        self.counts = np.concatenate([self.counts, *counts, np.fromiter(map(len, more), np.int64, len(more))])
+        words = int(new[:single].sum())
+        ids, starts, counts = self._single(fresh.slice(0, words), len(self.pool))
+        more = self._whole(fresh.slice(words).to_pylist())
+        rest = np.fromiter(map(len, more), np.int64, len(more))
+        at = len(self.pool) + sum(map(len, ids))
+        self.starts = np.concatenate([self.starts, starts, at + np.cumsum(rest) - rest])
+        self.counts = np.concatenate([self.counts, counts, rest])
         self.pool = np.concatenate([self.pool, *ids, np.fromiter((i for x in more for i in x), "<u4")])
         self.known = pa.concat_arrays([self.known, fresh])
-        return self.pool, (np.cumsum(self.counts) - self.counts)[place], self.counts[place]
+        return self.pool, self.starts[place], self.counts[place]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string())

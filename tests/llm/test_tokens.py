@@ -97,3 +97,14 @@ def test_token_files_odd_rows(spark, odd_docs, no_docs):
     assert table.schema.field("ids").type.list_size == 64
     empty = token_files.new_folder(spark)
     assert token_files.read_tokens(spark, empty, token_files.write_tokens(no_docs, empty, queries.tokenizer())).collect() == []
+
+
+def test_encoder_equals_library_over_batches(library, sf):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()
+    e = Encoder(queries.tokenizer())
+    for part in (texts[:40], texts[20:90], [], texts[90:]):
+        ids, limits = e.encode(pa.array(part, pa.string()))
+        for i, t in enumerate(part):
+            assert ids[limits[i] : limits[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
