@@ -16,9 +16,11 @@ BASE64_RUN = r"[A-Za-z0-9+/]{60,}={0,2}"
 def entropy(text: Column) -> Column:
     """Bits a character; 0 for an empty text. One pass over the text for each distinct character."""
     size = F.char_length(text)
-    share = lambda c: (size - F.char_length(F.replace(text, c))) / size
-    kinds = F.array_distinct(F.split(text, ""))
-    return F.coalesce(-F.aggregate(F.filter(kinds, lambda c: c != ""), F.lit(0.0), lambda s, c: s + share(c) * F.log2(share(c))), F.lit(0.0))
+    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    counts = F.transform(kinds, lambda c: size - F.char_length(F.replace(text, c)))
+    # -sum p log p = log n - sum k log k / n
+    total = F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k.cast("double")))
+    return F.when(size > 0, F.log2(size.cast("double")) - total / size).otherwise(F.lit(0.0))
 
 
 def public_addresses(text: Column) -> Column:
@@ -68,9 +70,50 @@ def first_label(text: Column, family: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(text.rlike(f"(?i){p}"), F.lit(label)) for p, label in family])
 
 
-def holds_any(text: Column, family: list[tuple[str, str]]) -> Column:
-    """Whether any pattern of the family matches; one pass over the text."""
-    return text.rlike("(?i)" + "|".join(f"({p})" for p, _ in family))
+def required_literals(pattern: str) -> list[str]:
+    """For each outermost alternative, the longest run of plain characters that its every match holds, in lower case."""
+    done, runs, now, depth, i = [], [], "", 0, 0
+    while i < len(pattern):
+        c, plain = pattern[i], ""
+        if c == "\\":
+            i += 1
+            plain = "" if pattern[i].isalnum() else pattern[i]
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            done.append(max([*runs, now], key=len))
+            runs, now = [], ""
+            i += 1
+            continue
+        elif c not in ".^$|{}*+?":
+            plain = c
+        if plain and not depth and pattern[i + 1 : i + 2] not in ("*", "?", "{"):
+            now += plain
+        else:
+            runs.append(now)
+            now = ""
+        i += 1
+    return [x.lower() for x in [*done, max([*runs, now], key=len)]]
+
+
+def holds_any(text: Column, family: list[tuple[str, str]], lowered: Column | None = None) -> Column:
+    """Whether any pattern of the family matches.
+
+    A plain search for what each pattern must hold comes first, so that most texts
+    meet no regular expression. lowered: the text in lower case.
+    """
+    lowered = F.lower(text) if lowered is None else lowered
+    any_of = lambda patterns: text.rlike("(?i)" + "|".join(f"({p})" for p in patterns))
+    found = {p: required_literals(p) for p, _ in family}
+    sought = [p for p, literals in found.items() if min(map(len, literals)) >= 3]
+    bare = [p for p in found if p not in sought]
+    checks = [any_of([p]) for p in bare]
+    if sought:
+        literals = sorted({x for p in sought for x in found[p]})
+        checks.append(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in literals]) & any_of(sought))
+    return reduce(lambda a, b: a | b, checks)
 
 
 def labels(text: Column, family: list[tuple[str, str]]) -> Column:

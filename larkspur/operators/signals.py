@@ -16,18 +16,18 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*s, P.SEVERITY_RANK[s[2]]) for s in P.SIGNALS], CATALOGUE)
 
 
-def text_checks(text: Column) -> dict[str, Column]:
-    """Code -> condition, for what can be seen in a file's text."""
+def text_checks(text: Column, lowered: Column | None = None) -> dict[str, Column]:
+    """Code -> condition, for what can be seen in a file's text. lowered: the text in lower case."""
     hex_, uni = T.escapes(text)
     size = F.char_length(text)
     return {
-        "SENSITIVE_PATH_ACCESS": T.holds_any(text, P.SENSITIVE_PATHS),
-        "CRYPTO_WALLET_ACCESS": T.holds_any(text, P.CRYPTO_WALLETS),
-        "FILE_WRITE_SENSITIVE": T.holds_any(text, P.PERSISTENCE),
-        "SUSPICIOUS_ENDPOINT": T.holds_any(text, P.ENDPOINTS),
+        "SENSITIVE_PATH_ACCESS": T.holds_any(text, P.SENSITIVE_PATHS, lowered),
+        "CRYPTO_WALLET_ACCESS": T.holds_any(text, P.CRYPTO_WALLETS, lowered),
+        "FILE_WRITE_SENSITIVE": T.holds_any(text, P.PERSISTENCE, lowered),
+        "SUSPICIOUS_ENDPOINT": T.holds_any(text, P.ENDPOINTS, lowered),
         "HARDCODED_IP_ENDPOINT": F.size(T.public_addresses(text)) > 0,
-        "REVERSE_SHELL_PATTERN": T.holds_any(text, P.REVERSE_SHELLS),
-        "HOST_RECON": T.holds_any(text, P.HOST_RECON),
+        "REVERSE_SHELL_PATTERN": T.holds_any(text, P.REVERSE_SHELLS, lowered),
+        "HOST_RECON": T.holds_any(text, P.HOST_RECON, lowered),
         "BASE64_BLOB": F.size(T.base64_blobs(text)) > 0,
         "HEX_ESCAPE_HEAVY": (hex_ + uni > 60) & ((4 * hex_ + 6 * uni) / size > 0.15),
         "MINIFIED_SOURCE": T.minified(text),
@@ -38,8 +38,8 @@ def text_checks(text: Column) -> dict[str, Column]:
 
 def scan(files: DataFrame, package: str, path: str, text: str) -> DataFrame:
     """package, path, code: one row per file and code raised, composites included."""
-    checks = text_checks(F.col(text))
-    flags = files.select(F.col(package).alias("package"), F.col(path).alias("path"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()])
+    checks = text_checks(F.col(text), F.col("__lowered"))
+    flags = files.withColumn("__lowered", F.lower(text)).select(F.col(package).alias("package"), F.col(path).alias("path"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()])
     on = F.col
     sensitive = on("SENSITIVE_PATH_ACCESS") | on("CRYPTO_WALLET_ACCESS")
     credentials = sensitive & on("NETWORK_ACCESS")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import table
+from ..core import spread, table
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import versions as V
@@ -29,6 +29,7 @@ def query(name: str, sql: str | None = None):
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("package"), F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(docs)
     return docs.unionByName(X.table(spark, X.FILES, "package, path, text"))
 
 

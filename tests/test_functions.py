@@ -227,3 +227,18 @@ def test_stores(spark, tmp_path):
     assert sorted(r["v"] for r in spark.read.parquet(out).collect()) == ["a", "c"]
     v = spark.createDataFrame([("x", b"1", "bad"), ("y", None, "bad")], "sample_id string, content binary, sha256 string")
     assert {tuple(r) for r in store.vault_problems(v).collect()} == {("x", "corrupt"), ("y", "missing")}
+
+
+def test_required_literals():
+    assert T.required_literals(r"[/\\]Login Data\b|a\.b?c+|(x|y)zz") == ["login data", "a.", "zz"]
+    assert T.required_literals(r"sub\s*\([^)]*std(in|out)\s*=") == ["sub"]
+
+
+def test_prefilter_changes_nothing(spark):
+    from larkspur.functions import patterns as P
+
+    texts = ["~/.SSH/id_rsa", "C:\\Login Data", "x /etc/shadow", "no such thing", "Start Menu/Programs/Startup", "os.dup2(s.fileno(), 0)", "subprocess.run(a, stdin=sock)", "nc -l host 80 -e", "DISCORD.com/api/webhooks/1", ".env.local", "seed phrase", "whoami", "", "powershell -nop -c New-Object System.Net.Sockets.X"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for family in (P.SENSITIVE_PATHS, P.CRYPTO_WALLETS, P.PERSISTENCE, P.ENDPOINTS, P.REVERSE_SHELLS, P.HOST_RECON):
+        plain = F.col("t").rlike("(?i)" + "|".join(f"({p})" for p, _ in family))
+        assert df.where(T.holds_any(F.col("t"), family) != plain).collect() == []
