@@ -63,15 +63,17 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(2 * counts > len(table)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; digest too, if given."""
+    names = ["doc_id", "fp", *(["digest"] if digest is not None else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(work, "doc_id long, fp long")
+    cols = [F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *([digest.alias("digest")] if digest is not None else [])]
+    return docs.select(*cols).mapInArrow(work, ", ".join(f"{n} {'binary' if n == 'digest' else 'long'}" for n in names))
 
 
 def signatures(fp: Column) -> Column:
@@ -188,19 +190,29 @@ def links(distinct: DataFrame, partitions: int) -> DataFrame:
     return near.mapInArrow(work, "a long, b long")
 
 
+def _grouped(fps: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """(fp and root of its component, root and the component's least), of rows with fp."""
+    distinct = written(fps.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
+    roots = written(components(links(distinct.select("fp"), parts_of(fps.sparkSession))), "simhash-roots")
+    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return member.select("fp", "root"), written(member.groupBy("root").agg(F.min("least").alias("least")), "simhash-least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = written(components(links(distinct.select("fp"), parts_of(docs.sparkSession))), "simhash-roots")
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = written(member.join(written(least, "simhash-least"), "root").select("fp", "component_id"), "simhash-ids")
+    member, least = _grouped(fps, F.col("doc_id"))
+    ids = written(member.join(least, "root").select("fp", F.col("least").alias("component_id")), "simhash-ids")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    found = near_duplicates(docs, shingle, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return keep_rows(docs, keep, {"doc_id": F.col(id_col).cast("long")})
+    """One row of each component, one with the smallest doc_id (null only where all are), with all its columns.
+
+    A keeper is known by its doc_id and its text's digest: rows that agree in both
+    have one fingerprint, so they are of one component, and one of them stays.
+    """
+    digest = F.unhex(F.sha2(text_of(text_col), 256))
+    fps = written(fingerprints(docs, shingle, id_col, text_col, digest), "simhash")
+    _, least = _grouped(fps, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    return keep_rows(docs, least.select("least.doc_id", "least.digest"), {"doc_id": F.col(id_col).cast("long"), "digest": digest})

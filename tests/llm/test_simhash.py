@@ -76,3 +76,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(8) == 1 and 4 not in ids and 3 in ids and None in ids
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.survivors(no_docs).collect() == []
+
+
+def test_survivors_of_null_and_repeated_ids(spark):
+    """One row of each group, whatever ids its rows have."""
+    text = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (7, text[2]), (1, text[3]), (5, text[3]), (5, text[4]), (5, text[4]), (5, text[5]), (9, text[5])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long")
+    got = simhash.survivors(docs).collect()
+    assert sorted(r["text"] for r in got) == sorted(text)
+    ids = {r["text"]: r["doc_id"] for r in got}
+    assert [ids[t] for t in text] == [None, None, 7, 1, 5, 5]
+    assert all(rows[r["row"]] == (r["doc_id"], r["text"]) for r in got)
