@@ -6,11 +6,15 @@ dealt by word hash, summed, and each chunk gets its words' corpus counts back, s
 what is shuffled is a chunk's distinct words rather than its text. Vocabulary and
 counts never meet in one place.
 
-Exchange clustering works on units. A word with at least SHARE of all training
-tokens is a unit of its own (there can't be more than 1 / SHARE of them); every
-other word, known or not, belongs to the unit of its last letters. So every word has
-a class, and the units' bigram counts, over all training documents, are a table of
-bounded size. A token's probability is
+A word with FLOOR training tokens, or SHARE of them, is a unit of its own; rarer and
+unknown words belong to the unit of their last letters, so every word has a class.
+Clustering has two steps. Exchange, one unit at a time, places the units with SHARE
+and those of the endings, whose bigram counts are a table of bounded size. All other
+units then move in distributed rounds: their neighbours are brought together once,
+dealt by unit, and each round moves half of them to the class with the largest gain
+against the class bigrams of the round before, their own tokens taken out. Of all
+rounds the one with the largest likelihood counts. Classes grow with the cube root
+of the units; what a round sends is one number a unit. A token's probability is
     mix * P(class | class before) * P(word | class) + (1 - mix) * P(word),
 summing to one over the training vocabulary and an unknown word for each class.
 
@@ -35,19 +39,27 @@ from pyspark.sql import functions as F
 from .common import parts_of, text_of, written
 from .words import pack, parts, rows, tokens, unpack
 
-#: A word with this share of the training tokens is a unit of its own.
+#: A word with so many training tokens is a unit of its own.
+FLOOR = 20
+#: A word with this share of them too; it is placed by exchange, one at a time.
 SHARE = 1 / 500
 #: Units of the other words, by their last letters.
 ENDINGS = 255
 CLASSES = 40
+#: More classes than CLASSES: so many times the cube root of the units.
+CLASS_GROWTH = 2
 SWEEPS = 8
+#: Rounds of the units that are not placed by exchange; each moves half of them.
+ROUNDS = 8
 MIX = 0.85
 #: Weight of the classes' own shares in the transition probabilities.
 PRIOR = 5.0
 #: Bands of rows in which the bigram table is summed.
 BANDS = 16
 END = ENDINGS  # the unit of the end token
-FREQUENT = ENDINGS + 1
+FREQUENT = ENDINGS + 1  # the first unit of a word of its own
+#: Units in a band whose neighbours lie together, at most.
+BAND = 8_192
 
 
 CHUNK = "chunk long, doc_ids array<long>, train binary, limits binary, codes binary, words array<string>, counts binary, tokens long, ends long"
@@ -79,19 +91,21 @@ def ending(word: str) -> int:
     return zlib.crc32((letters[-2:] or word[-1:]).encode("utf-8", "surrogatepass")) % ENDINGS
 
 
-SHARED = "chunk long, places binary, counts binary, units binary, kinds binary, mass binary"
+SHARED = "chunk long, places binary, counts binary, units binary, kinds binary"
 
 
 def vocabulary(made: DataFrame, total_tokens: int) -> DataFrame:
     """For each chunk and part of the vocabulary: its words' places, corpus counts and units.
 
-    Rows without a chunk hold, for each part, the number of distinct words and of
-    tokens of each ending, and the counts of the frequent words.
+    Rows without a chunk hold, for each part, the number of distinct words of
+    each ending, and of the words that are units of their own the endings,
+    numbers within the part of those with SHARE, and the part's own number. A unit's
+    number here is that of its part, shifted, and its number within the part.
     """
     spark = made.sparkSession
     deals = 4 * parts_of(spark)
-    floor = max(1, math.ceil(SHARE * total_tokens))
-    room = math.ceil(1 / SHARE) + 1
+    share = max(1, math.ceil(SHARE * total_tokens))
+    floor = min(FLOOR, share)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +119,7 @@ def vocabulary(made: DataFrame, total_tokens: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["deal", "chunk", "words", "places", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = FREQUENT + TaskContext.get().partitionId() * room
+        part = TaskContext.get().partitionId()
         rows: list[tuple] = []
         known, sums = pa.array([], pa.string()), np.zeros(0, np.int64)
         for batch in batches:
@@ -120,14 +134,13 @@ def vocabulary(made: DataFrame, total_tokens: int) -> DataFrame:
         unit = np.fromiter(map(ending, known.to_pylist()), np.int64, len(known))
         often = np.flatnonzero(sums >= floor)
         kinds = np.bincount(unit[sums > 0], minlength=ENDINGS) - np.bincount(unit[often], minlength=ENDINGS)
-        mass = np.bincount(unit, sums, ENDINGS) - np.bincount(unit[often], sums[often], ENDINGS)
-        unit[often] = first + np.arange(len(often))
-        out = [(None, b"", pack(sums[often]), pack(unit[often]), pack(kinds), pack(mass.astype(np.int64)))]
+        out = [(None, pack(unit[often].astype(np.uint8)), pack(np.flatnonzero(sums[often] >= share)), pack(np.array([part])), pack(kinds))]
+        unit[often] = FREQUENT + (part << 32) + np.arange(len(often))
         at = 0
         for chunk, places, words, _ in rows:
             here = number[at : at + len(words)]
             at += len(words)
-            out.append((chunk, places, pack(sums[here]), pack(unit[here]), b"", b""))
+            out.append((chunk, places, pack(sums[here]), pack(unit[here]), b""))
             if len(out) >= 64:
                 yield _rows(out)
                 out = []
@@ -152,33 +165,36 @@ def with_counts(made: DataFrame, shared: DataFrame) -> DataFrame:
     return written(joined, "lm-counted")
 
 
-def _opened(row: dict, place: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(training, limits, codes, counts by code, units by code)."""
+def _opened(row: dict, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(training, limits, codes, counts by code, units by code); first: the first unit of each part of the vocabulary."""
     learn, limits, codes = unpack(row["train"], "?"), unpack(row["limits"], "<i8"), unpack(row["codes"], "<u4")
     shares = [(unpack(s["places"], "<i8"), unpack(s["counts"], "<i8"), unpack(s["units"], "<i8")) for s in row["shares"] or []]
     n = sum(len(s[0]) for s in shares)
     counts, units = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for places, c, u in shares:
         counts[places], units[places] = c, u
-    often = units >= FREQUENT
-    units[often] = [place[u] for u in units[often].tolist()]
+    own = units >= FREQUENT
+    at = units[own] - FREQUENT
+    units[own] = first[at >> 32] + (at & 0xFFFFFFFF)
     return learn, limits, codes, counts, units
 
 
-def bigrams(counted: DataFrame, place: dict[int, int], units: int) -> np.ndarray:
-    """Counts of unit pairs in the training documents, each begun and ended by the end token."""
-    band = -(-units // BANDS)
+def bigrams(counted: DataFrame, first: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
+    """Counts of pairs of labels, below n, in the training documents, each begun and ended by the end token."""
+    band = -(-n // BANDS)
+    sent = counted.sparkSession.sparkContext.broadcast((first, label))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(units * units, np.int64)
+        first, label = sent.value
+        table = np.zeros(n * n, np.int64)
         for row in rows(batches):
-            learn, limits, codes, _, unit = _opened(row, place)
-            flat = np.insert(unit[codes], limits[1:], END)  # the end token after each text
+            learn, limits, codes, _, unit = _opened(row, first)
+            flat = np.insert(label[unit][codes].astype(np.int64), limits[1:], label[END])  # the end token after each text
             owner = np.repeat(np.arange(len(learn)), np.diff(limits) + 1)
-            before = np.concatenate([[END], flat[:-1]])
+            before = np.concatenate([label[[END]], flat[:-1]])
             use = learn[owner]
-            table += np.bincount(before[use] * units + flat[use], minlength=units * units)
-        table = table.reshape(units, units)
+            table += np.bincount(before[use] * n + flat[use], minlength=n * n)
+        table = table.reshape(n, n)
         bands = [(k, pack(table[k * band : (k + 1) * band])) for k in range(BANDS)]
         yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in bands], pa.int64()), pa.array([b[1] for b in bands], pa.binary())], ["band", "cells"])
 
@@ -191,13 +207,105 @@ def bigrams(counted: DataFrame, place: dict[int, int], units: int) -> np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([pack(v) for v in sums.values()], pa.binary())], ["band", "cells"])
 
     partial = counted.mapInArrow(count, "band long, cells binary")
-    out = np.zeros((units, units), np.int64)
+    out = np.zeros((n, n), np.int64)
     for r in partial.repartition(BANDS, "band").mapInArrow(add, "band long, cells binary").collect():
         part = out[r["band"] * band : (r["band"] + 1) * band]
         part += unpack(r["cells"], "<i8").reshape(part.shape)
+    sent.unpersist()
     return out
 
 
+def neighbours(counted: DataFrame, first: np.ndarray, seed: np.ndarray) -> tuple[DataFrame, int]:
+    """(band and, for each training token of its moving units, the unit within the band and the units before and after; units a band)."""
+    spark = counted.sparkSession
+    width = min(BAND, max(1, -(-len(seed) // (4 * parts_of(spark)))))
+    sent = spark.sparkContext.broadcast((first, seed))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seed = sent.value
+        for row in rows(batches):
+            learn, limits, codes, _, unit = _opened(row, first)
+            flat = np.insert(unit[codes], limits[1:], END)
+            owner = np.repeat(np.arange(len(learn)), np.diff(limits) + 1)
+            at = np.flatnonzero(learn[owner] & (flat >= FREQUENT) & (seed[flat] < FREQUENT))
+            at = at[np.argsort(flat[at], kind="stable")]
+            before = np.concatenate([[END], flat])[at]
+            cells = np.stack([flat[at] % width, before, flat[np.minimum(at + 1, len(flat) - 1)]]).astype(np.uint32)
+            bands = flat[at] // width
+            cuts = [0, *(np.flatnonzero(np.diff(bands)) + 1).tolist(), len(at)] if len(at) else [0]
+            made = [(int(bands[a]), pack(cells[:, a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["band", "piece"])
+
+    pieces = counted.mapInArrow(work, "band long, piece binary")
+    return written(pieces.groupBy("band").agg(F.collect_list("piece").alias("pieces")), "lm-neighbours"), width
+
+
+def better(seen: list[bytes], now: np.ndarray, label: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class with the largest gain for each unit of a band, now in the classes given; m: the class bigrams."""
+    n, c = len(now), len(m)
+    out, into = np.zeros((n, c)), np.zeros((n, c))
+    for piece in seen:
+        unit, before, after = unpack(piece, "<u4").reshape(3, -1).astype(np.int64)
+        into += np.bincount(unit * c + label[before], minlength=n * c).reshape(n, c)
+        out += np.bincount(unit * c + label[after], minlength=n * c).reshape(n, c)
+    log = lambda x: np.log(np.maximum(x, 0) + 0.5)
+    size, rows, cols = out.sum(axis=1), m.sum(axis=1), m.sum(axis=0)
+    gain = out @ log(m).T + into @ log(m) - size[:, None] * (log(rows) + log(cols))
+    # Its own class without the unit's tokens.
+    stay = (out * log(m[now] - out)).sum(axis=1) + (into * log(m.T[now] - into)).sum(axis=1) - size * (log(rows[now] - size) + log(cols[now] - size))
+    gain[np.arange(n), now] = stay
+    best = gain.argmax(axis=1)
+    return np.where(gain[np.arange(n), best] > stay + 1e-9, best, now)
+
+
+def moved(near: DataFrame, width: int, classes: np.ndarray, m: np.ndarray, half: int) -> np.ndarray:
+    """The classes after a round in which the units of one half move."""
+    sent = near.sparkSession.sparkContext.broadcast((classes, m))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, m = sent.value
+        for row in rows(batches):
+            now = label[row["band"] * width : (row["band"] + 1) * width].astype(np.int64)
+            new = better(row["pieces"], now, label, m)
+            stays = np.arange(len(now)) % 2 != half
+            new[stays] = now[stays]
+            yield pa.RecordBatch.from_arrays([pa.array([row["band"]], pa.int64()), pa.array([pack(new.astype(np.uint16))], pa.binary())], ["band", "classes"])
+
+    out = classes.copy()
+    for r in near.mapInArrow(work, "band long, classes binary").toLocalIterator():
+        out[r["band"] * width : (r["band"] + 1) * width] = unpack(r["classes"], "<u2")
+    sent.unpersist()
+    return out
+
+
+def likelihood(m: np.ndarray) -> float:
+    """That of class bigrams m, without what no class changes."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1))
+
+
+def cluster(counted: DataFrame, first: np.ndarray, seed: np.ndarray, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the class of each unit, class bigrams). seed: each unit's own number below `seeds`, or its ending's if it is to move."""
+    many = max(CLASSES, math.ceil(CLASS_GROWTH * len(seed) ** (1 / 3)))
+    placed = exchange(bigrams(counted, first, seed, seeds), min(many, seeds), SWEEPS)
+    moving = np.flatnonzero((np.arange(len(seed)) >= FREQUENT) & (seed < FREQUENT))
+    n = many if len(moving) else int(placed.max()) + 1
+    classes = placed[seed].astype(np.uint16)
+    # A fourth of the moving units starts dealt over all classes, so none is empty and equal endings differ.
+    dealt = moving[::4]
+    classes[dealt] = np.arange(len(dealt)) % n
+    m = bigrams(counted, first, classes, n)
+    if not len(moving):
+        return classes, m
+    near, width = neighbours(counted, first, seed)
+    best = (likelihood(m), classes, m)
+    for k in range(ROUNDS):
+        after = moved(near, width, classes, m, k % 2)
+        classes, m = after, bigrams(counted, first, after, n)
+        best = max(best, (likelihood(m), classes, m), key=lambda x: x[0])
+    return best[1:]
+
+
 def exchange(table: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """The class of each unit; units change places while the class bigrams' likelihood grows."""
     n = len(table)
@@ -263,37 +371,41 @@ class Model:
     unknown: np.ndarray
 
 
-def fit(made: DataFrame, counted: DataFrame, shared: DataFrame, tokens: int, ends: int) -> tuple[Model, dict[int, int]]:
-    heads = shared.where("chunk IS NULL").select("counts", "units").collect()
-    frequent = sorted((u, c) for h in heads for u, c in zip(unpack(h["units"], "<i8").tolist(), unpack(h["counts"], "<i8").tolist(), strict=True))
-    place = {u: FREQUENT + i for i, (u, _) in enumerate(frequent)}
-    units = FREQUENT + len(frequent)
-    kinds, mass = np.zeros(units, np.int64), np.zeros(units, np.int64)
+def fit(counted: DataFrame, shared: DataFrame, tokens: int, ends: int) -> tuple[Model, np.ndarray]:
+    heads = {}
+    for h in shared.where("chunk IS NULL").select("places", "counts", "units").toLocalIterator():
+        heads[int(unpack(h["units"], "<i8")[0])] = unpack(h["places"], "<u1"), unpack(h["counts"], "<i8")
+    first = np.full(max(heads, default=0) + 1, FREQUENT)
+    seed, seeds, at = [np.arange(FREQUENT)], FREQUENT, FREQUENT
+    for part, (endings, often) in sorted(heads.items()):
+        first[part] = at
+        own = endings.astype(np.int64)
+        own[often] = seeds + np.arange(len(often))
+        seed.append(own)
+        seeds, at = seeds + len(often), at + len(own)
+    seed = np.concatenate(seed).astype(np.uint16)
+    kinds = np.ones(len(seed), np.int64)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, m = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+        k = np.zeros(ENDINGS, np.int64)
         for batch in batches:
-            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, m = k + unpack(a, "<i8"), m + unpack(b, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m)], ["kinds", "mass"])
+            for a in batch.column(0).to_pylist():
+                k = k + unpack(a, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(k)], ["kinds"])
 
-    # Sums of the endings' columns: 255 rows a partition, added up by Spark.
-    ends_sums = shared.where("chunk IS NULL").select("kinds", "mass").mapInArrow(add, "kinds long, mass long")
+    # Sums of the endings' column: 255 rows a partition, added up by Spark.
+    ends_sums = shared.where("chunk IS NULL").select("kinds").mapInArrow(add, "kinds long")
     ends_sums = ends_sums.withColumn("i", F.pmod(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), F.lit(ENDINGS)))
-    for r in ends_sums.groupBy("i").agg(F.sum("kinds").alias("k"), F.sum("mass").alias("m")).collect():
-        kinds[r["i"]], mass[r["i"]] = r["k"], r["m"]
-    kinds[END], mass[END] = min(ends, 1), ends
-    for i, (_, c) in enumerate(frequent):
-        kinds[FREQUENT + i], mass[FREQUENT + i] = 1, c
-    table = bigrams(counted, place, units)
-    classes = exchange(table, min(CLASSES, units), SWEEPS)
-    n = classes.max() + 1
-    member = np.eye(n, dtype=np.int64)[classes]
-    m = member.T @ table @ member
+    kinds[:ENDINGS] = 0
+    for r in ends_sums.groupBy("i").agg(F.sum("kinds").alias("k")).collect():
+        kinds[r["i"]] = r["k"]
+    kinds[END] = min(ends, 1)
+    classes, m = cluster(counted, first, seed, seeds)
+    n = len(m)
     share = (m.sum(axis=0) + 1) / (m.sum() + n)
     step = (m + PRIOR * share) / (m.sum(axis=1, keepdims=True) + PRIOR)
     open_ = np.bincount(classes[:ENDINGS], minlength=n)
-    return Model(tokens, int(kinds.sum()), ends, classes, step, np.bincount(classes, kinds, n), np.bincount(classes, mass, n), open_ / open_.sum()), place
+    return Model(tokens, int(kinds.sum()), ends, classes, step, np.bincount(classes, kinds, n), m.sum(axis=0), open_ / open_.sum()), first
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -305,14 +417,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     tokens, ends = made.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
     shared = vocabulary(made, tokens)
     counted = with_counts(made, shared)
-    model, place = fit(made, counted, shared, tokens, ends)
-    sent = docs.sparkSession.sparkContext.broadcast((model, place))
+    model, first = fit(counted, shared, tokens, ends)
+    sent = docs.sparkSession.sparkContext.broadcast((model, first))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, place = sent.value
+        m, first = sent.value
         whole = m.tokens + 0.5 * (m.distinct + 1)
         for row in rows(batches):
-            _, limits, codes, counts, units = _opened(row, place)
+            _, limits, codes, counts, units = _opened(row, first)
             n = len(limits) - 1
             # The end token comes last among the words.
             counts, units = np.append(counts, m.ends), np.append(units, END)

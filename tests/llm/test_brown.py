@@ -69,3 +69,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = brown.score(odd_docs, F.lit(False)).collect()
     assert {r["n_known"] for r in none} == {0} and all(math.isfinite(r["score"]) for r in none)
     assert brown.score(no_docs, F.lit(True)).collect() == []
+
+
+def test_rare_words_get_classes_from_their_contexts(spark):
+    """Words below 1/500 of the tokens, of two families that take turns; endings tell little of the family."""
+    r = np.random.default_rng(3)
+    family = [[f"{f}{i}q{'xa' if (i % 10 < 7) == (f == 'm') else 'yo'}" for i in range(600)] for f in "mn"]
+
+    def text(n):
+        return " ".join(family[k % 2][r.integers(600)] for k in range(n))
+
+    rows = [(i, text(200), True) for i in range(200)] + [(1000 + i, text(200), False) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = [x for x in brown.score(docs, F.col("learn")).collect() if x["doc_id"] >= 1000]
+    gain = sum(x["score"] - x["base_score"] for x in got) / sum(x["n_tokens"] for x in got)
+    assert gain > 0.8 * math.log10(2)  # which family comes next is known
+
+
+def test_better_class_of_a_unit():
+    seen = [brown.pack(np.array([[0, 0, 1], [4, 4, 4], [5, 5, 5]], np.uint32))]
+    m = np.array([[1, 900, 1], [1, 1, 900], [900, 1, 1]])
+    # Units between classes 0 and 2 belong to class 1.
+    assert brown.better(seen, np.array([0, 2]), np.array([0, 0, 0, 0, 0, 2]), m).tolist() == [1, 1]
