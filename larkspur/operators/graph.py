@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,15 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, node, depth: what each root reaches over (src, dst), with the least number of steps.
 
     Breadth first: a level is joined with the edges once and what is known already
-    leaves by anti-join, so cycles end.
+    leaves by anti-join, so cycles end. Without max_depth it goes on until no level has a new node.
     """
     edges = edges.select("src", "dst").distinct()
     known = frontier = _cut(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = _cut(step.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -47,14 +49,15 @@ def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct() if free.isEmpty() else free
 
 
-def proof_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
+def proof_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """target, hops, path: a shortest path from any root to each target, the least by its text.
 
-    Each node keeps one path, so a level holds as many rows as it has new nodes.
+    Each node keeps one path, so a level holds as many rows as it has new nodes. Without
+    max_depth it goes on until no level has any.
     """
     edges = edges.select("src", "dst").distinct()
     known = frontier = _cut(roots.select("node").distinct().withColumn("path", F.array(F.col("node").cast("string"))))
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst").cast("string")).alias("path"))
         frontier = _cut(step.groupBy("node").agg(F.min("path").alias("path")).join(known, "node", "left_anti"))
         if frontier.isEmpty():

@@ -112,12 +112,14 @@ def roots(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_partkey % 250 = 7").select(F.col("p_partkey").alias("node"))
 
 
+#: Levels of the dependency closure.
+DEPTH = 6
 CLOSURE = f"WITH RECURSIVE {EDGES}, {ROOTS}, walk AS (SELECT node AS root, node, 0 AS depth FROM roots UNION SELECT root, dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 6), reached AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL)"
 
 
 @query("q20_dependency_closure", CLOSURE + " SELECT root, node, depth FROM reached")
 def q20(spark, sf_dir):
-    return graph.closure(edges(spark, sf_dir), roots(spark, sf_dir))
+    return graph.closure(edges(spark, sf_dir), roots(spark, sf_dir), DEPTH)
 
 
 @query(
@@ -127,7 +129,7 @@ def q20(spark, sf_dir):
 )
 def q20b(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return graph.merged_dependencies(e, graph.closure(e, roots(spark, sf_dir))).select("node", "depth", "is_direct", F.array_join("required_by", ",").alias("required_by"))
+    return graph.merged_dependencies(e, graph.closure(e, roots(spark, sf_dir), DEPTH)).select("node", "depth", "is_direct", F.array_join("required_by", ",").alias("required_by"))
 
 
 @query("q21_entry_points", f"WITH {EDGES} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)")
@@ -142,12 +144,26 @@ def q21(spark, sf_dir):
     "SELECT node AS target, (len(path) - 1)::INT AS hops, array_to_string(path, ' > ') AS path FROM best WHERE n = 1 AND node % 3 = 1",
 )
 def q22(spark, sf_dir):
+    targets = table(spark, sf_dir, "part").where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("node"))
+    return graph.proof_paths(edges(spark, sf_dir), roots(spark, sf_dir), targets, DEPTH)
+
+
+@query("q22b_whole_proof_paths")
+def q22b(spark, sf_dir):
+    """Of any length, where q22 stops at DEPTH."""
     targets = table(spark, sf_dir, "part").where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("node"))
     return graph.proof_paths(edges(spark, sf_dir), roots(spark, sf_dir), targets)
 
 
 @query("q23_reachable_set", CLOSURE + " SELECT node, count(*) AS roots, min(depth) AS nearest FROM reached GROUP BY node")
 def q23(spark, sf_dir):
+    reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir), DEPTH)
+    return reached.groupBy("node").agg(F.count(F.lit(1)).alias("roots"), F.min("depth").alias("nearest"))
+
+
+@query("q23b_whole_reachable_set")
+def q23b(spark, sf_dir):
+    """At any depth, where q23 stops at DEPTH."""
     reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir))
     return reached.groupBy("node").agg(F.count(F.lit(1)).alias("roots"), F.min("depth").alias("nearest"))
 
@@ -158,27 +174,52 @@ _VERDICT = (
 )
 
 
-def verdicts(spark, sf_dir) -> DataFrame:
-    reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir)).select(F.col("node").alias("package")).distinct()
+#: The same over the nodes at any depth.
+_WHOLE_VERDICT = f"WITH RECURSIVE {EDGES}, {ROOTS}, reached AS (SELECT node FROM roots UNION SELECT dst FROM reached JOIN edges ON src = node)" + _VERDICT.removeprefix(CLOSURE)
+
+
+def verdicts(spark, sf_dir, max_depth: int | None = None) -> DataFrame:
+    reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir), max_depth).select(F.col("node").alias("package")).distinct()
     part = table(spark, sf_dir, "part")
     f = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), F.expr("CASE WHEN l_linenumber % 4 = 0 THEN array() ELSE array(concat('s', l_linenumber % 3)) END").cast("array<string>").alias("symbols"))
     called = part.select(F.col("p_partkey").alias("package"), F.expr("concat('s', p_partkey % 3)").alias("symbol"))
     return vulns.reachability(f, part.where("p_partkey % 10 <> 9").select(F.col("p_partkey").alias("package")), reached, called)
 
 
-@query("q24_reachability_verdict", _VERDICT + " SELECT l_orderkey, l_linenumber, l_partkey, verdict, CASE verdict WHEN 'not_analysed' THEN 'none' WHEN 'assumed_reachable' THEN 'low' WHEN 'symbol_not_called' THEN 'medium' ELSE 'high' END AS confidence FROM v")
-def q24(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("package").alias("l_partkey"), "verdict", "confidence")
+_CONFIDENCE = " SELECT l_orderkey, l_linenumber, l_partkey, verdict, CASE verdict WHEN 'not_analysed' THEN 'none' WHEN 'assumed_reachable' THEN 'low' WHEN 'symbol_not_called' THEN 'medium' ELSE 'high' END AS confidence FROM v"
+_EXPOSURE = " SELECT CASE WHEN l_linenumber = 1 AND l_partkey % 7 = 0 THEN 'install_time' WHEN verdict = 'not_analysed' THEN 'unknown' WHEN verdict = 'not_imported' THEN 'not_imported' WHEN l_linenumber = 2 THEN 'import_time' WHEN verdict = 'reachable' THEN 'call_reachable' ELSE 'not_called' END AS exposure, count(*) AS flows FROM v GROUP BY 1"
 
 
-@query(
-    "q25_exposure",
-    _VERDICT + " SELECT CASE WHEN l_linenumber = 1 AND l_partkey % 7 = 0 THEN 'install_time' WHEN verdict = 'not_analysed' THEN 'unknown' WHEN verdict = 'not_imported' THEN 'not_imported' WHEN l_linenumber = 2 THEN 'import_time' WHEN verdict = 'reachable' THEN 'call_reachable' ELSE 'not_called' END AS exposure, count(*) AS flows FROM v GROUP BY 1",
-)
-def q25(spark, sf_dir):
+def confidence(found: DataFrame) -> DataFrame:
+    return found.select("l_orderkey", "l_linenumber", F.col("package").alias("l_partkey"), "verdict", "confidence")
+
+
+def exposures(found: DataFrame) -> DataFrame:
     v = F.col("verdict")
     e = vulns.exposure((F.col("l_linenumber") == 1) & (F.col("package") % 7 == 0), v != "not_analysed", v != "not_imported", F.col("l_linenumber") == 2, v == "reachable")
-    return verdicts(spark, sf_dir).groupBy(e.alias("exposure")).agg(F.count(F.lit(1)).alias("flows"))
+    return found.groupBy(e.alias("exposure")).agg(F.count(F.lit(1)).alias("flows"))
+
+
+@query("q24_reachability_verdict", _VERDICT + _CONFIDENCE)
+def q24(spark, sf_dir):
+    return confidence(verdicts(spark, sf_dir, DEPTH))
+
+
+@query("q24b_whole_verdict", _WHOLE_VERDICT + _CONFIDENCE)
+def q24b(spark, sf_dir):
+    """With what is reached at any depth."""
+    return confidence(verdicts(spark, sf_dir))
+
+
+@query("q25_exposure", _VERDICT + _EXPOSURE)
+def q25(spark, sf_dir):
+    return exposures(verdicts(spark, sf_dir, DEPTH))
+
+
+@query("q25b_whole_exposure", _WHOLE_VERDICT + _EXPOSURE)
+def q25b(spark, sf_dir):
+    """With what is reached at any depth."""
+    return exposures(verdicts(spark, sf_dir))
 
 
 _SIDE = "SELECT doc_id // 2 AS path, sha256(coalesce(text, '')) AS sha256, n_chars AS size FROM documents WHERE doc_id % 2 = {} AND doc_id % 7 <> {}"

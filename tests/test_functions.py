@@ -242,3 +242,13 @@ def test_prefilter_changes_nothing(spark):
     for family in (P.SENSITIVE_PATHS, P.CRYPTO_WALLETS, P.PERSISTENCE, P.ENDPOINTS, P.REVERSE_SHELLS, P.HOST_RECON):
         plain = F.col("t").rlike("(?i)" + "|".join(f"({p})" for p, _ in family))
         assert df.where(T.holds_any(F.col("t"), family) != plain).collect() == []
+
+
+def test_closure_and_paths_beyond_six_steps(spark):
+    """A chain of twelve that ends in a cycle."""
+    chain = [(i, i + 1) for i in range(12)] + [(12, 3)]
+    e, r = spark.createDataFrame(chain, "src long, dst long"), spark.createDataFrame([(0,)], "node long")
+    assert {(x["node"], x["depth"]) for x in graph.closure(e, r).collect()} == {(i, i) for i in range(13)}
+    assert {x["node"] for x in graph.closure(e, r, 6).collect()} == set(range(7))
+    paths = {x["target"]: x["path"] for x in graph.proof_paths(e, r, e.selectExpr("dst AS node")).collect()}
+    assert paths == {i: " > ".join(map(str, range(i + 1))) for i in range(1, 13)}
