@@ -53,12 +53,25 @@ def findings(spark, sf_dir) -> DataFrame:
     f"WITH {FINDINGS} SELECT f.package, f.id, p_name AS name, o_orderstatus AS status FROM findings f JOIN part ON package = concat('pkg', p_partkey) JOIN orders ON o_orderkey = ord // 8 WHERE severity = 'CRITICAL'",
 )
 def q26(spark, sf_dir):
-    f = findings(spark, sf_dir).where("severity = 'CRITICAL'").withColumn("order_key", F.expr("ord div 8"))
+    return advisory_join(spark, sf_dir, findings(spark, sf_dir).where("severity = 'CRITICAL'"))
+
+
+def advisory_join(spark, sf_dir, found: DataFrame) -> DataFrame:
+    f = found.withColumn("order_key", F.expr("ord div 8"))
     part = table(spark, sf_dir, "part").select(F.expr("concat('pkg', p_partkey)").alias("package"), F.col("p_name").alias("name"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
     return f.join(part, "package").join(orders, "order_key").select("package", "id", "name", "status")
 
 
+@query(
+    "q26b_whole_advisory_join",
+    f"WITH {FINDINGS} SELECT f.package, f.id, p_name AS name, o_orderstatus AS status FROM findings f JOIN part ON package = concat('pkg', p_partkey) JOIN orders ON o_orderkey = ord // 8",
+)
+def q26b(spark, sf_dir):
+    """All findings, where q26 takes the critical ones."""
+    return advisory_join(spark, sf_dir, findings(spark, sf_dir))
+
+
 @query(
     "q27_advisory_dedupe",
     f"""WITH {FINDINGS}, r AS (SELECT *, coalesce(cve, id) AS cve_or_id, {RANK} AS rank FROM findings),
@@ -150,8 +163,8 @@ def q22(spark, sf_dir):
 
 @query("q22b_whole_proof_paths")
 def q22b(spark, sf_dir):
-    """Of any length, where q22 stops at DEPTH."""
-    targets = table(spark, sf_dir, "part").where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("node"))
+    """To all parts and of any length, where q22 takes a third and stops at DEPTH."""
+    targets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return graph.proof_paths(edges(spark, sf_dir), roots(spark, sf_dir), targets)
 
 
@@ -174,14 +187,14 @@ _VERDICT = (
 )
 
 
-#: The same over the nodes at any depth.
-_WHOLE_VERDICT = f"WITH RECURSIVE {EDGES}, {ROOTS}, reached AS (SELECT node FROM roots UNION SELECT dst FROM reached JOIN edges ON src = node)" + _VERDICT.removeprefix(CLOSURE)
+#: The same for all lines, over the nodes at any depth.
+_WHOLE_VERDICT = f"WITH RECURSIVE {EDGES}, {ROOTS}, reached AS (SELECT node FROM roots UNION SELECT dst FROM reached JOIN edges ON src = node)" + _VERDICT.removeprefix(CLOSURE).replace(" WHERE l_linenumber <= 4", "")
 
 
-def verdicts(spark, sf_dir, max_depth: int | None = None) -> DataFrame:
+def verdicts(spark, sf_dir, lines: DataFrame, max_depth: int | None = None) -> DataFrame:
     reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir), max_depth).select(F.col("node").alias("package")).distinct()
     part = table(spark, sf_dir, "part")
-    f = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), F.expr("CASE WHEN l_linenumber % 4 = 0 THEN array() ELSE array(concat('s', l_linenumber % 3)) END").cast("array<string>").alias("symbols"))
+    f = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), F.expr("CASE WHEN l_linenumber % 4 = 0 THEN array() ELSE array(concat('s', l_linenumber % 3)) END").cast("array<string>").alias("symbols"))
     called = part.select(F.col("p_partkey").alias("package"), F.expr("concat('s', p_partkey % 3)").alias("symbol"))
     return vulns.reachability(f, part.where("p_partkey % 10 <> 9").select(F.col("p_partkey").alias("package")), reached, called)
 
@@ -202,24 +215,24 @@ def exposures(found: DataFrame) -> DataFrame:
 
 @query("q24_reachability_verdict", _VERDICT + _CONFIDENCE)
 def q24(spark, sf_dir):
-    return confidence(verdicts(spark, sf_dir, DEPTH))
+    return confidence(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber <= 4"), DEPTH))
 
 
 @query("q24b_whole_verdict", _WHOLE_VERDICT + _CONFIDENCE)
 def q24b(spark, sf_dir):
-    """With what is reached at any depth."""
-    return confidence(verdicts(spark, sf_dir))
+    """For all lines, with what is reached at any depth."""
+    return confidence(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem")))
 
 
 @query("q25_exposure", _VERDICT + _EXPOSURE)
 def q25(spark, sf_dir):
-    return exposures(verdicts(spark, sf_dir, DEPTH))
+    return exposures(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber <= 4"), DEPTH))
 
 
 @query("q25b_whole_exposure", _WHOLE_VERDICT + _EXPOSURE)
 def q25b(spark, sf_dir):
-    """With what is reached at any depth."""
-    return exposures(verdicts(spark, sf_dir))
+    """For all lines, with what is reached at any depth."""
+    return exposures(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem")))
 
 
 _SIDE = "SELECT doc_id // 2 AS path, sha256(coalesce(text, '')) AS sha256, n_chars AS size FROM documents WHERE doc_id % 2 = {} AND doc_id % 7 <> {}"

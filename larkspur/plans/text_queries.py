@@ -329,8 +329,22 @@ def q18(spark, sf_dir):
     "UNION ALL SELECT * FROM (VALUES ('web', 'react', '^18.0.0', 'runtime'), ('web', '@babel/core', '7.x', 'runtime'), ('web', 'jest', '^29', 'dev'), ('web', 'vue', '>=3', 'warning'))",
 )
 def q19(spark, sf_dir):
+    return manifest_json(spark, table(spark, sf_dir, "events").where("event_id % 10 = 0"))
+
+
+@query(
+    "q19b_whole_manifest_json",
+    "SELECT 'event' AS project, 'k' AS name, json_extract_string(props, '$.k') AS spec, event_type AS kind FROM events "
+    "UNION ALL SELECT * FROM (VALUES ('web', 'react', '^18.0.0', 'runtime'), ('web', '@babel/core', '7.x', 'runtime'), ('web', 'jest', '^29', 'dev'), ('web', 'vue', '>=3', 'warning'))",
+)
+def q19b(spark, sf_dir):
+    """All events, where q19 takes a tenth."""
+    return manifest_json(spark, table(spark, sf_dir, "events"))
+
+
+def manifest_json(spark, rows: DataFrame) -> DataFrame:
     inline = manifests.package_json(X.table(spark, X.PACKAGE_FILES, "project, text"))
-    events = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.lit("event").alias("project"), F.explode(F.from_json("props", "map<string,string>")).alias("name", "spec"), F.col("event_type").alias("kind"))
+    events = rows.select(F.lit("event").alias("project"), F.explode(F.from_json("props", "map<string,string>")).alias("name", "spec"), F.col("event_type").alias("kind"))
     return events.unionByName(inline)
 
 

@@ -252,3 +252,14 @@ def test_closure_and_paths_beyond_six_steps(spark):
     assert {x["node"] for x in graph.closure(e, r, 6).collect()} == set(range(7))
     paths = {x["target"]: x["path"] for x in graph.proof_paths(e, r, e.selectExpr("dst AS node")).collect()}
     assert paths == {i: " > ".join(map(str, range(i + 1))) for i in range(1, 13)}
+
+
+def test_whole_queries_cover_their_tables(spark):
+    from larkspur.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("lineitem", "events")}
+    got = {k: catalogue.QUERIES[k](spark, sf) for k in ("q19b_whole_manifest_json", "q24b_whole_verdict", "q25b_whole_exposure", "q26b_whole_advisory_join")}
+    assert got["q19b_whole_manifest_json"].where("project = 'event'").count() == n["events"]
+    assert got["q24b_whole_verdict"].count() == got["q25b_whole_exposure"].selectExpr("sum(flows)").first()[0] == n["lineitem"]
+    assert got["q26b_whole_advisory_join"].count() == n["lineitem"]
