@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 
-#: Sources above this are not looked at.
-MAX_CHARS = 1_000_000
+#: So much of a literal is looked at.
+LITERAL = 4000
 # Modules whose use is a signal.
 PROCESS = ["child_process"]
 NETWORK = ["http", "https", "net", "dgram", "axios", "node-fetch", "request", "got", "undici"]
@@ -24,13 +24,21 @@ _REQUIRE = r"""(?:require\s*\(\s*|import\s+(?:[^'"()]*?\s+from\s+)?|import\s*\(\
 
 def imports(files: DataFrame) -> DataFrame:
     """path, specifier, package: packages are null for relative paths and node: modules."""
-    rows = files.where(F.char_length("source") <= MAX_CHARS).select("path", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(_REQUIRE), 1))).alias("specifier"))
+    rows = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(_REQUIRE), 1))).alias("specifier"))
     return rows.withColumn("package", T.package_of_specifier(F.col("specifier")))
 
 
 def literals(source: Column) -> Column:
-    """Quoted texts of four characters or more."""
-    return F.concat(F.regexp_extract_all(source, F.lit(r"'([^'\\\n]{4,4000})'"), 1), F.regexp_extract_all(source, F.lit(r'"([^"\\\n]{4,4000})"'), 1))
+    """The beginnings, LITERAL characters at most, of quoted texts of four characters or more."""
+    whole = F.concat(F.regexp_extract_all(source, F.lit(r"'([^'\\\n]{4,}+)'"), 1), F.regexp_extract_all(source, F.lit(r'"([^"\\\n]{4,}+)"'), 1))
+    return F.transform(whole, lambda x: F.substring(x, 1, LITERAL))
+
+
+def string_array(source: Column) -> Column:
+    """Whether 40 or more quoted texts stand in brackets. Each is marked first, as a repeated group would recurse."""
+    item = r"\s*['\"][^'\"]*['\"]\s*,?"
+    marked = F.regexp_replace(F.translate(source, "\x01", ""), rf"(\[){item}|\G(?!^){item}", "$1\x01")
+    return marked.rlike("\\[\x01{40,}\\]")
 
 
 def code_signals(files: DataFrame) -> DataFrame:
@@ -39,8 +47,7 @@ def code_signals(files: DataFrame) -> DataFrame:
     uses = lambda names: reduce(lambda a, b: a | b, [F.array_contains("specifiers", n) | F.array_contains("specifiers", f"node:{n}") for n in names])
     found = imports(files).groupBy("path").agg(F.collect_set("specifier").alias("specifiers"))
     none = F.array().cast("array<string>")
-    rows = files.where(F.char_length("source") <= MAX_CHARS).join(found, "path", "left").withColumn("specifiers", F.coalesce("specifiers", none))
-    arrays = F.regexp_extract_all(s, F.lit(r"(\[(?:\s*['\"][^'\"]*['\"]\s*,?){40,}\])"), 1)
+    rows = files.join(found, "path", "left").withColumn("specifiers", F.coalesce("specifiers", none))
     rules = {
         "DYNAMIC_EVAL": s.rlike(r"\beval\s*\(|new\s+Function\s*\(|set(?:Timeout|Interval)\s*\(\s*['\"]"),
         "DECODE_THEN_EXEC": s.rlike(r"(?:eval|Function)\s*\(\s*(?:atob|Buffer\.from|decodeURIComponent)\s*\("),
@@ -52,7 +59,7 @@ def code_signals(files: DataFrame) -> DataFrame:
         "ENV_ACCESS": s.rlike(r"\bprocess\.env\b"),
         "ENV_BULK_HARVEST": s.rlike(r"\bprocess\.env\s*(?:[,;)}\]]|$)"),
         "CHARCODE_OBFUSCATION": F.regexp_count(s, F.lit(r"fromCharCode\s*\(")) >= 5,
-        "STRING_ARRAY_DECODER": (F.size(arrays) > 0) & (T.minified(s) | s.rlike(r"\beval\s*\(|new\s+Function\s*\(")),
+        "STRING_ARRAY_DECODER": string_array(s) & (T.minified(s) | s.rlike(r"\beval\s*\(|new\s+Function\s*\(")),
         "SENSITIVE_PATH_ACCESS": F.exists(literals(s), lambda x: T.holds_any(x, P.SENSITIVE_PATHS)),
         "CRYPTO_WALLET_ACCESS": F.exists(literals(s), lambda x: T.holds_any(x, P.CRYPTO_WALLETS)),
         "SUSPICIOUS_ENDPOINT": F.exists(literals(s), lambda x: T.holds_any(x, P.ENDPOINTS)),

@@ -263,3 +263,18 @@ def test_whole_queries_cover_their_tables(spark):
     assert got["q19b_whole_manifest_json"].where("project = 'event'").count() == n["events"]
     assert got["q24b_whole_verdict"].count() == got["q25b_whole_exposure"].selectExpr("sum(flows)").first()[0] == n["lineitem"]
     assert got["q26b_whole_advisory_join"].count() == n["lineitem"]
+
+
+def test_javascript_signals_of_long_sources(spark):
+    """A bundle above a million characters, a payload above 4,000 and a long array of strings."""
+    from larkspur.sources import javascript
+
+    payload = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+="[i * i * 7 % 64 ^ i % 61] for i in range(9000))
+    array = "[" + ",".join(f"'s{i}'" for i in range(60_000)) + "]"
+    rows = [("payload.js", f"const p = '{payload}';"), ("long.js", "const a = 1;\n" * 100_000 + "require('child_process').exec(x)"), ("array.js", f"var a = {array}; eval(a[0])"), ("few.js", "var a = ['x', 'y']; eval(a[0])")]
+    files = spark.createDataFrame(rows, "path string, source string")
+    got = {}
+    for r in javascript.code_signals(files).collect():
+        got.setdefault(r["path"], set()).add(r["code"])
+    assert got == {"payload.js": {"HIGH_ENTROPY_STRING"}, "long.js": {"PROCESS_SPAWN", "SHELL_TRUE"}, "array.js": {"STRING_ARRAY_DECODER", "DYNAMIC_EVAL"}, "few.js": {"DYNAMIC_EVAL"}}
+    assert {r["path"]: r["specifier"] for r in javascript.imports(files).collect()} == {"long.js": "child_process"}
