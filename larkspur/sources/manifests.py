@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from collections.abc import Iterator
 
@@ -55,12 +56,39 @@ def lock_name(path: Column) -> Column:
 
 
 def package_lock(files: DataFrame) -> DataFrame:
-    """project, name, version, kind of every install path of a lock file, version 2 or 3; links are left out."""
+    """project, name, version, kind of every install path of a lock file; links are left out.
+
+    Versions 2 and 3 list paths in `packages`; without it, as in version 1, the nested
+    `dependencies` are read at any depth.
+    """
     entry = "struct<version:string,dev:boolean,devOptional:boolean,link:boolean>"
     packages = F.from_json("text", f"struct<packages:map<string,{entry}>>")["packages"]
     rows = files.select("project", F.explode(F.map_entries(packages)).alias("e")).where("e.key <> '' AND NOT coalesce(e.value.link, false)")
     dev = F.coalesce("e.value.dev", F.lit(False)) | F.coalesce("e.value.devOptional", F.lit(False))
-    return rows.select("project", lock_name(F.col("e.key")).alias("name"), F.col("e.value.version").alias("version"), F.when(dev, "dev").otherwise("locked").alias("kind")).distinct()
+    flat = rows.select("project", lock_name(F.col("e.key")).alias("name"), F.col("e.value.version").alias("version"), F.when(dev, "dev").otherwise("locked").alias("kind"))
+    nested = files.where(packages.isNull() | (F.size(packages) == 0)).select("project", "text").mapInPandas(_nested, "project string, name string, version string, kind string")
+    return flat.unionByName(nested).distinct()
+
+
+def _nested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of the `dependencies` trees; unreadable texts give none."""
+    for batch in batches:
+        out = []
+        for project, text in zip(batch["project"], batch["text"], strict=True):
+            try:
+                todo = [json.loads(text or "")]
+            except (ValueError, RecursionError):
+                continue
+            while todo:
+                node = todo.pop()
+                found = node.get("dependencies") if isinstance(node, dict) else None
+                for name, entry in found.items() if isinstance(found, dict) else ():
+                    if isinstance(entry, dict):
+                        version = entry.get("version")
+                        dev = entry.get("dev") is True or entry.get("devOptional") is True
+                        out.append((project, name, version if isinstance(version, str) else None, "dev" if dev else "locked"))
+                        todo.append(entry)
+        yield pd.DataFrame(out, columns=["project", "name", "version", "kind"], dtype=object)
 
 
 def pyproject(files: DataFrame) -> DataFrame:

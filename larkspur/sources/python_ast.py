@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import text as T
 
 SCHEMA = "path string, kind string, target string, scope string, line int, detail string"
 MODULE = "<module>"
@@ -171,7 +172,7 @@ def facts(files: DataFrame) -> DataFrame:
 
 
 def code_signals(found: DataFrame) -> DataFrame:
-    """path, code, line: signals of calls and flows, each once for a path, code and target."""
+    """path, code, line: signals of calls, flows and literals, each once for a path, code and target."""
     target, detail = F.col("target"), F.col("detail")
     setup = F.col("path").rlike(r"(^|/)setup\.py$") & (F.col("scope") == MODULE)
     is_in = lambda names: target.isin(names)
@@ -185,8 +186,16 @@ def code_signals(found: DataFrame) -> DataFrame:
         ("DYNAMIC_IMPORT", is_in(P.IMPORT_CALLS) & ~F.contains(detail, F.lit("literal"))),
         ("SETUP_PY_SIDE_EFFECTS", setup & (is_in(P.PROCESS_CALLS) | is_in(P.NETWORK_CALLS) | is_in(P.EXEC_CALLS))),
     ]
-    raised = F.when(F.col("kind") == "flow", F.array(F.lit("CONFIRMED_CREDENTIAL_EXFILTRATION"))).when(F.col("kind") == "call", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules])))
-    rows = found.where("kind IN ('call', 'flow')").select("path", F.explode(raised).alias("code"), "target", "line")
+    literals = [
+        ("SENSITIVE_PATH_ACCESS", T.holds_any(detail, P.SENSITIVE_PATHS)),
+        ("CRYPTO_WALLET_ACCESS", T.holds_any(detail, P.CRYPTO_WALLETS)),
+        ("SUSPICIOUS_ENDPOINT", T.holds_any(detail, P.ENDPOINTS)),
+        ("FILE_WRITE_SENSITIVE", T.holds_any(detail, P.PERSISTENCE)),
+        ("HIGH_ENTROPY_STRING", T.encoded_payload(detail)),
+    ]
+    codes = lambda some: F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in some]))
+    raised = F.when(F.col("kind") == "flow", F.array(F.lit("CONFIRMED_CREDENTIAL_EXFILTRATION"))).when(F.col("kind") == "call", codes(rules)).otherwise(codes(literals))
+    rows = found.where("kind IN ('call', 'flow', 'literal')").select("path", F.explode(raised).alias("code"), "target", "line")
     return rows.groupBy("path", "code", "target").agg(F.min("line").alias("line")).select("path", "code", "line")
 
 

@@ -278,3 +278,19 @@ def test_javascript_signals_of_long_sources(spark):
         got.setdefault(r["path"], set()).add(r["code"])
     assert got == {"payload.js": {"HIGH_ENTROPY_STRING"}, "long.js": {"PROCESS_SPAWN", "SHELL_TRUE"}, "array.js": {"STRING_ARRAY_DECODER", "DYNAMIC_EVAL"}, "few.js": {"DYNAMIC_EVAL"}}
     assert {r["path"]: r["specifier"] for r in javascript.imports(files).collect()} == {"long.js": "child_process"}
+
+
+def test_lock_file_of_version_1(spark):
+    text = '{"lockfileVersion":1,"dependencies":{"a":{"version":"1.0.0","requires":{"b":"^2"},"dependencies":{"@s/b":{"version":"2.0.0","dev":true,"dependencies":{"c":{"version":"3.0.0"}}}}}}}'
+    rows = [("p", text), ("q", "no json"), ("r", None), ("s", "{}")]
+    got = {tuple(r) for r in manifests.package_lock(spark.createDataFrame(rows, "project string, text string")).collect()}
+    assert got == {("p", "a", "1.0.0", "locked"), ("p", "@s/b", "2.0.0", "dev"), ("p", "c", "3.0.0", "locked")}
+
+
+def test_python_literals(spark):
+    from larkspur.sources import python_ast
+
+    payload = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+="[i * i * 7 % 64 ^ i % 61] for i in range(9000))
+    rows = [("a.py", f"x = 1\np = '{payload}'\n"), ("b.py", "u = 'https://webhook.site/x'"), ("c.py", "v = 'plain'")]
+    got = {tuple(r) for r in python_ast.code_signals(python_ast.facts(spark.createDataFrame(rows, "path string, source string"))).collect()}
+    assert got == {("a.py", "HIGH_ENTROPY_STRING", 2), ("b.py", "SUSPICIOUS_ENDPOINT", 1)}
