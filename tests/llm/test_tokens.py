@@ -88,13 +88,52 @@ def test_token_files_round_trip(spark, sf, library):
         start += len(ids)
 
 
+@pytest.mark.parametrize(("shards", "file_tokens"), [(1, 1 << 24), (5, 3000), (40, 1)])
+def test_starts_over_many_batches_and_files(spark, sf, library, monkeypatch, shards, file_tokens):
+    """Documents in no order over seven partitions, small parts of batches, files with few documents."""
+    monkeypatch.setattr(token_files, "INDEX_ROWS", 3)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        folder = token_files.new_folder(spark)
+        done = token_files.write_tokens(docs, folder, queries.tokenizer(), width=32, shards=shards, file_tokens=file_tokens)
+        got = {r["doc_id"]: r for r in token_files.read_tokens(spark, folder, done).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    start = 0
+    for d, ids in whole_ids(library, sorted(rows), 2).items():
+        assert (got[d]["start"], got[d]["n_tokens"], bytes(got[d]["ids"])) == (start, len(ids), ids.tobytes())
+        start += len(ids)
+    assert done.groupBy("shard").count().count() <= shards
+    assert done.select("shard", "file").distinct().count() >= max(1, shards // 2)
+
+
+def test_one_id_with_most_rows_is_spread(spark, library):
+    docs = spark.createDataFrame([(None if i % 2 else 5, f"text {i % 37}") for i in range(300)] + [(i, "x") for i in range(10)], "doc_id long, text string")
+    folder = token_files.new_folder(spark)
+    done = token_files.write_tokens(docs, folder, queries.tokenizer(), width=8, shards=12)
+    got = sorted(token_files.read_tokens(spark, folder, done).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert order == sorted(order) and len(order) == 310
+    assert done.where("doc_id = 5").select("shard").distinct().count() > 1
+
+
+def test_shard_of_keeps_the_order_of_ids():
+    limits = [3, 7, 7, 7, 9]
+    for a in range(12):
+        for b in range(a, 12):
+            assert a == b or max(token_files.shard_of(limits, a, s) for s in range(4)) <= min(token_files.shard_of(limits, b, s) for s in range(4))
+
+
 def test_token_files_odd_rows(spark, odd_docs, no_docs):
     folder = token_files.new_folder(spark)
     done = token_files.write_tokens(odd_docs, folder, queries.tokenizer(), width=64, shards=3)
     got = token_files.read_tokens(spark, folder, done).collect()
     assert len(got) == odd_docs.count() and {r["n_tokens"] for r in got if r["doc_id"] in (3, 4)} == {1}
-    table, _ = token_files.open_shard(folder, done.first()["shard"])
-    assert table.schema.field("ids").type.list_size == 64
+    table, _ = token_files.open_file(folder, done.first()["shard"])
+    assert table.read_all().schema.field("ids").type.list_size == 64
     empty = token_files.new_folder(spark)
     assert token_files.read_tokens(spark, empty, token_files.write_tokens(no_docs, empty, queries.tokenizer())).collect() == []
 
