@@ -39,6 +39,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, purpose: str) -> DataFrame:
+    """Write df once as a table bucketed by key in the shared folder: joins on key do not move it again."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    name = f"larkspur_{path.rsplit('/', 1)[-1].replace('-', '_')}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -76,7 +76,7 @@ def op9_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lempel_ziv_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(_table(spark, sf_dir, DOCUMENTS))
-    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+    return found.withColumns({"n_spans": F.size("spans"), "n_factors": F.size("factors")}).drop("spans", "factors")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
