@@ -48,6 +48,16 @@ def bucketed(df: DataFrame, key: str, buckets: int, purpose: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Bytes of text for each bucket of a table of chunks, about.
+BUCKET_BYTES = 64_000_000
+
+
+def buckets_for(docs: DataFrame, text_col: str) -> int:
+    """Buckets that the documents' text fills."""
+    size = docs.select(F.coalesce(F.sum(F.octet_length(text_of(text_col))), F.lit(0)).alias("n")).first()["n"]
+    return max(parts_of(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -63,6 +73,13 @@ def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n longs that hash partitioning into n partitions deals out one to each."""
+    tried = spark.range(16 * n + 64).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    key = {r["p"]: r["id"] for r in tried.groupBy("p").agg(F.min("id").alias("id")).toLocalIterator()}
+    return [key.get(p, -1 - p) for p in range(n)]
+
+
 def doc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids fall in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")

@@ -39,28 +39,30 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, parts_of, text_of, written
-from .words import pack, parts, rows, tokens, unpack
+from .common import bucketed, buckets_for, parts_of, text_of, written
+from .words import joined, pack, packed_words, parts, rows, tokens, unpack, unpacked_words, word_hashes
 
 WIDTH, SEED = 13, 5
 #: Words fetched behind the windows that share a reference place.
 LOOK = 32
 NO_ID = np.iinfo(np.int64).max
 _B, _C = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-#: Words of the corpus for each deal of the index, and bytes of text for each bucket of chunks, about.
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 4_000_000
+#: Words of the corpus for each deal of the index, about.
 DEAL_WORDS = 8_000_000
-BUCKET_BYTES = 64_000_000
-CHUNK = "chunk long, n long, doc_ids array<long>, limits binary, codes binary, words array<string>"
+CHUNK = "chunk long, n long, doc_ids array<long>, limits binary, codes binary, words binary"
 SEEDS = "chunk long, deal long, hashes binary"
 WINDOWS = f"{SEEDS}, checks binary, least binary, at binary"
 BITS = "chunk long, deal long, bits binary"
 PLACES = f"{BITS}, sources binary, at binary"
 ASKED = "chunk long, asker long, start binary, size binary, source binary, at binary"
-SENT = "chunk long, source long, start binary, size binary, doc_ids array<long>, offsets binary, codes binary, words array<string>"
+SENT = "chunk long, source long, start binary, size binary, doc_ids array<long>, offsets binary, codes binary, words binary"
 RESULT = (
     "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, "
     "factors array<struct<start:long,length:long,source_doc:long,source_start:long>>"
@@ -72,7 +74,7 @@ def _names(schema: str) -> list[str]:
 
 
 def _row(schema: str, *cells: object) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     cols = [pa.array([c], kinds[x.split()[1]]) for c, x in zip(cells, schema.split(", "), strict=True)]
     return pa.RecordBatch.from_arrays(cols, _names(schema))
 
@@ -92,20 +94,18 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
-        for part in parts(batches):
+        for part in parts(batches, size=CHUNK_BYTES):
             owner, codes, words = tokens(part.column(1))
             limits = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
             # Frequent words get small numbers, which pack well.
             order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
             number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words), dtype=np.uint32)
-            yield _row(CHUNK, at, len(codes), part.column(0).to_pylist(), pack(limits), _planes(number[codes]), words.take(pa.array(order)).to_pylist())
+            yield _row(CHUNK, at, len(codes), part.column(0).to_pylist(), pack(limits), _planes(number[codes]), packed_words(words.take(pa.array(order))))
             at += 1
 
-    size = docs.select(F.coalesce(F.sum(F.octet_length(text_of(text_col))), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(parts_of(docs.sparkSession), -(-size // BUCKET_BYTES))
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return bucketed(rows_.mapInArrow(work, CHUNK), "chunk", buckets, "passages")
+    return bucketed(rows_.mapInArrow(work, CHUNK), "chunk", buckets_for(docs, text_col), "passages")
 
 
 def _run(h: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -150,7 +150,7 @@ class Text:
         self.doc_ids = np.array([NO_ID if d is None else d for d in self.ids], np.int64)
         self.limits = unpack(row["limits"], "<i8")
         self.codes = _flat(row["codes"], "<u4")
-        self.words: list[str] = row["words"]
+        self.words = unpacked_words(row["words"])
 
     def document_end(self, at: np.ndarray) -> np.ndarray:
         return self.limits[np.searchsorted(self.limits, at, "right")]
@@ -160,10 +160,7 @@ class Chunk(Text):
     """A chunk's windows: where they start, their documents, seeds and hashes."""
 
     def __init__(self, row: dict):
-        import xxhash
-
         super().__init__(row)
-        own = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.words), np.uint64, len(self.words))
         n = len(self.codes)
         owner = np.repeat(np.arange(len(self.doc_ids)), np.diff(self.limits))
         self.starts = np.flatnonzero(np.arange(n) + WIDTH <= self.limits[1:][owner]) if n >= WIDTH else np.empty(0, np.int64)
@@ -171,7 +168,7 @@ class Chunk(Text):
         self.seeds = self.hashes = np.empty(0, np.uint64)
         self.checks = np.empty(0, np.uint32)
         if len(self.starts):
-            hashes = _mixed(own)[self.codes]
+            hashes = word_hashes(self.words, 1)[self.codes]
             seeds = _mixed(_run(hashes, SEED, _B))
             least = seeds[: n - WIDTH + 1].copy()
             for k in range(1, WIDTH - SEED + 1):
@@ -180,7 +177,7 @@ class Chunk(Text):
             del seeds, least
             self.hashes = _mixed(_run(hashes, WIDTH, _B))[self.starts]
             del hashes
-            other = _run(_mixed(own * np.uint64(_C) + np.uint64(1))[self.codes], WIDTH, _C)
+            other = _run(word_hashes(self.words, 2)[self.codes], WIDTH, _C)
             self.checks = (_mixed(other)[self.starts] >> np.uint64(32)).astype(np.uint32)
         # Each seed once for each document that it runs through.
         turn = _changes(self.seeds, self.owner)
@@ -332,8 +329,8 @@ def _sent(t: Text, asker: int, start: np.ndarray, size: np.ndarray) -> pa.Record
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     used, codes = np.unique(t.codes[at], return_inverse=True)
     doc = np.searchsorted(t.limits, start, "right") - 1
-    ids, words = [t.ids[d] for d in doc.tolist()], [t.words[u] for u in used.tolist()]
-    return _row(SENT, asker, t.number, pack(start), pack(size), ids, pack(start - t.limits[doc]), _planes(codes.astype(np.uint32)), words)
+    ids = [t.ids[d] for d in doc.tolist()]
+    return _row(SENT, asker, t.number, pack(start), pack(size), ids, pack(start - t.limits[doc]), _planes(codes.astype(np.uint32)), packed_words(t.words.take(pa.array(used))))
 
 
 class Block:
@@ -387,11 +384,12 @@ def factors(t: Text, runs: dict[str, np.ndarray], blocks: dict[int, Block]) -> l
 def _parsed(t: Text, asked: dict | None, sent: list[dict]) -> pa.RecordBatch:
     found: list[tuple[int, int, int | None, int]] = []
     if asked:
-        number = {w: i for i, w in enumerate(t.words)} if sent else {}
+        theirs = [unpacked_words(s["words"]) for s in sent]
+        number = pc.index_in(pa.concat_arrays(theirs), value_set=t.words).fill_null(-1).to_numpy().astype(np.int64) if sent else np.empty(0, np.int64)
+        numbers = np.split(number, np.cumsum([len(w) for w in theirs])[:-1])
         n = np.diff(t.limits)
         blocks = {t.number: Block(t.limits[:-1][n > 0], n[n > 0], [d for d, k in zip(t.ids, n.tolist(), strict=True) if k], np.zeros(int((n > 0).sum()), np.int64), t.codes.astype(np.int64))}
-        for s in sent:
-            own = np.array([number.get(w, -1) for w in s["words"]], np.int64)
+        for s, own in zip(sent, numbers, strict=False):
             blocks[s["source"]] = Block(unpack(s["start"], "<i8"), unpack(s["size"], "<i8"), s["doc_ids"], unpack(s["offsets"], "<i8"), own[_flat(s["codes"], "<u4")])
         runs = {k: unpack(asked[k], "<i8") for k in ("start", "size", "source", "at")}
         found = factors(t, runs, blocks)
@@ -407,9 +405,11 @@ def _result(t: Text, found: list[tuple[int, int, int | None, int]]) -> pa.Record
     gone = np.cumsum(step)[:-1] > 0
     owner = np.repeat(np.arange(n), np.diff(t.limits))
     removed = np.bincount(owner, gone, n).astype(np.int64)
-    kept = list(map(t.words.__getitem__, t.codes[~gone].tolist()))
-    ends = np.cumsum(np.diff(t.limits) - removed).tolist()
-    digests = [hashlib.sha256(" ".join(kept[a:b]).encode("utf-8", "surrogatepass")).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
+    ends = np.concatenate([[0], np.cumsum(np.diff(t.limits) - removed)])
+    kept = joined(t.words.take(pa.array(t.codes[~gone])), ends)
+    edges = np.frombuffer(kept.buffers()[1], np.int64)[: n + 1].tolist()
+    text = memoryview(kept.buffers()[2] or b"")
+    digests = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(edges, edges[1:], strict=False)]
     first = np.flatnonzero(_changes(gone, owner)) if len(gone) else np.empty(0, np.int64)
     last = np.append(first[1:], len(gone))
     spans: list[list[dict]] = [[] for _ in range(n)]

@@ -72,6 +72,44 @@ def unpack(b: bytes, kind: str | type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def joined(words: pa.Array, limits: np.ndarray) -> pa.Array:
+    """For each stretch of words between limits, the words with a space between them."""
+    lists = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), words.cast(pa.large_string()))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+
+
+def packed_words(words: pa.Array) -> bytes:
+    """Words without white space, as one piece of bytes."""
+    whole = joined(words, np.array([0, len(words)]))
+    return zstandard.ZstdCompressor(level=1).compress(whole.buffers()[2] or b"")
+
+
+def unpacked_words(b: bytes) -> pa.Array:
+    text = zstandard.ZstdDecompressor().decompress(b)
+    if not text:
+        return pa.array([], pa.large_string())
+    one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
+    return pc.split_pattern(one, " ").flatten()
+
+
+def word_hashes(words: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit number for each word: a sum over its bytes of a byte's own number times a power that goes with its place."""
+    words = words.cast(pa.large_string())
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    sizes = np.diff(offsets)
+    table = np.random.default_rng(seed).integers(1, 1 << 64, 257, np.uint64)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    powers = np.multiply.accumulate(np.full(int(sizes.max(initial=0)) + 1, table[256] | np.uint64(1), np.uint64))
+    ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * powers[place], dtype=np.uint64)])[offsets - offsets[0]]
+    h = np.diff(ends) + powers[sizes]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
 class Memo:
     """A row of numbers for each word; `make` gives the rows of new words."""
 

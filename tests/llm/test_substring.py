@@ -94,7 +94,7 @@ def test_random_texts_of_few_words(spark, small_chunks):
 
 def test_words_decide_where_hashes_agree():
     text = substring.Text.__new__(substring.Text)
-    text.number, text.ids, text.words = 0, [9], [f"w{i}" for i in range(40)]
+    text.number, text.ids = 0, [9]
     text.limits, text.codes = np.array([0, 30]), np.arange(30, dtype=np.uint32)
     words = np.concatenate([np.arange(12), [99], np.arange(13, 40)])
     block = substring.Block(np.array([100]), np.array([40]), [4], np.array([3]), words)
