@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of, written
+from .common import even_keys, shared_dir, text_of, written
 from .tokens import encoder
 
 #: Rows of a batch in a file.
@@ -153,22 +153,23 @@ def shard_of(limits: list[int], key: int, spread: int) -> int:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, width: int = 2048, end_id: int = 2, shards: int | None = None, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents; returns shard, file, doc_id, local_start and n_tokens of each."""
     limits = range_limits(docs, id_col, text_col, shards)
+    homes = even_keys(docs.sparkSession, len(limits) + 1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = _kind(enc.vocabulary)
         for doc_ids, flat, cuts in enc.batches(batches):
-            rows: list[list] = [[], [], []]
+            rows: list[list] = [[], [], [], []]
             size = 0
             for key, a, b in zip(doc_ids, cuts.tolist(), cuts[1:].tolist(), strict=False):
                 packed = zlib.compress(np.append(flat[a:b], end_id).astype(kind).tobytes(), 1)
                 shard = shard_of(limits, NO_ID if key is None else key, zlib.crc32(packed))
-                for col, x in zip(rows, (shard, key, packed), strict=True):
+                for col, x in zip(rows, (homes[shard], shard, key, packed), strict=True):
                     col.append(x)
                 size += len(packed)
                 if size > SEND_BYTES:
                     yield _encoded(rows)
-                    rows, size = [[], [], []], 0
+                    rows, size = [[], [], [], []], 0
             yield _encoded(rows)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, width: int = 2048
 
     vocabulary = vocabulary_size(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    dealt = rows.mapInArrow(encode, "shard long, doc_id long, ids binary").repartition(len(limits) + 1, "shard")
+    dealt = rows.mapInArrow(encode, "home long, shard long, doc_id long, ids binary").repartition(len(homes), "home").drop("home")
     # The ids come last: what is equal in all three may change places.
     return written(dealt.sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(write, DOC_SCHEMA), "token-docs")
 
@@ -211,7 +212,7 @@ def vocabulary_size(tokenizer: str) -> int:
 
 
 def _encoded(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["shard", "doc_id", "ids"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())], ["home", "shard", "doc_id", "ids"])
 
 
 def _documents(folder: str, shard: int, number: int) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
