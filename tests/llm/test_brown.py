@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -51,15 +52,62 @@ def test_exchange_gains_likelihood():
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over all known words, the end and an unknown word for each class, after any word."""
-    texts = ["a b a c", "b c d", "a a", ""]
-    vocabulary = ["a", "b", "c", "d"]
-    probes = [f"a {w}" for w in vocabulary] + ["a"]
-    rows = [(i, t, True) for i, t in enumerate(texts)] + [(100 + i, t, False) for i, t in enumerate(probes)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
-    got = {r["doc_id"]: 10 ** r["score"] for r in brown.score(docs, F.col("learn")).collect()}
-    assert all(p > 0 for p in got.values())
-    assert sum(got[i] for i in range(100, 105)) < 1
+    """Over all known words, the end and one unknown word, after every class."""
+    texts = ["a b a c", "b c d", "a a", "", "e rare", "other b c"]
+    docs = spark.createDataFrame([(i, t, i != 5) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")
+    model, _, shared = brown.train_model(docs, F.col("learn"), floor=2)
+    known = Counter(w for t in texts[:5] for w in words(t))
+    classes = {r["word"]: (r["count"], r["class"]) for r in brown.word_classes(model, shared).collect()}
+    assert {w: c for w, (c, _) in classes.items()} == {w.decode(): c for w, c in known.items() if w is not None and c > 1}
+    rare = [c for w, c in known.items() if w is not None and c < 2]
+    counts = np.array([*[c for c, _ in classes.values()], *rare, 0, known[None]])
+    # A class of a unit by way of a unit that has it.
+    unit_of = {int(c): u for u, c in enumerate(model.classes.tolist())}
+    units = np.array([*[unit_of[k] for _, k in classes.values()], *[brown.RARE] * (len(rare) + 1), brown.END])
+    of, word, base = model.words(counts, units)
+    assert abs(base.sum() - 1) < 1e-9
+    for before in range(len(model.step)):
+        assert abs((model.step[before, of] * word).sum() - 1) < 1e-9
+
+
+def test_score_by_brute_force(spark):
+    """The score, worked out word by word from the classes and the training texts alone."""
+    r = random.Random(7)
+    texts = [" ".join(r.choice("the cat sat on a mat and some dog ran far".split()) for _ in range(r.randrange(30))) for _ in range(60)]
+    texts += ["The Cat SAT", "unseen words here", "the unseen cat", "", None, "once twice"]
+    docs = spark.createDataFrame([(i, t, i % 3 > 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    model, counted, shared = brown.train_model(docs, F.col("learn"), floor=10)
+    classes = {row["word"].encode(): row["class"] for row in brown.word_classes(model, shared).collect()}
+    assert 5 < len(classes) < 12
+    end, rare = int(model.classes[brown.END]), int(model.classes[brown.RARE])
+    of = lambda w: end if w is None else classes.get(w, rare)
+    count, pairs, mass, kinds = Counter(), Counter(), Counter(), Counter()
+    for i, t in enumerate(texts):
+        if i % 3 > 0:
+            before = end
+            for w in words(t):
+                count[w] += 1
+                pairs[before, of(w)] += 1
+                mass[of(w)] += 1
+                before = of(w)
+    for w in count:
+        kinds[of(w)] += 1
+    n, c, total = sum(count.values()), len(model.step), sum(mass.values())
+    out = Counter()
+    for (a, _), k in pairs.items():
+        out[a] += k
+
+    def p(before, w):
+        k = of(w)
+        step = (pairs[before, k] + brown.PRIOR * (mass[k] + 1) / (total + c)) / (out[before] + brown.PRIOR)
+        word = (count[w] + 0.5) / (mass[k] + 0.5 * (kinds[k] + (k == rare)))
+        return brown.MIX * step * word + (1 - brown.MIX) * (count[w] + 0.5) / (n + 0.5 * (len(count) + 1))
+
+    got = {row["doc_id"]: row["score"] for row in brown.scores(model, counted).collect()}
+    for i, t in enumerate(texts):
+        w = words(t)
+        want = sum(math.log10(p(of(a), b)) for a, b in zip([None, *w], w, strict=False))
+        assert abs(got[i] - want) < 1e-9 * max(1, abs(want)), t
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -87,7 +135,19 @@ def test_rare_words_get_classes_from_their_contexts(spark):
 
 
 def test_better_class_of_a_unit():
-    seen = [brown.pack(np.array([[0, 0, 1], [4, 4, 4], [5, 5, 5]], np.uint32))]
+    piece = brown.pack(np.array([[0, 0, 1], [4, 4, 4], [5, 5, 5]], np.uint32))
     m = np.array([[1, 900, 1], [1, 1, 900], [900, 1, 1]])
+    seen = brown.contexts(piece, np.array([0, 0, 0, 0, 0, 2]), 2, 3)
+    assert seen.tolist() == [[[0, 0, 2], [0, 0, 1]], [[2, 0, 0], [1, 0, 0]]]
     # Units between classes 0 and 2 belong to class 1.
-    assert brown.better(seen, np.array([0, 2]), np.array([0, 0, 0, 0, 0, 2]), m).tolist() == [1, 1]
+    assert brown.better(seen, np.array([0, 2]), m).tolist() == [1, 1]
+
+
+def test_rarer_words_than_the_vocabulary_takes_are_one_unit(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(1 + i % 40)), True) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    monkeypatch.setattr(brown, "VOCABULARY", 16)  # one word for each deal
+    model, counted, shared = brown.train_model(docs, F.col("learn"))
+    kept = brown.word_classes(model, shared).collect()
+    assert 0 < len(kept) <= 16 and all(r["count"] >= brown.FLOOR for r in kept)
+    assert all(math.isfinite(r["score"]) for r in brown.scores(model, counted).collect())
