@@ -63,6 +63,8 @@ RARE, END, FREQUENT = 0, 1, 2
 BAND = 4_096
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 4_000_000
+#: Tokens whose contexts are counted at once, about.
+COUNTED = 1_000_000
 #: Training tokens for each deal of the vocabulary, about.
 DEAL_TOKENS = 8_000_000
 
@@ -238,9 +240,9 @@ def neighbours(counted: DataFrame, first: np.ndarray, moving: np.ndarray, size:
     return written(pieces.sortWithinPartitions("band").select("band", "piece"), "lm-neighbours"), width
 
 
-def contexts(piece: bytes, label: np.ndarray, n: int, c: int) -> np.ndarray:
-    """(2, units, classes): how often each class stands after and before each unit of a band."""
-    unit, before, after = unpack(piece, "<u4").reshape(3, -1).astype(np.int64)
+def contexts(cells: np.ndarray, label: np.ndarray, n: int, c: int) -> np.ndarray:
+    """(2, units, classes): how often each class stands after and before each unit of a band. cells: units and those before and after."""
+    unit, before, after = cells.astype(np.int64)
     return np.stack([np.bincount(unit * c + label[x], minlength=n * c).reshape(n, c) for x in (after, before)])
 
 
@@ -269,8 +271,15 @@ def moved(near: DataFrame, width: int, classes: np.ndarray, moving: np.ndarray,
         label, _ = sent.value
         for band, group in groupby(rows(batches), key=lambda r: r["band"]):
             table = np.zeros((2, units(band, label), c), np.int64)
+            held, size = [], 0
             for row in group:
-                table += contexts(row["piece"], label, units(band, label), c)
+                held.append(unpack(row["piece"], "<u4").reshape(3, -1))
+                size += held[-1].shape[1]
+                if size > COUNTED:
+                    table += contexts(np.concatenate(held, axis=1), label, units(band, label), c)
+                    held, size = [], 0
+            if held:
+                table += contexts(np.concatenate(held, axis=1), label, units(band, label), c)
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([band], pa.int64()), pa.array([pack(np.diff(at, prepend=0).astype(np.uint32))]), pa.array([pack(table.ravel()[at].astype(np.uint64))])], ["band", "at", "counts"])
 

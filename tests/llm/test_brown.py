@@ -135,7 +135,7 @@ def test_rare_words_get_classes_from_their_contexts(spark):
 
 
 def test_better_class_of_a_unit():
-    piece = brown.pack(np.array([[0, 0, 1], [4, 4, 4], [5, 5, 5]], np.uint32))
+    piece = np.array([[0, 0, 1], [4, 4, 4], [5, 5, 5]], np.uint32)
     m = np.array([[1, 900, 1], [1, 1, 900], [900, 1, 1]])
     seen = brown.contexts(piece, np.array([0, 0, 0, 0, 0, 2]), 2, 3)
     assert seen.tolist() == [[[0, 0, 2], [0, 0, 1]], [[2, 0, 0], [1, 0, 0]]]
