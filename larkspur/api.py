@@ -2,35 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import patterns as P
-from .operators import diffs, names, signals
+from .functions import text as T
+from .operators import diffs, features, names, signals
 from .sources import javascript, manifests, python_ast
 
+# Files of a package that are analysed; suffixes by language.
+MAX_FILES = 3000
+PYTHON, SCRIPT = r"\.pyi?$", r"\.(js|mjs|cjs|jsx)$"
+_FILE = ["package", "path"]
 
-def analyse(files: DataFrame) -> DataFrame:
-    """All signals of packages' files: package, path, code. files: package, path, text.
 
-    Vendored, test and documentation paths and files above 2 MiB are left out.
+def sources(files: DataFrame) -> DataFrame:
+    """The files that are analysed: of a known language, not below vendored, test or documentation folders, not too large.
+
+    Of a package with more than MAX_FILES of them the first ones by path.
     """
-    kept = files.where(~F.lower("path").rlike(P.SKIPPED_PATH) & (F.char_length("text") <= 2 << 20))
-    keyed = kept.withColumn("key", F.concat_ws("\u0001", "package", "path"))
-    text = signals.scan(keyed, "package", "path", "text")
-    python = python_ast.code_signals(python_ast.facts(keyed.where(F.lower("path").rlike(r"\.pyi?$")).select(F.col("key").alias("path"), F.col("text").alias("source"))))
-    script = javascript.code_signals(keyed.where(F.lower("path").rlike(r"\.(js|mjs|cjs|jsx)$")).select(F.col("key").alias("path"), F.col("text").alias("source")))
-    parts = lambda df: df.select(F.split("path", "\u0001")[0].alias("package"), F.split("path", "\u0001")[1].alias("path"), "code")
-    return text.unionByName(parts(python)).unionByName(parts(script)).distinct()
-
-
-def score(files: DataFrame, candidates: DataFrame | None = None, popular: DataFrame | None = None) -> DataFrame:
-    """package, score, verdict of every package, look-alike names included where name tables are given."""
-    raised = analyse(files)
+    path = F.lower("path")
+    language = F.when(path.rlike(PYTHON), "python").when(path.rlike(SCRIPT), "javascript")
+    kept = files.withColumn("language", language).where(features.is_source())
+    by = Window.partitionBy("package").orderBy("path")
+    return kept.withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= MAX_FILES).drop("__place")
+
+
+def install_files(files: DataFrame, hooks: DataFrame | None) -> DataFrame:
+    """package, path of the files that run at installation: setup.py, and scripts that a lifecycle command names by path or by name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    setup = files.where(name == "setup.py").select(*_FILE)
+    if hooks is None:
+        return setup
+    said = F.transform(F.regexp_extract_all("command", F.lit(r"([\w./\\-]+\.(?:js|cjs|mjs))\b"), 1), lambda x: F.translate(F.regexp_replace(x, r"^[./]+", ""), "\\", "/"))
+    named = hooks.select("package", F.explode(said).alias("said")).distinct()
+    scripts = files.select(*_FILE, F.explode(F.array_distinct(F.array("path", name))).alias("said")).join(named, ["package", "said"]).select(*_FILE)
+    return setup.unionByName(scripts).distinct()
+
+
+def analyse(files: DataFrame, hooks: DataFrame | None = None, metadata: DataFrame | None = None, candidates: DataFrame | None = None, popular: DataFrame | None = None) -> DataFrame:
+    """All signals of packages: package, path, code, key, line; one row for each that counts.
+
+    files: package, path, text; hooks: package, command of a lifecycle hook; metadata:
+    package, repository_url, age_days, version_count, description; candidates and
+    popular: names for look-alikes. Calls, literals and flows come from the syntax,
+    so comments raise nothing; what a whole file shows comes from its text.
+    """
+    kept = sources(files)
+    keyed = kept.select(F.concat_ws("\u0001", *_FILE).alias("path"), F.col("text").alias("source"), "language")
+    whole = keyed.select("path", F.explode(signals.file_codes(F.col("source"), F.col("language") == "python")).alias("c"), F.lit(0).alias("line"))
+    found = python_ast.code_signals(python_ast.facts(keyed.where("language = 'python'")))
+    found = found.unionByName(javascript.code_signals(keyed.where("language = 'javascript'"))).unionByName(signals.once(whole))
+    parts = F.split("path", "\u0001")
+    found = found.select(parts[0].alias("package"), parts[1].alias("path"), "code", "key", "line")
+    both = signals.composites(found, install_files(kept, hooks), _FILE)
+    out = found.unionByName(both.select(*_FILE, "code", F.lit("").alias("key"), F.lit(0).alias("line")))
+    add = lambda rows: out.unionByName(rows.select("package", F.lit(None).cast("string").alias("path"), "code", F.lit("").alias("key"), F.lit(0).alias("line")))
+    if hooks is not None:
+        out = add(hooks.select("package", F.explode(T.hook_signals(F.col("command"))).alias("code")))
+    if metadata is not None:
+        none = files.sparkSession.createDataFrame([], "package string, command string")
+        out = add(features.metadata_signals(metadata, files, none if hooks is None else hooks))
     if candidates is not None and popular is not None:
         kind = F.when(F.col("kind") == "homoglyph", "TYPOSQUAT_HOMOGLYPH").when(F.col("kind") == "scope", "TYPOSQUAT_SCOPE_CONFUSION").otherwise("TYPOSQUAT_NEAR_MISS")
-        squats = names.typosquats(candidates, popular).select(F.col("candidate").alias("package"), F.lit(None).cast("string").alias("path"), kind.alias("code"))
-        raised = raised.unionByName(squats)
+        out = add(names.typosquats(candidates, popular).select(F.col("candidate").alias("package"), kind.alias("code")))
+    return out
+
+
+def failed(files: DataFrame) -> DataFrame:
+    """package, path of the sources that don't parse."""
+    kept = sources(files)
+    keyed = kept.select(F.concat_ws("\u0001", *_FILE).alias("path"), F.col("text").alias("source"), "language")
+    found = python_ast.facts(keyed.where("language = 'python'")).select("path", "kind").unionByName(javascript.facts(keyed.where("language = 'javascript'")).select("path", "kind"))
+    parts = F.split("path", "\u0001")
+    return found.where("kind = 'parse_failed'").select(parts[0].alias("package"), parts[1].alias("path")).distinct()
+
+
+def score(files: DataFrame, candidates: DataFrame | None = None, popular: DataFrame | None = None, hooks: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """package, score, verdict of every package; without any signal the score is 0."""
+    raised = analyse(files, hooks, metadata, candidates, popular)
     scores = signals.rules_score(raised).select("package", "score")
     out = files.select("package").distinct().join(scores, "package", "left").na.fill(0.0, ["score"])
     return out.withColumn("verdict", signals.verdict(F.col("score")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df as a checkpoint in the folder that all executors share.
+
+    The folder is the one that spark.checkpoint.dir names. Only a local master, as in
+    tests, may do without; there a temporary folder takes its place.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspur-"))
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where a small input's few splits would leave most of them idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

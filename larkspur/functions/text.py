@@ -65,11 +65,6 @@ def evidence(text: Column, limit: int = 220) -> Column:
     return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))
 
 
-def first_label(text: Column, family: list[tuple[str, str]]) -> Column:
-    """The label of the first pattern of the family that the text holds."""
-    return F.coalesce(*[F.when(text.rlike(f"(?i){p}"), F.lit(label)) for p, label in family])
-
-
 def required_literals(pattern: str) -> list[str]:
     """For each outermost alternative, the longest run of plain characters that its every match holds, in lower case."""
     done, runs, now, depth, i = [], [], "", 0, 0
@@ -98,7 +93,7 @@ def required_literals(pattern: str) -> list[str]:
     return [x.lower() for x in [*done, max([*runs, now], key=len)]]
 
 
-def holds_any(text: Column, family: list[tuple[str, str]], lowered: Column | None = None) -> Column:
+def holds_any(text: Column, family: list[str], lowered: Column | None = None) -> Column:
     """Whether any pattern of the family matches.
 
     A plain search for what each pattern must hold comes first, so that most texts
@@ -106,7 +101,7 @@ def holds_any(text: Column, family: list[tuple[str, str]], lowered: Column | Non
     """
     lowered = F.lower(text) if lowered is None else lowered
     any_of = lambda patterns: text.rlike("(?i)" + "|".join(f"({p})" for p in patterns))
-    found = {p: required_literals(p) for p, _ in family}
+    found = {p: required_literals(p) for p in family}
     sought = [p for p, literals in found.items() if min(map(len, literals)) >= 3]
     bare = [p for p in found if p not in sought]
     checks = [any_of([p]) for p in bare]
@@ -116,8 +111,10 @@ def holds_any(text: Column, family: list[tuple[str, str]], lowered: Column | Non
     return reduce(lambda a, b: a | b, checks)
 
 
-def labels(text: Column, family: list[tuple[str, str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(label)) for p, label in family]))
+def numbers(text: Column, family: list[str]) -> Column:
+    """The places, in the family, of the patterns that match."""
+    found = F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(i)) for i, p in enumerate(family)]))
+    return F.when(holds_any(text, family), found).otherwise(F.array().cast("array<int>"))
 
 
 def hook_signals(command: Column) -> Column:
@@ -132,7 +129,7 @@ def hook_signals(command: Column) -> Column:
         ("INSTALL_HOOK_SHELL_PIPE", has(P.PIPE_TO_SHELL)),
         ("INSTALL_HOOK_NETWORK", fetch | (url & ~has("^echo"))),
         ("HARDCODED_IP_ENDPOINT", F.size(public_addresses(c)) > 0),
-        ("SUSPICIOUS_ENDPOINT", first_label(c, P.ENDPOINTS).isNotNull()),
+        ("SUSPICIOUS_ENDPOINT", holds_any(c, P.ENDPOINTS)),
         ("INSTALL_HOOK_OBFUSCATED", hidden),
         ("DYNAMIC_EVAL", has(P.INLINE_EXEC) & ~benign),
         ("PROCESS_SPAWN", has(P.INTERPRETER) & ~benign),

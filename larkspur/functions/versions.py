@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 VERSION = r"^v?([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(?:-([0-9A-Za-z.\-]+))?(?:\+.*)?$"
-#: Parts of a number below this are told apart by `number`.
-PART = 100_000
+#: Above every part of a version.
+TOP = (1 << 63) - 1
 
 
 def version_key(version: Column) -> Column:
@@ -31,11 +31,12 @@ def version_key(version: Column) -> Column:
 
 
 def number(major: Column, minor: Column, patch: Column) -> Column:
-    return (major * PART + minor) * PART + patch
+    """Three parts of any size, which order one after the other."""
+    return F.struct(major.cast("long").alias("major"), minor.cast("long").alias("minor"), patch.cast("long").alias("patch"))
 
 
 def version_number(version: Column) -> Column:
-    """Major, minor and patch as one number; null where the text is no version."""
+    """Major, minor and patch; null where the text is no version."""
     v = F.trim(version)
     part = lambda i: F.when(F.regexp_extract(v, VERSION, i) == "", F.lit(0)).otherwise(F.regexp_extract(v, VERSION, i)).cast("long")
     return F.when(v.rlike(VERSION), number(part(1), part(2), part(3)))
@@ -53,7 +54,8 @@ def range_groups(spec: Column) -> Column:
     """
     tidy = F.regexp_replace(F.trim(spec), r"(>=|<=|>|<|=|\^|~)\s+", "$1")
     tidy = F.regexp_replace(tidy, r"(\S+)\s+-\s+(\S+)", ">=$1 <=$2")
-    top = F.lit(10**16).cast("long")
+    zero = F.lit(0).cast("long")
+    none, top = number(zero, zero, zero), number(F.lit(TOP), zero, zero)
     pattern = r"^(\^|~|>=|<=|>|<|=)?v?([0-9]+|[xX*])?(?:\.([0-9]+|[xX*]))?(?:\.([0-9]+|[xX*]))?(?:-[0-9A-Za-z.\-]+)?$"
 
     def interval(token: Column) -> Column:
@@ -64,17 +66,17 @@ def range_groups(spec: Column) -> Column:
         op = g(1)
         at = number(a, b, c)
         # One above the last number that the given parts cover.
-        past = F.when(~given(2), top).when(~given(3), number(a + 1, F.lit(0), F.lit(0))).when(~given(4), number(a, b + 1, F.lit(0))).otherwise(at + 1)
-        caret = F.when(~given(2), top).when((a > 0) | ~given(3), number(a + 1, F.lit(0), F.lit(0))).when((b > 0) | ~given(4), number(a, b + 1, F.lit(0))).otherwise(at + 1)
+        past = F.when(~given(2), top).when(~given(3), number(a + 1, F.lit(0), F.lit(0))).when(~given(4), number(a, b + 1, F.lit(0))).otherwise(number(a, b, c + 1))
+        caret = F.when(~given(2), top).when((a > 0) | ~given(3), number(a + 1, F.lit(0), F.lit(0))).when((b > 0) | ~given(4), number(a, b + 1, F.lit(0))).otherwise(number(a, b, c + 1))
         tilde = F.when(~given(2), top).when(~given(3), number(a + 1, F.lit(0), F.lit(0))).otherwise(number(a, b + 1, F.lit(0)))
-        low = F.when(op == ">", past).when(op.isin("<", "<="), F.lit(0)).otherwise(at)
+        low = F.when(op == ">", past).when(op.isin("<", "<="), none).otherwise(at)
         high = F.when(op.isin(">", ">="), top).when(op == "<", at).when(op == "^", caret).when(op == "~", tilde).otherwise(past)
         good = token.rlike(pattern)
-        return F.struct(F.when(good, low).otherwise(top).cast("long").alias("low"), F.when(good, high).otherwise(F.lit(0)).cast("long").alias("high"))
+        return F.struct(F.when(good, low).otherwise(top).alias("low"), F.when(good, high).otherwise(none).alias("high"))
 
     def group(text: Column) -> Column:
         parts = F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""), interval)
-        start = F.struct(F.lit(0).cast("long").alias("low"), top.alias("high"))
+        start = F.struct(none.alias("low"), top.alias("high"))
         return F.aggregate(parts, start, lambda s, x: F.struct(F.greatest(s["low"], x["low"]).alias("low"), F.least(s["high"], x["high"]).alias("high")))
 
     return F.transform(F.split(tidy, r"\|\|"), group)

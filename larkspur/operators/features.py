@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as T
 from . import signals as S
 
@@ -38,16 +39,24 @@ OTHERS = {
 GROUPS = {g: [c for c, _ in COUNTS.get(g, [])] + OTHERS.get(g, []) for g in [*COUNTS, "metadata", "structure", "typosquat", "aggregate"]}
 NAMES = [c for cols in GROUPS.values() for c in cols]
 REGISTRY_ONLY = ["age_days", "version_count", "maintainer_count", "is_single_version", "is_very_new"]
-SOURCE = r"\.(py|pyi|js|mjs|cjs|jsx|ts|tsx)$"
+#: Largest file that is analysed, in bytes.
+MAX_FILE = 2 << 20
+SOURCE = r"\.(py|pyi|js|mjs|cjs|jsx)$"
 
 
 def _log(c: Column) -> Column:
     return F.log1p(F.greatest(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
+def is_source() -> Column:
+    """Whether a file is one that the engine analyses. Columns: path, text."""
+    path = F.lower("path")
+    return F.coalesce(path.rlike(SOURCE) & ~path.rlike(P.SKIPPED_PATH) & (F.octet_length("text") <= MAX_FILE), F.lit(False))
+
+
 def metadata_signals(metadata: DataFrame, files: DataFrame, hooks: DataFrame) -> DataFrame:
     """package, code from what the registry says. hooks: package, command."""
-    size = files.groupBy("package").agg(F.count_if(F.lower("path").rlike(SOURCE)).alias("sources"), F.sum(F.char_length("text")).alias("chars"))
+    size = files.groupBy("package").agg(F.count_if(is_source()).alias("sources"), F.sum(F.octet_length("text")).alias("bytes"))
     hooked = hooks.where(F.trim("command") != "").select("package", F.lit(True).alias("hooked")).distinct()
     rows = metadata.join(size, "package", "left").join(hooked, "package", "left")
     rules = {
@@ -55,7 +64,7 @@ def metadata_signals(metadata: DataFrame, files: DataFrame, hooks: DataFrame) ->
         "VERY_NEW_PACKAGE": F.col("age_days") < 7,
         "SINGLE_VERSION": F.col("version_count") == 1,
         "EMPTY_DESCRIPTION": F.trim(F.coalesce("description", F.lit(""))) == "",
-        "TINY_PACKAGE_WITH_HOOK": F.col("hooked") & (F.col("sources") <= 3) & (F.col("chars") < 20_000),
+        "TINY_PACKAGE_WITH_HOOK": F.col("hooked") & (F.col("sources") <= 3) & (F.col("bytes") < 20_000),
     }
     raised = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
     return rows.select("package", F.explode(raised).alias("code"))
@@ -76,20 +85,21 @@ def vector(signals: DataFrame, files: DataFrame, metadata: DataFrame, squats: Da
         *[_log(F.count_if(F.col("rank") == r)).alias(f"{n}_signals") for n, r in (("critical", 4), ("high", 3), ("medium", 2))],
         _log(F.count(F.lit(1))).alias("total_signals"),
         _log(F.count_distinct("code")).alias("distinct_signal_types"),
-        F.max((F.col("code") == "TINY_PACKAGE_WITH_HOOK").cast("double")).alias("tiny_package_with_hook"),
+        F.bool_or(F.col("code").isin("INSTALL_HOOK_PRESENT", "SETUP_PY_SIDE_EFFECTS")).alias("__hooked"),
     )
     scores = S.rules_score(signals).select("package", F.col("score").alias("rules_baseline_score"))
-    source = F.lower("path").rlike(SOURCE)
-    size = F.char_length("text")
+    source = is_source()
+    size = F.octet_length("text")
     shape = files.groupBy("package").agg(
         _log(F.count(F.lit(1))).alias("file_count"),
         _log(F.sum(size)).alias("total_bytes"),
         _log(F.count_if(source)).alias("source_file_count"),
-        _log(F.avg(size)).alias("avg_file_bytes"),
+        _log(F.avg(F.when(source, F.char_length("text")))).alias("avg_file_bytes"),
         (F.count_if(source) / F.count(F.lit(1))).alias("source_file_ratio"),
         F.avg(F.when(source, T.minified(F.col("text")).cast("double"))).alias("minified_ratio"),
         _log(F.max(F.when(source, F.array_max(T.line_lengths(F.col("text")))))).alias("max_line_length"),
         F.count_if(source).alias("__sources"),
+        F.sum(size).alias("__bytes"),
     )
     broken = failed.groupBy("package").agg(F.count(F.lit(1)).alias("__failed"))
     known = metadata.groupBy("package").agg(*[F.max(c).alias(c) for c in ("repository_url", "age_days", "version_count", "maintainer_count", "description", "dependency_count")])
@@ -107,12 +117,13 @@ def vector(signals: DataFrame, files: DataFrame, metadata: DataFrame, squats: Da
     )
     kind = lambda k: F.max((F.col("kind") == k).cast("double"))
     alike = squats.groupBy(F.col("candidate").alias("package")).agg(
-        F.max(1 / (1 + F.col("distance"))).alias("typosquat_proximity"), kind("homoglyph").alias("typosquat_homoglyph"), kind("scope").alias("typosquat_scope_confusion"), kind("affix").alias("typosquat_affix")
+        F.max(1 / (1 + F.col("distance"))).alias("typosquat_proximity"), kind("homoglyph").alias("typosquat_homoglyph"), kind("scope").alias("typosquat_scope_confusion"), F.max(F.col("kind").isin("affix", "separator").cast("double")).alias("typosquat_affix")
     )
     out = shape
     for part in (by_code, scores, about, alike, broken):
         out = out.join(part, "package", "left")
     out = out.withColumn("parse_failure_ratio", F.coalesce(F.try_divide(F.col("__failed"), F.col("__sources")), F.lit(0.0)))
+    out = out.withColumn("tiny_package_with_hook", (F.col("__hooked") & (F.col("__sources") <= 3) & (F.col("__bytes") < 20_000)).cast("double"))
     return out.select("package", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NAMES])
 
 

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration, in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-"))
-    return df.checkpoint()
+from ..core import cut as _cut
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -25,14 +18,24 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     leaves by anti-join, so cycles end. Without max_depth it goes on until no level has a new node.
     """
     edges = edges.select("src", "dst").distinct()
-    known = frontier = _cut(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
+    frontier = _cut(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
+    levels = [frontier]
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = _cut(step.join(_all(levels).select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        known = _cut(known.unionByName(frontier))
-    return known
+        levels = _merged([*levels, frontier])
+    return _all(levels)
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _merged(levels: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """The levels as they are, so that each is written once; if there are many, as one."""
+    return levels if len(levels) < most else [_cut(_all(levels))]
 
 
 def merged_dependencies(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -56,14 +59,15 @@ def proof_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_dept
     max_depth it goes on until no level has any.
     """
     edges = edges.select("src", "dst").distinct()
-    known = frontier = _cut(roots.select("node").distinct().withColumn("path", F.array(F.col("node").cast("string"))))
+    frontier = _cut(roots.select("node").distinct().withColumn("path", F.array(F.col("node").cast("string"))))
+    levels = [frontier]
     for _ in count() if max_depth is None else range(max_depth):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst").cast("string")).alias("path"))
-        frontier = _cut(step.groupBy("node").agg(F.min("path").alias("path")).join(known, "node", "left_anti"))
+        frontier = _cut(step.groupBy("node").agg(F.min("path").alias("path")).join(_all(levels).select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break
-        known = _cut(known.unionByName(frontier))
-    found = targets.select("node").distinct().join(known, "node")
+        levels = _merged([*levels, frontier])
+    found = targets.select("node").distinct().join(_all(levels), "node")
     return found.select(F.col("node").alias("target"), (F.size("path") - 1).alias("hops"), F.array_join("path", " > ").alias("path"))
 
 
@@ -79,3 +83,23 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         label = after.select("node", "component")
         if after.where("component <> was").isEmpty():
             return label
+
+
+def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: modules, functions, files, external targets, edges and entry points of a call graph.
+
+    nodes: node, kind (module or function), path; edges: src, dst between nodes or to
+    names that begin with ext:.
+    """
+    outside = F.startswith("dst", F.lit("ext:"))
+    n = nodes.agg(F.count_if(F.col("kind") == "module").alias("modules"), F.count_if(F.col("kind") == "function").alias("functions"), F.count_distinct("path").alias("files"))
+    e = edges.agg(F.count_distinct(F.when(outside, F.col("dst"))).alias("externals"), F.count(F.lit(1)).alias("edges"))
+    modules = nodes.where("kind = 'module'").select("node")
+    entries = entry_points(modules, edges.join(modules.withColumnRenamed("node", "dst"), "dst", "left_semi")).agg(F.count(F.lit(1)).alias("entry_points"))
+    one = F.lit(1).alias("__one")
+    return n.select("*", one).join(e.select("*", one), "__one").join(entries.select("*", one), "__one").drop("__one")
+
+
+def importers(imports: DataFrame, limit: int = 8) -> DataFrame:
+    """package, importers: the first `limit` files, in order, that import each package. imports: path, package."""
+    return imports.where("package IS NOT NULL").groupBy("package").agg(F.count_distinct("path").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, limit).alias("importers"))

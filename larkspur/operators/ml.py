@@ -9,6 +9,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import cut
+
 SEED = 20260817
 
 
@@ -56,13 +58,19 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 
 def folds(groups: DataFrame, k: int) -> DataFrame:
-    """grp, fold: groups dealt in turn, those with positives apart from the others, the largest first.
+    """grp, n, has_positive, fold: groups dealt in turn, those with positives apart from the others, the largest first, equal ones by MD5.
 
-    Groups are counted before; each kind of group is dealt by its rank.
+    No task holds all groups of a kind: they are ranked within a size and the first
+    two digits of their MD5, and the counts of these parts are added up before.
     """
     sized = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("has_positive"))
-    place = Window.partitionBy("has_positive").orderBy(F.col("n").desc(), "grp")
-    return sized.withColumn("fold", ((F.row_number().over(place) - 1) % k).cast("int"))
+    keyed = sized.withColumn("__md5", F.md5(F.col("grp").cast("string"))).withColumn("__part", F.substring("__md5", 1, 2))
+    part = ["has_positive", "n", "__part"]
+    before = Window.partitionBy("has_positive").orderBy(F.col("n").desc(), "__part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = keyed.groupBy(*part).agg(F.count(F.lit(1)).alias("__k")).select(*part, F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__before"))
+    place = Window.partitionBy(*part).orderBy("__md5", "grp")
+    ranked = keyed.join(heads, part).withColumn("fold", ((F.row_number().over(place) - 1 + F.col("__before")) % k).cast("int"))
+    return ranked.select("grp", "n", "has_positive", "fold")
 
 
 def train(rows: DataFrame, features: list[str], trees: int = 250, kind: str = "gbt"):
@@ -84,7 +92,7 @@ def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, features: list[str], k: int, trees: int) -> DataFrame:
     """Scores of each fold's rows by a model of the other folds; rows has grp and label."""
-    dealt = rows.join(folds(rows, k).select("grp", "fold"), "grp")
+    dealt = cut(rows.join(folds(rows, k).select("grp", "fold"), "grp"))
     parts = [predict(train(dealt.where(F.col("fold") != f), features, trees), dealt.where(F.col("fold") == f), features) for f in range(k)]
     out = parts[0]
     for p in parts[1:]:

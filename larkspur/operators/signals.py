@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 
+#: Harmonic numbers are added up term by term to here.
+TERMS = 2000
 CATALOGUE = "code string, family string, severity string, weight double, rank int"
 
 
@@ -51,6 +53,87 @@ def scan(files: DataFrame, package: str, path: str, text: str) -> DataFrame:
     return flags.select("package", "path", F.explode(raised).alias("code"))
 
 
+_CODES = "array<struct<code:string,key:string>>"
+#: So much of a literal is held against patterns.
+LITERAL = 4000
+
+
+def _keyed(code: str, numbers: Column) -> Column:
+    return F.transform(numbers, lambda i: F.struct(F.lit(code).alias("code"), i.cast("string").alias("key")))
+
+
+def _one(code: str, condition: Column, key: str = "") -> Column:
+    return F.when(condition, F.array(F.struct(F.lit(code).alias("code"), F.lit(key).alias("key")))).otherwise(F.array().cast(_CODES))
+
+
+def literal_codes(text: Column, http: bool = False, whole: bool = False) -> Column:
+    """code and key of what a string literal shows; the key is the number of the pattern.
+
+    http: a literal that begins with http counts as an address even without ://;
+    whole: encoded payloads are sought in literals of any length, not in their beginnings.
+    """
+    head = F.substring(text, 1, LITERAL)
+    address = F.contains(head, F.lit("://")) | (F.char_length(head) - F.char_length(F.replace(head, F.lit("."))) == 3)
+    if http:
+        address = address | F.startswith(head, F.lit("http"))
+    return F.concat(
+        _keyed("SENSITIVE_PATH_ACCESS", T.numbers(head, P.SENSITIVE_PATHS)),
+        _keyed("CRYPTO_WALLET_ACCESS", T.numbers(head, P.CRYPTO_WALLETS)),
+        _keyed("SUSPICIOUS_ENDPOINT", T.numbers(head, P.ENDPOINTS)),
+        _keyed("FILE_WRITE_SENSITIVE", T.numbers(head, P.PERSISTENCE)),
+        _one("HARDCODED_IP_ENDPOINT", address & (F.size(T.public_addresses(head)) > 0)),
+        _one("HIGH_ENTROPY_STRING", T.encoded_payload(text if whole else head)),
+    )
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """path, code, key and the first line of each; rows: path, line, c with code and key."""
+    return rows.groupBy("path", "c.code", "c.key").agg(F.min("line").alias("line"))
+
+
+def file_codes(text: Column, python: Column) -> Column:
+    """code and key of what a source's text shows, comments and all."""
+    hex_, uni = T.escapes(text)
+    return F.concat(
+        _one("MINIFIED_SOURCE", T.minified(text)),
+        _one("BASE64_BLOB", F.size(T.base64_blobs(text)) > 0),
+        _one("HEX_ESCAPE_HEAVY", (hex_ + uni > 60) & ((4 * hex_ + 6 * uni) / F.char_length(text) > 0.15)),
+        _one("CHARCODE_OBFUSCATION", python & (F.regexp_count(text, F.lit(r"chr\(")) >= 10), "text"),
+        _one("HOST_RECON", T.holds_any(text, P.HOST_RECON), "text"),
+        _one("REVERSE_SHELL_PATTERN", T.holds_any(text, P.REVERSE_SHELLS)),
+    )
+
+
+def composites(signals: DataFrame, at_install: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, code of behaviours that come together in a file.
+
+    signals: keys and code; at_install: keys of the files that run when the package
+    is installed. One aggregation by file, whatever the number of its signals.
+    """
+    any_of = lambda *codes: F.bool_or(F.col("code").isin(*codes))
+    flags = signals.groupBy(*keys).agg(
+        any_of("SENSITIVE_PATH_ACCESS", "CRYPTO_WALLET_ACCESS").alias("secrets"),
+        any_of("NETWORK_ACCESS", "DNS_EXFIL_PATTERN", "SUSPICIOUS_ENDPOINT", "HARDCODED_IP_ENDPOINT").alias("network"),
+        any_of("ENV_ACCESS").alias("env"),
+        any_of("HOST_RECON").alias("recon"),
+    ).join(at_install.select(*keys, F.lit(True).alias("install")).distinct(), keys, "left")
+    on, install = F.col, F.coalesce("install", F.lit(False))
+    rules = [
+        ("EXFIL_CREDENTIALS_TO_NETWORK", on("secrets") & on("network")),
+        ("EXFIL_ENV_TO_NETWORK", on("env") & on("network") & (on("recon") | install) & ~on("secrets")),
+        ("EXFIL_ON_INSTALL", install & on("network") & (on("env") | on("secrets") | on("recon"))),
+    ]
+    return flags.select(*keys, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules]))).alias("code"))
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n; above TERMS by its expansion, whose error is below 1e-16 there."""
+    terms = F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(TERMS).cast("long")))
+    added = F.aggregate(terms, F.lit(0.0), lambda s, k: s + 1.0 / k)
+    x = n.cast("double")
+    return F.when(n <= TERMS, added).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x))
+
+
 def rules_score(signals: DataFrame, key: str = "package") -> DataFrame:
     """Sum over each code's occurrences of weight / its rank, squashed. One row per package with a signal.
 
@@ -59,8 +142,7 @@ def rules_score(signals: DataFrame, key: str = "package") -> DataFrame:
     """
     spark = signals.sparkSession
     counted = signals.groupBy(key, "code").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(catalogue(spark)), "code")
-    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda s, k: s + F.col("weight") / k)
-    raw = counted.groupBy(key).agg(F.sum(harmonic).alias("raw"), F.sum("n").alias("signals"), F.count(F.lit(1)).alias("codes"), F.max("rank").alias("worst"))
+    raw = counted.groupBy(key).agg(F.sum(F.col("weight") * harmonic(F.col("n"))).alias("raw"), F.sum("n").alias("signals"), F.count(F.lit(1)).alias("codes"), F.max("rank").alias("worst"))
     return raw.withColumn("score", 1 / (1 + F.exp(-(F.col("raw") - P.SCORE_MIDPOINT) / P.SCORE_SCALE)))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import risk_queries, text_queries
+from . import engine_queries, risk_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | risk_queries.QUERIES
-ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | risk_queries.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | risk_queries.QUERIES | engine_queries.QUERIES
+ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | risk_queries.ORACLE_SQL | engine_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import api
 from ..core import table
-from ..operators import diffs, features, graph, ml, names, vulns
+from ..operators import diffs, evaluation, graph, history, ml, vulns
 from ..functions import patterns as P
-from ..sources import archives, javascript, python_ast, store
-from . import fixtures as X
+from ..sources import archives, store
+from ..streaming import incremental
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,10 +49,10 @@ def findings(spark, sf_dir) -> DataFrame:
 
 @query(
     "q26_advisory_join",
-    f"WITH {FINDINGS} SELECT f.package, f.id, p_name AS name, o_orderstatus AS status FROM findings f JOIN part ON package = concat('pkg', p_partkey) JOIN orders ON o_orderkey = ord // 8 WHERE severity = 'CRITICAL'",
+    f"WITH {FINDINGS} SELECT f.package, f.id, p_name AS name, o_orderstatus AS status FROM findings f JOIN part ON package = concat('pkg', p_partkey) JOIN orders ON o_orderkey = ord // 8",
 )
 def q26(spark, sf_dir):
-    return advisory_join(spark, sf_dir, findings(spark, sf_dir).where("severity = 'CRITICAL'"))
+    return advisory_join(spark, sf_dir, findings(spark, sf_dir))
 
 
 def advisory_join(spark, sf_dir, found: DataFrame) -> DataFrame:
@@ -63,15 +62,6 @@ def advisory_join(spark, sf_dir, found: DataFrame) -> DataFrame:
     return f.join(part, "package").join(orders, "order_key").select("package", "id", "name", "status")
 
 
-@query(
-    "q26b_whole_advisory_join",
-    f"WITH {FINDINGS} SELECT f.package, f.id, p_name AS name, o_orderstatus AS status FROM findings f JOIN part ON package = concat('pkg', p_partkey) JOIN orders ON o_orderkey = ord // 8",
-)
-def q26b(spark, sf_dir):
-    """All findings, where q26 takes the critical ones."""
-    return advisory_join(spark, sf_dir, findings(spark, sf_dir))
-
-
 @query(
     "q27_advisory_dedupe",
     f"""WITH {FINDINGS}, r AS (SELECT *, coalesce(cve, id) AS cve_or_id, {RANK} AS rank FROM findings),
@@ -150,37 +140,6 @@ def q21(spark, sf_dir):
     return graph.entry_points(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), edges(spark, sf_dir))
 
 
-@query(
-    "q22_proof_paths",
-    f"WITH RECURSIVE {EDGES}, {ROOTS}, walk AS (SELECT node, [node::VARCHAR] AS path FROM roots UNION ALL SELECT dst, list_append(path, dst::VARCHAR) FROM walk JOIN edges ON src = node WHERE len(path) < 7 AND NOT list_contains(path, dst::VARCHAR)), "
-    "best AS (SELECT node, path, row_number() OVER (PARTITION BY node ORDER BY len(path), path) AS n FROM walk) "
-    "SELECT node AS target, (len(path) - 1)::INT AS hops, array_to_string(path, ' > ') AS path FROM best WHERE n = 1 AND node % 3 = 1",
-)
-def q22(spark, sf_dir):
-    targets = table(spark, sf_dir, "part").where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("node"))
-    return graph.proof_paths(edges(spark, sf_dir), roots(spark, sf_dir), targets, DEPTH)
-
-
-@query("q22b_whole_proof_paths")
-def q22b(spark, sf_dir):
-    """To all parts and of any length, where q22 takes a third and stops at DEPTH."""
-    targets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    return graph.proof_paths(edges(spark, sf_dir), roots(spark, sf_dir), targets)
-
-
-@query("q23_reachable_set", CLOSURE + " SELECT node, count(*) AS roots, min(depth) AS nearest FROM reached GROUP BY node")
-def q23(spark, sf_dir):
-    reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir), DEPTH)
-    return reached.groupBy("node").agg(F.count(F.lit(1)).alias("roots"), F.min("depth").alias("nearest"))
-
-
-@query("q23b_whole_reachable_set")
-def q23b(spark, sf_dir):
-    """At any depth, where q23 stops at DEPTH."""
-    reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir))
-    return reached.groupBy("node").agg(F.count(F.lit(1)).alias("roots"), F.min("depth").alias("nearest"))
-
-
 _VERDICT = (
     CLOSURE + ", s AS (SELECT DISTINCT node FROM reached), f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 = 0 THEN [] ELSE ['s' || (l_linenumber % 3)] END AS symbols FROM lineitem WHERE l_linenumber <= 4), "
     "v AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 10 = 9 THEN 'not_analysed' WHEN s.node IS NULL THEN 'not_imported' WHEN len(symbols) = 0 THEN 'assumed_reachable' WHEN list_contains(symbols, 's' || (l_partkey % 3)) THEN 'reachable' ELSE 'symbol_not_called' END AS verdict FROM f LEFT JOIN s ON s.node = l_partkey)"
@@ -213,26 +172,52 @@ def exposures(found: DataFrame) -> DataFrame:
     return found.groupBy(e.alias("exposure")).agg(F.count(F.lit(1)).alias("flows"))
 
 
-@query("q24_reachability_verdict", _VERDICT + _CONFIDENCE)
-def q24(spark, sf_dir):
-    return confidence(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber <= 4"), DEPTH))
+#: Everything that the roots reach, at any depth.
+REACHED = f"WITH RECURSIVE {EDGES}, {ROOTS}, walk AS (SELECT node AS root, node FROM roots UNION SELECT root, dst FROM walk JOIN edges ON src = node)"
 
 
-@query("q24b_whole_verdict", _WHOLE_VERDICT + _CONFIDENCE)
-def q24b(spark, sf_dir):
-    """For all lines, with what is reached at any depth."""
-    return confidence(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem")))
+@query(
+    "q22_proof_paths",
+    f"WITH RECURSIVE {EDGES}, {ROOTS}, walk(node, path) USING KEY (node) AS (SELECT node, [node::VARCHAR] FROM roots UNION SELECT dst, min(list_append(path, dst::VARCHAR)) FROM walk JOIN edges ON src = node "
+    "WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = dst) GROUP BY dst) SELECT node AS target, (len(path) - 1)::INT AS hops, array_to_string(path, ' > ') AS path FROM walk",
+)
+def q22(spark, sf_dir):
+    return graph.proof_paths(edges(spark, sf_dir), roots(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).unionByName(edges(spark, sf_dir).select(F.col("dst").alias("node"))))
 
 
-@query("q25_exposure", _VERDICT + _EXPOSURE)
-def q25(spark, sf_dir):
-    return exposures(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber <= 4"), DEPTH))
+@query("q23_reachable_set", REACHED + " SELECT node, count(*) AS roots FROM walk GROUP BY node")
+def q23(spark, sf_dir):
+    return graph.closure(edges(spark, sf_dir), roots(spark, sf_dir)).groupBy("node").agg(F.count(F.lit(1)).alias("roots"))
 
 
-@query("q25b_whole_exposure", _WHOLE_VERDICT + _EXPOSURE)
-def q25b(spark, sf_dir):
-    """For all lines, with what is reached at any depth."""
-    return exposures(verdicts(spark, sf_dir, table(spark, sf_dir, "lineitem")))
+_VERDICT = (
+    REACHED + ", s AS (SELECT DISTINCT node FROM walk), f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 = 0 THEN [] ELSE ['s' || (l_linenumber % 3)] END AS symbols FROM lineitem), "
+    "v AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 10 = 9 OR p_partkey IS NULL THEN 'not_analysed' WHEN s.node IS NULL THEN 'not_imported' WHEN len(symbols) = 0 THEN 'assumed_reachable' WHEN list_contains(symbols, 's' || (l_partkey % 3)) THEN 'reachable' ELSE 'symbol_not_called' END AS verdict "
+    "FROM f LEFT JOIN s ON s.node = l_partkey LEFT JOIN part ON p_partkey = l_partkey)"
+)
+
+
+def verdicts(spark, sf_dir) -> DataFrame:
+    reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir)).select(F.col("node").alias("package")).distinct()
+    part = table(spark, sf_dir, "part")
+    f = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), F.expr("CASE WHEN l_linenumber % 4 = 0 THEN array() ELSE array(concat('s', l_linenumber % 3)) END").cast("array<string>").alias("symbols"))
+    called = part.select(F.col("p_partkey").alias("package"), F.expr("concat('s', p_partkey % 3)").alias("symbol"))
+    return vulns.reachability(f, part.where("p_partkey % 10 <> 9").select(F.col("p_partkey").alias("package")), reached, called)
+
+
+@query("q24_reachability_verdict", _VERDICT + " SELECT l_orderkey, l_linenumber, l_partkey, verdict, CASE verdict WHEN 'not_analysed' THEN 'none' WHEN 'assumed_reachable' THEN 'low' WHEN 'symbol_not_called' THEN 'medium' ELSE 'high' END AS confidence FROM v")
+def q24(spark, sf_dir):
+    return verdicts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("package").alias("l_partkey"), "verdict", "confidence")
+
+
+@query(
+    "q25_exposure",
+    _VERDICT + " SELECT CASE WHEN l_linenumber = 1 AND l_partkey % 7 = 0 THEN 'install_time' WHEN verdict = 'not_analysed' THEN 'unknown' WHEN verdict = 'not_imported' THEN 'not_imported' WHEN l_linenumber = 2 THEN 'import_time' WHEN verdict = 'reachable' THEN 'call_reachable' ELSE 'not_called' END AS exposure, count(*) AS flows FROM v GROUP BY exposure",
+)
+def q25(spark, sf_dir):
+    v = F.col("verdict")
+    e = vulns.exposure((F.col("l_linenumber") == 1) & (F.col("package") % 7 == 0), v != "not_analysed", v != "not_imported", F.col("l_linenumber") == 2, v == "reachable")
+    return verdicts(spark, sf_dir).groupBy(e.alias("exposure")).agg(F.count(F.lit(1)).alias("flows"))
 
 
 _SIDE = "SELECT doc_id // 2 AS path, sha256(coalesce(text, '')) AS sha256, n_chars AS size FROM documents WHERE doc_id % 2 = {} AND doc_id % 7 <> {}"
@@ -263,36 +248,46 @@ def q36(spark, sf_dir):
     return vulns.last_write(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts"), "user_id", F.struct("ts", "event_id")).drop("ts")
 
 
-@query("q37_integrity_check", "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, length(coalesce(text, '')) = n_chars AS size_matches FROM documents")
+@query("q41_matrix_summary", "SELECT source, quality, count(*) AS n, count(DISTINCT lang) AS languages FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source, quality), (quality), ())")
+def q41(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return rows.groupingSets([["source", "quality"], ["quality"], []], "source", "quality").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("languages"))
+
+
+@query("q37_integrity_check", "SELECT doc_id AS sample_id, CASE WHEN text IS NULL OR doc_id % 5 = 1 THEN 'missing' ELSE 'corrupt' END AS problem FROM documents WHERE text IS NULL OR doc_id % 5 = 1 OR doc_id % 7 = 2")
 def q37(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), (F.char_length(t) == F.col("n_chars")).alias("size_matches"))
+    docs = table(spark, sf_dir, "documents")
+    digest = F.when(F.col("doc_id") % 7 == 2, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
+    return store.vault_problems(docs.select(F.col("doc_id").alias("sample_id"), digest.alias("sha256"), F.when(F.col("doc_id") % 5 != 1, F.col("text")).cast("binary").alias("content")))
 
 
-@query("q38_scan_history", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' OR event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 200")
+@query("q37b_digest_check", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 3 <> 0 END AS agrees FROM documents")
+def q37b(spark, sf_dir):
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.coalesce("text", F.lit(""))).cast("binary")
+    own, kind = F.coalesce("text", F.lit("")).cast("binary"), F.col("doc_id") % 4
+    sha512 = F.concat(F.lit("sha512-"), F.base64(F.unhex(F.sha2(own, 512))))
+    agrees = diffs.digest_matches(content, F.when(kind == 0, F.upper(F.sha2(own, 256))), F.when(kind == 1, sha512), F.when(kind == 2, F.sha1(own)))
+    return table(spark, sf_dir, "documents").select("doc_id", agrees.alias("agrees"))
+
+
+@query("q38_scan_history", "SELECT event_id AS scan_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 150")
 def q38(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(200).select("event_id", "user_id", "event_type")
+    scans = table(spark, sf_dir, "events").select(F.col("event_id").alias("scan_id"), F.col("ts").alias("created_at"), "event_type")
+    return history.latest_scans(scans, 150).select("scan_id", "event_type")
 
 
-@query("q39_log_filter", "SELECT event_id, event_type, value FROM events WHERE value >= 10 AND contains(props, '1') ORDER BY ts DESC, event_id DESC LIMIT 500")
+@query("q39_log_filter", "SELECT event_id AS seq, event_type AS logger FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 3000) WHERE value >= 10 AND (contains(lower(props), '1') OR contains(lower(event_type), '1')) ORDER BY event_id DESC LIMIT 400")
 def q39(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value >= 10 AND contains(props, '1')").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(500).select("event_id", "event_type", "value")
+    logs = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("rank"), F.col("props").alias("message"), F.col("event_type").alias("logger"))
+    return history.log_entries(logs, F.lit(10), "1", 400).select("seq", "logger")
 
 
-@query(
-    "q40_package_history",
-    "SELECT c_name AS target, o_orderstatus AS status, count(*) AS scans, max(o_orderkey) AS last_scan FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY ALL",
-)
+@query("q40_package_history", "SELECT c_name AS name, o_orderstatus AS status, count(*) AS scans, max(o_orderkey) AS last_scan FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY ALL")
 def q40(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", F.col("c_name").alias("target"))
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("target", "status").agg(F.count(F.lit(1)).alias("scans"), F.max("o_orderkey").alias("last_scan"))
-
-
-@query("q41_matrix_summary", "SELECT source, quality, count(*) AS n, count(DISTINCT lang) AS languages FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source, quality), (quality), ())")
-def q41(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
-    return rows.groupingSets([["source", "quality"], ["quality"], []], "source", "quality").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("languages"))
+    c = table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders")
+    packages = orders.select(F.col("o_orderkey").alias("scan_id"), "o_custkey").join(c.select("c_custkey", F.col("c_name").alias("name")), F.col("o_custkey") == F.col("c_custkey")).select("scan_id", "name")
+    return history.package_history(orders.select(F.col("o_orderkey").alias("scan_id"), F.col("o_orderstatus").alias("status")), packages, c.where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("name")))
 
 
 #: A score for each labelled document, as a fraction of whole numbers.
@@ -332,7 +327,7 @@ def q44(spark, sf_dir):
 
 @query(
     "q45_grouped_folds",
-    f"WITH {_SCORED}, g AS (SELECT source AS grp, count(*) AS n, max(label) AS has_positive FROM scored GROUP BY source) SELECT grp, n, has_positive, ((row_number() OVER (PARTITION BY has_positive ORDER BY n DESC, grp) - 1) % 5)::INT AS fold FROM g",
+    f"WITH {_SCORED}, g AS (SELECT source AS grp, count(*) AS n, max(label) AS has_positive FROM scored GROUP BY source) SELECT grp, n, has_positive, ((row_number() OVER (PARTITION BY has_positive ORDER BY n DESC, md5(grp), grp) - 1) % 5)::INT AS fold FROM g",
 )
 def q45(spark, sf_dir):
     return ml.folds(scored(spark, sf_dir).withColumnRenamed("source", "grp"), 5)
@@ -347,21 +342,6 @@ def q46(spark, sf_dir):
     return graph.components(links, docs.select(F.col("doc_id").alias("node")))
 
 
-@query("q48_ablation_view", f"WITH {_SCORED} SELECT g.name AS ablated, count(*) FILTER (WHERE CASE WHEN g.name = 'score' THEN 0 ELSE score END + CASE WHEN g.name = 'other' THEN 0 ELSE other END >= 0.8) AS flagged FROM scored, (VALUES ('none'), ('score'), ('other')) AS g(name) GROUP BY 1")
-def q48(spark, sf_dir):
-    names = ["none", "score", "other"]
-    flag = lambda n: F.count_if((F.lit(0.0) if n == "score" else F.col("score")) + (F.lit(0.0) if n == "other" else F.col("other")) >= 0.8)
-    one = scored(spark, sf_dir).agg(*[flag(n).alias(n) for n in names])
-    return one.unpivot([], names, "ablated", "flagged")
-
-
-@query("q50_name_disjoint_holdout", "SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 40 = 0) GROUP BY source")
-def q50(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    train = docs.where("doc_id % 40 = 0").select("source").distinct()
-    return docs.where("doc_id % 2 = 1").join(train, "source", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "q51_ensemble_agreement",
     f"WITH {_SCORED}, e AS (SELECT 'either' AS rule, {_COUNTS.format(p='(score >= 0.5 OR other >= 0.5)')} FROM scored UNION ALL SELECT 'both', {_COUNTS.format(p='(score >= 0.5 AND other >= 0.5)')} FROM scored) SELECT rule, tp, fp, fn, tn, {_METRICS} FROM e",
@@ -374,14 +354,38 @@ def q51(spark, sf_dir):
     return _rounded(rows)
 
 
+@query(
+    "q48_ablation_zeroing",
+    f"WITH {_SCORED} SELECT g.name AS ablated, count(*) FILTER (WHERE CASE WHEN g.name = 'score' THEN 0 ELSE score END + CASE WHEN g.name = 'other' THEN 0 ELSE other END >= 0.8) AS flagged FROM scored, (VALUES ('none'), ('score'), ('other')) AS g(name) GROUP BY 1",
+)
+def q48(spark, sf_dir):
+    rows = scored(spark, sf_dir).select("score", "other")
+    flagged = lambda name, columns: evaluation.zeroed(rows, columns).agg(F.count_if(F.col("score") + F.col("other") >= 0.8).alias("flagged")).select(F.lit(name).alias("ablated"), "flagged")
+    return flagged("none", []).unionByName(flagged("score", ["score"])).unionByName(flagged("other", ["other"]))
+
+
+@query("q50_name_disjoint_holdout", "SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 40 = 0)")
+def q50(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return evaluation.disjoint(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 40 = 0"), ["source"])
+
+
 @query("q52_seeded_sample", "SELECT doc_id, source FROM documents ORDER BY md5('20260817:' || doc_id), doc_id LIMIT 100")
 def q52(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").orderBy(F.md5(F.concat(F.lit("20260817:"), F.col("doc_id").cast("string"))), "doc_id").limit(100)
+    return store.seeded_subset(table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id").cast("string"), 100, 20260817).select("doc_id", "source")
 
 
 @query("q53_resumable_append", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q53(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return incremental.unseen(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(
+    "q62_severity_phrase",
+    f"WITH {FINDINGS}, c AS (SELECT scan, severity, count(*) AS n, {RANK} AS rank FROM findings WHERE {RANK} >= 2 GROUP BY ALL) SELECT scan, string_agg(n || ' ' || lower(severity), ', ' ORDER BY rank DESC) AS phrase FROM c GROUP BY scan",
+)
+def q62(spark, sf_dir):
+    return history.severity_phrases(findings(spark, sf_dir), "scan", "severity", vulns.rank(F.col("severity")))
 
 
 def embedding_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
@@ -402,21 +406,6 @@ def q55(spark, sf_dir):
     return ml.calibrated(ml.out_of_fold(rows, names, 2, 5).select("label", "score"))
 
 
-@query("q56_python_calls")
-def q56(spark, sf_dir):
-    return python_ast.code_signals(python_ast.facts(X.table(spark, X.SOURCES, "path, source")))
-
-
-@query("q57_taint_flows")
-def q57(spark, sf_dir):
-    return python_ast.facts(X.table(spark, X.SOURCES, "path, source")).where("kind = 'flow'")
-
-
-@query("q58_call_graph")
-def q58(spark, sf_dir):
-    return python_ast.call_edges(python_ast.facts(X.table(spark, X.SOURCES, "path, source")))
-
-
 @query(
     "q59_vault_stats",
     "SELECT event_type AS label, user_id % 3 AS ecosystem, count(*) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 GROUP BY GROUPING SETS ((event_type, user_id % 3), ())",
@@ -447,41 +436,9 @@ def q61(spark, sf_dir):
     return p.groupBy("base").agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "q62_severity_phrase",
-    f"WITH {FINDINGS}, c AS (SELECT scan, severity, count(*) AS n, {RANK} AS rank FROM findings WHERE {RANK} >= 2 GROUP BY ALL) SELECT scan, string_agg(n || ' ' || lower(severity), ', ' ORDER BY rank DESC) AS phrase FROM c GROUP BY scan",
-)
-def q62(spark, sf_dir):
-    c = findings(spark, sf_dir).withColumn("rank", vulns.rank(F.col("severity"))).where("rank >= 2").groupBy("scan", "severity", "rank").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("o"), F.concat_ws(" ", F.col("n").cast("string"), F.lower("severity")).alias("t"))))
-    return c.groupBy("scan").agg(F.array_join(F.transform(parts, lambda x: x["t"]), ", ").alias("phrase"))
-
-
 @query("q63_popular_union", "SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT p_brand FROM part)")
 def q63(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return part.select(F.col("p_name").alias("name")).union(part.select("p_brand")).distinct()
 
 
-@query("q64_javascript_signals")
-def q64(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("source"))
-    inline = X.table(spark, [(p, t) for _, p, t in X.FILES if p.endswith(".js")], "path, source")
-    return javascript.code_signals(pages.unionByName(inline))
-
-
-@query("q65_package_scores")
-def q65(spark, sf_dir):
-    return api.score(X.table(spark, X.FILES, "package, path, text"), X.table(spark, X.CANDIDATES, "name"), X.table(spark, X.POPULAR, "name"))
-
-
-@query("q66_full_vector")
-def q66(spark, sf_dir):
-    files = X.table(spark, X.FILES, "package, path, text")
-    facts = python_ast.facts(files.where("path LIKE '%.py'").select(F.concat_ws("/", "package", "path").alias("path"), F.col("text").alias("source")))
-    failed = facts.where("kind = 'parse_failed'").select(F.substring_index("path", "/", 1).alias("package"), "path")
-    metadata = files.select("package").distinct().selectExpr("package", "if(package = 'pkg-clean', 'https://example.org', NULL) AS repository_url", "3 AS age_days", "1 AS version_count", "1 AS maintainer_count", "'' AS description", "2 AS dependency_count")
-    hooks = X.table(spark, [("pkg-clean", "node x.js")], "package, command")
-    squats = names.typosquats(X.table(spark, X.CANDIDATES, "name"), X.table(spark, X.POPULAR, "name"))
-    raised = api.analyse(files).select("package", "code").unionByName(features.metadata_signals(metadata, files, hooks))
-    return features.vector(raised, files, metadata, squats, failed)

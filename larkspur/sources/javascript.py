@@ -1,25 +1,281 @@
-"""Facts of JavaScript sources at text level: bindings, calls, literals and imports.
+"""Facts of JavaScript sources from their tokens; sources are read, never run.
 
-There is no syntax tree here; sources count as not parsed, and what the patterns see
-in comments is seen too.
+A source is cut into tokens: comments are dropped, strings, templates, regular
+expressions and brackets are told apart, and brackets are matched. Calls, `new`
+expressions, member chains, bindings of modules and arrays of strings are then found
+among the tokens. A source with newer syntax than ES2017, with brackets that don't match, or
+above a size gives one row of kind parse_failed and its beginning as one literal, so
+that what its text shows still counts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
 
-#: So much of a literal is looked at.
-LITERAL = 4000
-# Modules whose use is a signal.
-PROCESS = ["child_process"]
-NETWORK = ["http", "https", "net", "dgram", "axios", "node-fetch", "request", "got", "undici"]
+SCHEMA = "path string, kind string, target string, line int, detail string"
+# Sources above these sizes are not cut into tokens, the second for minified ones; so much of a source that fails is one literal; so deep may brackets lie.
+MAX_CHARS, MAX_MINIFIED, FALLBACK, DEPTH = 1_000_000, 300_000, 20_000, 300
 _REQUIRE = r"""(?:require\s*\(\s*|import\s+(?:[^'"()]*?\s+from\s+)?|import\s*\(\s*)['"]([^'"]+)['"]"""
+_TOKEN = re.compile(
+    r"(?P<space>[\s\ufeff]+|//[^\n]*|/\*[\s\S]*?\*/|^#![^\n]*)"
+    r"|(?P<name>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)"
+    r"|(?P<number>0[xXbBoO][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+    r"""|(?P<string>'(?:[^'\\\n]|\\[\s\S])*'|"(?:[^"\\\n]|\\[\s\S])*")"""
+    r"|(?P<newer>\?\.(?!\d)|\?\?|#[A-Za-z_])"
+    r"|(?P<mark>=>|\.\.\.|[-+*/%&|^!<>=]=+|\+\+|--|[{}()\[\];,.<>+*%&|^!~?:=@-])"
+)
+_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
+#: A slash behind one of these begins a regular expression.
+_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
+_ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]+)\}|(\r\n|[\s\S]))")
+_PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r\n": ""}
+
+
+class NotParsed(ValueError):
+    """The source is not cut into tokens."""
+
+
+def _cooked(body: str) -> str:
+    def one(m: re.Match) -> str:
+        code = m[1] or m[2] or m[3]
+        return chr(min(int(code, 16), 0x10FFFF)) if code else _PLAIN.get(m[4], m[4])
+
+    return _ESCAPE.sub(one, body) if "\\" in body else body
+
+
+class Tokens:
+    """kind, text and line of each token, and for each opening bracket the place of the closing one.
+
+    Kinds are name, number, string (its text is cooked), piece (of a template), regex and mark.
+    """
+
+    def __init__(self, source: str):
+        self.kind: list[str] = []
+        self.text: list[str] = []
+        self.line: list[int] = []
+        self.closing: dict[int, int] = {}
+        self.open: list[tuple[str, int]] = []
+        self.at, self.row = 0, 1
+        self.source = source
+        while self.at < len(source):
+            self._next()
+        if self.open:
+            raise NotParsed("open bracket")
+
+    def _add(self, kind: str, text: str, raw: str) -> None:
+        self.kind.append(kind)
+        self.text.append(text)
+        self.line.append(self.row)
+        self.row += raw.count("\n")
+        self.at += len(raw)
+
+    def _next(self) -> None:
+        c = self.source[self.at]
+        if c == "`":
+            return self._template("`")
+        if c == "}" and self.open and self.open[-1][0] == "${":
+            self.closing[self.open.pop()[1]] = len(self.text)
+            return self._template("}")
+        if c == "/" and self.source[self.at + 1 : self.at + 2] not in ("/", "*"):
+            last, kind = (self.text[-1], self.kind[-1]) if self.text else ("", "mark")
+            value = kind in ("number", "string", "piece", "regex") or (kind == "name" and last not in _BEFORE_REGEX) or (kind == "mark" and last in (")", "]", "}"))
+            if value:
+                return self._add("mark", "/", "/")
+            if m := _REGEX.match(self.source, self.at):
+                return self._add("regex", m[0], m[0])
+            raise NotParsed("regular expression")
+        m = _TOKEN.match(self.source, self.at)
+        if not m or m.lastgroup == "newer":
+            raise NotParsed("token")
+        if m.lastgroup == "space":
+            self.row += m[0].count("\n")
+            self.at = m.end()
+            return None
+        if m.lastgroup == "mark":
+            self._bracket(m[0])
+        self._add(m.lastgroup, _cooked(m[0][1:-1]) if m.lastgroup == "string" else m[0], m[0])
+        return None
+
+    def _bracket(self, mark: str) -> None:
+        if mark in ("(", "[", "{"):
+            self.open.append((mark, len(self.text)))
+            if len(self.open) > DEPTH:
+                raise NotParsed("depth")
+        elif mark in (")", "]", "}"):
+            if not self.open or self.open[-1][0] + mark not in ("()", "[]", "{}"):
+                raise NotParsed("closing bracket")
+            self.closing[self.open.pop()[1]] = len(self.text)
+
+    def _template(self, begin: str) -> None:
+        """A piece of a template, up to its end or to an expression in it."""
+        k = self.at + 1
+        while k < len(self.source) and self.source[k] != "`" and not self.source.startswith("${", k):
+            k += 2 if self.source[k] == "\\" else 1
+        if k >= len(self.source):
+            raise NotParsed("open template")
+        piece = self.source[self.at + 1 : k]
+        inner = self.source[k] == "$"
+        self._add("piece", _cooked(piece), self.source[self.at : k + (2 if inner else 1)])
+        if inner:
+            self.open.append(("${", len(self.text) - 1))
+            if len(self.open) > DEPTH:
+                raise NotParsed("depth")
+
+    def is_mark(self, k: int, *marks: str) -> bool:
+        return 0 <= k < len(self.text) and self.kind[k] == "mark" and self.text[k] in marks
+
+    def is_name(self, k: int, *names: str) -> bool:
+        return 0 <= k < len(self.text) and self.kind[k] == "name" and (not names or self.text[k] in names)
+
+
+class Facts:
+    def __init__(self, source: str):
+        self.t = Tokens(source)
+        self.modules: dict[str, str] = {}
+        self.members: dict[str, str] = {}
+        self.rows: list[tuple] = []
+        self._bindings()
+        self._expressions()
+
+    def _module(self, k: int) -> str | None:
+        """The module of require("...") at k."""
+        t = self.t
+        return t.text[k + 2] if t.is_name(k, "require") and t.is_mark(k + 1, "(") and k + 2 < len(t.text) and t.kind[k + 2] == "string" and not t.is_mark(k - 1, ".") else None
+
+    def _destructured(self, begin: int, end: int, between: str, module: str) -> None:
+        """{a, b: c} or {a, b as c}: the names that a module's members get."""
+        k = begin + 1
+        while k < end:
+            if self.t.is_name(k):
+                own, local = self.t.text[k], self.t.text[k]
+                if k + 2 < end and (self.t.text[k + 1] == between) and self.t.is_name(k + 2):
+                    local = self.t.text[k + 2]
+                self.members[local] = f"{module}.{own}"
+            while k < end and not self.t.is_mark(k, ","):
+                k = self.t.closing.get(k, k) + 1
+            k += 1
+
+    def _bindings(self) -> None:
+        t = self.t
+        for k in range(len(t.text)):
+            if t.is_mark(k, "=") and (module := self._module(k + 1)) and t.is_mark(t.closing[k + 2] + 1, ";", ",", ")", "}") | (t.closing[k + 2] + 1 >= len(t.text)) | (t.closing[k + 2] + 1 < len(t.text) and t.kind[t.closing[k + 2] + 1] != "mark"):
+                if t.is_name(k - 1) and (t.is_name(k - 2, "const", "let", "var") or t.is_mark(k - 2, ",")):
+                    self.modules[t.text[k - 1]] = module
+                elif t.is_mark(k - 1, "}"):
+                    begin = next(a for a, b in t.closing.items() if b == k - 1)
+                    self._destructured(begin, k - 1, ":", module)
+            if t.is_name(k, "import") and not t.is_mark(k - 1, ".") and not t.is_mark(k + 1, "(", "."):
+                end = k + 1
+                while end < len(t.text) and t.kind[end] != "string" and not t.is_mark(end, ";"):
+                    end += 1
+                if end == len(t.text) or t.kind[end] != "string":
+                    continue
+                module, j = t.text[end], k + 1
+                while j < end:
+                    if t.is_mark(j, "{"):
+                        self._destructured(j, t.closing[j], "as", module)
+                        j = t.closing[j]
+                    elif t.is_name(j) and not t.is_name(j, "from", "as"):
+                        self.modules[t.text[j]] = module
+                    j += 1
+
+    def resolved(self, name: str) -> str:
+        head, _, rest = name.partition(".")
+        if head in self.modules:
+            return f"{self.modules[head]}.{rest}" if rest else self.modules[head]
+        return self.members[head] if head in self.members and not rest else name
+
+    def chain(self, k: int) -> tuple[str, int]:
+        """The dotted name that begins at k, and the place behind it; a computed member's name is not known."""
+        t, name = self.t, self.t.text[k]
+        k += 1
+        while True:
+            if t.is_mark(k, ".") and t.is_name(k + 1):
+                name, k = f"{name}.{t.text[k + 1]}", k + 2
+            elif t.is_mark(k, "[") and not t.is_mark(k - 1, ",", "(", "[", "=", ":"):
+                name, k = f"{name}.<computed>", t.closing[k] + 1
+            else:
+                return name, k
+
+    def _arguments(self, begin: int) -> list[tuple[int, int]]:
+        """Where the arguments of a call begin and end."""
+        t, end = self.t, self.t.closing[begin]
+        out, k, start = [], begin + 1, begin + 1
+        while k < end:
+            if t.is_mark(k, ","):
+                out.append((start, k))
+                start = k + 1
+            k = t.closing.get(k, k) + 1
+        return [*out, (start, end)] if start < end else out
+
+    def _decodes(self, begin: int, end: int) -> bool:
+        for k in range(begin, end):
+            if self.t.is_name(k) and not self.t.is_mark(k - 1, "."):
+                name, after = self.chain(k)
+                name = self.resolved(name)
+                if self.t.is_mark(after, "(") and (name.rsplit(".", 1)[-1] in P.JS_DECODE_CALLS or name in ("Buffer.from", "String.fromCharCode")):
+                    return True
+        return False
+
+    def _expressions(self) -> None:
+        t = self.t
+        for k in range(len(t.text)):
+            if t.kind[k] in ("string", "piece") and t.text[k]:
+                self.rows.append(("literal", None, t.line[k], t.text[k]))
+            elif t.is_mark(k, "["):
+                parts = self._arguments(k)
+                if len(parts) >= 25 and all(b - a == 1 and t.kind[a] == "string" for a, b in parts):
+                    self.rows.append(("array", None, t.line[k], str(len(parts))))
+            elif t.is_name(k) and not t.is_mark(k - 1, ".") and not t.is_name(k - 1, "function", "class"):
+                name, after = self.chain(k)
+                name = self.resolved(name)
+                if name.startswith("process.env"):
+                    self.rows.append(("env", "whole" if name == "process.env" else "one", t.line[k], ""))
+                if t.is_mark(after, "(") and not t.is_mark(t.closing[after] + 1, "{"):
+                    self._call(k, name, after)
+
+    def _call(self, k: int, name: str, begin: int) -> None:
+        t, arguments = self.t, self._arguments(begin)
+        string = lambda a: a[1] - a[0] == 1 and t.kind[a[0]] == "string"
+        plain = lambda a: a[1] - a[0] == 1 and (t.kind[a[0]] in ("string", "number", "regex") or t.is_name(a[0], "true", "false", "null"))
+        marks = {
+            "text": bool(arguments) and string(arguments[0]) and t.text[arguments[0][0]] != "",
+            "computed": bool(arguments) and not plain(arguments[0]),
+            "decoded": self._decodes(begin + 1, t.closing[begin]),
+            "direct": t.text[k] == "require" and begin == k + 1,
+        }
+        self.rows.append(("new" if t.is_name(k - 1, "new") else "call", name, t.line[k], ",".join(m for m, on in marks.items() if on)))
+
+
+def analyse(source: str, minified: bool = False) -> list[tuple]:
+    """(kind, target, line, detail) of one source."""
+    source = source or ""
+    try:
+        if len(source) > (MAX_MINIFIED if minified else MAX_CHARS):
+            raise NotParsed("size")
+        return Facts(source).rows
+    except (NotParsed, IndexError, KeyError, StopIteration, RecursionError):
+        return [("parse_failed", None, 0, ""), ("literal", None, 0, source[:FALLBACK])]
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """files: path, source."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, s, m in zip(batch["path"], batch["source"], batch["minified"], strict=True):
+                yield pd.DataFrame([(p, *r) for r in analyse(s, bool(m))], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    source = F.col("source")
+    return files.select("path", "source", F.coalesce(T.minified(source), F.lit(False)).alias("minified")).mapInPandas(work, SCHEMA)
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -28,42 +284,43 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.withColumn("package", T.package_of_specifier(F.col("specifier")))
 
 
-def literals(source: Column) -> Column:
-    """The beginnings, LITERAL characters at most, of quoted texts of four characters or more."""
-    whole = F.concat(F.regexp_extract_all(source, F.lit(r"'([^'\\\n]{4,}+)'"), 1), F.regexp_extract_all(source, F.lit(r'"([^"\\\n]{4,}+)"'), 1))
-    return F.transform(whole, lambda x: F.substring(x, 1, LITERAL))
-
-
-def string_array(source: Column) -> Column:
-    """Whether 40 or more quoted texts stand in brackets. Each is marked first, as a repeated group would recurse."""
-    item = r"\s*['\"][^'\"]*['\"]\s*,?"
-    marked = F.regexp_replace(F.translate(source, "\x01", ""), rf"(\[){item}|\G(?!^){item}", "$1\x01")
-    return marked.rlike("\\[\x01{40,}\\]")
-
-
-def code_signals(files: DataFrame) -> DataFrame:
-    """path, code: each code once for a file."""
-    s = F.col("source")
-    uses = lambda names: reduce(lambda a, b: a | b, [F.array_contains("specifiers", n) | F.array_contains("specifiers", f"node:{n}") for n in names])
-    found = imports(files).groupBy("path").agg(F.collect_set("specifier").alias("specifiers"))
-    none = F.array().cast("array<string>")
-    rows = files.join(found, "path", "left").withColumn("specifiers", F.coalesce("specifiers", none))
-    rules = {
-        "DYNAMIC_EVAL": s.rlike(r"\beval\s*\(|new\s+Function\s*\(|set(?:Timeout|Interval)\s*\(\s*['\"]"),
-        "DECODE_THEN_EXEC": s.rlike(r"(?:eval|Function)\s*\(\s*(?:atob|Buffer\.from|decodeURIComponent)\s*\("),
-        "DYNAMIC_IMPORT": s.rlike(r"(?:require|import)\s*\(\s*[A-Za-z_$]"),
-        "PROCESS_SPAWN": uses(PROCESS) & s.rlike(r"\b(?:exec|execSync|spawn|spawnSync|fork)\s*\("),
-        "SHELL_TRUE": uses(PROCESS) & s.rlike(r"\bexec(?:Sync)?\s*\(|shell\s*:\s*true"),
-        "NETWORK_ACCESS": uses(NETWORK) | s.rlike(r"\bfetch\s*\(|new\s+(?:XMLHttpRequest|WebSocket)\b"),
-        "DNS_EXFIL_PATTERN": uses(["dns"]) & s.rlike(r"\.(?:lookup|resolve[0-9A-Za-z]*)\s*\(\s*[^'\")\s]"),
-        "ENV_ACCESS": s.rlike(r"\bprocess\.env\b"),
-        "ENV_BULK_HARVEST": s.rlike(r"\bprocess\.env\s*(?:[,;)}\]]|$)"),
-        "CHARCODE_OBFUSCATION": F.regexp_count(s, F.lit(r"fromCharCode\s*\(")) >= 5,
-        "STRING_ARRAY_DECODER": string_array(s) & (T.minified(s) | s.rlike(r"\beval\s*\(|new\s+Function\s*\(")),
-        "SENSITIVE_PATH_ACCESS": F.exists(literals(s), lambda x: T.holds_any(x, P.SENSITIVE_PATHS)),
-        "CRYPTO_WALLET_ACCESS": F.exists(literals(s), lambda x: T.holds_any(x, P.CRYPTO_WALLETS)),
-        "SUSPICIOUS_ENDPOINT": F.exists(literals(s), lambda x: T.holds_any(x, P.ENDPOINTS)),
-        "HIGH_ENTROPY_STRING": F.exists(literals(s), T.encoded_payload),
-    }
-    raised = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))
-    return rows.select("path", F.explode(raised).alias("code"))
+def code_signals(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """path, code, key, line: each code once for a file and key. found: the files' facts, if they exist already."""
+    from ..operators.signals import literal_codes, once
+
+    found = facts(files) if found is None else found
+    name, line = F.col("target"), F.col("line").cast("string")
+    parts = F.split(name, r"\.")
+    base, root = F.element_at(parts, -1), parts[0]
+    has = lambda mark: F.array_contains(F.split("detail", ","), mark)
+    spawns = root.isin(P.JS_PROCESS_MODULES) & base.isin(P.JS_PROCESS_CALLS)
+    rules = [
+        ("DECODE_THEN_EXEC", line, (base == "eval") & has("decoded")),
+        ("DYNAMIC_EVAL", F.lit("eval"), (base == "eval") & ~has("decoded")),
+        ("DYNAMIC_EVAL", name, name.isin(P.JS_EVALUATORS)),
+        ("DYNAMIC_EVAL", base, base.isin("setTimeout", "setInterval") & has("text")),
+        ("PROCESS_SPAWN", name, spawns),
+        ("SHELL_TRUE", name, spawns & base.isin("exec", "execSync")),
+        ("NETWORK_ACCESS", name, (root.isin(P.JS_NETWORK_MODULES) & base.isin(P.JS_NETWORK_CALLS)) | root.isin(P.JS_HTTP_LIBRARIES)),
+        ("NETWORK_ACCESS", F.lit("fetch"), (name == "XMLHttpRequest") | (base == "fetch")),
+        ("DNS_EXFIL_PATTERN", name, (root == "dns") & has("computed")),
+        ("DYNAMIC_IMPORT", F.lit("require"), has("direct") & has("computed")),
+        ("HOST_RECON", name, root.isin(P.JS_RECON_MODULES) & base.isin(P.JS_RECON_CALLS)),
+    ]
+    made = [("DYNAMIC_EVAL", F.lit("new Function"), name == "Function"), ("NETWORK_ACCESS", name, name.isin("WebSocket", "net.Socket"))]
+    env = [("ENV_ACCESS", F.lit("env"), F.lit(True)), ("ENV_BULK_HARVEST", F.lit("bulk"), name == "whole")]
+    codes = lambda some: F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), key.alias("key"))) for code, key, c in some]))
+    kind = F.col("kind")
+    raised = F.when(kind == "call", codes(rules)).when(kind == "new", codes(made)).when(kind == "env", codes(env)).when(kind == "literal", literal_codes(F.col("detail")))
+    single = once(found.select("path", "line", F.explode(raised).alias("c")))
+    # What a whole file shows.
+    evaluates = (kind == "call") & ((base == "eval") | name.isin(P.JS_EVALUATORS) | (base.isin("setTimeout", "setInterval") & has("text"))) | (kind == "new") & (name == "Function")
+    whole = found.groupBy("path").agg(
+        F.count_if((kind == "call") & (name == "String.fromCharCode")).alias("charcodes"),
+        F.max(F.when(kind == "array", F.col("detail").cast("int"))).alias("strings"),
+        F.coalesce(F.bool_or(evaluates), F.lit(False)).alias("evaluates"),
+    )
+    whole = whole.join(files.select("path", T.minified(F.col("source")).alias("minified")), "path")
+    rest = codes([("CHARCODE_OBFUSCATION", F.lit(""), F.col("charcodes") >= 5), ("STRING_ARRAY_DECODER", F.lit(""), (F.col("strings") >= 40) & (F.col("minified") | F.col("evaluates")))])
+    more = whole.select("path", F.explode(rest).alias("c")).select("path", "c.code", "c.key", F.lit(0).alias("line"))
+    return single.unionByName(more)

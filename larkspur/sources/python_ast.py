@@ -1,28 +1,29 @@
 """Facts of Python sources from their syntax trees; sources are parsed, never run.
 
 One row per fact: calls with their resolved target and scope, imports, definitions,
-string literals and taint flows. A source that does not parse gives one row of kind
-parse_failed.
+reads of the environment, string literals and taint flows. A source that does not
+parse gives one row of kind parse_failed; what its text shows still counts.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions import text as T
 
 SCHEMA = "path string, kind string, target string, scope string, line int, detail string"
 MODULE = "<module>"
-_SENSITIVE = [re.compile(p, re.IGNORECASE) for p, _ in P.SENSITIVE_PATHS + P.CRYPTO_WALLETS]
+_SENSITIVE = [re.compile(p, re.IGNORECASE) for p in P.SENSITIVE_PATHS]
 _SECRET = re.compile(P.SECRET_NAME, re.IGNORECASE)
-PASSES = 6
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Clients whose every call is network access.
+CLIENTS = ("requests", "httpx")
 
 
 def dotted(node: ast.AST, names: dict[str, str]) -> str | None:
@@ -36,19 +37,46 @@ def dotted(node: ast.AST, names: dict[str, str]) -> str | None:
     return None
 
 
-def _text(node: ast.AST) -> str:
+def _last(name: str | None) -> str:
+    return (name or "").rsplit(".", 1)[-1]
+
+
+def _networks(target: str | None) -> bool:
+    return target is not None and (target in P.NETWORK_CALLS or target.split(".")[0] in CLIENTS)
+
+
+def _texts(node: ast.AST) -> str:
     return "/".join(n.value for n in ast.walk(node) if isinstance(n, ast.Constant) and isinstance(n.value, str))
 
 
+def _decodes(call: ast.Call, names: dict[str, str]) -> bool:
+    """Whether something is decoded, or put together from numbers, within a call."""
+    for inner in ast.walk(call):
+        if isinstance(inner, ast.Call):
+            target = dotted(inner.func, names)
+            if target in P.DECODE_CALLS or _last(target) == "decode":
+                return True
+            if target in ("chr", "bytes", "bytearray") and inner.args and isinstance(inner.args[0], (ast.BinOp, ast.ListComp, ast.GeneratorExp)):
+                return True
+    return False
+
+
 class Facts(ast.NodeVisitor):
     def __init__(self) -> None:
         self.rows: list[tuple] = []
         self.names: dict[str, str] = {}
         self.scope: list[str] = []
+        #: Whether the statement of the module that is being visited defines a function or class.
+        self.defines = False
 
     def add(self, kind: str, target: str | None, node: ast.AST, detail: str = "") -> None:
         self.rows.append((kind, target, ".".join(self.scope) or MODULE, getattr(node, "lineno", 0), detail))
 
+    def visit_Module(self, node: ast.Module) -> None:
+        for statement in node.body:
+            self.defines = isinstance(statement, (*_FUNCTIONS, ast.ClassDef))
+            self.visit(statement)
+
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
             self.names[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
@@ -58,7 +86,7 @@ class Facts(ast.NodeVisitor):
         base = "." * node.level + (node.module or "")
         self.add("import", base, node)
         for a in node.names:
-            self.names[a.asname or a.name] = f"{base}.{a.name}"
+            self.names[a.asname or a.name] = f"{base}.{a.name}" if base else a.name
 
     def _defined(self, node: ast.AST) -> None:
         self.scope.append(node.name)
@@ -69,79 +97,135 @@ class Facts(ast.NodeVisitor):
 
     visit_FunctionDef = visit_AsyncFunctionDef = visit_ClassDef = _defined
 
+    def visit_Attribute(self, node: ast.Attribute) -> None:
+        if dotted(node, self.names) in P.ENV_CALLS:
+            self.add("env", "env", node)
+        self.generic_visit(node)
+
     def visit_Call(self, node: ast.Call) -> None:
         name = dotted(node.func, self.names)
-        inner = [dotted(n.func, self.names) for a in node.args for n in ast.walk(a) if isinstance(n, ast.Call)]
-        decoded = any(i in P.DECODE_CALLS for i in inner)
-        shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
-        literal = bool(node.args) and isinstance(node.args[0], ast.Constant)
-        self.add("call", name, node, ",".join(w for w, on in (("decoded", decoded), ("shell", shell), ("literal", literal)) if on))
+        options = {k.arg: k.value for k in node.keywords if k.arg}
+        constant = lambda x: getattr(x, "value", None) if isinstance(x, ast.Constant) else None
+        mode = str(constant(options.get("mode")) or constant(node.args[1] if len(node.args) > 1 else None) or "")
+        marks = {
+            "decoded": _last(name) in P.EXEC_CALLS and _decodes(node, self.names),
+            "shell": constant(options.get("shell")) is True,
+            "computed": bool(node.args) and not isinstance(node.args[0], ast.Constant),
+            "writes": name in P.WRITE_CALLS and any(c in mode for c in "wax+"),
+            "module": not self.defines,
+            "cmdclass": "cmdclass" in options,
+        }
+        self.add("call", name, node, ",".join(m for m, on in marks.items() if on))
         self.generic_visit(node)
 
     def visit_Constant(self, node: ast.Constant) -> None:
-        if isinstance(node.value, str):
-            self.add("literal", None, node, node.value[:4000])
+        if isinstance(node.value, str) and node.value:
+            self.add("literal", None, node, node.value)
 
 
-def _source(node: ast.AST, names: dict[str, str]) -> str | None:
-    """What secret an expression reads itself, if any."""
-    if isinstance(node, ast.Call):
-        name = dotted(node.func, names)
-        if name in ("open", "io.open") and node.args and any(p.search(_text(node.args[0])) for p in _SENSITIVE):
-            return "file"
-        if name in ("os.getenv", "os.environ.get", "environ.get") and node.args and _SECRET.search(_text(node.args[0])):
-            return "env"
-    if isinstance(node, ast.Subscript) and dotted(node.value, names) in ("os.environ", "environ") and _SECRET.search(_text(node.slice)):
-        return "env"
-    return None
+class Reads:
+    """What the expressions of a file read: secrets by themselves, and names."""
 
+    def __init__(self, names: dict[str, str]):
+        self.names = names
+        self.seen: dict[int, list[tuple[int, str] | str]] = {}
 
-def _own(body: list[ast.stmt]) -> Iterator[ast.AST]:
-    """Nodes of a scope without those of the functions and classes in it."""
-    todo: list[ast.AST] = list(body)
-    while todo:
-        node = todo.pop()
-        yield node
-        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            todo += ast.iter_child_nodes(node)
+    def secret(self, node: ast.AST) -> str | None:
+        """The kind of secret that an expression itself reads."""
+        if isinstance(node, ast.Subscript):
+            key = node.slice if dotted(node.value, self.names) == "os.environ" else None
+            return "env" if key is not None and _SECRET.search(_texts(key)) else None
+        if not isinstance(node, ast.Call):
+            return None
+        if isinstance(node.func, ast.Attribute) and node.func.attr in ("read", "readline", "readlines"):
+            if inner := self.secret(node.func.value):
+                return inner
+        target = dotted(node.func, self.names)
+        first = _texts(node.args[0]) if node.args else ""
+        if target in ("open", "io.open") and any(p.search(first) for p in _SENSITIVE):
+            return "file"
+        if target in ("os.getenv", "os.environ.get") and _SECRET.search(first):
+            return "env"
+        return None
+
+    def of(self, expression: ast.AST) -> list[tuple[int, str] | str]:
+        """(line, kind) of secrets and names, in the order of a walk; worked out once for an expression."""
+        if id(expression) not in self.seen:
+            found: list[tuple[int, str] | str] = []
+            for n in ast.walk(expression):
+                if kind := self.secret(n):
+                    found.append((n.lineno, kind))
+                elif isinstance(n, ast.Name):
+                    found.append(n.id)
+            self.seen[id(expression)] = found
+        return self.seen[id(expression)]
+
+
+def _statements(body: Iterable[ast.stmt]) -> Iterator[ast.stmt]:
+    """The statements of a scope in source order; functions in it are listed, but not their bodies."""
+    for statement in body:
+        yield statement
+        if not isinstance(statement, _FUNCTIONS):
+            for name in ("body", "orelse", "finalbody"):
+                yield from _statements(getattr(statement, name, None) or [])
+            for handler in getattr(statement, "handlers", []):
+                yield from _statements(handler.body)
+
+
+def _bindings(statement: ast.stmt) -> Iterator[tuple[ast.AST, str]]:
+    """(value, plain name) that a statement binds."""
+    if isinstance(statement, ast.Assign):
+        pairs = [(statement.value, t) for t in statement.targets]
+    elif isinstance(statement, (ast.AnnAssign, ast.AugAssign)):
+        pairs = [(statement.value, statement.target)]
+    elif isinstance(statement, (ast.With, ast.AsyncWith)):
+        pairs = [(i.context_expr, i.optional_vars) for i in statement.items]
+    else:
+        return
+    for value, target in pairs:
+        if value is not None and isinstance(target, ast.Name):
+            yield value, target.id
 
 
 def flows(tree: ast.Module, names: dict[str, str]) -> list[tuple[int, str, int, str, str]]:
-    """(source line, its kind, sink line, sink, scope): secrets that reach a network call within a scope."""
-    scopes = [(MODULE, tree.body)] + [(n.name, n.body) for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    out = set()
-    for scope, body in scopes:
-        nodes = list(_own(body))
-        tainted: dict[str, tuple[int, str]] = {}
-
-        def taint(expr: ast.AST) -> tuple[int, str] | None:
-            for n in ast.walk(expr):
-                if kind := _source(n, names):
-                    return n.lineno, kind
-                if isinstance(n, ast.Name) and n.id in tainted:  # noqa: B023
-                    return tainted[n.id]  # noqa: B023
-            return None
+    """(source line, its kind, sink line, sink, scope): secrets that a scope binds to a name and that reach a network call in it.
 
-        edges = []
-        for n in nodes:
-            if isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and n.value is not None:
-                edges += [(n.value, t) for t in (n.targets if isinstance(n, ast.Assign) else [n.target])]
-            elif isinstance(n, (ast.With, ast.AsyncWith)):
-                edges += [(i.context_expr, i.optional_vars) for i in n.items if i.optional_vars is not None]
-        for _ in range(PASSES):
-            before = len(tainted)
-            for value, target in edges:
-                if found := taint(value):
-                    for t in ast.walk(target):
-                        if isinstance(t, ast.Name):
-                            tainted.setdefault(t.id, found)
-            if len(tainted) == before:
+    Which bindings feed which names is a small graph; it is followed from the names
+    bound to secrets, in source order, until nothing is added. A call gives one flow,
+    and so do calls of one line for the same source line.
+    """
+    reads = Reads(names)
+    out: list[tuple[int, str, int, str, str]] = []
+    scopes = [(MODULE, tree.body), *((n.name, n.body) for n in ast.walk(tree) if isinstance(n, _FUNCTIONS))]
+    for scope, body in scopes:
+        statements = list(_statements(body))
+        bound = [(name, reads.of(value)) for st in statements for value, name in _bindings(st)]
+        origin: dict[str, tuple[int, str]] = {}
+
+        def first(found: list, origin: dict = origin) -> tuple[int, str] | None:
+            return next((x if isinstance(x, tuple) else origin[x] for x in found if isinstance(x, tuple) or x in origin), None)
+
+        waiting = bound
+        while waiting:
+            left = []
+            for name, found in waiting:
+                if name not in origin:
+                    if come := first(found):
+                        origin[name] = come
+                    else:
+                        left.append((name, found))
+            if len(left) == len(waiting):
                 break
-        for n in nodes:
-            if isinstance(n, ast.Call) and dotted(n.func, names) in P.NETWORK_CALLS:
-                for a in [*n.args, *(k.value for k in n.keywords)]:
-                    if found := taint(a):
-                        out.add((found[0], found[1], n.lineno, dotted(n.func, names), scope))
+            waiting = left
+        if not origin:
+            continue
+        calls = {id(n): n for st in statements for n in ast.walk(st) if isinstance(n, ast.Call) and _networks(dotted(n.func, names))}
+        seen = set()
+        for call in calls.values():
+            come = next(filter(None, (first(reads.of(a)) for a in [*call.args, *(k.value for k in call.keywords)])), None)
+            if come and (come[0], call.lineno) not in seen:
+                seen.add((come[0], call.lineno))
+                out.append((*come, call.lineno, dotted(call.func, names), scope))
     return sorted(out)
 
 
@@ -149,15 +233,12 @@ def analyse(source: str) -> list[tuple]:
     """(kind, target, scope, line, detail) of one source."""
     try:
         tree = ast.parse(source or "")
+        found = Facts()
+        found.visit(tree)
+        taints = flows(tree, found.names)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [("parse_failed", None, MODULE, 0, "")]
-    facts = Facts()
-    try:
-        facts.visit(tree)
-        taints = flows(tree, facts.names)
-    except RecursionError:
-        return [("parse_failed", None, MODULE, 0, "")]
-    return facts.rows + [("flow", sink, scope, line, f"{kind}@{at}") for at, kind, line, sink, scope in taints]
+    return found.rows + [("flow", sink, scope, line, f"{kind}@{at}") for at, kind, line, sink, scope in taints]
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -165,38 +246,48 @@ def facts(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *r) for p, s in zip(batch["path"], batch["source"], strict=True) for r in analyse(s)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            for p, s in zip(batch["path"], batch["source"], strict=True):
+                yield pd.DataFrame([(p, *r) for r in analyse(s)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return files.select("path", "source").mapInPandas(work, SCHEMA)
 
 
 def code_signals(found: DataFrame) -> DataFrame:
-    """path, code, line: signals of calls, flows and literals, each once for a path, code and target."""
-    target, detail = F.col("target"), F.col("detail")
-    setup = F.col("path").rlike(r"(^|/)setup\.py$") & (F.col("scope") == MODULE)
-    is_in = lambda names: target.isin(names)
+    """path, code, key, line: signals of calls, flows and literals, each once for a path, code and key.
+
+    Calls of one function count once, so do literals that match one pattern; found: rows of facts().
+    """
+    from ..operators.signals import literal_codes, once
+
+    target, line = F.col("target"), F.col("line").cast("string")
+    base = F.element_at(F.split(target, r"\."), -1)
+    has = lambda mark: F.array_contains(F.split("detail", ","), mark)
+    network = target.isin(P.NETWORK_CALLS) | F.split(target, r"\.")[0].isin(*CLIENTS)
+    executes = base.isin(P.EXEC_CALLS)
+    setup = F.col("path").rlike(r"(^|[/\x01])setup\.py$")
+    names_setup = F.endswith(target, F.lit("setup"))
+    risky = target.isin(P.PROCESS_CALLS + P.NETWORK_CALLS + P.DECODE_CALLS) | executes
     rules = [
-        ("DECODE_THEN_EXEC", is_in(P.EXEC_CALLS) & F.contains(detail, F.lit("decoded"))),
-        ("DYNAMIC_EVAL", is_in(P.EXEC_CALLS) & ~F.contains(detail, F.lit("decoded"))),
-        ("PROCESS_SPAWN", is_in(P.PROCESS_CALLS)),
-        ("SHELL_TRUE", is_in(P.PROCESS_CALLS) & F.contains(detail, F.lit("shell"))),
-        ("NETWORK_ACCESS", is_in(P.NETWORK_CALLS)),
-        ("ENV_ACCESS", is_in(P.ENV_CALLS)),
-        ("DYNAMIC_IMPORT", is_in(P.IMPORT_CALLS) & ~F.contains(detail, F.lit("literal"))),
-        ("SETUP_PY_SIDE_EFFECTS", setup & (is_in(P.PROCESS_CALLS) | is_in(P.NETWORK_CALLS) | is_in(P.EXEC_CALLS))),
-    ]
-    literals = [
-        ("SENSITIVE_PATH_ACCESS", T.holds_any(detail, P.SENSITIVE_PATHS)),
-        ("CRYPTO_WALLET_ACCESS", T.holds_any(detail, P.CRYPTO_WALLETS)),
-        ("SUSPICIOUS_ENDPOINT", T.holds_any(detail, P.ENDPOINTS)),
-        ("FILE_WRITE_SENSITIVE", T.holds_any(detail, P.PERSISTENCE)),
-        ("HIGH_ENTROPY_STRING", T.encoded_payload(detail)),
+        ("DECODE_THEN_EXEC", line, executes & has("decoded")),
+        ("DYNAMIC_EVAL", base, executes & ~has("decoded")),
+        ("PROCESS_SPAWN", target, target.isin(P.PROCESS_CALLS)),
+        ("SHELL_TRUE", target, target.isin(P.PROCESS_CALLS) & has("shell")),
+        ("NETWORK_ACCESS", target, network),
+        ("ENV_ACCESS", F.lit("env"), target.isin(P.ENV_CALLS) | F.endswith(target, F.lit("getenv"))),
+        ("DYNAMIC_IMPORT", target, target.isin(P.IMPORT_CALLS) & has("computed")),
+        ("SETUP_PY_SIDE_EFFECTS", line, setup & risky & ~names_setup & has("module")),
+        ("SETUP_PY_SIDE_EFFECTS", F.lit("cmdclass"), setup & names_setup & has("cmdclass")),
     ]
-    codes = lambda some: F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in some]))
-    raised = F.when(F.col("kind") == "flow", F.array(F.lit("CONFIRMED_CREDENTIAL_EXFILTRATION"))).when(F.col("kind") == "call", codes(rules)).otherwise(codes(literals))
-    rows = found.where("kind IN ('call', 'flow', 'literal')").select("path", F.explode(raised).alias("code"), "target", "line")
-    return rows.groupBy("path", "code", "target").agg(F.min("line").alias("line")).select("path", "code", "line")
+    calls = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), key.alias("key"))) for code, key, c in rules]))
+    one = lambda code, key: F.array(F.struct(F.lit(code).alias("code"), key.alias("key")))
+    kind = F.col("kind")
+    raised = (
+        F.when(kind == "call", calls)
+        .when(kind == "env", one("ENV_ACCESS", F.lit("env")))
+        .when(kind == "flow", one("CONFIRMED_CREDENTIAL_EXFILTRATION", F.concat_ws(":", "scope", "detail", line)))
+        .when(kind == "literal", literal_codes(F.col("detail"), http=True, whole=True))
+    )
+    return once(found.select("path", "line", F.explode(raised).alias("c")))
 
 
 def call_edges(found: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def upsert_scans(spark: SparkSession, path: str, scans: DataFrame) -> None:
 
 
 def seeded_subset(rows: DataFrame, key: Column, limit: int, seed: int) -> DataFrame:
-    """A fixed random subset: the `limit` rows with the least hash of seed and key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(limit)
+    """A fixed random subset: the `limit` rows with the least MD5 of seed and key."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), key).limit(limit)
 
 
 def model_card(metrics: dict, importances: list[tuple[str, float]], features: list[str], version: int) -> str:

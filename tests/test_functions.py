@@ -240,7 +240,7 @@ def test_prefilter_changes_nothing(spark):
     texts = ["~/.SSH/id_rsa", "C:\\Login Data", "x /etc/shadow", "no such thing", "Start Menu/Programs/Startup", "os.dup2(s.fileno(), 0)", "subprocess.run(a, stdin=sock)", "nc -l host 80 -e", "DISCORD.com/api/webhooks/1", ".env.local", "seed phrase", "whoami", "", "powershell -nop -c New-Object System.Net.Sockets.X"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for family in (P.SENSITIVE_PATHS, P.CRYPTO_WALLETS, P.PERSISTENCE, P.ENDPOINTS, P.REVERSE_SHELLS, P.HOST_RECON):
-        plain = F.col("t").rlike("(?i)" + "|".join(f"({p})" for p, _ in family))
+        plain = F.col("t").rlike("(?i)" + "|".join(f"({p})" for p in family))
         assert df.where(T.holds_any(F.col("t"), family) != plain).collect() == []
 
 
@@ -254,29 +254,19 @@ def test_closure_and_paths_beyond_six_steps(spark):
     assert paths == {i: " > ".join(map(str, range(i + 1))) for i in range(1, 13)}
 
 
-def test_whole_queries_cover_their_tables(spark):
-    from larkspur.plans import catalogue
-
-    sf = "/root/testdata/sf0.001"
-    n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("lineitem", "events")}
-    got = {k: catalogue.QUERIES[k](spark, sf) for k in ("q19b_whole_manifest_json", "q24b_whole_verdict", "q25b_whole_exposure", "q26b_whole_advisory_join")}
-    assert got["q19b_whole_manifest_json"].where("project = 'event'").count() == n["events"]
-    assert got["q24b_whole_verdict"].count() == got["q25b_whole_exposure"].selectExpr("sum(flows)").first()[0] == n["lineitem"]
-    assert got["q26b_whole_advisory_join"].count() == n["lineitem"]
-
-
 def test_javascript_signals_of_long_sources(spark):
-    """A bundle above a million characters, a payload above 4,000 and a long array of strings."""
+    """A bundle above a million characters, whose beginning is one literal; a long payload; long arrays of strings."""
     from larkspur.sources import javascript
 
     payload = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+="[i * i * 7 % 64 ^ i % 61] for i in range(9000))
-    array = "[" + ",".join(f"'s{i}'" for i in range(60_000)) + "]"
-    rows = [("payload.js", f"const p = '{payload}';"), ("long.js", "const a = 1;\n" * 100_000 + "require('child_process').exec(x)"), ("array.js", f"var a = {array}; eval(a[0])"), ("few.js", "var a = ['x', 'y']; eval(a[0])")]
+    array = "[" + ",".join(f"'s{i}'" for i in range(60)) + "]"
+    long = "const p = '~/.npmrc';" + "const a = 1;\n" * 100_000 + "require('child_process').exec(x)"
+    rows = [("payload.js", f"const p = '{payload}';"), ("long.js", long), ("array.js", f"var a = {array}; eval(a[0])"), ("few.js", "var a = ['x', 'y']; eval(a[0])"), ("plain.js", f"var a = {array};")]
     files = spark.createDataFrame(rows, "path string, source string")
     got = {}
     for r in javascript.code_signals(files).collect():
         got.setdefault(r["path"], set()).add(r["code"])
-    assert got == {"payload.js": {"HIGH_ENTROPY_STRING"}, "long.js": {"PROCESS_SPAWN", "SHELL_TRUE"}, "array.js": {"STRING_ARRAY_DECODER", "DYNAMIC_EVAL"}, "few.js": {"DYNAMIC_EVAL"}}
+    assert got == {"payload.js": {"HIGH_ENTROPY_STRING"}, "long.js": {"SENSITIVE_PATH_ACCESS"}, "array.js": {"STRING_ARRAY_DECODER", "DYNAMIC_EVAL"}, "few.js": {"DYNAMIC_EVAL"}}
     assert {r["path"]: r["specifier"] for r in javascript.imports(files).collect()} == {"long.js": "child_process"}
 
 
@@ -292,5 +282,5 @@ def test_python_literals(spark):
 
     payload = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+="[i * i * 7 % 64 ^ i % 61] for i in range(9000))
     rows = [("a.py", f"x = 1\np = '{payload}'\n"), ("b.py", "u = 'https://webhook.site/x'"), ("c.py", "v = 'plain'")]
-    got = {tuple(r) for r in python_ast.code_signals(python_ast.facts(spark.createDataFrame(rows, "path string, source string"))).collect()}
+    got = {(r["path"], r["code"], r["line"]) for r in python_ast.code_signals(python_ast.facts(spark.createDataFrame(rows, "path string, source string"))).collect()}
     assert got == {("a.py", "HIGH_ENTROPY_STRING", 2), ("b.py", "SUSPICIOUS_ENDPOINT", 1)}
