@@ -15,10 +15,14 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in spark.checkpoint.dir. Only where that is unset, as in tests, a
-    temporary folder takes its place.
+    It lies in spark.checkpoint.dir. Only with a local master, as in tests, may that
+    be unset; a temporary folder takes its place.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_root()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _own_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
@@ -85,6 +89,24 @@ def doc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
+#: A key with more than this share of the rows is joined by broadcast; no more than so many such keys can exist.
+HEAVY = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """left joined with right by key, where right has one row a key and `count` says how many left rows have it.
+
+    Keys with more than a HEAVY-th of the total rows, HEAVY at most, meet by broadcast, so that none
+    of them fills a task; the others by a shuffle. The count leaves the result.
+    """
+    often = F.col(count) * HEAVY > F.lit(total)
+    hot = right.where(often).drop(count)
+    marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
+    few = marked.where("__hot").drop("__hot").join(F.broadcast(hot), key)
+    rest = marked.where("__hot IS NULL").drop("__hot").join(right.where(~often).drop(count), key)
+    return few.unionByName(rest)
+
+
 def keep_rows(docs: DataFrame, keepers: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of docs whose keys are in keepers, one for each key; all columns as they were.
 

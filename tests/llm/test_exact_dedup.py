@@ -40,3 +40,34 @@ def test_second_batch_meets_the_index(spark):
 
 def test_empty(spark, no_docs):
     assert exact_dedup.deduplicate(no_docs, exact_dedup.fresh_index(spark)).collect() == []
+
+
+def test_a_batch_that_is_run_again_gives_the_same_rows(spark):
+    index = exact_dedup.fresh_index(spark)
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact_dedup.deduplicate(docs((1, "a"), (2, "b")), index, batch="one").collect()
+    second = docs((3, "A"), (4, "c"), (5, "c"), (6, None))
+    first_run = sorted(map(tuple, exact_dedup.deduplicate(second, index, batch="two").collect()))
+    # The job died after its append and before its result was used.
+    assert sorted(map(tuple, exact_dedup.deduplicate(second, index, batch="two").collect())) == first_run
+    assert [r[3] for r in first_run] == [False, False, True, True]
+    assert index.rows().count() == 4
+    assert sorted(map(tuple, exact_dedup.deduplicate(second, index, batch="three").collect())) == [(*r[:3], False, r[4]) for r in first_run]
+    kept = exact_dedup.survivors(docs((7, "d"), (8, "a")), index, batch="four")
+    assert [r["doc_id"] for r in kept.collect()] == [7]
+
+
+def test_compacted_index_has_one_file_a_bucket(spark):
+    index = exact_dedup.fresh_index(spark)
+    for k in range(3):
+        exact_dedup.deduplicate(spark.createDataFrame([(k, f"t{k} {i}") for i in range(40)], "doc_id long, text string"), index).collect()
+    small = index.compacted(exact_dedup.shared_dir(spark, "compacted"))
+    assert sorted(small.rows().collect()) == sorted(index.rows().collect())
+    assert len(small.rows().inputFiles()) <= small.buckets < len(index.rows().inputFiles())
+
+
+def test_a_text_with_most_rows(spark):
+    rows = [(i, "the one text" if i % 3 else f"text {i}") for i in range(300)]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), exact_dedup.fresh_index(spark)).collect()
+    assert len(got) == 300 and {r["group_size"] for r in got} == {1, 200}
+    assert [r["doc_id"] for r in got if r["kept"] and r["group_size"] > 1] == [299]
