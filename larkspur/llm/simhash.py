@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, parts_of, text_of, written
+from .common import hot_join, keep_rows, parts_of, text_of, written
 from .components import components
 
 #: (lowest bit, bits) of the segments.
@@ -191,19 +191,24 @@ def links(distinct: DataFrame, partitions: int) -> DataFrame:
 
 
 def _grouped(fps: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
-    """(fp and root of its component, root and the component's least), of rows with fp."""
-    distinct = written(fps.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
+    """(fp, the rows with it and the root of its component, root and the component's least), of rows with fp."""
+    distinct = written(fps.groupBy("fp").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-distinct")
     roots = written(components(links(distinct.select("fp"), parts_of(fps.sparkSession))), "simhash-roots")
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return member.select("fp", "root"), written(member.groupBy("root").agg(F.min("least").alias("least")), "simhash-least")
+    member = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    return member.select("fp", "rows", "root"), written(member.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("members")), "simhash-least")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach."""
+    """doc_id, fp and component_id, the smallest doc_id that links reach.
+
+    A fingerprint that many rows have, or a component with many fingerprints, meets
+    its rows by broadcast.
+    """
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
     member, least = _grouped(fps, F.col("doc_id"))
-    ids = written(member.join(least, "root").select("fp", F.col("least").alias("component_id")), "simhash-ids")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    kinds, rows = member.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    ids = written(hot_join(member, least, "root", "members", kinds).select("fp", "rows", F.col("least").alias("component_id")), "simhash-ids")
+    return hot_join(fps, ids, "fp", "rows", rows).select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,3 +88,15 @@ def test_survivors_of_null_and_repeated_ids(spark):
     ids = {r["text"]: r["doc_id"] for r in got}
     assert [ids[t] for t in text] == [None, None, 7, 1, 5, 5]
     assert all(rows[r["row"]] == (r["doc_id"], r["text"]) for r in got)
+
+
+def test_hot_fingerprints_meet_by_broadcast(spark):
+    """A text that most rows have, beside others: the same result as by brute force."""
+    rows = [(i, "the one text that most rows have" if i % 4 else f"some other words {i} here and there {i * i}") for i in range(120)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    fp = {d: simhash.fingerprint(t, 4) for d, t in rows}
+    least = {}
+    for d in sorted(fp):
+        least[d] = min([least[e] for e in least if bin(fp[e] ^ fp[d]).count("1") <= 4], default=d)
+    assert {d: c for d, c in got.items() if d % 4} == {d: 1 for d in fp if d % 4}
+    assert len(got) == 120
