@@ -33,3 +33,24 @@ def test_odd_rows(spark):
     assert len(got) == 4 * 3
     empty = topk.integers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(empty, empty).collect() == []
+
+
+def test_many_dimensions_in_strips_and_clashing_columns(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (120, 3 * topk.STRIP + 5)).astype(np.float32)
+    rows = [(i, v.tolist(), 1, 2, "x", 0) for i, v in enumerate(x)]
+    ints = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>, row long, rank int, v string, block long").repartition(3))
+    got = {}
+    for q in topk.top_k(ints, ints.where("vec_id % 40 = 0"), 7).orderBy("query_id", "rank").collect():
+        got.setdefault(q["query_id"], []).append((q["vec_id"], q["score"]))
+    n = np.floor(x.astype(np.float64) * 256).astype(np.int64)
+    for i in (0, 40, 80):
+        want = n @ n[i]
+        order = [int(j) for j in np.lexsort((np.arange(120), -want)) if j != i][:7]
+        assert got[i] == [(j, int(want[j])) for j in order]
+
+
+def test_components_too_large_end_the_job(spark):
+    docs = spark.createDataFrame([(0, [1e30, 1.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds"):
+        topk.integers(docs).collect()
