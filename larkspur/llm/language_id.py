@@ -33,6 +33,8 @@ NOT_LETTERS = r"[^\p{L}]+"
 ORDER = 5
 #: The training sample: so many rows a language, by a hash of doc_id, of texts up to so many characters.
 SAMPLE_ROWS = 500
+#: Languages that are learned, those with the most labelled rows; what else a dirty column names is not.
+LANGUAGES = 200
 SAMPLE_CHARS = 200_000
 #: Every so manyth row of the sample calibrates the limit instead of training.
 CALIBRATION = 5
@@ -200,7 +202,8 @@ def _memo(models: Models) -> Memo:
 def fit(docs: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
     """Learn from a sample of the rows where `rows` holds; None if none has a language."""
     usable = docs.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    often = usable.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in often.collect()}
     if not sizes:
         return None
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_ROWS / v)))])

@@ -68,11 +68,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
         salted = rates.withColumn("__mix_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = wide.join(salted, F.col("__mix_key").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_salt") == F.col("__mix_to")))
     id_ = F.col(id_col)
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col("__mix_draws")),
-        F.lit(0),
-        lambda n, draw: n + F.size(F.filter("__mix_cdf", lambda c: c <= uniform(seed, id_, draw))),
-    )
+    # Each number is drawn once, before it is held against the distribution.
+    drawn = F.transform(F.sequence(F.lit(1), F.col("__mix_draws")), lambda draw: uniform(seed, id_, draw))
+    count = F.aggregate(drawn, F.lit(0), lambda n, x: n + F.size(F.filter("__mix_cdf", lambda c: c <= x)))
     if copy_col and copy_col in docs.columns:
         raise ValueError(f"docs has a column {copy_col}")
     name = copy_col or "__mix_copy"
