@@ -86,14 +86,10 @@ def score(files: DataFrame, candidates: DataFrame | None = None, popular: DataFr
 
 
 def scan_manifests(files: DataFrame) -> DataFrame:
-    """Requirements of all manifests of projects. files: project, path, text."""
-    named = lambda p: files.where(F.col("path").rlike(p)).select("project", "text")
-    found = [
-        manifests.package_json(named(r"(^|/)package\.json$")),
-        manifests.requirements_lines(named(r"(^|/)requirements[^/]*\.txt$")),
-        manifests.pyproject(named(r"(^|/)pyproject\.toml$")),
-        manifests.package_lock(named(r"(^|/)package-lock\.json$")).withColumnRenamed("version", "spec"),
-    ]
+    """Requirements of all manifests of projects, each by the reader of its name. files: project, path, text."""
+    read = {"package.json": manifests.package_json, "requirements.txt": manifests.requirements_lines, "pyproject.toml": manifests.pyproject, "package-lock.json": manifests.package_lock}
+    named = files.withColumn("__kind", manifests.kind_of(F.col("path")))
+    found = [f(named.where(F.col("__kind") == kind).select("project", "text")).toDF("project", "name", "spec", "kind") for kind, f in read.items()]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

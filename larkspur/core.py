@@ -28,9 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where a small input's few splits would leave most of them idle."""
+    """df over all cores, where a small input has no more splits than cores; several of them may hold no row at all."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() <= cores else df
 
 
 def local_session(app: str = "larkspur", cores: int = 8, shuffle: int = 8) -> SparkSession:

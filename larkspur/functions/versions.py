@@ -56,7 +56,7 @@ def range_groups(spec: Column) -> Column:
     tidy = F.regexp_replace(tidy, r"(\S+)\s+-\s+(\S+)", ">=$1 <=$2")
     zero = F.lit(0).cast("long")
     none, top = number(zero, zero, zero), number(F.lit(TOP), zero, zero)
-    pattern = r"^(\^|~|>=|<=|>|<|=)?v?([0-9]+|[xX*])?(?:\.([0-9]+|[xX*]))?(?:\.([0-9]+|[xX*]))?(?:-[0-9A-Za-z.\-]+)?$"
+    pattern = r"^(\^|~|>=|<=|>|<|=)?v?([0-9]+|[xX*])?(?:\.([0-9]+|[xX*]))?(?:\.([0-9]+|[xX*]))?(-[0-9A-Za-z.\-]+)?$"
 
     def interval(token: Column) -> Column:
         g = lambda i: F.regexp_extract(token, pattern, i)
@@ -69,9 +69,12 @@ def range_groups(spec: Column) -> Column:
         past = F.when(~given(2), top).when(~given(3), number(a + 1, F.lit(0), F.lit(0))).when(~given(4), number(a, b + 1, F.lit(0))).otherwise(number(a, b, c + 1))
         caret = F.when(~given(2), top).when((a > 0) | ~given(3), number(a + 1, F.lit(0), F.lit(0))).when((b > 0) | ~given(4), number(a, b + 1, F.lit(0))).otherwise(number(a, b, c + 1))
         tilde = F.when(~given(2), top).when(~given(3), number(a + 1, F.lit(0), F.lit(0))).otherwise(number(a, b + 1, F.lit(0)))
+        # Of releases, those above a prerelease begin with its own release.
+        pre = g(5) != ""
+        past = F.when(pre, at).otherwise(past)
         low = F.when(op == ">", past).when(op.isin("<", "<="), none).otherwise(at)
         high = F.when(op.isin(">", ">="), top).when(op == "<", at).when(op == "^", caret).when(op == "~", tilde).otherwise(past)
-        good = token.rlike(pattern)
+        good = token.rlike(pattern) & ~(pre & op.isin("", "="))
         return F.struct(F.when(good, low).otherwise(top).alias("low"), F.when(good, high).otherwise(none).alias("high"))
 
     def group(text: Column) -> Column:

@@ -28,3 +28,12 @@ def digest_matches(content: Column, sha256: Column, sha512_integrity: Column, sh
         .when(F.startswith(sha512_integrity, F.lit("sha512-")), F.concat(F.lit("sha512-"), F.base64(F.unhex(F.sha2(content, 512)))) == sha512_integrity)
         .when(sha1.isNotNull(), F.sha1(content) == F.lower(sha1))
     )
+
+
+def summary(diff: DataFrame, same_version: Column | None = None) -> DataFrame:
+    """One row: added, modified and removed files, sensitive ones among them, and a note; same_version: whether both sides are one version."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    out = diff.agg(count("added"), count("modified"), count("removed"), F.count_if("sensitive").alias("sensitive"))
+    changed = F.col("added") + F.col("modified") + F.col("removed") > 0
+    note = F.when(~changed, "identical").when(F.col("sensitive") > 0, "files that run at installation changed")
+    return out.withColumn("note", note if same_version is None else F.when(same_version & changed, "one version with different files").otherwise(note))

@@ -130,3 +130,19 @@ def curves(scored: DataFrame) -> DataFrame:
     pos, neg = c.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum(F.col("cnt") - F.col("pos")), F.lit(0))).first()
     share = lambda x, of: F.coalesce(F.try_divide(x, F.lit(of)), F.lit(0.0))
     return c.select("score", (F.col("tp") / F.col("n")).alias("precision"), share(F.col("tp"), pos).alias("recall"), share(F.col("n") - F.col("tp"), neg).alias("false_positive_rate"))
+
+
+def matrix_summary(rows: DataFrame, source: str, label: str, counted: str) -> DataFrame:
+    """Rows and distinct values of a column by source and label, by label, and in all."""
+    return rows.groupingSets([[source, label], [label], []], source, label).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(counted).alias(f"distinct_{counted}"))
+
+
+def by_tool(truth: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """tool, counts and metrics of each tool's verdicts on the rows that it covers. truth: key, label; verdicts: key, tool, score."""
+    return metrics_by(verdicts.join(truth.select(key, "label"), key), ["tool"])
+
+
+def ensemble(scored: DataFrame, first: str, second: str) -> DataFrame:
+    """rule, counts and metrics of two scores: either flags, or both do."""
+    rows = scored.select("label", F.explode(F.array(F.struct(F.lit("either").alias("rule"), F.greatest(first, second).alias("score")), F.struct(F.lit("both").alias("rule"), F.least(first, second).alias("score")))).alias("e"))
+    return metrics_by(rows.select("label", "e.*"), ["rule"])

@@ -48,6 +48,16 @@ def _log(c: Column) -> Column:
     return F.log1p(F.greatest(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
+def language(path: Column) -> Column:
+    """python or javascript by a path's suffix, null for anything else."""
+    return F.when(F.lower(path).rlike(r"\.pyi?$"), "python").when(F.lower(path).rlike(r"\.(js|mjs|cjs|jsx)$"), "javascript")
+
+
+def age_days(published: Column, now: Column) -> Column:
+    """Days from publication to now, with fractions; null where it is unknown."""
+    return F.timestamp_diff("SECOND", published, now) / 86400.0
+
+
 def is_source() -> Column:
     """Whether a file is one that the engine analyses. Columns: path, text."""
     path = F.lower("path")

@@ -77,6 +77,17 @@ def variant_matches(candidates: DataFrame, popular: DataFrame) -> DataFrame:
     return rows.join(popular.select(F.col("name").alias("target")).distinct(), "target").select("candidate", "target", "kind", "distance").distinct()
 
 
+def within_band(candidates: DataFrame, popular: DataFrame, band: int, edits: int) -> DataFrame:
+    """bare, target, edits: pairs of different names whose lengths differ by at most `band` and plain edits by at most `edits`.
+
+    candidates: bare; popular: name. Each popular name is copied to the lengths that it can meet, so the join is on equal lengths.
+    """
+    c = candidates.withColumn("size", F.char_length("bare"))
+    p = popular.select(F.col("name").alias("target")).distinct().withColumn("size", F.explode(F.transform(F.sequence(F.lit(-band), F.lit(band)), lambda d: F.char_length("target") + d)))
+    close = c.join(p, "size").where(F.col("target") != F.col("bare")).withColumn("edits", F.levenshtein("bare", "target", edits))
+    return close.where("edits >= 0").drop("size")
+
+
 def near_misses(candidates: DataFrame, popular: DataFrame, band: int = 3, ceiling: float = 2.0) -> DataFrame:
     """Popular names whose length differs by at most `band` and whose weighted distance is at most `ceiling`.
 
@@ -84,11 +95,9 @@ def near_misses(candidates: DataFrame, popular: DataFrame, band: int = 3, ceilin
     on equal lengths; the plain edit distance, bounded, leaves few for the weighted one
     (an edit costs 0.6 at least, so more than ceiling / 0.6 edits can't pass).
     """
-    c = candidates.select(F.col("name").alias("candidate"), bare(F.col("name")).alias("bare")).where(F.char_length("bare") >= 3).withColumn("size", F.char_length("bare"))
-    p = popular.select(F.col("name").alias("target")).distinct().withColumn("size", F.explode(F.transform(F.sequence(F.lit(-band), F.lit(band)), lambda d: F.char_length("target") + d)))
+    c = candidates.select(F.col("name").alias("candidate"), bare(F.col("name")).alias("bare")).where(F.char_length("bare") >= 3)
     # A transposition is two plain edits at most.
-    bound = int(2 * ceiling / 0.6)
-    close = c.join(p, "size").where((F.col("target") != F.col("bare")) & (F.levenshtein("bare", "target", bound) >= 0))
+    close = within_band(c, popular, band, int(2 * ceiling / 0.6))
     scored = close.withColumn("distance", weighted_dl("bare", "target", F.lit(ceiling)))
     return scored.where(F.col("distance") <= ceiling).select("candidate", "target", F.lit("near_miss").alias("kind"), "distance")
 
@@ -101,3 +110,11 @@ def typosquats(candidates: DataFrame, popular: DataFrame) -> DataFrame:
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     by = Window.partitionBy("candidate").orderBy(order[F.col("kind")], "distance", "target")
     return found.withColumn("place", F.row_number().over(by)).where("place = 1").drop("place")
+
+
+def popular_list(found: list[DataFrame], fallback: DataFrame) -> DataFrame:
+    """The distinct names of several sources and the fallback. Each has name."""
+    out = fallback.select("name")
+    for f in found:
+        out = out.unionByName(f.select("name"))
+    return out.where("name IS NOT NULL AND name <> ''").distinct()

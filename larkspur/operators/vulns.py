@@ -21,6 +21,11 @@ def package_key(ecosystem: Column, name: Column, version: Column) -> Column:
     return F.concat_ws(":", ecosystem, F.lower(name), version)
 
 
+def matched(findings: DataFrame, packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Findings with their package's and advisory's columns; those without either are left out. Keys: package and advisory."""
+    return findings.join(packages, "package").join(advisories, "advisory")
+
+
 def deduplicated(findings: DataFrame) -> DataFrame:
     """The most informative finding of each package and CVE; its fixed version, or the first other one.
 
@@ -58,6 +63,11 @@ def remediation(findings: DataFrame, ids: int = 12) -> DataFrame:
     )
 
 
+def remediation_plan(findings: DataFrame, packages: DataFrame) -> DataFrame:
+    """The upgrades of packages that a scan has, with their present version, in order: reachable fixes, all fixes, name. packages: package, version, is_direct."""
+    return remediation(findings).join(packages, "package").orderBy(F.col("reachable_fixes").desc(), F.col("fixes").desc(), "package")
+
+
 def reachability(findings: DataFrame, analysed: DataFrame, imported: DataFrame, called: DataFrame) -> DataFrame:
     """Verdict and confidence: not_analysed, not_imported, assumed_reachable, reachable or symbol_not_called.
 

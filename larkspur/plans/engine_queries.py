@@ -3,6 +3,7 @@ together from its columns, so that SQL can say from the columns alone what must
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -615,3 +616,153 @@ def hook_rows(spark, sf_dir) -> DataFrame:
     commands = F.array(*[F.lit(c) for _, c in X.HOOKS])
     p = part(spark, sf_dir)
     return p.select(F.expr("concat('hook', p_partkey)").alias("hook"), F.concat(commands[(F.col("p_partkey") % len(X.HOOKS)).cast("int")], F.when(F.col("p_size") % 2 == 0, F.lit(" #")).otherwise(F.lit(" --silent https://e/")), F.col("p_partkey").cast("string")).alias("command"))
+
+
+#: A requirements file for each supplier: continued, commented, option and remote lines.
+_LINES = "concat('# heading\\n-r other.txt\\nReq', s_suppkey, '[extra1,extra2] == 1.', s_suppkey % 5, ' ; python_version > ''3''  # why\\nflask>=2.0, \\\\\\n  <3\\n\\ngit+https://g/x', s_suppkey, '.git#egg=x\\n--hash=sha256:0\\nSix', CASE WHEN s_suppkey % 2 = 0 THEN '\\r\\n' ELSE '' END)"
+
+
+@query(
+    "q18_manifest_requirements",
+    "SELECT s_name AS project, unnest(['req' || s_suppkey, 'flask', 'git+https://g/x' || s_suppkey || '.git#egg=x', 'six']) AS name, unnest(['==1.' || (s_suppkey % 5), '>=2.0,<3', '', '']) AS spec, unnest(['locked', 'runtime', 'warning', 'runtime']) AS kind FROM supplier",
+)
+def q18(spark, sf_dir):
+    from ..sources import manifests
+
+    lines = _LINES.replace("''3''", "\\'3\\'")
+    return manifests.requirements_lines(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"), F.expr(lines).alias("text")))
+
+
+_TOML = "concat('[project]\\nname = \"x\"\\ndependencies = [\"Req', s_suppkey, '[e]>=', s_suppkey % 4, '\", \"six ; python_version > \\'3\\'\"]\\n[tool.poetry.dependencies]\\npython = \"^3\"\\nattrs = \"^', s_suppkey % 3, '\"\\nlib = {version = \"1.', s_suppkey % 7, '\", optional = true}\\n[tool.poetry.dev-dependencies]\\npytest = \"*\"\\n')"
+
+
+@query(
+    "q20c_manifest_pyproject",
+    "SELECT s_name AS project, unnest(['req' || s_suppkey, 'six', 'attrs', 'lib', 'pytest']) AS name, unnest(['>=' || (s_suppkey % 4), '', '^' || (s_suppkey % 3), '1.' || (s_suppkey % 7), '*']) AS spec, unnest(['runtime', 'runtime', 'runtime', 'runtime', 'dev']) AS kind FROM supplier",
+)
+def q20c(spark, sf_dir):
+    from ..sources import manifests
+
+    return manifests.pyproject(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"), F.expr(_TOML).alias("text")))
+
+
+_LOCK1 = "concat('{\"lockfileVersion\":1,\"dependencies\":{\"a', s_suppkey, '\":{\"version\":\"1.0\",\"dependencies\":{\"@s/b\":{\"version\":\"2.', s_suppkey % 5, '\",\"dev\":true,\"dependencies\":{\"c\":{\"version\":\"3.0\"}}}}},\"d\":{\"version\":\"4.0\"}}}')"
+
+
+@query("q69c_lockfile_version_1", "SELECT s_name AS project, unnest(['a' || s_suppkey, '@s/b', 'c', 'd']) AS name, unnest(['1.0', '2.' || (s_suppkey % 5), '3.0', '4.0']) AS version, unnest(['locked', 'dev', 'locked', 'locked']) AS kind FROM supplier")
+def q69c(spark, sf_dir):
+    from ..sources import manifests
+
+    return manifests.package_lock(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"), F.expr(_LOCK1).alias("text")))
+
+
+@query(
+    "q90_project_manifests",
+    "SELECT s_name AS project, unnest(['left-pad', 'jest', 'six', 'attrs', 'p' || s_suppkey]) AS name, unnest(['^' || (s_suppkey % 4), '^29', '==1.0', '>=2', '1.2.3']) AS spec, unnest(['runtime', 'dev', 'locked', 'runtime', 'locked']) AS kind FROM supplier",
+)
+def q90(spark, sf_dir):
+    files = [
+        ("app/package.json", "concat('{\"dependencies\":{\"left-pad\":\"^', s_suppkey % 4, '\"},\"devDependencies\":{\"jest\":\"^29\"},\"peerDependencies\":{\"react\":\"*\"}}')"),
+        ("requirements-dev.txt", "'six==1.0\\n'"),
+        ("pyproject.toml", "'[project]\\ndependencies = [\"attrs>=2\", \"six>=0.9\"]\\n'"),
+        ("package-lock.json", "concat('{\"packages\":{\"node_modules/p', s_suppkey, '\":{\"version\":\"1.2.3\"}}}')"),
+    ]
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.expr(t).alias("text")) for p, t in files])).alias("f")).select("project", "f.*")
+    return api.scan_manifests(rows).select("project", "name", "spec", "kind")
+
+
+@query(
+    "q88_pep440_resolution",
+    "SELECT 'n' || p_partkey AS name, ['>=1.0,<2', '==1.*', '~=1.4', '!=2.0', '>=3.0rc1', '==2'][p_partkey % 6 + 1] AS spec, ['1.10', '1.10', '1.10', '1.10', '3.0rc1', '2.0.0'][p_partkey % 6 + 1] AS version FROM part",
+)
+def q88(spark, sf_dir):
+    from ..functions import pep440
+
+    k = part(spark, sf_dir).select(F.expr("concat('n', p_partkey)").alias("name"), (F.col("p_partkey") % 6).cast("int").alias("r"))
+    specs = F.array(*map(F.lit, [">=1.0,<2", "==1.*", "~=1.4", "!=2.0", ">=3.0rc1", "==2"]))
+    versions = k.select("name", F.explode(F.array(*map(F.lit, ["1.2", "1.10", "2.0.0", "3.0rc1", "1.5.dev1", "junk"]))).alias("version"))
+    return pep440.resolve(k.select("name", specs[F.col("r")].alias("spec")), versions)
+
+
+@query("q88b_pep440_equality", "SELECT p_size, p_size % 2 = 0 AS agrees, count(*) AS n FROM part GROUP BY ALL")
+def q88b(spark, sf_dir):
+    from ..functions import pep440
+
+    a, b = F.expr("concat('v1.', p_size, '.0-ALPHA.1')"), F.expr("concat('1.', p_size, CASE WHEN p_size % 2 = 0 THEN 'a1' ELSE 'b1' END)")
+    return part(spark, sf_dir).groupBy("p_size", pep440.same(a, b).alias("agrees")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q89_diff_summary", "WITH o AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 <> 3), n AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 2), d AS (SELECT k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN k % 4 = 1 THEN 'modified' END AS status FROM o FULL JOIN n USING (k)) "
+       "SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'modified') AS modified, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status IS NOT NULL AND k % 10 = 0) AS sensitive, 'files that run at installation changed' AS note FROM d")
+def q89(spark, sf_dir):
+    from ..operators import diffs
+
+    path = F.expr("concat('p', p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '/setup.py' ELSE '/a.py' END)")
+    side = lambda tag, keep: part(spark, sf_dir).where(keep).select(path.alias("path"), F.expr(f"CASE WHEN p_partkey % 4 = 1 THEN '{tag}' ELSE 'x' END").cast("binary").alias("content"))
+    old, new = side("old", "p_partkey % 7 <> 3"), side("new", "p_partkey % 5 <> 2")
+    return diffs.summary(api.compare(spark, old, new))
+
+
+@query("q12b_package_ages", "SELECT o_orderkey, round(date_diff('second', o_orderdate::TIMESTAMP, TIMESTAMP '1998-08-02 12:00:00') / 86400.0, 6)::DOUBLE AS age FROM orders")
+def q12b(spark, sf_dir):
+    age = features.age_days(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-02 12:00:00").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(age, 6).alias("age"))
+
+
+@query(
+    "q91_archive_members",
+    "SELECT archive, path, sum(n_chars) AS size, count(*) AS n FROM (SELECT 'a' || doc_id AS archive, unnest(['f' || (doc_id % 3) || '.py', 'sub/b.txt']) AS path, 3 AS n_chars FROM documents) GROUP BY ALL",
+)
+def q91(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def packed(keys: pd.Series) -> pd.Series:
+        import io
+        import tarfile
+        import zipfile
+
+        def one(k: int) -> bytes:
+            out = io.BytesIO()
+            members = {f"pkg-{k}/f{k % 3}.py": b"x=1", f"pkg-{k}/sub/b.txt": b"abc", "../evil.py": b"no"}
+            if k % 2:
+                with zipfile.ZipFile(out, "w") as z:
+                    for n, d in members.items():
+                        z.writestr(n, d)
+            else:
+                with tarfile.open(fileobj=out, mode="w:gz") as t:
+                    for n, d in members.items():
+                        info = tarfile.TarInfo(n)
+                        info.size = len(d)
+                        t.addfile(info, io.BytesIO(d))
+            return out.getvalue()
+
+        return keys.map(one)
+
+    docs = table(spark, sf_dir, "documents").select(F.expr("concat('a', doc_id)").alias("archive"), packed("doc_id").alias("content"))
+    return archives.members(docs).groupBy("archive", "path").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+
+
+@query("q92_evidence", "SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE left(t, 219) || '…' END AS evidence FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents)")
+def q92(spark, sf_dir):
+    from ..functions import text as T
+
+    return table(spark, sf_dir, "documents").select("doc_id", T.evidence(F.coalesce("text", F.lit(""))).alias("evidence"))
+
+
+@query(
+    "q90b_preferred_manifests",
+    "SELECT s_name AS project, e AS ecosystem, CASE e WHEN 'npm' THEN CASE WHEN s_suppkey % 2 = 0 THEN 'package-lock.json' ELSE 'package.json' END ELSE CASE WHEN s_suppkey % 3 = 0 THEN 'requirements.txt' ELSE 'pyproject.toml' END END AS path FROM supplier, (VALUES ('npm'), ('pypi')) AS v(e)",
+)
+def q90b(spark, sf_dir):
+    from ..sources import manifests
+
+    paths = F.expr("array_compact(array('package.json', 'pyproject.toml', 'sub/package-lock.json', 'readme.md', CASE WHEN s_suppkey % 2 = 0 THEN 'package-lock.json' END, CASE WHEN s_suppkey % 3 = 0 THEN 'requirements.txt' END))")
+    files = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"), F.explode(paths).alias("path"), F.lit("{}").alias("text"))
+    return manifests.preferred(files).select("project", "ecosystem", "path")
+
+
+@query("q58c_importing_modules", "SELECT 'My-Lib' || (p_size % 5) AS package, 'm' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'PyYAML', 'm' || p_partkey || '.py' FROM part WHERE p_partkey % 3 = 1")
+def q58c(spark, sf_dir):
+    source = "concat(CASE p_partkey % 3 WHEN 0 THEN concat('import my_lib', p_size % 5, '.core as c') WHEN 1 THEN 'from YAML.x import y' ELSE 'from . import yaml' END, '\\nimport os\\n')"
+    files = part(spark, sf_dir).select(F.expr("concat('m', p_partkey, '.py')").alias("path"), F.expr(source).alias("source"))
+    packages = part(spark, sf_dir).select(F.expr("concat('My-Lib', p_size % 5)").alias("package"), F.array().cast("array<string>").alias("aliases")).unionByName(spark.createDataFrame([("PyYAML", ["yaml"])], "package string, aliases array<string>")).distinct()
+    return python_ast.importing_modules(python_ast.facts(files), packages)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import table
-from ..operators import diffs, evaluation, graph, history, ml, vulns
+from ..operators import diffs, evaluation, features, graph, history, ml, names, vulns
 from ..functions import patterns as P
-from ..sources import archives, store
+from ..sources import archives, shipped, store
 from ..streaming import incremental
 
 QUERIES: dict = {}
@@ -56,10 +56,9 @@ def q26(spark, sf_dir):
 
 
 def advisory_join(spark, sf_dir, found: DataFrame) -> DataFrame:
-    f = found.withColumn("order_key", F.expr("ord div 8"))
     part = table(spark, sf_dir, "part").select(F.expr("concat('pkg', p_partkey)").alias("package"), F.col("p_name").alias("name"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
-    return f.join(part, "package").join(orders, "order_key").select("package", "id", "name", "status")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("advisory"), F.col("o_orderstatus").alias("status"))
+    return vulns.matched(found.withColumn("advisory", F.expr("ord div 8")), part, orders).select("package", "id", "name", "status")
 
 
 @query(
@@ -83,6 +82,15 @@ def q28(spark, sf_dir):
     return vulns.remediation(findings(spark, sf_dir)).withColumn("worst", F.col("worst").cast("int")).withColumn("ids", F.array_join("ids", ","))
 
 
+@query(
+    "q28b_ordered_plan",
+    f"WITH {FINDINGS}, r AS (SELECT package, count(*) AS fixes, count(*) FILTER (WHERE reachable) AS reachable_fixes FROM findings WHERE fixed IS NOT NULL GROUP BY package) SELECT package, p_name AS version, fixes, reachable_fixes FROM r JOIN part ON package = 'pkg' || p_partkey WHERE p_partkey % 2 = 0",
+)
+def q28b(spark, sf_dir):
+    packages = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.expr("concat('pkg', p_partkey)").alias("package"), F.col("p_name").alias("version"), F.lit(True).alias("is_direct"))
+    return vulns.remediation_plan(findings(spark, sf_dir), packages).select("package", "version", "fixes", "reachable_fixes")
+
+
 _SEV = ", ".join([f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in vulns.RANKS] + [f"count(*) FILTER (WHERE severity = '{s}' AND reachable) AS reachable_{s.lower()}" for s in vulns.RANKS])
 
 
@@ -248,10 +256,10 @@ def q36(spark, sf_dir):
     return vulns.last_write(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts"), "user_id", F.struct("ts", "event_id")).drop("ts")
 
 
-@query("q41_matrix_summary", "SELECT source, quality, count(*) AS n, count(DISTINCT lang) AS languages FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source, quality), (quality), ())")
+@query("q41_matrix_summary", "SELECT source, quality, count(*) AS n, count(DISTINCT lang) AS distinct_lang FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source, quality), (quality), ())")
 def q41(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
-    return rows.groupingSets([["source", "quality"], ["quality"], []], "source", "quality").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("languages"))
+    return evaluation.matrix_summary(rows, "source", "quality", "lang")
 
 
 @query("q37_integrity_check", "SELECT doc_id AS sample_id, CASE WHEN text IS NULL OR doc_id % 5 = 1 THEN 'missing' ELSE 'corrupt' END AS problem FROM documents WHERE text IS NULL OR doc_id % 5 = 1 OR doc_id % 7 = 2")
@@ -344,14 +352,21 @@ def q46(spark, sf_dir):
 
 @query(
     "q51_ensemble_agreement",
-    f"WITH {_SCORED}, e AS (SELECT 'either' AS rule, {_COUNTS.format(p='(score >= 0.5 OR other >= 0.5)')} FROM scored UNION ALL SELECT 'both', {_COUNTS.format(p='(score >= 0.5 AND other >= 0.5)')} FROM scored) SELECT rule, tp, fp, fn, tn, {_METRICS} FROM e",
+    f"WITH {_SCORED}, e AS (SELECT 'either' AS rule, {_COUNTS.format(p='(score >= 0.5 OR other >= 0.5)')} FROM scored UNION ALL SELECT 'both', {_COUNTS.format(p='(score >= 0.5 AND other >= 0.5)')} FROM scored) SELECT rule, tp, fp, fn, tn, {_METRICS.split(' AS accuracy, ')[1]} FROM e",
 )
 def q51(spark, sf_dir):
+    return _rounded(evaluation.ensemble(scored(spark, sf_dir), "score", "other"))
+
+
+@query(
+    "q51b_published_verdicts",
+    f"WITH {_SCORED}, v AS (SELECT doc_id, 'a' AS tool, score FROM scored WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 'b', other FROM scored), j AS (SELECT tool, v.score, label FROM v JOIN scored USING (doc_id)), "
+    f"e AS (SELECT tool, {_COUNTS.format(p='score >= 0.5')} FROM j GROUP BY tool) SELECT tool, tp, fp, fn, tn, {_METRICS.split(' AS accuracy, ')[1]} FROM e",
+)
+def q51b(spark, sf_dir):
     s = scored(spark, sf_dir)
-    either = s.withColumn("score", F.greatest("score", "other"))
-    both = s.withColumn("score", F.least("score", "other"))
-    rows = ml.confusion(either).withColumn("rule", F.lit("either")).unionByName(ml.confusion(both).withColumn("rule", F.lit("both")))
-    return _rounded(rows)
+    verdicts = s.where("doc_id % 3 > 0").select("doc_id", F.lit("a").alias("tool"), "score").unionByName(s.select("doc_id", F.lit("b").alias("tool"), F.col("other").alias("score")))
+    return _rounded(evaluation.by_tool(s, verdicts, "doc_id"))
 
 
 @query(
@@ -418,27 +433,27 @@ def q59(spark, sf_dir):
 @query(
     "q60_path_filters",
     "WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/?', '') AS path FROM pages) SELECT page_id, regexp_matches(lower(path), '" + P.SKIPPED_PATH + "') AS skipped, "
-    "regexp_matches(path, '(^|/)\\.\\.(/|$)|^/') AS unsafe, CASE WHEN suffix(path, '.py') THEN 'python' WHEN regexp_matches(path, '\\.(js|mjs|cjs|jsx)$') THEN 'javascript' ELSE 'other' END AS language FROM p",
+    "regexp_matches(path, '(^|/)\\.\\.(/|$)|^/') AS unsafe, CASE WHEN regexp_matches(lower(path), '\\.pyi?$') THEN 'python' WHEN regexp_matches(lower(path), '\\.(js|mjs|cjs|jsx)$') THEN 'javascript' ELSE 'other' END AS language FROM p",
 )
 def q60(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://[^/]*/?", "").alias("path"))
-    language = F.when(F.endswith("path", F.lit(".py")), "python").when(F.col("path").rlike(r"\.(js|mjs|cjs|jsx)$"), "javascript").otherwise("other")
+    language = F.coalesce(features.language(F.col("path")), F.lit("other"))
     return p.select("page_id", F.lower("path").rlike(P.SKIPPED_PATH).alias("skipped"), archives.unsafe_path(F.col("path")).alias("unsafe"), language.alias("language"))
 
 
 @query(
-    "q61_shallowest_basename",
-    "WITH p AS (SELECT page_id, url, length(url) - length(replace(url, '/', '')) AS depth, regexp_extract(url, '[^/]*$') AS base FROM pages) SELECT base, min(depth) AS depth, count(*) AS n FROM p GROUP BY base",
+    "q61_shallowest_file",
+    "SELECT package, text FROM (SELECT page_id % 40 AS package, page_id::VARCHAR AS text, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id % 3, 'd/' || page_id || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/x' ELSE '/x/y' END || '/PKG-INFO') AS n FROM pages WHERE page_id % 4 > 0) WHERE n = 1",
 )
 def q61(spark, sf_dir):
-    depth = F.char_length("url") - F.char_length(F.replace("url", F.lit("/"), F.lit("")))
-    p = table(spark, sf_dir, "pages").select(depth.cast("long").alias("depth"), F.substring_index("url", "/", -1).alias("base"))
-    return p.groupBy("base").agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("n"))
+    path = F.expr("concat('d/', page_id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/x' ELSE '/x/y' END, CASE WHEN page_id % 4 > 0 THEN '/PKG-INFO' ELSE '/OTHER' END)")
+    files = table(spark, sf_dir, "pages").select(F.expr("page_id % 40").alias("package"), path.alias("path"), F.col("page_id").cast("string").alias("text"))
+    return shipped.shallowest_file(files, ["PKG-INFO"])
 
 
-@query("q63_popular_union", "SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT p_brand FROM part)")
+@query("q63_popular_union", "SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT n_name FROM nation) WHERE name <> ''")
 def q63(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.select(F.col("p_name").alias("name")).union(part.select("p_brand")).distinct()
+    return names.popular_list([part.select(F.col("p_name").alias("name")), part.select(F.col("p_brand").alias("name"))], table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
 
 

@@ -260,10 +260,8 @@ HOOK = [
 )
 def q15(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    a = n.select(F.col("name").alias("candidate"), F.char_length("name").alias("size"))
-    b = n.select(F.col("name").alias("target"), F.explode(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda d: F.char_length("name") + d)).alias("size"))
-    near = a.join(b, "size").where("candidate <> target").withColumn("distance", F.levenshtein("candidate", "target", 5))
-    return near.where("distance >= 0").select("candidate", "target", "distance")
+    near = names.within_band(n.select(F.col("name").alias("bare")), n, 3, 5)
+    return near.select(F.col("bare").alias("candidate"), "target", F.col("edits").alias("distance"))
 
 
 _VERSIONS = "(p_size % 4) || '.' || CASE WHEN p_partkey % 13 = 0 THEN 20240100 + p_partkey % 6 ELSE p_partkey % 6 END || '.' || (p_partkey % 9) || CASE WHEN p_partkey % 11 = 0 THEN '-beta.' || (p_partkey % 3) ELSE '' END"
@@ -290,15 +288,6 @@ def q17(spark, sf_dir):
     return hit.groupBy("range").agg(F.count(F.lit(1)).alias("matching"), F.max_by("version", "key").alias("best"))
 
 
-@query(
-    "q18_manifest_requirements",
-    "SELECT * FROM (VALUES ('demo', 'requests', '==2.31.0', 'locked'), ('demo', 'flask', '>=2.0,<3', 'runtime'), ('demo', 'uvicorn', '~=0.23', 'runtime'), ('demo', 'git+https://example.org/x.git#egg=x', '', 'warning'), "
-    "('demo', 'numpy', '>=1.20', 'runtime'), ('bare', 'six', '', 'runtime'), ('bare', 'pyyaml', '>=5', 'runtime')) AS t(project, name, spec, kind)",
-)
-def q18(spark, sf_dir):
-    return manifests.requirements_lines(X.table(spark, X.REQUIREMENT_FILES, "project, text"))
-
-
 @query(
     "q19_manifest_json",
     "SELECT 'event' AS project, 'k' AS name, json_extract_string(props, '$.k') AS spec, event_type AS kind FROM events "

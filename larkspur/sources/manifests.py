@@ -122,3 +122,27 @@ def merged(requirements: DataFrame) -> DataFrame:
     """One spec per project and name; locked before runtime before dev."""
     order = F.when(F.col("kind") == "locked", 0).when(F.col("kind") == "runtime", 1).otherwise(2)
     return requirements.where("kind <> 'warning'").groupBy("project", "name").agg(F.min_by(F.struct("spec", "kind"), F.struct(order, "spec")).alias("b")).select("project", "name", "b.*")
+
+
+#: The manifests of a project's top folder, the preferred one of each ecosystem first.
+PREFERRED = {"npm": ["package-lock.json", "package.json"], "pypi": ["requirements.txt", "pyproject.toml"]}
+
+
+def kind_of(path: Column) -> Column:
+    """Which reader a manifest of this name has; null where it has none."""
+    name = F.element_at(F.split(path, "/"), -1)
+    lower = F.lower(name)
+    return (
+        F.when(name.isin(*[n for names in PREFERRED.values() for n in names]), name)
+        .when(F.endswith(name, F.lit(".txt")) & F.contains(lower, F.lit("require")), "requirements.txt")
+        .when(F.endswith(name, F.lit(".json")), F.when(F.contains(name, F.lit("lock")), "package-lock.json").otherwise("package.json"))
+        .when(F.endswith(name, F.lit(".toml")), "pyproject.toml")
+    )
+
+
+def preferred(files: DataFrame) -> DataFrame:
+    """Of each project and ecosystem the one manifest in its top folder that says most about what is installed. files: project, path, text."""
+    rank = F.create_map(*[x for names in PREFERRED.values() for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    ecosystem = F.create_map(*[x for e, names in PREFERRED.items() for n in names for x in (F.lit(n), F.lit(e))])
+    top = files.withColumn("ecosystem", ecosystem[F.col("path")]).where("ecosystem IS NOT NULL")
+    return top.groupBy("project", "ecosystem").agg(F.min_by(F.struct("path", "text"), rank[F.col("path")]).alias("m")).select("project", "ecosystem", "m.*")

@@ -307,3 +307,15 @@ def call_edges(found: DataFrame) -> DataFrame:
     imports = rows.where("kind = 'import'").select(F.concat_ws("::", "module", F.lit(MODULE)).alias("src"), F.col("target").alias("to"))
     import_rows = imports.join(modules, imports["to"] == modules["module"]).select("src", F.concat_ws("::", "module", F.lit(MODULE)).alias("dst"))
     return call_rows.unionByName(import_rows).distinct()
+
+
+def importing_modules(found: DataFrame, packages: DataFrame) -> DataFrame:
+    """package, path: the files that import a package, by its own name, with - for _ or _ for -, or by a name that it provides.
+
+    packages: package, aliases (an array). Names are compared in lower case, by the first part of what is imported.
+    """
+    own = F.lower("package")
+    names = F.array_distinct(F.concat(F.array(own, F.replace(own, F.lit("-"), F.lit("_")), F.replace(own, F.lit("_"), F.lit("-"))), F.transform("aliases", F.lower)))
+    wanted = packages.select("package", F.explode(names).alias("name")).distinct()
+    imports = found.where("kind = 'import' AND NOT startswith(target, '.')").select("path", F.lower(F.substring_index("target", ".", 1)).alias("name")).distinct()
+    return imports.join(wanted, "name").select("package", "path").distinct()

@@ -117,3 +117,8 @@ def fresh(snapshots: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """Cached documents within their time to live, the newest for each digest of the request."""
     live = snapshots.where(F.col("fetched_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
     return live.groupBy(F.sha2(F.concat_ws("\n", "method", "url", F.coalesce("body", F.lit(""))), 256).alias("key")).agg(F.max_by(F.struct("url", "content", "fetched_at"), "fetched_at").alias("d")).select("key", "d.*")
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """text of every stored registry document below a folder, one row a file, through Spark's own reader."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("value").alias("text"))

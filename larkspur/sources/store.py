@@ -5,9 +5,12 @@ from __future__ import annotations
 import html
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import cut
+
 
 def vault_index(entries: DataFrame) -> DataFrame:
     """The last entry of each sample. entries: sample_id, seq and what describes the sample."""
@@ -62,3 +65,42 @@ def report(packages: DataFrame, title: str, limit: int = 25) -> str:
     body = "\n".join("<tr>" + "".join(cell(v) for v in r) + "</tr>" for r in rows)
     head = "".join(f"<th>{html.escape(c)}</th>" for c in packages.columns)
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>\n{body}</table>"
+
+
+def write_matrix(rows: DataFrame, path: str, features: list[str]) -> None:
+    """A feature matrix as CSV with the exact header, and beside it a JSON line for each sample."""
+    rows.select("sample_id", "label", "group", *features).write.mode("overwrite").option("header", True).csv(f"{path}/features")
+    rows.select("sample_id", "label", "group").write.mode("overwrite").json(f"{path}/samples")
+
+
+def put(spark: SparkSession, path: str, samples: DataFrame) -> DataFrame:
+    """Store samples that are not stored yet, under their SHA-256; returns what was added. samples: name, label, ecosystem, content.
+
+    The store is a Parquet table in storage that all executors share. Contents that
+    are stored already, by this call or an earlier one, are not stored again.
+    """
+    new = samples.withColumn("sample_id", F.sha2("content", 256)).dropDuplicates(["sample_id"])
+    try:
+        new = new.join(spark.read.parquet(path).select("sample_id"), "sample_id", "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new = cut(new.withColumn("sha256", F.col("sample_id")))
+    new.write.mode("append").parquet(path)
+    return new
+
+
+def get(spark: SparkSession, path: str, sample_ids: list[str]) -> DataFrame:
+    """The stored samples with these ids."""
+    return spark.read.parquet(path).where(F.col("sample_id").isin(sample_ids))
+
+
+def load_scan(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
+    """A stored scan's rows; only its own partition is read."""
+    return spark.read.parquet(path).where(F.col("scan_id") == scan_id)
+
+
+def delete_scan(spark: SparkSession, path: str, scan_id: str) -> bool:
+    """Drop a scan's partition; whether there was one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/scan_id={scan_id}")
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True))
