@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import spread
 from . import brown, exact_dedup, language_id, mixing, packing, simhash, substring, token_files, topk, toxicity
 from .common import doc_fold
 
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores where a small table has fewer splits than there are."""
+    return spread(_table(spark, sf_dir, DOCUMENTS))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, DOCUMENTS), exact_dedup.fresh_index(spark))
 
@@ -29,19 +35,19 @@ def tokenizer() -> str:
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, DOCUMENTS), tokenizer())
+    pieces = packing.pack(_documents(spark, sf_dir), tokenizer())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, DOCUMENTS)
+    docs = _documents(spark, sf_dir)
     fold = doc_fold(F.col("doc_id"), 4)
     found = language_id.predict(docs, language_id.fit(docs, fold != 2))
     return found.withColumn("held_out", fold == 2).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, DOCUMENTS)
+    docs = _documents(spark, sf_dir)
     fold = doc_fold(F.col("doc_id"), 5)
     field = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold != 0)
     found = toxicity.score(docs, field)
@@ -54,18 +60,18 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
-    docs = token_files.write_tokens(_table(spark, sf_dir, DOCUMENTS), folder, tokenizer())
+    docs = token_files.write_tokens(_documents(spark, sf_dir), folder, tokenizer())
     return token_files.read_tokens(spark, folder, docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, DOCUMENTS))
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = doc_fold(F.col("doc_id"), 5)
-    found = brown.score(_table(spark, sf_dir, DOCUMENTS), fold != 1)
+    found = brown.score(_documents(spark, sf_dir), fold != 1)
     return found.withColumn("held_out", fold == 1)
 
 
@@ -75,7 +81,7 @@ def op9_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lempel_ziv_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.remove_repeats(_table(spark, sf_dir, DOCUMENTS))
+    found = substring.remove_repeats(_documents(spark, sf_dir))
     return found.withColumns({"n_spans": F.size("spans"), "n_factors": F.size("factors")}).drop("spans", "factors")
 
 

@@ -14,7 +14,8 @@ the links that leave it are fewer than its fingerprints, never all pairs. Equal
 fingerprints count once. Components are found by distributed star contraction.
 
 A signature has 20 or 21 bits. With n distinct fingerprints spread evenly it holds
-n / 2^20 of them, eight bytes each.
+n / 2^20 of them, eight bytes each. One with more than MANY is parted again by the
+bits outside its segment, cut into d + 1 parts of which linked fingerprints share one.
 
 Defined cases: null text is empty; a text without words has fingerprint zero and is
 linked like any other; null and repeated doc_ids are rows of their own; an empty
@@ -38,6 +39,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 DISTANCE = 4
 #: Signatures with at most so many fingerprints are compared pair by pair.
 SMALL = 48
+#: Signatures with more fingerprints are parted once more before they are compared.
+MANY = 4096
 #: Rows held at once beside the rows of one signature.
 CHUNK = 400_000
 
@@ -90,6 +93,28 @@ def _close(fps: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps ^ other) <= DISTANCE
 
 
+def _masks(low: int, bits: int) -> list[np.uint64]:
+    """The bits outside a segment in DISTANCE + 1 parts: linked fingerprints agree in one of them."""
+    rest = [b for b in range(64) if not low <= b < low + bits]
+    return [np.uint64(sum(1 << b for b in rest[k :: DISTANCE + 1])) for k in range(DISTANCE + 1)]
+
+
+MASKS = [_masks(*s) for s in SEGMENTS]
+
+
+def links_of_many(fps: np.ndarray, masks: list[np.uint64]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same as links_within for the many fingerprints of a frequent signature, compared only where they agree in one of the masks."""
+    out = []
+    for mask in masks:
+        key = fps & mask
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        for part in np.split(order, cuts):
+            if len(part) > 1:
+                out += links_within(fps[part])
+    return out
+
+
 def links_within(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever distinct fps are connected at DISTANCE or less.
 
@@ -147,6 +172,12 @@ def _forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return nodes[root[keep]], nodes[keep]
 
 
+def _segment(sig: int) -> int:
+    """The segment that a signature is of."""
+    bit = (sig & 0xFFFFFFFF) >> 22
+    return next(i for i, (low, bits) in enumerate(SEGMENTS) if low <= bit < low + bits)
+
+
 def links(distinct: DataFrame, partitions: int) -> DataFrame:
     """a, b: links between distinct fingerprints that connect all within DISTANCE."""
     rows = distinct.select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
@@ -158,7 +189,10 @@ def links(distinct: DataFrame, partitions: int) -> DataFrame:
         many = ends - starts > SMALL
         out = []
         for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            out += links_within(fps[s:e])
+            if e - s > MANY:
+                out = [_forest(out + links_of_many(fps[s:e], MASKS[_segment(int(sig[s]))]))]
+            else:
+                out += links_within(fps[s:e])
         few = np.repeat(~many, ends - starts)
         return out + list(_small_pairs(sig[few], fps[few]))
 

@@ -1,5 +1,5 @@
 import numpy as np
-import xxhash
+import pytest
 
 from larkspur.llm import queries, simhash
 from larkspur.llm.components import components
@@ -100,3 +100,39 @@ def test_hot_fingerprints_meet_by_broadcast(spark):
         least[d] = min([least[e] for e in least if bin(fp[e] ^ fp[d]).count("1") <= 4], default=d)
     assert {d: c for d, c in got.items() if d % 4} == {d: 1 for d in fp if d % 4}
     assert len(got) == 120
+
+
+@pytest.mark.parametrize("segment", range(3))
+def test_frequent_signatures_lose_no_link(segment):
+    """Fingerprints that share a segment but for one bit, in chains and apart; as by comparing all pairs."""
+    r = np.random.default_rng(segment)
+    low, bits = simhash.SEGMENTS[segment]
+    fixed = np.uint64(((1 << bits) - 1 & ~1) << low)
+    base = r.integers(0, 1 << 63, 150).astype(np.uint64) & ~fixed
+    near = [base]
+    for _ in range(3):
+        flips = np.zeros(150, np.uint64)
+        for _ in range(2):
+            flips |= np.uint64(1) << r.integers(0, 64, 150).astype(np.uint64)
+        near.append(near[-1] ^ (flips & ~fixed))
+    fps = np.unique(np.concatenate(near))
+    a, b = simhash._forest(simhash.links_of_many(fps, simhash.MASKS[segment]))
+    assert (np.bitwise_count(a ^ b) >= 0).all()
+    label = {int(f): i for i, f in enumerate(fps.tolist())}
+
+    def roots(pairs):
+        up = list(range(len(fps)))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            x, y = find(label[int(x)]), find(label[int(y)])
+            up[max(x, y)] = min(x, y)
+        return [find(i) for i in range(len(fps))]
+
+    close = [(x, y) for i, x in enumerate(fps) for y in fps[:i] if bin(int(x) ^ int(y)).count("1") <= 4]
+    assert roots(zip(a.tolist(), b.tolist(), strict=True)) == roots(close)
+    assert simhash._segment((low << 22) - (1 << 32 if low << 22 >= 1 << 31 else 0)) == segment
