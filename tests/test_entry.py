@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -19,7 +21,11 @@ def _names(folder: Path) -> subprocess.CompletedProcess:
     return subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=folder, capture_output=True, text=True)
 
 
-def test_without_the_removable_parts(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_the_removable_parts(tmp_path, pipeline):
+    """The operators removed, with the pipeline's file or without it."""
+    if pipeline and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     shutil.copytree(ROOT / "larkspur", tmp_path / "larkspur", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     done = _names(tmp_path)
