@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,18 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df as a checkpoint in the folder that all executors share.
+    """Cut the lineage: df as a table written once in the folder that all executors share.
 
     The folder is the one that spark.checkpoint.dir names. Only a local master, as in
     tests, may do without; there a temporary folder takes its place.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspur-"))
-    return df.checkpoint()
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="larkspur-"))
+        root = _OWN[0]
+    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_OWN: list[str] = []
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -47,3 +57,16 @@ def local_session(app: str = "larkspur", cores: int = 8, shuffle: int = 8) -> Sp
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def in_batches(rows: Iterator[tuple], columns: list[str], most: int = 20_000, size: int = 8_000_000) -> Iterator[pd.DataFrame]:
+    """Rows as frames of up to `most` rows and about `size` characters or bytes."""
+    held: list[tuple] = []
+    chars = 0
+    for row in rows:
+        held.append(row)
+        chars += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+        if len(held) >= most or chars >= size:
+            yield pd.DataFrame(held, columns=columns)
+            held, chars = [], 0
+    yield pd.DataFrame(held, columns=columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import api
-from ..core import cut, table
+from ..core import cut, spread, table
 from ..functions import patterns as P
 from ..operators import evaluation, features, graph, history, names, signals
 from ..sources import advisories, archives, javascript, lockfiles, python_ast, registry, shipped
@@ -31,7 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 def part(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part")
+    """Parts, over all cores, as each becomes sources to be parsed."""
+    return spread(table(spark, sf_dir, "part"))
 
 
 def built(condition: str, text: str) -> str:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import in_batches
 from ..functions import patterns as P
 
 SCHEMA = "archive string, seq long, path string, size long, content binary, truncated string"
@@ -93,9 +94,8 @@ def members(archives: DataFrame, password: str | None = None) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data in zip(batch["archive"], batch["content"], strict=True):
-                for row in extract(name, bytes(data or b""), key):
-                    yield pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            rows = (row for name, data in zip(batch["archive"], batch["content"], strict=True) for row in extract(name, bytes(data or b""), key))
+            yield from in_batches(rows, [c.split()[0] for c in SCHEMA.split(", ")])
 
     rows = archives.select("archive", "content").mapInPandas(work, SCHEMA).where(F.col("path").isNull() | ~unsafe_path(F.col("path")))
     return strip_wrapper(rows)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import in_batches
 from ..functions import patterns as P
 from ..functions import text as T
 
@@ -271,8 +272,8 @@ def facts(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p, s, m in zip(batch["path"], batch["source"], batch["minified"], strict=True):
-                yield pd.DataFrame([(p, *r) for r in analyse(s, bool(m))], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            rows = ((p, *r) for p, s, m in zip(batch["path"], batch["source"], batch["minified"], strict=True) for r in analyse(s, bool(m)))
+            yield from in_batches(rows, [c.split()[0] for c in SCHEMA.split(", ")])
 
     source = F.col("source")
     return files.select("path", "source", F.coalesce(T.minified(source), F.lit(False)).alias("minified")).mapInPandas(work, SCHEMA)

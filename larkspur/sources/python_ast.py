@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import in_batches
 from ..functions import patterns as P
 
 SCHEMA = "path string, kind string, target string, scope string, line int, detail string"
@@ -246,8 +247,8 @@ def facts(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p, s in zip(batch["path"], batch["source"], strict=True):
-                yield pd.DataFrame([(p, *r) for r in analyse(s)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            rows = ((p, *r) for p, s in zip(batch["path"], batch["source"], strict=True) for r in analyse(s))
+            yield from in_batches(rows, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return files.select("path", "source").mapInPandas(work, SCHEMA)
 

