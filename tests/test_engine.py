@@ -260,3 +260,65 @@ def test_shipped_metadata_of_odd_documents(spark):
     got = {r["package"]: r for r in shipped.npm(spark.createDataFrame(files, "package string, path string, text string")).collect()}
     assert got["c"]["description"] == "top" and got["b"]["description"] is None and got["a"]["repository_url"] is None
     assert store.report(spark.createDataFrame([("<b>", 0.5)], "package string, score double"), "t").count("<b>") == 0
+
+
+def test_store_puts_once_and_gets(spark, tmp_path):
+    path = str(tmp_path / "vault")
+    rows = spark.createDataFrame([("a", "malicious", "npm", b"one"), ("b", "benign", "npm", b"two"), ("c", "benign", "pypi", b"one")], "name string, label string, ecosystem string, content binary")
+    assert store.put(spark, path, rows).count() == 2
+    assert store.put(spark, path, rows).count() == 0
+    more = spark.createDataFrame([("d", "benign", "pypi", b"three")], rows.schema)
+    assert [r["name"] for r in store.put(spark, path, more.unionByName(rows)).collect()] == ["d"]
+    kept = spark.read.parquet(path)
+    assert kept.count() == 3 and store.vault_problems(kept.select("sample_id", "sha256", "content")).count() == 0
+    one = kept.where("name = 'd'").first()["sample_id"]
+    assert [bytes(r["content"]) for r in store.get(spark, path, [one]).collect()] == [b"three"]
+
+
+def test_scans_are_replaced_loaded_and_deleted(spark, tmp_path):
+    path = str(tmp_path / "scans")
+    scan = lambda i, n: spark.createDataFrame([(i, f"p{k}") for k in range(n)], "scan_id string, package string")
+    store.upsert_scans(spark, path, scan("a", 2).unionByName(scan("b", 3)))
+    store.upsert_scans(spark, path, scan("a", 4))
+    assert store.load_scan(spark, path, "a").count() == 4 and store.load_scan(spark, path, "b").count() == 3
+    assert store.delete_scan(spark, path, "b") and not store.delete_scan(spark, path, "b")
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_matrix_is_written_as_it_is_read(spark, tmp_path):
+    store.write_matrix(_matrix(spark, 10), str(tmp_path), features.NAMES)
+    back = store.read_matrix(spark, str(tmp_path / "features"), features.NAMES)
+    assert sorted(back.select("sample_id", "total_signals").collect()) == sorted(_matrix(spark, 10).select("sample_id", "total_signals").collect())
+    assert spark.read.json(str(tmp_path / "samples")).count() == 10
+
+
+def test_registry_documents_from_a_folder(spark, tmp_path):
+    from larkspur.sources import registry
+
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.json").write_text('{"name": "a",\n "versions": {"1.0.0": {"dependencies": {"b": "^1"}}}}')
+    (tmp_path / "n" / "note.txt").write_text("no document")
+    docs = registry.snapshots(spark, str(tmp_path))
+    assert [tuple(r) for r in registry.npm_dependencies(docs).collect()] == [("a", "1.0.0", "b", "^1")]
+
+
+def test_lists_of_stored_scans(spark):
+    found = spark.createDataFrame([("A", "HIGH", 7.5, True), ("B", "LOW", None, False), ("C", "CRITICAL", 9.9, False)], "id string, severity string, cvss double, reachable boolean")
+    assert [r["id"] for r in history.vulnerability_list(found).collect()] == ["A", "C", "B"]
+    assert [r["id"] for r in history.vulnerability_list(found, False, 1).collect()] == ["C"]
+    packages = spark.createDataFrame([("a", None, 3), ("b", "torn", 3), ("c", None, 0)], "package string, error string, files int")
+    assert [r["package"] for r in history.analysed(packages).collect()] == ["a"]
+
+
+def test_streams_and_progress_call_back():
+    seen = []
+    listener = progress.StreamProgress(lambda kind, n: seen.append((kind, n)))
+
+    class Event:
+        class progress:  # noqa: N801
+            numInputRows = 7
+
+    listener.onQueryStarted(None)
+    listener.onQueryProgress(Event)
+    listener.onQueryTerminated(None)
+    assert seen == [("started", 0), ("progress", 7), ("ended", 0)]
