@@ -105,7 +105,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     #: One row per digest of the batch: what is new stands for itself, the rest for the index's entry.
     held = index.before(batch).select("digest", "keep_id", "group_size")
     old = groups.select("digest", F.col("group_size").alias("n")).join(held, "digest").withColumn("keep_row", F.lit(None).cast("long"))
-    known = fresh.withColumn("n", F.col("group_size")).unionByName(old)
+    known = written(fresh.withColumn("n", F.col("group_size")).unionByName(old), "digest-known")
     return hot_join(rows, known, "digest", "n", total).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256")
     )
