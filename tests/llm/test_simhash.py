@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import xxhash
 
 from larkspur.llm import queries, simhash
 from larkspur.llm.components import components
