@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import spread
-from . import brown, exact_dedup, language_id, mixing, packing, simhash, substring, token_files, topk, toxicity
+from . import brown, exact_dedup, language_id, merkle, mixing, packing, simhash, substring, token_files, topk, toxicity
 from .common import doc_fold
 
 DOCUMENTS = "documents"
@@ -85,6 +85,11 @@ def op10_lempel_ziv_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"n_spans": F.size("spans"), "n_factors": F.size("factors")}).drop("spans", "factors")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.documents_manifest(_documents(spark, sf_dir), F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_brown_classes": op8_brown_classes,
     "op9_bit_sliced_topk": op9_bit_sliced_topk,
     "op10_lempel_ziv_passages": op10_lempel_ziv_passages,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -146,4 +152,64 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_merkle_manifest": """
+        WITH RECURSIVE f AS (
+            SELECT doc_id, source,
+                   concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                             coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                   text,
+                   CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                                             lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) % 2 = 0
+                        THEN replace(text, chr(10), '') ELSE text END AS other
+            FROM documents
+        ),
+        d AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS shown,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+            FROM f
+        ),
+        t AS (
+            SELECT source, 0 AS level, idx, leaf AS digest, n FROM d
+            UNION ALL
+            SELECT source, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY source, level, idx // 3
+        ),
+        s AS (
+            SELECT source, digest AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS m
+            FROM t WHERE n = 1
+        ),
+        u AS (
+            SELECT 0 AS level, place AS idx, subroot AS digest, m AS n FROM s
+            UNION ALL
+            SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY level, idx // 3
+        ),
+        l AS (
+            SELECT d.doc_id, t.level, t.digest, t.idx < d.idx // 3 ** t.level AS before, t.idx
+            FROM d JOIN t ON t.n > 1 AND t.source IS NOT DISTINCT FROM d.source AND t.idx // 3 = (d.idx // (3 ** t.level)::BIGINT) // 3
+            UNION ALL
+            SELECT d.doc_id, s.height + u.level, u.digest, u.idx < s.place // 3 ** u.level, u.idx
+            FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source JOIN u ON u.n > 1 AND u.idx // 3 = (s.place // (3 ** u.level)::BIGINT) // 3
+        ),
+        k AS (
+            SELECT l.doc_id, l.level,
+                   CASE WHEN l.level < s.height THEN d.idx // (3 ** l.level)::BIGINT ELSE s.place // (3 ** (l.level - s.height))::BIGINT END AS own, l.idx, l.digest
+            FROM l JOIN d USING (doc_id) JOIN s ON s.source IS NOT DISTINCT FROM d.source
+        ),
+        p AS (
+            SELECT doc_id, level, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx < own), '') AS lefts, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx > own), '') AS rights
+            FROM k GROUP BY doc_id, level
+        ),
+        g AS (
+            SELECT doc_id, 0 AS level, shown AS digest FROM d
+            UNION ALL
+            SELECT g.doc_id, g.level + 1, sha256(p.lefts || g.digest || p.rights) FROM g JOIN p USING (doc_id, level)
+        ),
+        e AS (SELECT doc_id, arg_max(digest, level) AS folded_root FROM g GROUP BY doc_id),
+        w AS (
+            SELECT doc_id, sha256(coalesce(string_agg(lefts || rights, '' ORDER BY level), '')) AS proof_sha256,
+                   count(level)::INT AS levels, coalesce(sum(strlen(lefts) + strlen(rights)) // 64, 0)::BIGINT AS n_siblings
+            FROM d LEFT JOIN p USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified, levels, n_siblings
+        FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN (SELECT digest AS root FROM u WHERE n = 1) JOIN e USING (doc_id) JOIN w USING (doc_id)
+    """,
 }
