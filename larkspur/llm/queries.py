@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import spread
-from . import brown, exact_dedup, language_id, merkle, mixing, packing, simhash, substring, token_files, topk, toxicity
+from . import brown, centroids, exact_dedup, language_id, merkle, mixing, packing, simhash, substring, token_files, topk, toxicity
 from .common import doc_fold
 
 DOCUMENTS = "documents"
@@ -90,6 +90,40 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.documents_manifest(_documents(spark, sf_dir), F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
 
 
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spread(_table(spark, sf_dir, "embeddings")), clusters=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    """Assignments a0, a1, ... to centroids c0, c1, ..., each round spelled out."""
+    steps = []
+    for r in range(rounds + 1):
+        if r:
+            steps.append(f"""
+        s{r} AS (SELECT c, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{r - 1}, generate_series(1, 64) g(i) GROUP BY c, i),
+        c{r} AS (
+            SELECT c, coalesce(f, m) AS m
+            FROM c{r - 1} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS f FROM s{r} GROUP BY c) USING (c)
+        )""")
+        steps.append(f"""
+        a{r} AS (
+            SELECT vec_id, v, arg_min(c, d * 16 + c) AS c, min(d) AS distance
+            FROM (SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v CROSS JOIN c{r})
+            GROUP BY vec_id, v
+        )""")
+    return f"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT v, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16)),{",".join(steps)}
+        SELECT vec_id, c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -102,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bit_sliced_topk": op9_bit_sliced_topk,
     "op10_lempel_ziv_passages": op10_lempel_ziv_passages,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_delta_lloyd": op12_delta_lloyd,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -212,4 +247,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified, levels, n_siblings
         FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN (SELECT digest AS root FROM u WHERE n = 1) JOIN e USING (doc_id) JOIN w USING (doc_id)
     """,
+    "op12_delta_lloyd": _lloyd_sql(),
 }
