@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -119,3 +119,29 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, keys: dict[str, Column]) -> D
     right = keepers.select(*[F.col(k).alias(f"r{names[k]}") for k in keys])
     on = [wide[n].eqNullSafe(right[f"r{n}"]) for n in names.values()]
     return wide.join(right, on, "left_semi").dropDuplicates(list(names.values())).drop(*names.values())
+
+
+#: Rows of a range in which rows are numbered.
+RANGE_ROWS = 1_000_000
+
+
+def tree_key(name: Column) -> Column:
+    """A key without nulls that sorts as the name does, null first and then by bytes."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit("-"))
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with idx, from 0 within `tree` in ascending order, n, the rows of the tree, and row, a number of its own.
+
+    rows: tree, a key without nulls, and more. What is numbered is written first, so the numbers stay. Rows are sorted in ranges; what comes before a range in a tree is summed up apart, so a
+    tree with most of the rows is no task of its own.
+    """
+    parts = max(parts_of(rows.sparkSession), rows.count() // RANGE_ROWS)
+    keys = ["tree", *order, "__tie"]
+    placed = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__tie")
+    placed = written(placed.withColumn("row", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("row", 33))
+    runs = placed.groupBy("tree", "__part").agg(F.min("row").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    tree = Window.partitionBy("tree")
+    earlier = tree.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("tree", "__part", (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__base"), F.sum("__rows").over(tree).alias("n"))
+    return placed.join(runs, ["tree", "__part"]).withColumn("idx", F.col("__base") + F.col("row")).drop("__base", "__part")

@@ -20,17 +20,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, written
+from .common import numbered, tree_key, written
 
 #: Nodes of a run.
 GROUP = 3
 #: Levels of one lookup.
 BAND = 4
-#: Rows of a range in which leaves are numbered.
-RANGE_ROWS = 1_000_000
 
 _STEP = "struct<left: string, right: string>"
 
@@ -41,28 +39,6 @@ def digest_of(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
-def tree_key(name: Column) -> Column:
-    """A key without nulls that sorts as the name does, null first and then by bytes."""
-    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit("-"))
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with idx, from 0 within `tree` in ascending order, and n, the rows of the tree.
-
-    Rows are sorted in ranges; what comes before a range in a tree is summed up apart, so a
-    tree with most of the rows is no task of its own.
-    """
-    parts = max(parts_of(rows.sparkSession), rows.count() // RANGE_ROWS)
-    keys = ["tree", *order, "__tie"]
-    placed = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__tie")
-    placed = written(placed.withColumn("__at", F.monotonically_increasing_id()), "merkle-placed").withColumn("__part", F.shiftright("__at", 33))
-    runs = placed.groupBy("tree", "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    tree = Window.partitionBy("tree")
-    earlier = tree.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("tree", "__part", (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__base"), F.sum("__rows").over(tree).alias("n"))
-    return placed.join(runs, ["tree", "__part"]).withColumn("idx", F.col("__base") + F.col("__at")).drop("__base", "__at", "__part")
-
-
 def _runs(n: Column, size: int) -> Column:
     """The number of runs of `size` that n nodes make."""
     return F.floor((n + (size - 1)) / size)
@@ -152,7 +128,7 @@ def prove(rows: DataFrame, order: list[str]) -> DataFrame:
     over = paths(upper, upper.tops.select("tree", F.col("digest").alias("root"), nothing.alias("steps")))
     above = over.join(tops, ["tree", "idx"]).select(F.col("name").alias("tree"), "steps", "root", F.col("digest").alias("subroot"))
     proofs = paths(trees, written(above, "merkle-above"))
-    return placed.join(proofs, ["tree", "idx"]).drop("idx", "n")
+    return placed.join(proofs, ["tree", "idx"]).drop("idx", "n", "row")
 
 
 def folded(leaf: Column, steps: Column) -> Column:

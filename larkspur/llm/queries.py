@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import spread
-from . import brown, centroids, exact_dedup, language_id, merkle, mixing, packing, simhash, substring, token_files, topk, toxicity
+from . import brown, centroids, exact_dedup, language_id, merkle, mixing, packing, reply_trees, simhash, substring, token_files, topk, toxicity
 from .common import doc_fold
 
 DOCUMENTS = "documents"
@@ -124,6 +124,15 @@ def _lloyd_sql(rounds: int = 3) -> str:
     """
 
 
+def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    trial = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trial)
+    folder = reply_trees.new_folder(spark)
+    reply_trees.write_chats(reply_trees.linear(chats), folder)
+    return reply_trees.read_chats(spark.read.parquet(folder)).drop("branch")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -137,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lempel_ziv_passages": op10_lempel_ziv_passages,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_delta_lloyd": op12_delta_lloyd,
+    "op13_reply_trees": op13_reply_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -248,4 +258,17 @@ ORACLE_SQL: dict[str, str] = {
         FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN (SELECT digest AS root FROM u WHERE n = 1) JOIN e USING (doc_id) JOIN w USING (doc_id)
     """,
     "op12_delta_lloyd": _lloyd_sql(),
+    "op13_reply_trees": r"""
+        WITH m AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+        FROM m GROUP BY conv_id
+    """,
 }
