@@ -5,7 +5,8 @@ rounds a message knows the ancestor 2 ** r above it, how many messages lie betwe
 their scores add up to, so that a tree of depth d takes about log2(d) rounds. Leaves of
 a tree are ranked by the score of their whole branch; from each chosen leaf the kept
 pointers of all rounds are followed, again in self-joins, to every message of its path.
-Only then do texts come in, and each path is formatted as one conversation.
+Only then do texts come in, and each path is formatted as one conversation. Where many
+messages answer one, the adaptive skew join splits them.
 
 A conversation is written in parts of up to PART_CHARS characters, with the stretches
 that count for the loss; writer and reader go through a path's messages in order and
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, numbered, parts_of, shared_dir, tree_key, written
+from .common import numbered, parts_of, shared_dir, tree_key, written
 from .words import rows
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -52,42 +53,25 @@ def linear(conversations: DataFrame) -> DataFrame:
     return placed.select("row", "conv_id", "tree", F.col("idx").alias("id"), F.when(F.col("idx") > 0, F.col("idx") - 1).alias("parent"), "role", "text", score.alias("score"))
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row a key. Both are written tables.
-
-    Keys with over a HEAVY-th of left's rows, of which there are fewer than HEAVY, meet by broadcast.
-    """
-    often = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * HEAVY > left.count())
-    hot = F.broadcast(often.select(key, F.lit(True).alias("__hot")))
-    marked = left.join(hot, key, "left")
-    few = marked.where("__hot").drop("__hot").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
-    return few.unionByName(marked.where("__hot IS NULL").drop("__hot").join(right, key, how))
-
-
 def pointers(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(row, tree, depth, score, leaf) of the messages that hang on a root, and for each round (row, up): 2 ** round above.
 
     depth counts the messages of the path from the root on, score adds theirs up.
     """
     named = messages.select("row", "tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    first = named.groupBy("tree", "id").agg(F.min_by(F.struct("row", "parent", "score"), "row").alias("m")).select("tree", "id", "m.*")
-    first = written(first.withColumn("at", F.struct("tree", F.col("parent").alias("id"))), "chat-messages")
-    parents = first.select(F.struct("tree", "id").alias("at"), F.col("row").alias("up"))
-    links = _met(first.where("parent IS NOT NULL").select("row", "at"), parents, "at").select("row", "up")
-    state = written(first.join(links, "row", "left").select("row", "tree", "up", F.lit(1).alias("depth"), "score"), "chat-up")
-    rounds, open_before = [], None
-    while True:
-        climbing = state.where("up IS NOT NULL")
-        left = climbing.count()
-        if left == 0 or left == open_before:  # what is left when nothing gets done goes in circles
-            break
+    first = written(named.groupBy("tree", "id").agg(F.min_by(F.struct("row", "parent", "score"), "row").alias("m")).select("tree", "id", "m.*"), "chat-messages")
+    parents = first.select("tree", F.col("id").alias("parent"), F.col("row").alias("up"))
+    climbing = written(first.join(parents, ["tree", "parent"], "left").select("row", "tree", "up", F.lit(1).alias("depth"), "score"), "chat-up")
+    done, rounds, before = climbing.where("up IS NULL"), [], None
+    climbing = climbing.where("up IS NOT NULL")
+    while (left := climbing.count()) and left != before:  # when nothing gets done, what is left goes in circles
         rounds.append(climbing.select("row", "up"))
-        above = state.select(F.col("row").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("gain"))
-        after = _met(climbing, above, "up").select("row", "tree", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("gain")).alias("score"))
-        state, open_before = written(after.unionByName(state.where("up IS NULL")), "chat-up"), left
-    answered = rounds[0].select(F.col("up").alias("row")).distinct() if rounds else state.select("row").limit(0)
-    reached = state.where("up IS NULL").drop("up")
-    return reached.join(answered.withColumn("__answered", F.lit(True)), "row", "left").withColumn("leaf", F.col("__answered").isNull()).drop("__answered"), rounds
+        above = done.unionByName(climbing).select(F.col("row").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("gain"))
+        met = climbing.join(above, "up").select("row", "tree", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("gain")).alias("score"))
+        after = written(met, "chat-up")
+        done, climbing, before = done.unionByName(after.where("up IS NULL")), after.where("up IS NOT NULL"), left
+    answered = rounds[0].select(F.col("up").alias("row"), F.lit(True).alias("answered")).distinct() if rounds else done.select("row", F.lit(True).alias("answered")).limit(0)
+    return done.drop("up").join(answered, "row", "left").withColumn("leaf", F.col("answered").isNull()).drop("answered"), rounds
 
 
 def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
@@ -101,9 +85,9 @@ def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
         leaves = leaves.where(F.col("branch") <= best)
     path = written(leaves.select("tree", "branch", "depth", F.lit(0).alias("off"), "row"), "chat-paths")
     for r, up in enumerate(rounds):
-        met = _met(path, up, "row", "left")
-        both = F.array_compact(F.array(F.struct("off", "row"), F.when(F.col("up").isNotNull(), F.struct((F.col("off") + (1 << r)).alias("off"), F.col("up").alias("row")))))
-        path = written(met.select("tree", "branch", "depth", F.explode(both).alias("x")).select("tree", "branch", "depth", "x.*"), "chat-paths")
+        far = path.where(F.col("depth") - F.col("off") > 1 << r)
+        more = far.join(up, "row").select("tree", "branch", "depth", (F.col("off") + (1 << r)).alias("off"), F.col("up").alias("row"))
+        path = path.unionByName(written(more, "chat-paths"))
     return path.select("tree", "branch", (F.col("depth") - 1 - F.col("off")).alias("at"), "row")
 
 
