@@ -11,7 +11,7 @@ from .. import api
 from ..core import cut, spread, table
 from ..functions import patterns as P
 from ..operators import evaluation, features, graph, history, names, signals
-from ..sources import advisories, archives, javascript, lockfiles, python_ast, registry, shipped
+from ..sources import advisories, archives, call_graph, javascript, lockfiles, python_ast, registry, shipped
 from ..streaming import progress
 from . import fixtures as X
 from . import text_queries
@@ -115,7 +115,7 @@ _CALLS = """WITH p AS (SELECT p_partkey AS k, p_partkey // 2 AS h, 'm' || p_part
 
 @query("q58_call_graph", _CALLS + " SELECT src, dst FROM e")
 def q58(spark, sf_dir):
-    return python_ast.call_edges(python_ast.facts(modules(spark, sf_dir)))
+    return call_graph.edges(cut(call_graph.facts(modules(spark, sf_dir)))).select("src", "dst")
 
 
 @query(
@@ -124,12 +124,72 @@ def q58(spark, sf_dir):
     "(SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM p WHERE k NOT IN (SELECT h FROM p)) AS entry_points",
 )
 def q58b(spark, sf_dir):
-    facts = cut(python_ast.facts(modules(spark, sf_dir)))
-    edges = cut(python_ast.call_edges(facts))
-    name = F.regexp_replace("path", r"\.py$", "")
-    functions = facts.where("kind = 'function'").select(F.concat_ws("::", name, "scope").alias("node"), F.lit("function").alias("kind"), "path")
-    nodes = facts.select(F.concat(name, F.lit("::<module>")).alias("node"), F.lit("module").alias("kind"), "path").distinct().unionByName(functions)
-    return graph.statistics(nodes, edges)
+    found = cut(call_graph.facts(modules(spark, sf_dir)))
+    kind = F.when(F.col("scope") == call_graph.MODULE, "module").otherwise("function")
+    return graph.statistics(call_graph.nodes(found).select("node", kind.alias("kind"), "path"), cut(call_graph.edges(found)))
+
+
+#: A project for each part: a package with classes, relative imports, a subpackage without a file of its own, and calls that no graph can follow.
+_PROJECT = [
+    ("pkg/__init__.py", "'from .util import run\n'"),
+    ("pkg/util.py", "'import yaml\ndef run():\n    helper()\ndef helper():\n    return A()\nclass A:\n    def go(self):\n        return yaml.load(x)\n    def run(self):\n        len(x)\n        self.go()\n'"),
+    (
+        "pkg/app.py",
+        "concat('from .util import run\nfrom . import util as u\nimport pkg.util, json\ndef main():\n    run()\n    f()\n', "
+        + ", ".join([built("p_size % 3 = 0", "    u.A.go()\n"), built("p_size % 5 = 1", "    pkg.util.A.run()\n"), built("p_partkey % 2 = 0", "main()\n")])
+        + ")",
+    ),
+    ("pkg/sub/core.py", "concat('from ..util import A as B\nfrom .. import nothing\nimport json\ndef ', CASE WHEN p_partkey % 4 = 0 THEN '_go' ELSE 'go' END, '():\n    B.go()\n    json.dumps(1)\n')"),
+]
+
+
+def projects(spark, sf_dir) -> DataFrame:
+    files = ", ".join(f"struct('{path}' AS path, {source} AS source)" for path, source in _PROJECT)
+    return part(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("project"), F.expr(f"inline(array({files}))"))
+
+
+_M = "::<module>"
+_RESOLVED = [
+    ("true", f"'pkg{_M}'", f"'pkg.util{_M}'", "0"),
+    ("true", f"'pkg.app{_M}'", f"'pkg.util{_M}'", "0"),
+    ("true", f"'pkg.app{_M}'", f"'pkg{_M}'", "0"),
+    ("true", f"'pkg.sub.core{_M}'", f"'pkg.util{_M}'", "0"),
+    ("true", f"'pkg.sub.core{_M}'", f"'pkg{_M}'", "0"),
+    ("true", "'pkg.util::run'", "'pkg.util::helper'", "3"),
+    ("true", "'pkg.util::A.go'", "'ext:yaml.load'", "8"),
+    ("true", "'pkg.app::main'", "'pkg.util::run'", "5"),
+    ("p_size % 3 = 0", "'pkg.app::main'", "'pkg.util::A.go'", "7"),
+    ("p_size % 5 = 1", "'pkg.app::main'", "'pkg.util::A.run'", "7 + (p_size % 3 = 0)::INT"),
+    ("p_partkey % 2 = 0", f"'pkg.app{_M}'", "'pkg.app::main'", "7 + (p_size % 3 = 0)::INT + (p_size % 5 = 1)::INT"),
+    ("true", "'pkg.sub.core::' || CASE WHEN p_partkey % 4 = 0 THEN '_go' ELSE 'go' END", "'pkg.util::A.go'", "5"),
+    ("true", "'pkg.sub.core::' || CASE WHEN p_partkey % 4 = 0 THEN '_go' ELSE 'go' END", "'ext:json.dumps'", "6"),
+]
+
+
+@query("q58d_resolved_calls", " UNION ALL ".join(f"SELECT p_partkey::VARCHAR AS project, {src} AS src, {dst} AS dst, ({line})::INT AS line FROM part WHERE {condition}" for condition, src, dst, line in _RESOLVED))
+def q58d(spark, sf_dir):
+    return call_graph.edges(cut(call_graph.facts(projects(spark, sf_dir)))).select("project", "src", "dst", "line")
+
+
+@query(
+    "q58e_symbol_search",
+    """WITH w AS (SELECT p_partkey AS k, p_size AS z, unnest(['a', 'b', 'c', 'd', 'e']) AS id FROM part),
+    v AS (SELECT k, z, id, CASE id WHEN 'd' THEN 'not_imported' WHEN 'e' THEN 'assumed_reachable' WHEN 'b' THEN 'symbol_not_called'
+        WHEN 'a' THEN CASE WHEN z % 3 = 0 OR k % 4 <> 0 THEN 'reachable' ELSE 'symbol_not_called' END ELSE CASE WHEN k % 4 <> 0 THEN 'reachable' ELSE 'symbol_not_called' END END AS verdict FROM w)
+    SELECT k::VARCHAR AS project, id, verdict, CASE verdict WHEN 'assumed_reachable' THEN 'low' WHEN 'symbol_not_called' THEN 'medium' ELSE 'high' END AS confidence,
+        verdict IN ('reachable', 'assumed_reachable') AS reachable, CASE id WHEN 'a' THEN 1 WHEN 'd' THEN NULL ELSE 2 END::BIGINT AS imported_by,
+        CASE WHEN verdict = 'reachable' THEN id = 'a' AND z % 3 = 0 AND k % 2 = 0 END AS proven,
+        CASE WHEN verdict <> 'reachable' THEN NULL WHEN id = 'c' THEN 'pkg.sub.core.go > json.dumps' WHEN z % 3 = 0 AND k % 2 = 0 THEN 'pkg.app > pkg.app.main > pkg.util.A.go > yaml.load'
+             WHEN z % 3 = 0 THEN 'pkg.app.main > pkg.util.A.go > yaml.load' ELSE 'pkg.sub.core.go > pkg.util.A.go > yaml.load' END AS path
+    FROM v""",
+)
+def q58e(spark, sf_dir):
+    asked = [("a", "'PyYAML', 'yaml'", "'yaml.load'"), ("b", "'json'", "'loads'"), ("c", "'json'", "'loads', 'json.DUMPS'"), ("d", "'flask'", "'Flask'"), ("e", "'json'", "")]
+    asked = "array(" + ", ".join(f"struct('{i}' AS id, array({roots}) AS roots, CAST(array({symbols}) AS array<string>) AS symbols)" for i, roots, symbols in asked) + ")"
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("project"), F.expr(f"inline({asked})"))
+    judged = call_graph.verdicts(call_graph.facts(projects(spark, sf_dir)), wanted)
+    path = F.array_join(F.concat(F.transform("steps", lambda s: s["caller"]), F.array("symbol")), " > ")
+    return judged.select("project", "id", "verdict", "confidence", "reachable", "imported_by", "proven", path.alias("path"))
 
 
 JS_LINES = [

@@ -289,12 +289,13 @@ def verdicts(found: DataFrame, wanted: DataFrame) -> DataFrame:
     imports = outside.select("project", F.lower(F.substring_index("target", ".", 1)).alias("root"), "module").distinct()
     roots = wanted.select("project", "id", F.explode(F.array_distinct(F.transform("roots", F.lower))).alias("root"))
     users = roots.join(imports, ["project", "root"]).groupBy("project", "id").agg(F.count_distinct("module").alias("imported_by"))
-    calls = search(scopes, links, wanted)
+    named = F.coalesce(F.size(F.filter("symbols", lambda s: F.length(s) > 0)), F.lit(0)) > 0
+    calls = search(scopes, links, wanted.where(named))
     out = wanted.join(analysed, "project", "left").join(users, ["project", "id"], "left").join(calls, ["project", "id"], "left")
     verdict = (
         F.when(F.col("seen").isNull(), "not_analysed")
         .when(F.col("imported_by").isNull(), "not_imported")
-        .when(F.coalesce(F.size(F.filter("symbols", lambda s: F.length(s) > 0)), F.lit(0)) <= 0, "assumed_reachable")
+        .when(~named, "assumed_reachable")
         .when(F.col("symbol").isNotNull(), "reachable")
         .otherwise("symbol_not_called")
     )

@@ -291,25 +291,6 @@ def code_signals(found: DataFrame) -> DataFrame:
     return once(found.select("path", "line", F.explode(raised).alias("c")))
 
 
-def call_edges(found: DataFrame) -> DataFrame:
-    """src, dst: module and function nodes joined by calls and imports.
-
-    A call goes to a function of its own module or, resolved, of another; else it is external.
-    """
-    module = F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", ".")
-    rows = found.select(module.alias("module"), "kind", "target", "scope")
-    functions = rows.where("kind = 'function'").select("module", F.concat_ws("::", "module", "scope").alias("node"), F.col("target").alias("name")).distinct()
-    qualified = functions.select(F.concat_ws(".", "module", "name").alias("full"), "node")
-    calls = rows.where("kind = 'call' AND target IS NOT NULL").select("module", F.concat_ws("::", "module", "scope").alias("src"), "target")
-    own = functions.select(F.col("module").alias("m"), "name", F.col("node").alias("own_node"))
-    linked = calls.join(own, (calls["module"] == own["m"]) & (calls["target"] == own["name"]), "left").join(qualified, calls["target"] == qualified["full"], "left")
-    call_rows = linked.select("src", F.coalesce("own_node", "node", F.concat(F.lit("ext:"), "target")).alias("dst"))
-    modules = rows.select("module").distinct()
-    imports = rows.where("kind = 'import'").select(F.concat_ws("::", "module", F.lit(MODULE)).alias("src"), F.col("target").alias("to"))
-    import_rows = imports.join(modules, imports["to"] == modules["module"]).select("src", F.concat_ws("::", "module", F.lit(MODULE)).alias("dst"))
-    return call_rows.unionByName(import_rows).distinct()
-
-
 def importing_modules(found: DataFrame, packages: DataFrame) -> DataFrame:
     """package, path: the files that import a package, by its own name, with - for _ or _ for -, or by a name that it provides.
 
