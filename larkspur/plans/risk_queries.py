@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import table
-from ..operators import diffs, evaluation, features, graph, history, ml, names, vulns
+from ..core import cut, table
 from ..functions import patterns as P
-from ..sources import archives, shipped, store
+from ..operators import diffs, evaluation, features, graph, history, ml, names, resolution, vulns
+from ..sources import archives, registry, shipped, store
 from ..streaming import incremental
 
 QUERIES: dict = {}
@@ -143,44 +145,72 @@ def q20b(spark, sf_dir):
     return graph.merged_dependencies(e, graph.closure(e, roots(spark, sf_dir), DEPTH)).select("node", "depth", "is_direct", F.array_join("required_by", ",").alias("required_by"))
 
 
-@query("q21_entry_points", f"WITH {EDGES} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)")
-def q21(spark, sf_dir):
-    return graph.entry_points(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), edges(spark, sf_dir))
+#: A registry of parts: releases of each, and what each release depends on; reads the same in both engines.
+_RELEASES = [("true", "'1.0.0'", 1, "0"), ("true", "concat('1.', CAST(p_partkey % 4 + 1 AS VARCHAR(9)), '.0')", 1, "p_partkey % 4 + 1"), ("p_partkey % 3 > 0", "concat('2.', CAST(p_partkey % 3 AS VARCHAR(9)), '.1')", 2, "p_partkey % 3"), ("p_partkey % 5 = 0", "'3.0.0-beta.1'", 3, "0")]
+_WANTS = [
+    ("p_partkey > 1", "concat('pk', CAST(floor(p_partkey / 2) AS BIGINT))", "CASE WHEN major = 1 THEN '^1.0.0' ELSE '>=1.0.0 <3.0.0' END", 0),
+    ("p_partkey % 4 > 0", "concat('pk', CAST(p_partkey % 97 + 1 AS BIGINT))", "CASE WHEN major = 2 THEN '^2.0.0' ELSE '1.x' END", 1),
+    ("p_partkey % 7 = 0", "concat('gone', CAST(p_partkey AS BIGINT))", "'*'", 2),
+]
+_ASKS = [("concat('pk', CAST(s_suppkey AS BIGINT))", "'^1.0.0'", 0), ("concat('pk', CAST(s_suppkey * 3 + 1 AS BIGINT))", "'>=1.0.0 <3.0.0'", 1), ("concat('pk', CAST(s_suppkey * 11 + 5 AS BIGINT))", "'^2.0.0'", 2)]
+_RELEASE_SQL = " UNION ALL ".join(f"SELECT p_partkey, concat('pk', CAST(p_partkey AS BIGINT)) AS name, {v} AS version, {major} AS major, {minor} AS minor FROM part WHERE {c}" for c, v, major, minor in _RELEASES)
+_WANT_SQL = " UNION ALL ".join(f"SELECT name, version, {d} AS dependency, {spec} AS range, {i} AS ord FROM releases WHERE {c}" for c, d, spec, i in _WANTS)
+_ASK_SQL = " UNION ALL ".join(f"SELECT s_name AS root, {n} AS name, {spec} AS spec, {i} AS ord FROM supplier" for n, spec, i in _ASKS)
+
+
+def _levels_sql(last: int = 6) -> str:
+    """Each level spelled out: q what is asked for, t with the version that fits best, f the first that can be met, n the level's packages."""
+    out = [
+        f"releases AS ({_RELEASE_SQL})",
+        f"wants AS ({_WANT_SQL})",
+        f"q0 AS (SELECT root, name, spec, root AS parent, 0::BIGINT AS place, ord FROM ({_ASK_SQL}))",
+        "specs AS (SELECT * FROM (VALUES ('^1.0.0', 1, 1), ('1.x', 1, 1), ('^2.0.0', 2, 2), ('>=1.0.0 <3.0.0', 1, 2), ('*', 1, 2)) s(spec, low, high))",
+        "best AS (SELECT name, spec, max_by(version, major * 100 + minor) AS version FROM releases, specs WHERE major BETWEEN low AND high GROUP BY name, spec)",
+    ]
+    for d in range(last + 1):
+        seen = " UNION ALL ".join(f"SELECT root, name FROM n{i}" for i in range(d)) or "SELECT NULL::VARCHAR AS root, NULL::VARCHAR AS name WHERE false"
+        if d:
+            out.append(f"q{d} AS (SELECT n.root, w.dependency AS name, w.range AS spec, n.name AS parent, n.place, w.ord FROM n{d - 1} n JOIN wants w ON w.name = n.name AND w.version = n.version)")
+        out.append(f"seen{d} AS ({seen})")
+        out.append(f"t{d} AS (SELECT q.*, b.version, EXISTS (SELECT 1 FROM seen{d} s WHERE s.root = q.root AND s.name = q.name) AS there FROM q{d} q LEFT JOIN best b USING (name, spec))")
+        out.append(f"f{d} AS (SELECT root, name, min((place, ord)) AS first FROM t{d} WHERE version IS NOT NULL AND NOT there GROUP BY root, name)")
+        out.append(f"n{d} AS (SELECT root, name, t.version, t.spec, {d} AS depth, row_number() OVER (PARTITION BY root ORDER BY first) AS place FROM t{d} t JOIN f{d} USING (root, name) WHERE (t.place, t.ord) = first)")
+        out.append(f"u{d} AS (SELECT t.root, t.name, t.spec, t.parent, {d} AS depth FROM t{d} t LEFT JOIN f{d} f USING (root, name) WHERE NOT there AND version IS NULL AND (first IS NULL OR (place, ord) < first))")
+        out.append(f"p{d} AS (SELECT t.root, t.name, {d} AS level, t.place, t.ord, t.parent FROM t{d} t LEFT JOIN f{d} f USING (root, name) WHERE there OR (place, ord) >= first)")
+    return "WITH " + ", ".join(out)
+
+
+_EACH = lambda letter, columns, last=6: " UNION ALL ".join(f"SELECT {columns} FROM {letter}{d}" for d in range(last + 1))
+
+
+def resolved(spark, sf_dir) -> resolution.Resolution:
+    parts = table(spark, sf_dir, "part")
+    releases = cut(reduce(DataFrame.unionByName, [parts.where(c).select("p_partkey", F.expr("concat('pk', p_partkey)").alias("name"), F.expr(v).alias("version"), F.lit(major).alias("major")) for c, v, major, _ in _RELEASES]))
+    wants = cut(reduce(DataFrame.unionByName, [releases.where(c).select("name", "version", F.expr(d).alias("dependency"), F.expr(spec).alias("range"), F.lit(i).alias("ord")) for c, d, spec, i in _WANTS]))
+    asks = reduce(DataFrame.unionByName, [table(spark, sf_dir, "supplier").select(F.col("s_name").alias("root"), F.expr(n).alias("name"), F.expr(spec).alias("spec"), F.lit(i).alias("ord")) for n, spec, i in _ASKS])
+    tags = releases.select("name", F.lit("latest").alias("tag"), "version").limit(0)
+    return resolution.resolve(asks, wants, lambda asked: registry.resolve_npm(asked, releases.select("name", "version"), tags))
 
 
-_VERDICT = (
-    CLOSURE + ", s AS (SELECT DISTINCT node FROM reached), f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 = 0 THEN [] ELSE ['s' || (l_linenumber % 3)] END AS symbols FROM lineitem WHERE l_linenumber <= 4), "
-    "v AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 10 = 9 THEN 'not_analysed' WHEN s.node IS NULL THEN 'not_imported' WHEN len(symbols) = 0 THEN 'assumed_reachable' WHEN list_contains(symbols, 's' || (l_partkey % 3)) THEN 'reachable' ELSE 'symbol_not_called' END AS verdict FROM f LEFT JOIN s ON s.node = l_partkey)"
+@query(
+    "q20d_resolved_packages",
+    _levels_sql() + f", p AS ({_EACH('p', '*')}), by_first AS (SELECT root, name, parent, min((level, place, ord)) AS met FROM p GROUP BY root, name, parent), r AS (SELECT root, name, string_agg(parent, ',' ORDER BY met) AS required_by FROM by_first GROUP BY root, name) "
+    f"SELECT root, name, version, depth, depth = 0 AS is_direct, spec, required_by FROM ({_EACH('n', 'root, name, version, depth, spec')}) JOIN r USING (root, name)",
 )
+def q20d(spark, sf_dir):
+    return resolved(spark, sf_dir).packages.withColumn("required_by", F.array_join("required_by", ","))
 
 
-#: The same for all lines, over the nodes at any depth.
-_WHOLE_VERDICT = f"WITH RECURSIVE {EDGES}, {ROOTS}, reached AS (SELECT node FROM roots UNION SELECT dst FROM reached JOIN edges ON src = node)" + _VERDICT.removeprefix(CLOSURE).replace(" WHERE l_linenumber <= 4", "")
-
-
-def verdicts(spark, sf_dir, lines: DataFrame, max_depth: int | None = None) -> DataFrame:
-    reached = graph.closure(edges(spark, sf_dir), roots(spark, sf_dir), max_depth).select(F.col("node").alias("package")).distinct()
-    part = table(spark, sf_dir, "part")
-    f = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("package"), F.expr("CASE WHEN l_linenumber % 4 = 0 THEN array() ELSE array(concat('s', l_linenumber % 3)) END").cast("array<string>").alias("symbols"))
-    called = part.select(F.col("p_partkey").alias("package"), F.expr("concat('s', p_partkey % 3)").alias("symbol"))
-    return vulns.reachability(f, part.where("p_partkey % 10 <> 9").select(F.col("p_partkey").alias("package")), reached, called)
-
-
-_CONFIDENCE = " SELECT l_orderkey, l_linenumber, l_partkey, verdict, CASE verdict WHEN 'not_analysed' THEN 'none' WHEN 'assumed_reachable' THEN 'low' WHEN 'symbol_not_called' THEN 'medium' ELSE 'high' END AS confidence FROM v"
-_EXPOSURE = " SELECT CASE WHEN l_linenumber = 1 AND l_partkey % 7 = 0 THEN 'install_time' WHEN verdict = 'not_analysed' THEN 'unknown' WHEN verdict = 'not_imported' THEN 'not_imported' WHEN l_linenumber = 2 THEN 'import_time' WHEN verdict = 'reachable' THEN 'call_reachable' ELSE 'not_called' END AS exposure, count(*) AS flows FROM v GROUP BY 1"
-
-
-def confidence(found: DataFrame) -> DataFrame:
-    return found.select("l_orderkey", "l_linenumber", F.col("package").alias("l_partkey"), "verdict", "confidence")
+@query("q20e_unresolved_requirements", _levels_sql() + f" SELECT * FROM ({_EACH('u', 'root, name, spec, parent, depth')})")
+def q20e(spark, sf_dir):
+    return resolved(spark, sf_dir).unresolved
 
 
-def exposures(found: DataFrame) -> DataFrame:
-    v = F.col("verdict")
-    e = vulns.exposure((F.col("l_linenumber") == 1) & (F.col("package") % 7 == 0), v != "not_analysed", v != "not_imported", F.col("l_linenumber") == 2, v == "reachable")
-    return found.groupBy(e.alias("exposure")).agg(F.count(F.lit(1)).alias("flows"))
+@query("q21_entry_points", f"WITH {EDGES} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)")
+def q21(spark, sf_dir):
+    return graph.entry_points(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), edges(spark, sf_dir))
 
 
-#: Everything that the roots reach, at any depth.
 REACHED = f"WITH RECURSIVE {EDGES}, {ROOTS}, walk AS (SELECT node AS root, node FROM roots UNION SELECT root, dst FROM walk JOIN edges ON src = node)"
 
 
