@@ -9,7 +9,8 @@ where even that exceeds a limit taken from labelled texts kept out of training.
 
 Defined cases: null text and text without a letter are `und` with score 0 and
 rejected; rows without lang train nothing; without any labelled row every text is
-`und`; repeated rows are predicted alike; an empty table gives an empty result;
+`und`; ids play no part, so null and repeated ones train like any; equal texts of a
+language train once and are predicted alike; an empty table gives an empty result;
 other columns are kept by `accepted` and not read.
 """
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -31,11 +32,12 @@ from .words import Memo, parts, split
 UNDETERMINED = "und"
 NOT_LETTERS = r"[^\p{L}]+"
 ORDER = 5
-#: The training sample: so many rows a language, by a hash of doc_id, of texts up to so many characters.
+#: The training sample: so many different texts a language, those with the least hashes.
 SAMPLE_ROWS = 500
 #: Languages that are learned, those with the most labelled rows; what else a dirty column names is not.
 LANGUAGES = 200
-SAMPLE_CHARS = 200_000
+#: Characters of the whole sample. A text above its share trains with a stretch of it from a hashed place.
+SAMPLE_CHARS = 100_000_000
 #: Every so manyth row of the sample calibrates the limit instead of training.
 CALIBRATION = 5
 #: The limit lies this much above the labelled texts' highest usual cross-entropy.
@@ -199,17 +201,42 @@ def _memo(models: Models) -> Memo:
     return Memo(make)
 
 
-def fit(docs: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
+def _sample(rows: DataFrame, languages: list[str]) -> pa.Table:
+    """text and lang of SAMPLE_ROWS different texts of each language at most, in the order of their hashes.
+
+    Each task passes on its least hashes of a language alone; the texts of those that remain are then fetched
+    by their hashes, each once, so neither one language nor one repeated text fills a task or the driver.
+    """
+    hashed = rows.where(F.col("lang").isin(*languages)).withColumn("h", F.xxhash64(F.lit("language"), "text"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            codes = batch.column("lang").dictionary_encode()
+            h, code = batch.column("h").to_numpy(zero_copy_only=False), codes.indices.to_numpy(zero_copy_only=False)
+            for i, lang in enumerate(codes.dictionary.to_pylist()):
+                held[lang] = np.union1d(held.get(lang, h[:0]), h[code == i])[:SAMPLE_ROWS]
+        names = [lang for lang, h in held.items() for _ in h]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([*held.values(), np.zeros(0, np.int64)]).astype(np.int64))], ["lang", "h"])
+
+    kept = hashed.select("lang", "h").mapInArrow(least, "lang string, h long").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # at most SAMPLE_ROWS hashes for each of at most LANGUAGES languages
+    chosen = kept.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).select("lang", "h")
+    size = max(1, SAMPLE_CHARS // (SAMPLE_ROWS * len(languages)))
+    start = F.pmod(F.col("h"), F.greatest(F.char_length("text") - size + 1, F.lit(1))).cast("int") + 1
+    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.substring("text", start, F.lit(size)).alias("text"))
+    return texts.groupBy("lang", "h").agg(F.min("text").alias("text")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).select(["text", "lang"])
+
+
+def fit(docs: DataFrame, rows: Column, text_col: str = "text", lang_col: str = "lang") -> Models | None:
     """Learn from a sample of the rows where `rows` holds; None if none has a language."""
     usable = docs.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     often = usable.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
     sizes = {r["lang"]: r["n"] for r in often.collect()}
     if not sizes:
         return None
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_ROWS / v)))])
-    point = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
-    sample = usable.where((point < share[F.col(lang_col).cast("string")]) & (F.char_length(text_col) <= SAMPLE_CHARS))
-    taken = sample.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    taken = _sample(usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), sorted(sizes))
     spare = np.arange(taken.num_rows) % CALIBRATION == 0
     learn = taken.filter(pa.array(~spare)) if (~spare).any() else taken
     samples = {}
@@ -255,7 +282,7 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is recognised, all columns as they were."""
+    """The rows of docs whose language is recognised, all columns as they were; without models all that hold a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index(text_col)
 
@@ -264,7 +291,7 @@ def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") ->
         memo = _memo(models) if models else None
         for batch in batches:
             if models is None:
-                yield batch.slice(0, 0)
+                yield batch.filter(pc.fill_null(pc.match_substring_regex(batch.column(at), r"\p{L}"), False))
                 continue
             for part in parts(iter([batch.set_column(at, batch.schema.names[at], pc.fill_null(batch.column(at), ""))]), at):
                 entropy, letters, _ = scores(models, memo, part.column(at))

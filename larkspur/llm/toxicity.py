@@ -14,7 +14,8 @@ case and outer punctuation.
 
 Defined cases: null and empty texts have no token and get the score of a text whose
 marginals are zero; labels that are null or for unknown ids train nothing; without
-both kinds of labels every score is 0; repeated rows are scored alike; an empty
+both kinds of labels every score is 0; an id with several rows trains with its
+different texts, up to the sample's bound; repeated rows are scored alike; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 from .words import Memo, parts, tokens
 
-#: The training sample: documents of each label, by a hash of doc_id.
+#: The training sample: ids of each label, by a hash of doc_id; of the texts of these, BOUND times as many by their own hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3000
-SAMPLE_CHARS = 200_000
+BOUND = 2
+#: A longer text trains with a stretch of so many characters from a hashed place.
+SAMPLE_CHARS = 20_000
 #: A marked word: likelihood-ratio statistic, and how much more often toxic documents have it.
 EVIDENCE, RATIO = 24.0, 3.0
 SEQUENCE = 128
@@ -191,8 +194,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id"
     share = F.when(F.col("__label") == 1, min(1.0, SAMPLE_TOXIC / sizes[1])).otherwise(min(1.0, SAMPLE_CLEAN / sizes[0]))
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows are expected: small enough to broadcast.
     chosen = usable.where((point < share) & F.col("__label").isin(0, 1))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text")).where(F.char_length("__text") <= SAMPLE_CHARS)
-    taken = texts.join(F.broadcast(chosen), "__id").toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
+    text = text_of(text_col)
+    hashed = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text"), F.xxhash64(F.lit("text"), F.col(id_col), text).alias("__h"))
+    start = F.pmod(F.col("__h"), F.greatest(F.char_length("__text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    # an id may have many rows: equal ones count once, and no more are collected than the bound
+    found = hashed.join(F.broadcast(chosen), "__id").select("__id", "__label", "__h", F.substring("__text", start, F.lit(SAMPLE_CHARS)).alias("__text"))
+    found = written(found.groupBy("__id", "__label", "__h").agg(F.min("__text").alias("__text")), "toxicity-sample")
+    top = [found.where(F.col("__label") == label).orderBy("__h", "__id").limit(BOUND * most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    taken = top[0].unionByName(top[1]).toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
     toxic = taken["__label"].to_numpy() == 1
     if not toxic.any() or toxic.all():
         return None

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id as L
@@ -51,6 +52,37 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert L.predict(no_docs, models).collect() == [] and L.accepted(no_docs, models).collect() == []
 
 
+@pytest.mark.parametrize("same_id", ["1", "12345", "NULL"])
+def test_rows_of_one_id_are_learned_from(spark, sf, same_id):
+    """However the id hashes, and if it is null: rows train by their texts, and the pipeline's first stage keeps them."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang IS NOT NULL AND length(text) > 200")
+    docs = docs.withColumn("doc_id", F.expr(f"CAST({same_id} AS BIGINT)"))
+    docs = docs.unionByName(docs).unionByName(docs)
+    models = L.fit(docs, F.lit(True))
+    assert set(models.languages) == {r["lang"] for r in docs.select("lang").distinct().collect()}
+    kept = corpus_pipeline.identify_language(spark, docs, sf)
+    assert kept.count() >= 0.98 * docs.count() and kept.columns == docs.columns
+
+
+def test_sample_is_bounded_and_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 20 * 2 * 30)
+    rows = [("en", f"text number {i} " + "word " * 40) for i in range(300)] + [("en", "the same")] * 4000 + [("de", f"kurz {i}") for i in range(5)] + [("de", "immer gleich")] * 50
+    got = L._sample(spark.createDataFrame(rows, "lang string, text string").repartition(7), ["de", "en"]).to_pydict()
+    by = {lang: [t for t, x in zip(got["text"], got["lang"], strict=True) if x == lang] for lang in ("de", "en")}
+    assert len(by["en"]) == 20 and sorted(by["de"]) == sorted({t for lang, t in rows if lang == "de"})
+    assert max(map(len, got["text"])) <= 30 and any(not t.startswith("text") for t in by["en"])
+    again = L._sample(spark.createDataFrame(rows, "lang string, text string").repartition(3), ["de", "en"]).to_pydict()
+    assert again == got
+
+
+def test_without_a_label_nothing_is_rejected_but_texts_without_letters(spark, odd_docs):
+    kept = L.accepted(odd_docs, L.fit(odd_docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 6, 7, 8, None}
+
+
 def test_memo_changes_nothing(monkeypatch):
     from larkspur.llm import words
 

@@ -62,3 +62,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_query(spark, sf):
     got = queries.op4_crf_toxicity(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_repeated_ids_are_bounded(spark, monkeypatch):
+    """One id with most of the rows trains with its different texts, and no more rows are collected than the bound."""
+    monkeypatch.setattr(X, "SAMPLE_TOXIC", 60)
+    monkeypatch.setattr(X, "SAMPLE_CLEAN", 90)
+    rows = [(1, f"you are vile grobnik x{i}") for i in range(900)] + [(2, "you vile grobnik")] * 2000 + [(i, f"the calm river flows past green trees w{i}") for i in range(3, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(1, 100)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(X, "train", lambda texts, toxic, f=X.train: seen.append((len(texts), int(toxic.sum()))) or f(texts, toxic))
+    field = X.fit(docs, labels, F.lit(True))
+    assert seen[0][1] == 120 and seen[0][0] <= 120 + 180
+    got = {r["doc_id"]: r["predicted"] for r in X.score(docs, field).collect()}
+    assert got[1] == got[2] == 1 and got[50] == 0
