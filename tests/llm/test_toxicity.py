@@ -68,7 +68,7 @@ def test_repeated_ids_are_bounded(spark, monkeypatch):
     """One id with most of the rows trains with its different texts, and no more rows are collected than the bound."""
     monkeypatch.setattr(X, "SAMPLE_TOXIC", 60)
     monkeypatch.setattr(X, "SAMPLE_CLEAN", 90)
-    rows = [(1, f"you are vile grobnik x{i}") for i in range(900)] + [(2, "you vile grobnik")] * 2000 + [(i, f"the calm river flows past green trees w{i}") for i in range(3, 100)]
+    rows = [(1, f"some y{i} grobnik x{i}") for i in range(900)] + [(2, "a vile grobnik")] * 2000 + [(i, f"the calm river flows past green trees w{i}") for i in range(3, 100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     labels = spark.createDataFrame([(i, int(i < 3)) for i in range(1, 100)], "doc_id long, toxic int")
     seen = []
