@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import api
+from .. import api, projects
 from ..core import cut, spread, table
 from ..functions import patterns as P
 from ..operators import evaluation, features, graph, history, names, signals
@@ -143,7 +143,7 @@ _PROJECT = [
 ]
 
 
-def projects(spark, sf_dir) -> DataFrame:
+def graph_projects(spark, sf_dir) -> DataFrame:
     files = ", ".join(f"struct('{path}' AS path, {source} AS source)" for path, source in _PROJECT)
     return part(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("project"), F.expr(f"inline(array({files}))"))
 
@@ -168,7 +168,7 @@ _RESOLVED = [
 
 @query("q58d_resolved_calls", " UNION ALL ".join(f"SELECT p_partkey::VARCHAR AS project, {src} AS src, {dst} AS dst, ({line})::INT AS line FROM part WHERE {condition}" for condition, src, dst, line in _RESOLVED))
 def q58d(spark, sf_dir):
-    return call_graph.edges(cut(call_graph.facts(projects(spark, sf_dir)))).select("project", "src", "dst", "line")
+    return call_graph.edges(cut(call_graph.facts(graph_projects(spark, sf_dir)))).select("project", "src", "dst", "line")
 
 
 @query(
@@ -187,7 +187,7 @@ def q58e(spark, sf_dir):
     asked = [("a", "'PyYAML', 'yaml'", "'yaml.load'"), ("b", "'json'", "'loads'"), ("c", "'json'", "'loads', 'json.DUMPS'"), ("d", "'flask'", "'Flask'"), ("e", "'json'", "")]
     asked = "array(" + ", ".join(f"struct('{i}' AS id, array({roots}) AS roots, CAST(array({symbols}) AS array<string>) AS symbols)" for i, roots, symbols in asked) + ")"
     wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("project"), F.expr(f"inline({asked})"))
-    judged = call_graph.verdicts(call_graph.facts(projects(spark, sf_dir)), wanted)
+    judged = call_graph.verdicts(call_graph.facts(graph_projects(spark, sf_dir)), wanted)
     path = F.array_join(F.concat(F.transform("steps", lambda s: s["caller"]), F.array("symbol")), " > ")
     return judged.select("project", "id", "verdict", "confidence", "reachable", "imported_by", "proven", path.alias("path"))
 
@@ -827,3 +827,48 @@ def q58c(spark, sf_dir):
     files = part(spark, sf_dir).select(F.expr("concat('m', p_partkey, '.py')").alias("path"), F.expr(source).alias("source"))
     packages = part(spark, sf_dir).select(F.expr("concat('My-Lib', p_size % 5)").alias("package"), F.array().cast("array<string>").alias("aliases")).unionByName(spark.createDataFrame([("PyYAML", ["yaml"])], "package string, aliases array<string>")).distinct()
     return python_ast.importing_modules(python_ast.facts(files), packages)
+
+
+#: A project for each supplier, with a manifest and a source, and a small registry with its advisories.
+_REQUIREMENTS = "concat('LibA>=1.0\\nlib-b\\n', " + built("s_suppkey % 3 = 0", "ghost==9\\n") + ", " + built("s_suppkey % 5 = 1", "solo\\n") + ")"
+_APPLICATION = "concat('import liba\\n', " + built("s_suppkey % 4 = 2", "import bee\\n") + ", 'def main():\\n    liba.load(1)\\n', " + built("s_suppkey % 2 = 0", "main()\\n") + ")"
+_ADVISORY = '{"id":"%s","aliases":["%s"],"summary":"s","severity":[{"score":"%s"}],"affected":[{"package":{"name":"%s"},"ranges":[{"events":[{"introduced":"0"},{"fixed":"%s"}]}]%s}]}'
+
+
+def supplier_scan(spark, sf_dir) -> projects.Scan:
+    suppliers = spread(table(spark, sf_dir, "supplier"))
+    files = suppliers.select(F.col("s_name").alias("project"), F.expr(f"inline(array(struct('requirements.txt' AS path, {_REQUIREMENTS} AS text), struct('src/app.py' AS path, {_APPLICATION} AS text)))"))
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    releases = rows("ecosystem string, name string, version string", *[("pypi", n, v) for n, v in (("liba", "1.0"), ("liba", "1.1"), ("lib-b", "2.0"), ("libc", "2.0"), ("libc", "3.0rc1"), ("solo", "0.1"))])
+    known = projects.Registry(releases, releases.select("ecosystem", "name", F.lit("latest").alias("tag"), "version").limit(0), rows("ecosystem string, name string, version string, dependency string, range string, ord int", ("pypi", "liba", "1.1", "libc", ">=2", 0), ("pypi", "libc", "2.0", "liba", "==1.0", 0)))
+    ids = rows("ecosystem string, name string, version string, id string", *[("pypi", n, v, i) for n, v, i in (("liba", "1.1", "A1"), ("liba", "1.1", "A2"), ("lib-b", "2.0", "B1"), ("libc", "2.0", "C1"), ("liba", "1.0", "OLD"))])
+    called = ',"ecosystem_specific":{"imports":["liba.load"]}'
+    documents = rows("id string, text string", *[(i, _ADVISORY % x) for i, x in (("A1", ("A1", "CVE-1", "9.8", "liba", "1.2", called)), ("A2", ("A2", "CVE-1", "5.0", "liba", "1.3", "")), ("B1", ("B1", "CVE-2", "7.5", "lib-b", "2.1", ',"ecosystem_specific":{"imports":["bee.run"]}')), ("C1", ("C1", "CVE-3", "4.0", "libc", "2.2", "")))])
+    names = rows("distribution string, modules array<string>", ("lib-b", ["bee"]))
+    return projects.scan(files, known, ids, documents, names)
+
+
+@query(
+    "q93_project_findings",
+    """SELECT s_name AS project, package, version, id, verdict, reachable, fixed, records, round(cvss * CASE WHEN reachable THEN 1.0 ELSE 0.1 END, 6)::DOUBLE AS priority, depth FROM (
+        SELECT s_name, 'liba' AS package, '1.1' AS version, 'A1' AS id, 'reachable' AS verdict, true AS reachable, '1.2' AS fixed, 2::BIGINT AS records, 9.8 AS cvss, 0 AS depth FROM supplier
+        UNION ALL SELECT s_name, 'lib-b', '2.0', 'B1', CASE WHEN s_suppkey % 4 = 2 THEN 'symbol_not_called' ELSE 'not_imported' END, false, '2.1', 1, 7.5, 0 FROM supplier
+        UNION ALL SELECT s_name, 'libc', '2.0', 'C1', 'not_imported', false, '2.2', 1, 4.0, 1 FROM supplier)""",
+)
+def q93(spark, sf_dir):
+    f = supplier_scan(spark, sf_dir).findings
+    return f.select("project", "package", "version", "id", "verdict", "reachable", "fixed", "records", F.round("priority", 6).alias("priority"), "depth")
+
+
+@query(
+    "q93b_project_packages",
+    """SELECT s_name AS project, name, version, depth, is_direct, required_by FROM supplier, (VALUES ('liba', '1.1', 0, true, NULL, 0), ('lib-b', '2.0', 0, true, NULL, 0), ('libc', '2.0', 1, false, 'liba', 0), ('solo', '0.1', 0, true, NULL, 1)) v(name, version, depth, is_direct, by_, only_)
+    , LATERAL (SELECT CASE WHEN name = 'liba' THEN s_name || ',libc' ELSE coalesce(by_, s_name) END AS required_by) WHERE only_ = 0 OR s_suppkey % 5 = 1""",
+)
+def q93b(spark, sf_dir):
+    return supplier_scan(spark, sf_dir).packages.select("project", F.lower("name").alias("name"), "version", "depth", "is_direct", F.array_join("required_by", ",").alias("required_by"))
+
+
+@query("q93c_project_warnings", "SELECT s_name AS project, 'Unresolved: ghost==9' AS warning FROM supplier WHERE s_suppkey % 3 = 0")
+def q93c(spark, sf_dir):
+    return supplier_scan(spark, sf_dir).warnings

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,8 @@ def parsed_symbols(prose: Column) -> Column:
     return F.slice(F.array_sort(kept), 1, SYMBOLS)
 
 
-def parse(documents: DataFrame) -> DataFrame:
-    """One row per package and advisory. documents: ecosystem, package, text; unreadable texts give a row without severity."""
+def parse(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per package and advisory, with the columns to keep. documents: ecosystem, package, text; unreadable texts give a row without severity."""
     d = documents.withColumn("d", F.from_json("text", SCHEMA))
     field = lambda n: F.col(f"d.{n}")
     d = d.withColumn("s", score_and_vector(field("severity"))).withColumn("b", bounds(field("affected"), F.col("package")))
@@ -92,6 +94,7 @@ def parse(documents: DataFrame) -> DataFrame:
         F.slice(F.filter(F.transform(_list(field("references"), "struct<url:string>"), lambda r: r["url"]), lambda u: u.isNotNull() & (u != "")), 1, REFERENCES).alias("references"),
         F.col("y.symbols").alias("symbols"),
         F.col("y.confidence").alias("symbol_confidence"),
+        *keep,
     )
 
 
