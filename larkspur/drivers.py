@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .operators import evaluation, features, graph, ml, signals, vulns
+from .operators import calibration, evaluation, features, graph, ml, signals, vulns
 from .sources import advisories, archives, shipped, store
 from .streaming.progress import Progress
 
@@ -41,30 +40,30 @@ def train_and_evaluate(spark: SparkSession, matrix: str, target: str, k: int = 5
         metrics |= ml.average_precision(scored).first().asDict() | ml.roc_auc(scored).first().asDict() | evaluation.fold_spread(scored).first().asDict()
         metrics["baseline"] = ml.confusion(rows.select("label", F.col("rules_baseline_score").alias("score"))).first().asDict()
     with progress.stage("train"):
-        model = ml.train(rows, features.NAMES, trees)
+        model = calibration.CalibratedClassifier(features=features.NAMES, trees=trees).fit(rows)
     with progress.stage("write"):
         model.write().overwrite().save(f"{target}/model")
-        card = store.model_card(metrics, ml.importances(model, features.NAMES), features.NAMES, 1)
+        card = store.model_card(metrics, model.importances(), features.NAMES, 1)
         spark.createDataFrame([(card,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/card")
     return metrics
 
 
-def load_model(spark: SparkSession, path: str, names: list[str] = features.NAMES) -> GBTClassificationModel | None:
+def load_model(spark: SparkSession, path: str, names: list[str] = features.NAMES) -> calibration.CalibratedModel | None:
     """The stored model, None where there is none; an error if it takes other features."""
     try:
-        model = GBTClassificationModel.load(f"{path}/model")
+        model = calibration.load(spark, f"{path}/model")
     except Exception as e:  # Spark wraps what the file system raises
         if "does not exist" in str(e) or "PATH_NOT_FOUND" in str(e) or "Input path" in str(e):
             return None
         raise
-    if model.numFeatures != len(names):
-        raise ValueError(f"the model takes {model.numFeatures} features and not {len(names)}")
+    if model.getOrDefault("features") != list(names):
+        raise ValueError(f"the model takes {model.numFeatures} features and not these {len(names)}")
     return model
 
 
-def scored(model: GBTClassificationModel | None, vectors: DataFrame, names: list[str] = features.NAMES) -> DataFrame:
+def scored(model: calibration.CalibratedModel | None, vectors: DataFrame, names: list[str] = features.NAMES) -> DataFrame:
     """vectors with final_score, score_source and verdict: the model's score, or without one the rules'."""
-    rows = vectors.withColumn("score", F.lit(None).cast("double")) if model is None else ml.predict(model, vectors, names)
+    rows = vectors.withColumn("score", F.lit(None).cast("double")) if model is None else model.transform(vectors)
     out = ml.with_fallback(rows, "score", "rules_baseline_score")
     return out.withColumn("verdict", signals.verdict(F.col("final_score")))
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import cut
 from . import ml
+from .calibration import CalibratedClassifier
 from .signals import verdict
 
 #: Tags of malicious samples.
@@ -97,25 +95,11 @@ class Calibrated:
     """The mean of models of grouped folds, each calibrated by isotonic regression on the fold that it has not seen."""
 
     def __init__(self, rows: DataFrame, features: list[str], k: int = 3, trees: int = 250):
-        self.features, self.parts = features, []
-        dealt = cut(rows.join(ml.folds(rows, k).select("grp", "fold"), "grp"))
-        for fold in range(k):
-            seen, held = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
-            model = ml.train(seen, features, trees)
-            shape = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(ml.predict(model, held, features).select("score", "label"))
-            self.parts.append((model, shape))
+        self.model = CalibratedClassifier(features=features, folds=k, trees=trees).fit(rows)
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with score: the mean of the folds' calibrated scores."""
-        from pyspark.ml.feature import VectorAssembler
-
-        out = VectorAssembler(inputCols=self.features, outputCol="__x", handleInvalid="keep").transform(rows)
-        for i, (model, shape) in enumerate(self.parts):
-            scored = model.copy({model.featuresCol: "__x", model.rawPredictionCol: f"__r{i}", model.probabilityCol: f"__p{i}", model.predictionCol: f"__d{i}"}).transform(out)
-            scored = scored.withColumn(f"__s{i}", vector_to_array(f"__p{i}")[1])
-            out = shape.copy({shape.featuresCol: f"__s{i}", shape.predictionCol: f"__c{i}"}).transform(scored).drop(f"__r{i}", f"__p{i}", f"__d{i}", f"__s{i}")
-        mean = sum((F.col(f"__c{i}") for i in range(len(self.parts))), F.lit(0.0)) / len(self.parts)
-        return out.withColumn("score", mean).drop("__x", *[f"__c{i}" for i in range(len(self.parts))])
+        return self.model.transform(rows)
 
 
 def detector_comparison(cases: DataFrame) -> DataFrame:

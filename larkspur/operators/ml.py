@@ -73,6 +73,63 @@ def folds(groups: DataFrame, k: int) -> DataFrame:
     return ranked.select("grp", "n", "has_positive", "fold")
 
 
+def fold_count(rows: DataFrame, k: int) -> int:
+    """k, but no more folds than there are groups, or rows of the rarer label, and two at least."""
+    n = rows.agg(F.count_distinct("grp").alias("groups"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).first()
+    return max(2, min(k, n["groups"], n["pos"], n["neg"]))
+
+
+def _quotas(kinds: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(positives, negatives, first fold, groups of each fold) of kinds (positives, negatives, groups), dealt so that each fold has like shares of both labels.
+
+    Kinds with the most uneven labels come first. As many groups of a kind as fill all folds alike go to all; each of the others goes to
+    the fold that then leaves the shares closest.
+    """
+    total = [sum(x[i] * x[2] for x in kinds) or 1 for i in (0, 1)]
+    held = [[0, 0] for _ in range(k)]
+    out = []
+
+    def unevenness(fold: int, kind: tuple[int, int]) -> float:
+        spread = 0.0
+        for i in (0, 1):
+            shares = [(h[i] + (kind[i] if f == fold else 0)) / total[i] for f, h in enumerate(held)]
+            mean = sum(shares) / k
+            spread += (sum((s - mean) ** 2 for s in shares) / k) ** 0.5
+        return spread
+
+    for pos, neg, groups in sorted(kinds, key=lambda x: (-abs(x[0] - x[1]), -x[0] - x[1], -x[0])):
+        share = [groups // k] * k
+        for h in held:
+            h[0], h[1] = h[0] + pos * (groups // k), h[1] + neg * (groups // k)
+        for _ in range(groups % k):
+            best = min(range(k), key=lambda f: (unevenness(f, (pos, neg)), sum(held[f]), f))  # noqa: B023
+            share[best] += 1
+            held[best][0], held[best][1] = held[best][0] + pos, held[best][1] + neg
+        out.append((pos, neg, groups, share))
+    return out
+
+
+def stratified_folds(rows: DataFrame, k: int) -> DataFrame:
+    """grp, positives, negatives, fold: whole groups in folds that have like shares of both labels, the same ones on every run.
+
+    The driver sees how many groups have so many rows of each label, not the groups; within such a kind they are taken by MD5, ranked in parts
+    whose counts are added up before, so that no task holds all groups of a kind. k is bounded by fold_count.
+    """
+    sized = cut(rows.groupBy(F.col("grp")).agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives")))
+    k = fold_count(rows, k)
+    kinds = [(r["positives"], r["negatives"], r["count"]) for r in sized.groupBy("positives", "negatives").count().collect()]
+    limits = [(pos, neg, fold, sum(share[:fold]), sum(share[: fold + 1])) for pos, neg, _, share in _quotas(kinds, k) for fold in range(k) if share[fold]]
+    dealt = rows.sparkSession.createDataFrame(limits, "positives long, negatives long, fold int, begin long, stop long")
+    keyed = sized.withColumn("__md5", F.md5(F.col("grp").cast("string"))).withColumn("__part", F.substring("__md5", 1, 2))
+    part = ["positives", "negatives", "__part"]
+    before = Window.partitionBy("positives", "negatives").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = keyed.groupBy(*part).agg(F.count(F.lit(1)).alias("__k")).select(*part, F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("__md5", "grp")) - 1 + F.col("__before")
+    ranked = keyed.join(heads, part).withColumn("__place", place)
+    kind = (ranked["positives"] == dealt["positives"]) & (ranked["negatives"] == dealt["negatives"]) & (F.col("__place") >= F.col("begin")) & (F.col("__place") < F.col("stop"))
+    return ranked.join(dealt, kind).select("grp", ranked["positives"], ranked["negatives"], "fold")
+
+
 def train(rows: DataFrame, features: list[str], trees: int = 250, kind: str = "gbt"):
     """A fitted tree ensemble over the named columns; label is 0/1."""
     data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
@@ -92,8 +149,9 @@ def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, features: list[str], k: int, trees: int) -> DataFrame:
     """Scores of each fold's rows by a model of the other folds; rows has grp and label."""
-    dealt = cut(rows.join(folds(rows, k).select("grp", "fold"), "grp"))
-    parts = [predict(train(dealt.where(F.col("fold") != f), features, trees), dealt.where(F.col("fold") == f), features) for f in range(k)]
+    dealt = cut(rows.join(stratified_folds(rows, k).select("grp", "fold"), "grp"))
+    numbers = sorted(r["fold"] for r in dealt.select("fold").distinct().collect())
+    parts = [predict(train(dealt.where(F.col("fold") != f), features, trees), dealt.where(F.col("fold") == f), features) for f in numbers]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

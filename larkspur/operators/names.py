@@ -1,4 +1,4 @@
-"""Look-alike package names: variants, a length-band join and a weighted distance."""
+"""Look-alike package names: variants, an index of stretches for near misses and a weighted distance."""
 
 from __future__ import annotations
 
@@ -77,29 +77,66 @@ def variant_matches(candidates: DataFrame, popular: DataFrame) -> DataFrame:
     return rows.join(popular.select(F.col("name").alias("target")).distinct(), "target").select("candidate", "target", "kind", "distance").distinct()
 
 
+def _segments(name: Column, size: Column, parts: int) -> Column:
+    """The name's cut into `parts` stretches of like length: place and text of each."""
+    limit = lambda i: F.floor(size * i / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(i.alias("i"), F.substring(name, limit(i) + 1, limit(i + 1) - limit(i)).alias("text")))
+
+
+def signature_pairs(candidates: DataFrame, popular: DataFrame, parts: int, edits: int, band: int) -> DataFrame:
+    """bare, target: different names, of lengths that differ by at most `band`, that share one of the target's stretches in its place.
+
+    A target is cut into `parts` stretches. Fewer edits than that, each in one stretch, leave one of them as it is, moved by what
+    was inserted less what was deleted before it, so by no more than `edits` allow. The candidate's stretches of these lengths at these
+    places are looked up by equality with length, number and text. candidates: bare; popular: name.
+    """
+    p = popular.select(F.col("name").alias("target")).distinct().withColumn("size", F.char_length("target"))
+    index = p.select("target", "size", F.explode(_segments(F.col("target"), F.col("size"), parts)).alias("s")).select("target", "size", "s.i", "s.text")
+    length = F.char_length("bare")
+    limit = lambda size, i: F.floor(size * i / parts).cast("int")
+    keys = []
+    for longer in range(-band, band + 1):  # the candidate's length less the target's
+        size = length - longer
+        for i in range(parts):
+            begin, wide = limit(size, i) + 1, limit(size, i + 1) - limit(size, i)
+            for moved in range(-((edits - longer) // 2), (edits + longer) // 2 + 1):
+                inside = (size > 0) & (begin + moved >= 1) & (begin + moved + wide - 1 <= length)
+                keys.append(F.when(inside, F.struct(size.alias("size"), F.lit(i).alias("i"), F.substring(F.col("bare"), begin + moved, wide).alias("text"))))
+    c = candidates.select("bare").distinct()
+    asked = c.select("bare", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("k")).select("bare", "k.*")
+    return asked.join(index, ["size", "i", "text"]).where("bare <> target").select("bare", "target").distinct()
+
+
 def within_band(candidates: DataFrame, popular: DataFrame, band: int, edits: int) -> DataFrame:
-    """bare, target, edits: pairs of different names whose lengths differ by at most `band` and plain edits by at most `edits`.
+    """candidates with target and edits: pairs of different names whose lengths differ by at most `band` and plain edits by at most `edits`.
 
-    candidates: bare; popular: name. Each popular name is copied to the lengths that it can meet, so the join is on equal lengths.
+    candidates: bare and more; popular: name. Pairs come from shared stretches, one more than there may be edits.
     """
-    c = candidates.withColumn("size", F.char_length("bare"))
-    p = popular.select(F.col("name").alias("target")).distinct().withColumn("size", F.explode(F.transform(F.sequence(F.lit(-band), F.lit(band)), lambda d: F.char_length("target") + d)))
-    close = c.join(p, "size").where(F.col("target") != F.col("bare")).withColumn("edits", F.levenshtein("bare", "target", edits))
-    return close.where("edits >= 0").drop("size")
+    close = signature_pairs(candidates, popular, edits + 1, edits, min(band, edits)).withColumn("edits", F.levenshtein("bare", "target", edits))
+    return candidates.join(close.where("edits >= 0"), "bare")
+
+
+#: The least costs of an edit that keeps the length and of one that changes it, in tenths; shorter popular names have no near misses.
+KEEPING, CHANGING, LEAST_TARGET = 6, 10, 5
 
 
 def near_misses(candidates: DataFrame, popular: DataFrame, band: int = 3, ceiling: float = 2.0) -> DataFrame:
     """Popular names whose length differs by at most `band` and whose weighted distance is at most `ceiling`.
 
-    A band join: each popular name is copied to the lengths it can meet, so the join is
-    on equal lengths; the plain edit distance, bounded, leaves few for the weighted one
-    (an edit costs 0.6 at least, so more than ceiling / 0.6 edits can't pass).
+    What the ceiling allows is either edits that keep the length, or one less of them for an edit that changes it; an edit, a
+    transposition too, lies in two stretches of a name at most. So names that can pass share one of twice as many stretches and one.
     """
+    tenths = int(ceiling * 10 + 1e-9)
     c = candidates.select(F.col("name").alias("candidate"), bare(F.col("name")).alias("bare")).where(F.char_length("bare") >= 3)
-    # A transposition is two plain edits at most.
-    close = within_band(c, popular, band, int(2 * ceiling / 0.6))
-    scored = close.withColumn("distance", weighted_dl("bare", "target", F.lit(ceiling)))
-    return scored.where(F.col("distance") <= ceiling).select("candidate", "target", F.lit("near_miss").alias("kind"), "distance")
+    p = popular.where(F.char_length("name") >= LEAST_TARGET)
+    pairs = signature_pairs(c, p, 2 * (tenths // KEEPING) + 1, 0, 0)
+    if tenths >= CHANGING:
+        edits = 1 + (tenths - CHANGING) // KEEPING
+        pairs = pairs.unionByName(signature_pairs(c, p, 2 * edits + 1, edits, min(band, tenths // CHANGING))).distinct()
+    # plain edits, which Spark counts itself, leave few for the weighted ones; a transposition is two of them
+    pairs = pairs.where(F.levenshtein("bare", "target", 2 * (tenths // KEEPING)) >= 0)
+    scored = pairs.withColumn("distance", weighted_dl("bare", "target", F.lit(ceiling))).where((F.col("distance") <= ceiling) & (F.col("distance") > 0))
+    return c.join(scored, "bare").select("candidate", "target", F.lit("near_miss").alias("kind"), "distance")
 
 
 def typosquats(candidates: DataFrame, popular: DataFrame) -> DataFrame:
