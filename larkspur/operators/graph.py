@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import cut as _cut
@@ -71,18 +71,56 @@ def proof_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_dept
     return found.select(F.col("node").alias("target"), (F.size("path") - 1).alias("hops"), F.array_join("path", " > ").alias("path"))
 
 
+def _stars(links: DataFrame, large: bool) -> DataFrame:
+    """links: (u, v) with u > v. Each node's neighbours are linked to its least one instead; a hub's many links meet one row, which the adaptive join may split."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    met = both.join(least, "u")
+    if large:
+        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+        out = met.select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.*")
+    return _cut(out.where("u > v").distinct())
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, component: the least node that undirected edges reach, by label propagation with shortcuts."""
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    label = _cut(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    """node, component: the least node that undirected edges (src, dst) reach.
+
+    Stars are contracted until nothing changes: each node's larger neighbours go to its least one, then the others do. It takes about
+    as many rounds as the logarithm of the number of nodes, and no task holds a node's neighbours.
+    """
+    now = _cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = None
     while True:
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        low = label.join(near, label["node"] == near["src"], "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("mid"))
-        hop = label.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        after = _cut(low.join(hop, "mid").select("node", "was", F.least("mid", "far").alias("component")))
-        label = after.select("node", "component")
-        if after.where("component <> was").isEmpty():
-            return label
+        after = _stars(_stars(now, True), False)
+        seen = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == state or not seen[0]:
+            break
+        now, state = after, seen
+    roots = after.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def rounded_key(vector: Column, places: int = 4) -> Column:
+    """A vector as one text, its numbers rounded half to even; zero has no sign. Null where the vector or one of its numbers is."""
+    text = F.transform(vector, lambda x: (F.bround(x.cast("double"), places) + F.lit(0.0)).cast("string"))
+    return F.when(~F.exists(vector, lambda x: x.isNull()), F.array_join(text, ","))
+
+
+def groups(rows: DataFrame, key: str, by: dict[str, Column]) -> DataFrame:
+    """key, grp: rows that agree in one of several ways, directly or through others, are one group, named by its least key.
+
+    by: ways to agree, such as the name and the rounded vector; null agrees with nothing. Rows and values are the two sides of a graph, so
+    a value that most rows have gives each row one link, and none between rows. Keys are unique.
+    """
+    row = F.concat(F.lit("r"), F.col(key).cast("string"))
+    values = F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat(F.lit(f"v{i}:"), F.sha2(c.cast("string"), 256))) for i, c in enumerate(by.values())]))
+    links = rows.select(row.alias("src"), F.explode(values).alias("dst"))
+    found = _cut(components(links, rows.select(row.alias("node"))).where(F.startswith("node", F.lit("r"))))
+    named = found.join(rows.select(row.alias("node"), F.col(key)), "node")
+    least = named.groupBy("component").agg(F.min(key).alias("grp"))
+    return named.join(least, "component").select(key, "grp")
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,5 +139,11 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def importers(imports: DataFrame, limit: int = 8) -> DataFrame:
-    """package, importers: the first `limit` files, in order, that import each package. imports: path, package."""
-    return imports.where("package IS NOT NULL").groupBy("package").agg(F.count_distinct("path").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, limit).alias("importers"))
+    """package, n, importers: the first `limit` files, in order, that import each package. imports: path, package.
+
+    Only the first files of a package are gathered, so one that every file imports is no long list.
+    """
+    pairs = imports.where("package IS NOT NULL").select("package", "path").distinct()
+    first = pairs.withColumn("__place", F.row_number().over(Window.partitionBy("package").orderBy("path"))).where(F.col("__place") <= limit)
+    lists = first.groupBy("package").agg(F.array_sort(F.collect_list("path")).alias("importers"))
+    return pairs.groupBy("package").agg(F.count(F.lit(1)).alias("n")).join(lists, "package")

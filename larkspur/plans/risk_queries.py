@@ -380,6 +380,29 @@ def q46(spark, sf_dir):
     return graph.components(links, docs.select(F.col("doc_id").alias("node")))
 
 
+_GROUPED = """WITH RECURSIVE x AS (SELECT doc_id, doc_id // 3 AS name, n_chars // 7 || ':' || doc_id % 2 AS vec, quality AS label FROM documents JOIN labels USING (doc_id)),
+    e AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM x a JOIN x b ON a.name = b.name OR a.vec = b.vec),
+    w AS (SELECT doc_id AS key, doc_id AS far FROM x UNION SELECT key, dst FROM w JOIN e ON far = src),
+    g AS (SELECT key AS doc_id, min(far) AS grp FROM w GROUP BY key)"""
+
+
+def agreeing(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    vector = F.array(F.floor(F.col("n_chars") / 7) + 0.00001, (F.col("doc_id") % 2).cast("double"))
+    found = graph.groups(docs, "doc_id", {"name": F.floor(F.col("doc_id") / 3), "vector": graph.rounded_key(vector)})
+    return found.join(docs.select("doc_id", "label"), "doc_id")
+
+
+@query("q46b_agreeing_groups", _GROUPED + " SELECT doc_id, grp FROM g")
+def q46b(spark, sf_dir):
+    return agreeing(spark, sf_dir).select("doc_id", "grp")
+
+
+@query("q45b_stratified_fold_groups", _GROUPED + " SELECT grp, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives FROM g JOIN x USING (doc_id) GROUP BY grp")
+def q45b(spark, sf_dir):
+    return ml.stratified_folds(agreeing(spark, sf_dir), 5).drop("fold")
+
+
 @query(
     "q51_ensemble_agreement",
     f"WITH {_SCORED}, e AS (SELECT 'either' AS rule, {_COUNTS.format(p='(score >= 0.5 OR other >= 0.5)')} FROM scored UNION ALL SELECT 'both', {_COUNTS.format(p='(score >= 0.5 AND other >= 0.5)')} FROM scored) SELECT rule, tp, fp, fn, tn, {_METRICS.split(' AS accuracy, ')[1]} FROM e",

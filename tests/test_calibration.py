@@ -62,3 +62,29 @@ def test_scores_are_calibrated(spark):
     whole = scored.agg(F.avg("score").alias("s"), F.avg("label").alias("l")).first()
     high = scored.where("score >= 0.5").agg(F.avg("score").alias("s"), F.avg("label").alias("l")).first()
     assert abs(whole["s"] - whole["l"]) < 0.05 and abs(high["s"] - high["l"]) < 0.12
+
+
+def test_groups_by_name_or_rounded_vector(spark):
+    """Chains through both kinds of keys, one value on most rows, null keys and vectors that differ after the fourth place."""
+    from larkspur.operators import graph
+
+    r = random.Random(8)
+    rows = [(i, r.choice(["hot", f"n{r.randrange(40)}", None]), [round(r.random() * 3, 4) + 0.00001, float(r.randrange(3))] if r.random() < 0.8 else None) for i in range(300)]
+    rows += [(1000, "x", [1.23456, -0.0]), (1001, "y", [1.234561, 0.0]), (1002, "z", [1.2347, 0.0]), (1003, None, None), (1004, "w", [None, 1.0])]
+    parent = {i: i for i, _, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    first = {}
+    for i, name, vec in rows:
+        keys = ([("n", name)] if name is not None else []) + ([("v", tuple(round(x, 4) + 0.0 for x in vec))] if vec is not None and None not in vec else [])
+        for k in keys:
+            a, b = find(i), find(first.setdefault(k, i))
+            parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, "id long, name string, vec array<double>").repartition(5)
+    got = {x["id"]: x["grp"] for x in graph.groups(df, "id", {"name": F.col("name"), "vector": graph.rounded_key(F.col("vec"))}).collect()}
+    assert got == {i: find(i) for i in parent}
+    assert got[1000] == got[1001] != got[1002]
