@@ -1,5 +1,7 @@
+import math
 import subprocess
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -53,10 +55,25 @@ def test_many_dimensions_in_strips_and_clashing_columns(spark):
         assert got[i] == [(j, int(want[j])) for j in order]
 
 
-def test_components_too_large_end_the_job(spark):
-    docs = spark.createDataFrame([(0, [1e30, 1.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="exceeds"):
-        topk.integers(docs).collect()
+@pytest.mark.parametrize("large", [300_000.0, 1e6, 1e12, -1e30, 1.7e308])
+def test_components_of_any_size(spark, monkeypatch, large):
+    """Large vectors as queries and as candidates, beside small ones; scores beyond 64 bits rank and are null."""
+    monkeypatch.setattr(topk, "WIDE_QUERIES", 2)
+    r = np.random.default_rng(2)
+    x = r.integers(-600, 600, (90, 6)) / 256
+    x[4, 2] = x[10, 2] = large
+    x[11, 0] = -large
+    x[20] = x[10]
+    x[33, 1] = large
+    ints = topk.integers(spark.createDataFrame([(i, v.tolist(), "s") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string").repartition(3))
+    got = {}
+    for q in topk.top_k(ints, ints.where("vec_id % 10 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"], q["score"]))
+    whole = [[math.floor(Fraction(c) * 256) for c in v.tolist()] for v in x]
+    assert len(got) == 9
+    for i, found in got.items():
+        want = sorted((-sum(a * b for a, b in zip(whole[i], w, strict=True)), j) for j, w in enumerate(whole) if j != i)[:5]
+        assert found == [(n, j, -s if -(1 << 63) <= -s < 1 << 63 else None) for n, (s, j) in enumerate(want, 1)]
 
 
 def test_queries_in_chunks_meet_every_block(spark, monkeypatch):
