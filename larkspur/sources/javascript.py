@@ -1,16 +1,14 @@
-"""Facts of JavaScript sources from their tokens; sources are read, never run.
-
-A source is cut into tokens: comments are dropped, strings, templates, regular
-expressions and brackets are told apart, and brackets are matched. Calls, `new`
-expressions, member chains, bindings of modules and arrays of strings are then found
-among the tokens. A source with newer syntax than ES2017, with brackets that don't match, or
-above a size gives one row of kind parse_failed and its beginning as one literal, so
-that what its text shows still counts.
+"""Facts of JavaScript sources from their syntax trees; sources are read, never run.
+
+Calls, `new` expressions, member chains, arrays of strings and literals are found in the
+tree. Names stand for what they are bound to where they are used: a module that is
+required or imported, or a member of one; a parameter or a variable of the same name hides
+it. A source that has no tree, or is above a size, gives one row of kind parse_failed and
+its beginning as one literal, so that what its text shows still counts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,240 +18,151 @@ from pyspark.sql import functions as F
 from ..core import in_batches
 from ..functions import patterns as P
 from ..functions import text as T
+from .js_tree import Node, NotParsed, parse
 
 SCHEMA = "path string, kind string, target string, line int, detail string"
-# Sources above these sizes are not cut into tokens, the second for minified ones; so much of a source that fails is one literal; so deep may brackets lie.
-MAX_CHARS, MAX_MINIFIED, FALLBACK, DEPTH = 1_000_000, 300_000, 20_000, 300
+# Sources above these sizes have no tree made, the second for minified ones; so much of a source that fails is one literal.
+MAX_CHARS, MAX_MINIFIED, FALLBACK = 1_000_000, 300_000, 20_000
 _REQUIRE = r"""(?:require\s*\(\s*|import\s+(?:[^'"()]*?\s+from\s+)?|import\s*\(\s*)['"]([^'"]+)['"]"""
-_TOKEN = re.compile(
-    r"(?P<space>[\s\ufeff]+|//[^\n]*|/\*[\s\S]*?\*/|^#![^\n]*)"
-    r"|(?P<name>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)"
-    r"|(?P<number>0[xXbBoO][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
-    r"""|(?P<string>'(?:[^'\\\n]|\\[\s\S])*'|"(?:[^"\\\n]|\\[\s\S])*")"""
-    r"|(?P<newer>\?\.(?!\d)|\?\?|#[A-Za-z_])"
-    r"|(?P<mark>=>|\.\.\.|[-+*/%&|^!<>=]=+|\+\+|--|[{}()\[\];,.<>+*%&|^!~?:=@-])"
-)
-_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
-#: A slash behind one of these begins a regular expression.
-_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
-_ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]+)\}|(\r\n|[\s\S]))")
-_PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r\n": ""}
+_FUNCTIONS = ("function", "declared")
 
 
-class NotParsed(ValueError):
-    """The source is not cut into tokens."""
+class Scope:
+    """What names stand for: a module or a member of one, or nothing known (None)."""
 
+    def __init__(self, outer: Scope | None, function: bool):
+        self.outer, self.function = outer, function
+        self.names: dict[str, str | None] = {}
 
-def _cooked(body: str) -> str:
-    def one(m: re.Match) -> str:
-        code = m[1] or m[2] or m[3]
-        return chr(min(int(code, 16), 0x10FFFF)) if code else _PLAIN.get(m[4], m[4])
+    def holder(self, name: str) -> Scope | None:
+        scope: Scope | None = self
+        while scope and name not in scope.names:
+            scope = scope.outer
+        return scope
 
-    return _ESCAPE.sub(one, body) if "\\" in body else body
+    def hoisted(self) -> Scope:
+        scope = self
+        while not scope.function and scope.outer:
+            scope = scope.outer
+        return scope
 
 
-class Tokens:
-    """kind, text and line of each token, and for each opening bracket the place of the closing one.
+def required(node: Node | None) -> str | None:
+    """The module of require("...")."""
+    if node and node.kind == "call" and node.kids[0].kind == "name" and node.kids[0].text == "require" and len(node.kids) > 1 and node.kids[1].kind == "string":
+        return node.kids[1].text
+    return None
 
-    Kinds are name, number, string (its text is cooked), piece (of a template), regex and mark.
-    """
 
-    def __init__(self, source: str):
-        self.kind: list[str] = []
-        self.text: list[str] = []
-        self.line: list[int] = []
-        self.closing: dict[int, int] = {}
-        self.open: list[tuple[str, int]] = []
-        self.at, self.row = 0, 1
-        self.source = source
-        while self.at < len(source):
-            self._next()
-        if self.open:
-            raise NotParsed("open bracket")
-
-    def _add(self, kind: str, text: str, raw: str) -> None:
-        self.kind.append(kind)
-        self.text.append(text)
-        self.line.append(self.row)
-        self.row += raw.count("\n")
-        self.at += len(raw)
-
-    def _next(self) -> None:
-        c = self.source[self.at]
-        if c == "`":
-            return self._template("`")
-        if c == "}" and self.open and self.open[-1][0] == "${":
-            self.closing[self.open.pop()[1]] = len(self.text)
-            return self._template("}")
-        if c == "/" and self.source[self.at + 1 : self.at + 2] not in ("/", "*"):
-            last, kind = (self.text[-1], self.kind[-1]) if self.text else ("", "mark")
-            value = kind in ("number", "string", "piece", "regex") or (kind == "name" and last not in _BEFORE_REGEX) or (kind == "mark" and last in (")", "]", "}"))
-            if value:
-                return self._add("mark", "/", "/")
-            if m := _REGEX.match(self.source, self.at):
-                return self._add("regex", m[0], m[0])
-            raise NotParsed("regular expression")
-        m = _TOKEN.match(self.source, self.at)
-        if not m or m.lastgroup == "newer":
-            raise NotParsed("token")
-        if m.lastgroup == "space":
-            self.row += m[0].count("\n")
-            self.at = m.end()
-            return None
-        if m.lastgroup == "mark":
-            self._bracket(m[0])
-        self._add(m.lastgroup, _cooked(m[0][1:-1]) if m.lastgroup == "string" else m[0], m[0])
-        return None
-
-    def _bracket(self, mark: str) -> None:
-        if mark in ("(", "[", "{"):
-            self.open.append((mark, len(self.text)))
-            if len(self.open) > DEPTH:
-                raise NotParsed("depth")
-        elif mark in (")", "]", "}"):
-            if not self.open or self.open[-1][0] + mark not in ("()", "[]", "{}"):
-                raise NotParsed("closing bracket")
-            self.closing[self.open.pop()[1]] = len(self.text)
-
-    def _template(self, begin: str) -> None:
-        """A piece of a template, up to its end or to an expression in it."""
-        k = self.at + 1
-        while k < len(self.source) and self.source[k] != "`" and not self.source.startswith("${", k):
-            k += 2 if self.source[k] == "\\" else 1
-        if k >= len(self.source):
-            raise NotParsed("open template")
-        piece = self.source[self.at + 1 : k]
-        inner = self.source[k] == "$"
-        self._add("piece", _cooked(piece), self.source[self.at : k + (2 if inner else 1)])
-        if inner:
-            self.open.append(("${", len(self.text) - 1))
-            if len(self.open) > DEPTH:
-                raise NotParsed("depth")
-
-    def is_mark(self, k: int, *marks: str) -> bool:
-        return 0 <= k < len(self.text) and self.kind[k] == "mark" and self.text[k] in marks
-
-    def is_name(self, k: int, *names: str) -> bool:
-        return 0 <= k < len(self.text) and self.kind[k] == "name" and (not names or self.text[k] in names)
+def bound(pattern: Node, module: str | None = None) -> Iterator[tuple[str, str | None]]:
+    """The names that a pattern binds, and what each stands for if a module is taken apart by it."""
+    stack = [(pattern, module, True)]
+    while stack:
+        node, at, top = stack.pop()
+        if node.kind == "name":
+            yield node.text, at
+        elif node.kind == "assign":
+            stack.append((node.kids[0], at, top))
+        elif node.kind == "property":
+            stack.append((node.kids[-1], f"{at}.{node.text}" if at and top else None, False))
+        elif node.kind in ("object", "array", "group", "sequence", "spread"):
+            stack += [(k, at if node.kind in ("object", "spread") and top else None, top) for k in reversed(node.kids)]
 
 
 class Facts:
     def __init__(self, source: str):
-        self.t = Tokens(source)
-        self.modules: dict[str, str] = {}
-        self.members: dict[str, str] = {}
         self.rows: list[tuple] = []
-        self._bindings()
-        self._expressions()
-
-    def _module(self, k: int) -> str | None:
-        """The module of require("...") at k."""
-        t = self.t
-        return t.text[k + 2] if t.is_name(k, "require") and t.is_mark(k + 1, "(") and k + 2 < len(t.text) and t.kind[k + 2] == "string" and not t.is_mark(k - 1, ".") else None
-
-    def _destructured(self, begin: int, end: int, between: str, module: str) -> None:
-        """{a, b: c} or {a, b as c}: the names that a module's members get."""
-        k = begin + 1
-        while k < end:
-            if self.t.is_name(k):
-                own, local = self.t.text[k], self.t.text[k]
-                if k + 2 < end and (self.t.text[k + 1] == between) and self.t.is_name(k + 2):
-                    local = self.t.text[k + 2]
-                self.members[local] = f"{module}.{own}"
-            while k < end and not self.t.is_mark(k, ","):
-                k = self.t.closing.get(k, k) + 1
-            k += 1
-
-    def _bindings(self) -> None:
-        t = self.t
-        for k in range(len(t.text)):
-            if t.is_mark(k, "=") and (module := self._module(k + 1)) and t.is_mark(t.closing[k + 2] + 1, ";", ",", ")", "}") | (t.closing[k + 2] + 1 >= len(t.text)) | (t.closing[k + 2] + 1 < len(t.text) and t.kind[t.closing[k + 2] + 1] != "mark"):
-                if t.is_name(k - 1) and (t.is_name(k - 2, "const", "let", "var") or t.is_mark(k - 2, ",")):
-                    self.modules[t.text[k - 1]] = module
-                elif t.is_mark(k - 1, "}"):
-                    begin = next(a for a, b in t.closing.items() if b == k - 1)
-                    self._destructured(begin, k - 1, ":", module)
-            if t.is_name(k, "import") and not t.is_mark(k - 1, ".") and not t.is_mark(k + 1, "(", "."):
-                end = k + 1
-                while end < len(t.text) and t.kind[end] != "string" and not t.is_mark(end, ";"):
-                    end += 1
-                if end == len(t.text) or t.kind[end] != "string":
-                    continue
-                module, j = t.text[end], k + 1
-                while j < end:
-                    if t.is_mark(j, "{"):
-                        self._destructured(j, t.closing[j], "as", module)
-                        j = t.closing[j]
-                    elif t.is_name(j) and not t.is_name(j, "from", "as"):
-                        self.modules[t.text[j]] = module
-                    j += 1
-
-    def resolved(self, name: str) -> str:
-        head, _, rest = name.partition(".")
-        if head in self.modules:
-            return f"{self.modules[head]}.{rest}" if rest else self.modules[head]
-        return self.members[head] if head in self.members and not rest else name
-
-    def chain(self, k: int) -> tuple[str, int]:
-        """The dotted name that begins at k, and the place behind it; a computed member's name is not known."""
-        t, name = self.t, self.t.text[k]
-        k += 1
-        while True:
-            if t.is_mark(k, ".") and t.is_name(k + 1):
-                name, k = f"{name}.{t.text[k + 1]}", k + 2
-            elif t.is_mark(k, "[") and not t.is_mark(k - 1, ",", "(", "[", "=", ":"):
-                name, k = f"{name}.<computed>", t.closing[k] + 1
-            else:
-                return name, k
-
-    def _arguments(self, begin: int) -> list[tuple[int, int]]:
-        """Where the arguments of a call begin and end."""
-        t, end = self.t, self.t.closing[begin]
-        out, k, start = [], begin + 1, begin + 1
-        while k < end:
-            if t.is_mark(k, ","):
-                out.append((start, k))
-                start = k + 1
-            k = t.closing.get(k, k) + 1
-        return [*out, (start, end)] if start < end else out
-
-    def _decodes(self, begin: int, end: int) -> bool:
-        for k in range(begin, end):
-            if self.t.is_name(k) and not self.t.is_mark(k - 1, "."):
-                name, after = self.chain(k)
-                name = self.resolved(name)
-                if self.t.is_mark(after, "(") and (name.rsplit(".", 1)[-1] in P.JS_DECODE_CALLS or name in ("Buffer.from", "String.fromCharCode")):
+        self.scopes: dict[int, Scope] = {}
+        self.root = parse(source)
+        self._bind()
+        self._walk()
+
+    def _bind(self) -> None:
+        """Scopes with the names that they declare, then what declarations, assignments and imports make of them."""
+        given: list[tuple[Scope, str, str]] = []
+        stack = [(self.root, Scope(None, True))]
+        while stack:
+            node, scope = stack.pop()
+            if node.kind in ("declared", "class") and node.text:
+                scope.names.setdefault(node.text, None)
+            if node.kind in (*_FUNCTIONS, "block", "program"):
+                scope = Scope(scope, node.kind != "block")
+                if node.kind == "function" and node.text:
+                    scope.names.setdefault(node.text, None)
+            self.scopes[id(node)] = scope
+            if node.kind == "parameters":
+                for k in node.kids:
+                    scope.names.update((name, None) for name, _ in bound(k))
+            elif node.kind == "declare":
+                for one in node.kids:
+                    module = required(one.kids[1]) if len(one.kids) > 1 else None
+                    for name, target in bound(one.kids[0], module):
+                        (scope.hoisted() if node.text == "var" else scope).names.setdefault(name, None)
+                        if target:
+                            given.append((scope, name, target))
+            elif node.kind == "assign" and node.text == "=" and (module := required(node.kids[1])):
+                given += [(scope, name, target) for name, target in bound(node.kids[0], module) if target]
+            elif node.kind == "import":
+                for one in node.kids[:-1]:
+                    if one.kind == "bind":
+                        scope.names[one.text] = f"{node.text}.{one.kids[0].text}" if one.kids and one.kids[0].text != "default" else node.text
+                continue
+            stack += [(k, scope) for k in reversed(node.kids)]
+        for scope, name, target in given:
+            (scope.holder(name) or scope.hoisted()).names[name] = target
+
+    def name(self, node: Node, scope: Scope) -> str | None:
+        """The dotted name of an expression, resolved; a computed member's name is not known."""
+        tail = []
+        while node.kind in ("member", "index"):
+            tail.append(node.text if node.kind == "member" else "<computed>")
+            node = node.kids[0]
+        if node.kind != "name":
+            return None
+        holder = scope.holder(node.text)
+        return ".".join([(holder and holder.names[node.text]) or node.text, *reversed(tail)])
+
+    def _decodes(self, call: Node) -> bool:
+        stack = list(call.kids[1:])
+        while stack:
+            node = stack.pop()
+            if node.kind == "call":
+                name = self.name(node.kids[0], self.scopes[id(node)]) or ""
+                if name.rsplit(".", 1)[-1] in P.JS_DECODE_CALLS or name in ("Buffer.from", "String.fromCharCode"):
                     return True
+            stack += node.kids
         return False
 
-    def _expressions(self) -> None:
-        t = self.t
-        for k in range(len(t.text)):
-            if t.kind[k] in ("string", "piece") and t.text[k]:
-                self.rows.append(("literal", None, t.line[k], t.text[k]))
-            elif t.is_mark(k, "["):
-                parts = self._arguments(k)
-                if len(parts) >= 25 and all(b - a == 1 and t.kind[a] == "string" for a, b in parts):
-                    self.rows.append(("array", None, t.line[k], str(len(parts))))
-            elif t.is_name(k) and not t.is_mark(k - 1, ".") and not t.is_name(k - 1, "function", "class"):
-                name, after = self.chain(k)
-                name = self.resolved(name)
-                if name.startswith("process.env"):
-                    self.rows.append(("env", "whole" if name == "process.env" else "one", t.line[k], ""))
-                if t.is_mark(after, "(") and not t.is_mark(t.closing[after] + 1, "{"):
-                    self._call(k, name, after)
-
-    def _call(self, k: int, name: str, begin: int) -> None:
-        t, arguments = self.t, self._arguments(begin)
-        string = lambda a: a[1] - a[0] == 1 and t.kind[a[0]] == "string"
-        plain = lambda a: a[1] - a[0] == 1 and (t.kind[a[0]] in ("string", "number", "regex") or t.is_name(a[0], "true", "false", "null"))
+    def _walk(self) -> None:
+        stack = [(self.root, False)]
+        while stack:
+            node, within = stack.pop()  # within: as the object of a longer chain
+            scope = self.scopes.get(id(node))
+            if node.kind in ("string", "piece") and node.text:
+                self.rows.append(("literal", None, node.line, node.text))
+            elif node.kind == "array" and len(node.kids) >= 25 and all(k.kind == "string" for k in node.kids):
+                self.rows.append(("array", None, node.line, str(len(node.kids))))
+            elif node.kind in ("member", "index") and scope and not within:
+                name = self.name(node, scope)
+                if name and name.startswith("process.env"):
+                    self.rows.append(("env", "whole" if name == "process.env" else "one", node.line, ""))
+            elif node.kind in ("call", "new") and scope:
+                self._call(node, scope)
+            for i, k in reversed(list(enumerate(node.kids))):
+                stack.append((k, node.kind in ("member", "index") and i == 0))
+
+    def _call(self, node: Node, scope: Scope) -> None:
+        name = self.name(node.kids[0], scope)
+        if name is None:
+            return
+        first = node.kids[1] if len(node.kids) > 1 else None
         marks = {
-            "text": bool(arguments) and string(arguments[0]) and t.text[arguments[0][0]] != "",
-            "computed": bool(arguments) and not plain(arguments[0]),
-            "decoded": self._decodes(begin + 1, t.closing[begin]),
-            "direct": t.text[k] == "require" and begin == k + 1,
+            "text": first is not None and first.kind == "string" and first.text != "",
+            "computed": first is not None and first.kind not in ("string", "number", "regex", "constant"),
+            "decoded": self._decodes(node),
+            "direct": node.kids[0].kind == "name" and node.kids[0].text == "require",
         }
-        self.rows.append(("new" if t.is_name(k - 1, "new") else "call", name, t.line[k], ",".join(m for m, on in marks.items() if on)))
+        self.rows.append((node.kind, name, node.line, ",".join(m for m, on in marks.items() if on)))
 
 
 def analyse(source: str, minified: bool = False) -> list[tuple]:
@@ -263,7 +172,7 @@ def analyse(source: str, minified: bool = False) -> list[tuple]:
         if len(source) > (MAX_MINIFIED if minified else MAX_CHARS):
             raise NotParsed("size")
         return Facts(source).rows
-    except (NotParsed, IndexError, KeyError, StopIteration, RecursionError):
+    except (NotParsed, RecursionError):
         return [("parse_failed", None, 0, ""), ("literal", None, 0, source[:FALLBACK])]
 
 
