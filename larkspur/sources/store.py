@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,46 @@ def coerced(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in columns})
 
 
-def upsert_scans(spark: SparkSession, path: str, scans: DataFrame) -> None:
-    """Write scans partitioned by scan_id; a scan that is stored already is replaced."""
-    scans.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
+#: Buckets of a scan store, and rows of a file. A store keeps the number of buckets that it was made with.
+BUCKETS, FILE_ROWS = 256, 5_000_000
+
+
+def bucket(scan_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(scan_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    """Write whole buckets in place of what they held; a large one is several files."""
+    rows = cut(rows)
+    sizes = rows.groupBy("bucket").count().withColumn("__files", F.ceil(F.col("count") / FILE_ROWS))
+    salted = rows.join(F.broadcast(sizes.select("bucket", "__files")), "bucket")  # a row for each bucket
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.col("__files"))
+    dealt = salted.withColumn("__file", salt).repartition("bucket", "__file").drop("__files", "__file")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(path)
+
+
+def upsert_scans(spark: SparkSession, path: str, scans: DataFrame, buckets: int = BUCKETS) -> None:
+    """Store scans; one that is stored already is replaced whole.
+
+    Scans are hashed to a fixed number of buckets, so any number of them leaves a bounded number of files. Only the buckets that the
+    new scans fall in are read, merged and replaced, each at once; done again it changes nothing.
+    """
+    new = cut(scans.withColumn("bucket", bucket(F.col("scan_id"), buckets)))
+    old = _stored(spark, path)
+    if old is None:
+        return _replace(new, path)
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # no more than there are buckets
+    kept = old.where(F.col("bucket").isin(touched)).join(new.select("scan_id").distinct(), "scan_id", "left_anti")
+    return _replace(kept.unionByName(new, allowMissingColumns=True), path)
 
 
 def seeded_subset(rows: DataFrame, key: Column, limit: int, seed: int) -> DataFrame:
@@ -95,12 +133,24 @@ def get(spark: SparkSession, path: str, sample_ids: list[str]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("sample_id").isin(sample_ids))
 
 
-def load_scan(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
-    """A stored scan's rows; only its own partition is read."""
-    return spark.read.parquet(path).where(F.col("scan_id") == scan_id)
-
-
-def delete_scan(spark: SparkSession, path: str, scan_id: str) -> bool:
-    """Drop a scan's partition; whether there was one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/scan_id={scan_id}")
-    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True))
+def load_scan(spark: SparkSession, path: str, scan_id: str, buckets: int = BUCKETS) -> DataFrame:
+    """A stored scan's rows; only its bucket is read."""
+    return spark.read.parquet(path).where((F.col("bucket") == bucket(F.lit(scan_id), buckets)) & (F.col("scan_id") == scan_id)).drop("bucket")
+
+
+def delete_scan(spark: SparkSession, path: str, scan_id: str, buckets: int = BUCKETS) -> bool:
+    """Take a scan out of its bucket; whether there was one."""
+    stored = _stored(spark, path)
+    if stored is None:
+        return False
+    own = stored.where(F.col("bucket") == bucket(F.lit(scan_id), buckets))
+    if own.where(F.col("scan_id") == scan_id).isEmpty():
+        return False
+    rest = cut(own.where(F.col("scan_id") != scan_id))
+    if rest.isEmpty():  # an overwrite with no row would leave the bucket as it is
+        number = spark.range(1).select(bucket(F.lit(scan_id), buckets)).first()[0]
+        system, root = FileSystem.from_uri(path)
+        system.delete_dir(f"{root}/bucket={number}")
+    else:
+        _replace(rest, path)
+    return True

@@ -15,17 +15,10 @@ def unseen(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def append_new(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame], per_trigger: int = 1000) -> None:
     """Process the files that a folder has gained since the last run, then stop.
 
-    Each micro-batch is transformed and appended without keys that the target holds; a
-    batch that is tried again adds nothing twice.
+    Which keys were seen is state of the stream, kept by key in the checkpoint; the target is never read. Rows of a known key leave
+    before they are transformed, so `transform` takes a stream of rows with the key, and must be row by row. The file sink lists in the
+    target which files a batch has written, so a batch that is tried again after a failure adds nothing twice.
     """
-
-    def enter(batch: DataFrame, _: int) -> None:
-        rows = transform(batch)
-        if spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(target)):
-            rows = unseen(rows, spark.read.schema(rows.schema).parquet(target), key)
-        else:
-            rows = rows.dropDuplicates([key])
-        rows.write.mode("append").parquet(target)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
-    stream.writeStream.foreachBatch(enter).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source).dropDuplicates([key])
+    sink = transform(rows).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
