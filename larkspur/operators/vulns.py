@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import cut
 from ..functions import versions as V
 
 RANKS = ["UNKNOWN", "LOW", "MODERATE", "HIGH", "CRITICAL"]
@@ -54,13 +55,15 @@ def priority(cvss: Column, severity: Column, reachable: Column) -> Column:
 def remediation(findings: DataFrame, ids: int = 12) -> DataFrame:
     """Per package the version that fixes all, what it fixes, and the first ids."""
     fixed = findings.where(F.col("fixed").isNotNull())
-    return fixed.groupBy("package").agg(
+    named = fixed.select("package", "id").distinct().withColumn("__place", F.row_number().over(Window.partitionBy("package").orderBy("id")))
+    first = named.where(F.col("__place") <= ids).groupBy("package").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    plan = fixed.groupBy("package").agg(
         F.max_by("fixed", V.version_key(F.col("fixed"))).alias("upgrade_to"),
         F.count(F.lit(1)).alias("fixes"),
         F.count_if("reachable").alias("reachable_fixes"),
         F.max(rank(F.col("severity"))).alias("worst"),
-        F.slice(F.array_sort(F.collect_set("id")), 1, ids).alias("ids"),
     )
+    return plan.join(first, "package", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
 
 
 def remediation_plan(findings: DataFrame, packages: DataFrame) -> DataFrame:
@@ -75,17 +78,19 @@ def reachability(findings: DataFrame, analysed: DataFrame, imported: DataFrame,
     """
     a = analysed.select("package", F.lit(True).alias("seen")).distinct()
     i = imported.select("package", F.lit(True).alias("used")).distinct()
-    c = called.groupBy("package").agg(F.collect_set("symbol").alias("calls"))
-    out = findings.join(a, "package", "left").join(i, "package", "left").join(c, "package", "left")
+    # symbols are looked up one by one, so a package with many calls is no long list
+    asked = findings.select("package", "symbols").distinct().withColumn("symbol", F.explode("symbols"))
+    c = asked.join(called.select("package", "symbol").distinct(), ["package", "symbol"]).select("package", "symbols", F.lit(True).alias("hit")).distinct()
+    out = findings.join(a, "package", "left").join(i, "package", "left").join(c, ["package", "symbols"], "left")
     verdict = (
         F.when(F.col("seen").isNull(), "not_analysed")
         .when(F.col("used").isNull(), "not_imported")
         .when(F.size("symbols") == 0, "assumed_reachable")
-        .when(F.arrays_overlap("symbols", F.coalesce("calls", F.array().cast("array<string>"))), "reachable")
+        .when(F.col("hit").isNotNull(), "reachable")
         .otherwise("symbol_not_called")
     )
     confidence = F.create_map(*[F.lit(x) for x in ("not_analysed", "none", "not_imported", "high", "assumed_reachable", "low", "reachable", "high", "symbol_not_called", "medium")])
-    return out.withColumn("verdict", verdict).withColumn("confidence", confidence[F.col("verdict")]).drop("seen", "used", "calls")
+    return out.withColumn("verdict", verdict).withColumn("confidence", confidence[F.col("verdict")]).drop("seen", "used", "hit")
 
 
 def exposure(install: Column, analysed: Column, imported: Column, module_level: Column, called: Column) -> Column:
@@ -113,9 +118,24 @@ def last_write(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("w")).select(key, "w.*")
 
 
+#: Rows of a range within which members are added up.
+RANGE_ROWS = 1_000_000
+
+
 def running_limit(members: DataFrame, archive: str, seq: str, size: str, max_members: int, max_bytes: int) -> DataFrame:
-    """Members with running totals; `kept` until the first that breaches a ceiling, with the reason."""
-    by = Window.partitionBy(archive).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    run = members.withColumn("members", F.count(F.lit(1)).over(by)).withColumn("bytes", F.sum(size).over(by))
+    """Members with running totals; `kept` until the first that breaches a ceiling, with the reason.
+
+    Members are ordered in ranges, and what an archive has in the ranges before is added up apart, so that an archive with
+    most of the members is no task of its own.
+    """
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // RANGE_ROWS)
+    placed = cut(members.repartitionByRange(parts, archive, seq).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy(archive)
+    earlier = own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = placed.groupBy(archive, "__part").agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__s"))
+    before = heads.select(archive, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__members"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__bytes"))
+    here = Window.partitionBy(archive, "__part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.withColumns({"__a": F.count(F.lit(1)).over(here), "__b": F.sum(size).over(here)}).join(before.withColumnRenamed(archive, "__archive").withColumnRenamed("__part", "__at"), F.col(archive).eqNullSafe(F.col("__archive")) & (F.col("__part") == F.col("__at")))
+    run = joined.withColumns({"members": F.col("__a") + F.col("__members"), "bytes": F.col("__b") + F.col("__bytes")}).drop("__a", "__b", "__members", "__bytes", "__part", "__at", "__archive")
     why = F.when(F.col("members") > max_members, "members").when(F.col("bytes") > max_bytes, "bytes")
     return run.withColumn("reason", why).withColumn("kept", F.col("reason").isNull())

@@ -101,6 +101,23 @@ def q57(spark, sf_dir):
     return python_ast.facts(files).where("kind = 'flow'").select("path", "target", "scope", "line", "detail")
 
 
+#: A setup.py for each part: what runs when it is read, what only a function of it would do, and a command class.
+_SETUP = [
+    ("true", "import os\\nfrom setuptools import setup\\n", 2, []),
+    ("p_size % 3 = 0", 'os.system("make")\\n', 1, [("PROCESS_SPAWN", "os.system", 0), ("SETUP_PY_SIDE_EFFECTS", None, 0)]),
+    ("true", 'def later():\\n    os.popen("x")\\n', 2, [("PROCESS_SPAWN", "os.popen", 1)]),
+    ("p_size % 4 = 1", "eval(x)\\n", 1, [("DYNAMIC_EVAL", "eval", 0), ("SETUP_PY_SIDE_EFFECTS", None, 0)]),
+    ("p_partkey % 5 = 2", 'setup(name="a", cmdclass={"install": I})\\n', 1, [("SETUP_PY_SIDE_EFFECTS", "cmdclass", 0)]),
+    ("p_partkey % 5 <> 2", 'setup(name="a")\\n', 1, []),
+]
+
+
+@query("q56b_setup_side_effects", _expected(_SETUP, "'p' || p_partkey || '/setup.py' AS path"))
+def q56b(spark, sf_dir):
+    files = part(spark, sf_dir).select(F.expr("concat('p', p_partkey, '/setup.py')").alias("path"), _text(_source(_SETUP)).alias("source"))
+    return python_ast.code_signals(python_ast.facts(files))
+
+
 _MODULES = "concat('import m', p_partkey div 2, '\\nimport json\\ndef run(x):\\n    m', p_partkey div 2, '.run(x)\\n    helper()\\n    json.dumps(x)\\ndef helper():\\n    pass\\n', CASE WHEN p_partkey % 4 = 3 THEN 'run(1)\\n' ELSE '' END)"
 
 
@@ -342,6 +359,24 @@ def q14(spark, sf_dir):
     return names.variant_matches(*lookalikes(spark, sf_dir)).select("candidate", "target", "kind").distinct()
 
 
+_PROXIMITY = ["typosquat_proximity", "typosquat_homoglyph", "typosquat_scope_confusion", "typosquat_affix"]
+
+
+@query(
+    "q66b_lookalike_features",
+    _VARIANTS
+    + ", d AS (SELECT candidate AS package, max(1 / (1 + CASE kind WHEN 'scope' THEN 0.0 WHEN 'affix' THEN 1.0 ELSE 0.5 END)) AS typosquat_proximity, max((kind = 'homoglyph')::INT) AS typosquat_homoglyph, max((kind = 'scope')::INT) AS typosquat_scope_confusion, max((kind IN ('affix', 'separator'))::INT) AS typosquat_affix FROM m GROUP BY candidate) "
+    "SELECT c.name AS package, " + ", ".join(f"round(coalesce(d.{c}, 0)::DOUBLE, 6) AS {c}" for c in _PROXIMITY) + " FROM c LEFT JOIN d ON d.package = c.name",
+)
+def q66b(spark, sf_dir):
+    candidates, popular = lookalikes(spark, sf_dir)
+    files = candidates.select(F.col("name").alias("package"), F.lit("a.py").alias("path"), F.lit("x = 1").alias("text"))
+    signals_ = files.select("package", F.lit("").alias("code")).limit(0)
+    metadata = package_metadata(spark, sf_dir).limit(0)
+    v = features.vector(signals_, files, metadata, names.variant_matches(candidates, popular), files.select("package", "path").limit(0))
+    return v.select("package", *[F.round(c, 6).alias(c) for c in _PROXIMITY])
+
+
 #: Names with one edit of a known cost: a doubled letter, two letters changed about, a letter that is missing.
 _EDITED = f"CASE p_partkey % 3 WHEN 0 THEN concat(substring({_NAME}, 1, 2), 'qz', substring({_NAME}, 3, 50)) WHEN 1 THEN concat(substring({_NAME}, 2, 1), substring({_NAME}, 1, 1), substring({_NAME}, 3, 50)) ELSE substring({_NAME}, 2, 50) END"
 

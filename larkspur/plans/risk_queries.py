@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..core import cut, table
 from ..functions import patterns as P
-from ..operators import diffs, evaluation, features, graph, history, ml, names, resolution, vulns
+from ..operators import calibration, diffs, evaluation, features, graph, history, ml, names, resolution, vulns
 from ..sources import archives, registry, shipped, store
 from ..streaming import incremental
 
@@ -86,10 +86,10 @@ def q28(spark, sf_dir):
 
 @query(
     "q28b_ordered_plan",
-    f"WITH {FINDINGS}, r AS (SELECT package, count(*) AS fixes, count(*) FILTER (WHERE reachable) AS reachable_fixes FROM findings WHERE fixed IS NOT NULL GROUP BY package) SELECT package, p_name AS version, fixes, reachable_fixes FROM r JOIN part ON package = 'pkg' || p_partkey WHERE p_partkey % 2 = 0",
+    f"WITH {FINDINGS}, r AS (SELECT package, count(*) AS fixes, count(*) FILTER (WHERE reachable) AS reachable_fixes FROM findings WHERE fixed IS NOT NULL GROUP BY package) SELECT package, p_name AS version, fixes, reachable_fixes FROM r JOIN part ON package = 'pkg' || p_partkey",
 )
 def q28b(spark, sf_dir):
-    packages = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.expr("concat('pkg', p_partkey)").alias("package"), F.col("p_name").alias("version"), F.lit(True).alias("is_direct"))
+    packages = table(spark, sf_dir, "part").select(F.expr("concat('pkg', p_partkey)").alias("package"), F.col("p_name").alias("version"), F.lit(True).alias("is_direct"))
     return vulns.remediation_plan(findings(spark, sf_dir), packages).select("package", "version", "fixes", "reachable_fixes")
 
 
@@ -457,7 +457,7 @@ def q62(spark, sf_dir):
 
 
 def embedding_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    names = [f"e{i}" for i in range(8)]
+    names = [f"e{i}" for i in range(64)]
     e = table(spark, sf_dir, "embeddings")
     return e.select((F.col("label") % 2).alias("label"), (F.col("vec_id") % 25).cast("string").alias("grp"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
@@ -471,7 +471,8 @@ def q54(spark, sf_dir):
 @query("q55_isotonic_calibration")
 def q55(spark, sf_dir):
     rows, names = embedding_rows(spark, sf_dir)
-    return ml.calibrated(ml.out_of_fold(rows, names, 2, 5).select("label", "score"))
+    model = calibration.CalibratedClassifier(features=names, folds=3, trees=5, score="calibrated").fit(rows)
+    return model.transform(rows).select("grp", "label", "calibrated")
 
 
 @query(

@@ -9,7 +9,7 @@ from ..core import spread, table
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import versions as V
-from ..operators import names, signals
+from ..operators import evaluation, names, signals
 from ..sources import manifests
 from . import fixtures as X
 
@@ -205,7 +205,7 @@ ZEROED = ["network_access", "env_access", "host_recon"]
 
 @query("q47_feature_zeroing", FEATURES + " SELECT package, " + ", ".join("0.0::DOUBLE AS " + c if c in ZEROED else c for c in SHAPES + _NAMES) + " FROM v")
 def q47(spark, sf_dir):
-    return vectors(spark, sf_dir).withColumns({c: F.lit(0.0) for c in ZEROED})
+    return evaluation.zeroed(vectors(spark, sf_dir), ZEROED)
 
 
 WEIGHTS = [("sensitive_path_access", 0.3), ("crypto_wallet_access", 0.25), ("network_access", 0.2), ("total_bytes", 0.15), ("distinct_signal_types", 0.1), ("env_access", 0.05), ("max_line_length", 0.02)]

@@ -88,3 +88,18 @@ def test_groups_by_name_or_rounded_vector(spark):
     got = {x["id"]: x["grp"] for x in graph.groups(df, "id", {"name": F.col("name"), "vector": graph.rounded_key(F.col("vec"))}).collect()}
     assert got == {i: find(i) for i in parent}
     assert got[1000] == got[1001] != got[1002]
+
+
+def test_queries_over_embeddings(spark):
+    """Out-of-fold scores cover all rows and keep groups together; calibrated ones are probabilities near the labels' share."""
+    from larkspur.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = catalogue.QUERIES["q54_gbt_out_of_fold"](spark, sf).cache()
+    assert rows.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert rows.groupBy("grp").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
+    assert rows.where("score < 0 OR score > 1 OR score IS NULL").isEmpty()
+    assert ml.roc_auc(ml.out_of_fold(matrix(spark, 3, 200), ["a", "b"], 3, 5)).first()[0] > 0.7
+    scored = catalogue.QUERIES["q55_isotonic_calibration"](spark, sf).cache()
+    found = scored.agg(F.min("calibrated"), F.max("calibrated"), F.avg("calibrated"), F.avg("label")).first()
+    assert 0 <= found[0] <= found[1] <= 1 and abs(found[2] - found[3]) < 0.1
