@@ -15,13 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df as a table written once in the folder that all executors share.
+def shared_path(spark: SparkSession, purpose: str) -> str:
+    """A new name in the folder that all executors share.
 
     The folder is the one that spark.checkpoint.dir names. Only a local master, as in
     tests, may do without; there a temporary folder takes its place.
     """
-    spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -29,9 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="larkspur-"))
         root = _OWN[0]
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df as a table written once in the folder that all executors share."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _OWN: list[str] = []

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import api, projects
-from ..core import cut, spread, table
+from ..core import cut, shared_path, spread, table
 from ..functions import patterns as P
 from ..operators import evaluation, features, graph, history, names, signals
-from ..sources import advisories, archives, call_graph, javascript, lockfiles, python_ast, registry, shipped
+from ..sources import advisories, archives, call_graph, javascript, lockfiles, python_ast, registry, shipped, snapshots
 from ..streaming import progress
 from . import fixtures as X
 from . import text_queries
@@ -30,6 +30,14 @@ def query(name: str, sql: str | None = None):
     return enter
 
 
+def stored(rows: DataFrame, url: str, text: str) -> DataFrame:
+    """text of documents that have gone through a store of snapshots; an older one of the same request has gone in too."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "snapshots")
+    at = lambda days, content: rows.select(F.lit("GET").alias("method"), F.expr(url).alias("url"), F.lit(None).cast("string").alias("body"), content.alias("content"), F.expr(f"timestamp'2026-01-08 00:00:00' - INTERVAL {days} DAYS").alias("fetched_at"))
+    snapshots.save(path, at(6, F.lit("{}")).unionByName(at(1, F.expr(text))))
+    return snapshots.documents(spark, path, F.expr("timestamp'2026-01-08 00:00:00'")).select(F.col("content").alias("text"))
+
+
 def part(spark, sf_dir) -> DataFrame:
     """Parts, over all cores, as each becomes sources to be parsed."""
     return spread(table(spark, sf_dir, "part"))
@@ -635,7 +643,7 @@ _NPM_DOC = "concat('{\"name\":\"', replace(p_name, ' ', '-'), p_partkey, '\",\"r
     "FROM (SELECT *, unnest(['1.0.' || p_size, '0.9.0']) AS v FROM part)",
 )
 def q82(spark, sf_dir):
-    m = registry.npm_metadata(part(spark, sf_dir).select(F.expr(_NPM_DOC).alias("text")))
+    m = registry.npm_metadata(stored(part(spark, sf_dir), "concat('https://npm/', p_partkey)", _NPM_DOC))
     return m.select("name", "version", "description", "repository_url", "maintainer_count", "version_count", F.array_join("dependency_names", ",").alias("dependencies"), F.array_join(F.map_keys("install_scripts"), ",").alias("hooks"))
 
 
@@ -655,7 +663,7 @@ _PYPI_DOC = (
     "SELECT 'p' || p_partkey AS name, '1.' || p_size AS version, p_brand AS description, CASE WHEN p_size % 3 = 0 THEN 'https://s' ELSE 'https://github.com/h' END AS repository_url, (p_size % 2 = 0)::INT AS maintainer_count, 'six,attrs' AS dependencies, CASE WHEN p_size % 4 = 0 THEN 'a.tar.gz' ELSE 'a-py3-none-any.whl' END AS file FROM part",
 )
 def q83(spark, sf_dir):
-    m = registry.pypi_metadata(part(spark, sf_dir).select(F.expr(_PYPI_DOC).alias("text")))
+    m = registry.pypi_metadata(stored(part(spark, sf_dir), "concat('https://pypi/', p_partkey)", _PYPI_DOC))
     return m.select("name", "version", "description", "repository_url", "maintainer_count", F.array_join("dependency_names", ",").alias("dependencies"), F.col("dist.filename").alias("file"))
 
 
@@ -693,6 +701,21 @@ def q86(spark, sf_dir):
     return registry.fresh(s, F.lit(now)).select("url", "fetched_at")
 
 
+@query(
+    "q86b_snapshot_lookup",
+    "WITH d AS (SELECT user_id AS u, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS content FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY user_id) "
+    "SELECT 'https://r/' || c_custkey AS url, d.content, d.ts AS fetched_at FROM customer LEFT JOIN d ON u = c_custkey",
+)
+def q86b(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    newest = e.groupBy("user_id", "ts").agg(F.max_by("event_type", "event_id").alias("content"))
+    path = shared_path(spark, "snapshots")
+    snapshots.save(path, newest.select(F.lit("GET").alias("method"), F.expr("concat('https://r/', user_id)").alias("url"), F.lit(None).cast("string").alias("body"), "content", F.col("ts").alias("fetched_at")))
+    asked = table(spark, sf_dir, "customer").select(F.lit("GET").alias("method"), F.expr("concat('https://r/', c_custkey)").alias("url"), F.lit(None).cast("string").alias("body"))
+    return snapshots.lookup(spark, path, asked, F.lit(now)).select("url", "content", "fetched_at")
+
+
 _HOOK_SQL = "CASE p_partkey % " + str(len(X.HOOKS)) + " " + " ".join(f"WHEN {i} THEN '{c.replace(chr(39), chr(39) * 2)}'" for i, (_, c) in enumerate(X.HOOKS)) + " END || CASE WHEN p_size % 2 = 0 THEN ' #' ELSE ' --silent https://e/' END || p_partkey"
 
 

@@ -64,3 +64,25 @@ def test_stream_state_across_restarts(spark, tmp_path):
     add((1, "a"), (4, "dddd"))
     step()
     assert entered() == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_snapshots_are_pruned_by_request_and_age(spark, tmp_path, capsys):
+    from larkspur.sources import snapshots
+
+    path = str(tmp_path / "snaps")
+    at = lambda day: F.expr(f"timestamp'2026-01-{day:02d} 00:00:00'")
+    rows = spark.range(2000).select(F.lit("GET").alias("method"), F.concat(F.lit("u"), "id").alias("url"), F.lit(None).cast("string").alias("body"), F.concat(F.lit("old"), "id").alias("content"), at(1).alias("fetched_at"))
+    snapshots.save(path, rows)
+    snapshots.save(path, rows.where("id < 10").withColumns({"content": F.lit("new"), "fetched_at": at(9)}))
+    one = snapshots.by_url(spark, path, "GET", "u7", None, at(10))
+    assert [(r["url"], r["content"]) for r in one.collect()] == [("u7", "new")]
+    one.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(prefix" in plan and "GreaterThanOrEqual(fetched_at" in plan and "EqualTo(key" in plan
+    assert snapshots.documents(spark, path, at(10), 30).count() == 2000 and snapshots.documents(spark, path, at(10)).count() == 10
+    asked = spark.createDataFrame([("GET", "u7", None, 1), ("GET", "u500", None, 2), ("POST", "u7", "b", 3), ("GET", "u7", None, 4)], "method string, url string, body string, content_id int")
+    got = snapshots.lookup(spark, path, asked, at(10))
+    assert sorted((r["content_id"], r["content"]) for r in got.collect()) == [(1, "new"), (2, None), (3, None), (4, "new")]
+    few = spark.createDataFrame([("GET", "u7", None)], "method string, url string, body string")
+    snapshots.lookup(spark, path, few, at(10)).explain("formatted")
+    assert "PartitionFilters: [isnotnull(prefix" in (plan := capsys.readouterr().out) and "GreaterThanOrEqual(fetched_at" in plan
