@@ -39,3 +39,27 @@ def test_lock_files_pins_and_ranges(spark):
     assert set(projects.STAGES) <= set(stages)
     order = [(r["project"], r["package"]) for r in got.findings.orderBy(*projects.ranked(got.findings)).collect()]
     assert order[:2] == [("a", "left"), ("a", "deep")]
+
+
+def test_page_of_a_project(spark):
+    """Sections of findings, paths, upgrades and warnings are there, in order of urgency, and everything is escaped."""
+    from larkspur import report
+
+    app = "import lib\ndef main():\n    lib.parse(1)\nmain()\n"
+    files = [("p<1>", "requirements.txt", "lib>=1\nquiet\n<gone>\nmissing>=9\n"), ("p<1>", "app.py", app), ("other", "requirements.txt", "lib>=1\n")]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    releases = df([("pypi", "lib", "1.0"), ("pypi", "quiet", "2.0")], "ecosystem string, name string, version string")
+    known = projects.Registry(releases, df([], "ecosystem string, name string, tag string, version string"), df([], "ecosystem string, name string, version string, dependency string, range string, ord int"))
+    ids = df([("pypi", "lib", "1.0", "L<b>"), ("pypi", "quiet", "2.0", "Q")], "ecosystem string, name string, version string, id string")
+    doc = lambda i, n, fixed: json.dumps({"id": i, "severity": [{"score": "8.0"}], "affected": [{"package": {"name": n}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": fixed}]}], "ecosystem_specific": {"imports": ["lib.parse"]}}]})
+    documents = df([("L<b>", doc("L<b>", "lib", "1.5.0")), ("Q", doc("Q", "quiet", "2.1.0"))], "id string, text string")
+    got = projects.scan(df(files, "project string, path string, text string"), known, ids, documents)
+    scores = df([("lib", "1.0", 0.95, "malicious"), ("quiet", "2.0", 0.1, "benign"), ("elsewhere", "1", 0.99, "malicious")], "package string, version string, score double, verdict string")
+    signals = df([("lib", "DYNAMIC_EVAL", "high", 3, 2, "a<b>.py")], "package string, code string, severity string, rank int, occurrences int, first_path string")
+    page = report.page(got, "p<1>", scores, signals)
+    assert "<b>" not in page and "p&lt;1&gt;" in page and "a&lt;b&gt;.py" in page and "elsewhere" not in page
+    for text in ("malicious 0.950", "L&lt;b&gt;", "app → app.main (app.py:4)", "app.main → lib.parse (app.py:3)", "Not reachable (1)", "<td>1.5.0</td>", "Unresolved: missing&gt;=9", "<td>50%</td>"):
+        assert text in page, text
+    assert page.index("Flagged") < page.index("Reachable vulnerabilities") < page.index("Not reachable") < page.index("Upgrades") < page.index("Warnings")
+    other = report.page(got, "other")
+    assert "No source was analysed" in other and "None." in other and "Not reachable" not in other
