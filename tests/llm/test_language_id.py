@@ -90,3 +90,57 @@ def test_memo_changes_nothing(monkeypatch):
     memo = words.Memo(lambda w: np.array([[len(x)] for x in w.to_pylist()], float).reshape(-1, 1))
     for batch in (["a", "bb"], ["bb", "ccc", "dddd"], ["a"], []):
         assert memo(pa.array(batch, pa.large_string()))[:, 0].tolist() == [len(x) for x in batch]
+
+
+def slow_kneser_ney(samples, order):
+    """log probability of a word by language, by recursion over dictionaries."""
+    tables, alphabet = {}, set()
+    for lang, (plain, counts) in samples.items():
+        raw = {}
+        for w, c in zip(plain, counts, strict=True):
+            s = f" {w} "
+            for i in range(1, len(s)):
+                for n in range(1, min(order, i + 1) + 1):
+                    raw[s[i - n + 1 : i + 1], i - n + 1 == 0] = raw.get((s[i - n + 1 : i + 1], i - n + 1 == 0), 0) + c
+        levels = []
+        for n in range(1, order + 1):
+            level = {}
+            for gram, starts in sorted({k for k in raw if len(k[0]) == n}):
+                longer = {g for g, _ in raw if len(g) == n + 1 and g[1:] == gram}
+                level[gram] = raw[gram, starts] if n == order or (starts and n > 1) else max(len(longer), 1)
+            levels.append(level)
+        tables[lang] = levels
+        alphabet |= set(levels[0])
+
+    def p(lang, context, letter):
+        level = tables[lang][len(context)]
+        lower = (lambda: p(lang, context[1:], letter)) if context else lambda: 1 / (len(alphabet) + 1)
+        seen = {g: c for g, c in level.items() if g[:-1] == context}
+        if not seen:
+            return lower()
+        once, twice = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+        d = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+        total = sum(seen.values())
+        return max(seen.get(context + letter, 0) - d, 0) / total + d * len(seen) / total * lower()
+
+    def word(lang, w):
+        s = f" {w} "
+        return sum(np.log(p(lang, s[max(0, i - order + 1) : i], s[i])) for i in range(1, len(s)))
+
+    return word
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_models_equal_brute_force_kneser_ney(seed):
+    """All orders, unseen letters, words and contexts, and languages that share some grams; by recursion from the counts."""
+    r = np.random.default_rng(seed)
+    letters = ["abc", "bcd", "ae"]
+    samples = {}
+    for k, own in enumerate(letters):
+        plain = sorted({"".join(r.choice(list(own), r.integers(1, 8))) for _ in range(r.integers(2, 14))})
+        samples[f"l{k}"] = (plain, r.integers(1, 5, len(plain)))
+    models, word = L.train(samples), slow_kneser_ney(samples, L.ORDER)
+    tried = [w for plain, _ in samples.values() for w in plain] + ["".join(r.choice(list("abcdexyz"), r.integers(1, 9))) for _ in range(40)]
+    got = models.word_logs(tried)
+    want = [[word(lang, w) for lang in models.languages] for w in tried]
+    np.testing.assert_allclose(got, want, rtol=1e-9)
