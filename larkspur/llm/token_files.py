@@ -109,8 +109,14 @@ class FileWriter:
             self._batch(rest, np.arange(self.width) < self.n)
         for x in (self.stream, self.list, *self.sinks):
             x.close()
-        self.fs.move(f"{self.own}.docs", f"{self.end}.docs.arrows")
-        self.fs.move(self.own, f"{self.end}.arrows")
+        self._put(f"{self.own}.docs", f"{self.end}.docs.arrows")
+        self._put(self.own, f"{self.end}.arrows")
+
+    def _put(self, own: str, end: str) -> None:
+        """Give a file its name; one that an earlier attempt of the task has left goes, as not every store renames onto it."""
+        if self.fs.get_file_info(end).type != pafs.FileType.NotFound:
+            self.fs.delete_file(end)
+        self.fs.move(own, end)
 
 
 def _name(shard: int, number: int) -> str:

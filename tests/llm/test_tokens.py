@@ -147,3 +147,28 @@ def test_encoder_equals_library_over_batches(library, sf):
         ids, limits = e.encode(pa.array(part, pa.string()))
         for i, t in enumerate(part):
             assert ids[limits[i] : limits[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_a_file_of_an_earlier_attempt_is_replaced(tmp_path):
+    """A task that is tried again puts its files in place of those that it left, also where a rename does not."""
+    import pyarrow.fs as pafs
+
+    class NoOverwrite:
+        """A file system that refuses to rename onto a file."""
+
+        def __init__(self):
+            self.fs = pafs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, own, end):
+            assert self.fs.get_file_info(end).type == pafs.FileType.NotFound
+            self.fs.move(own, end)
+
+    one = type("One", (), {"fs": NoOverwrite()})()
+    for text in ("first", "second"):
+        own, end = tmp_path / f"{text}.own", tmp_path / "x.arrows"
+        own.write_text(text)
+        token_files.FileWriter._put(one, str(own), str(end))
+        assert end.read_text() == text and not own.exists()
