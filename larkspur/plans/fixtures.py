@@ -46,15 +46,6 @@ REQUIREMENT_FILES = [
     ("bare", "six\nPyYAML>=5\n"),
 ]
 PACKAGE_FILES = [("web", '{"dependencies":{"react":"^18.0.0","@babel/core":"7.x"},"devDependencies":{"jest":"^29"},"peerDependencies":{"vue":">=3"}}'), ("broken", "{not json")]
-#: vector
-VECTORS = [
-    "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H",
-    "CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N",
-    "CVSS:3.0/AV:L/AC:H/PR:H/UI:R/S:U/C:L/I:N/A:N",
-    "CVSS:3.1/AV:P/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N",
-    "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H",
-    "CVSS:2.0/whatever",
-]
 #: details
 PROSE = [
     "A flaw in `yaml.load` and `Loader.construct()` lets parse_config() run code.",

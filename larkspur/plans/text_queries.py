@@ -307,16 +307,28 @@ def _weight(metric: str) -> str:
     return f"CASE regexp_extract(vector, '/{metric}:([A-Z])', 1) " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in P.CVSS[metric].items()) + " END"
 
 
+def _metric(name: str, values: str, step: int) -> str:
+    """A metric that goes through its values every `step` parts; reads the same in both engines."""
+    cases = " ".join(f"WHEN {i} THEN '/{name}:{v}'" for i, v in enumerate(values))
+    return f"CASE CAST(floor(p_partkey / {step}) AS BIGINT) % {len(values)} {cases} END"
+
+
+_METRICS = [("AV", "NALP", 1), ("AC", "LH", 4), ("PR", "NLH", 8), ("UI", "NR", 24), ("S", "UC", 48), ("C", "HLN", 3), ("I", "HNL", 9), ("A", "LHN", 27)]
+#: A vector for each part: all metrics, some without the last one, some of another version.
+_VECTOR = "concat(CASE WHEN p_partkey % 77 = 5 THEN 'CVSS:2.0' ELSE 'CVSS:3.1' END, " + ", ".join(_metric(*m) for m in _METRICS[:-1]) + f", CASE WHEN p_partkey % 50 = 3 THEN '' ELSE {_metric(*_METRICS[-1])} END)"
+
+
 @query(
     "q31_cvss_score",
-    f"WITH {X.values(X.VECTORS, 'v', 'vector')}, m AS (SELECT vector, contains(vector, '/S:C') AS changed, 1 - (1 - {_weight('C')}) * (1 - {_weight('I')}) * (1 - {_weight('A')}) AS base, "
+    f"WITH v AS (SELECT p_partkey, {_VECTOR} AS vector FROM part), m AS (SELECT p_partkey, vector, contains(vector, '/S:C') AS changed, 1 - (1 - {_weight('C')}) * (1 - {_weight('I')}) * (1 - {_weight('A')}) AS base, "
     f"8.22::DOUBLE * {_weight('AV')} * {_weight('AC')} * {_weight('PR')} * {_weight('UI')} AS exploit FROM v), "
     "i AS (SELECT *, CASE WHEN changed THEN 7.52::DOUBLE * (base - 0.029) - 3.25::DOUBLE * pow(base - 0.02, 15) ELSE 6.42::DOUBLE * base END AS impact FROM m), "
-    "s AS (SELECT vector, CASE WHEN exploit IS NULL OR base IS NULL THEN NULL WHEN impact <= 0 THEN 0.0::DOUBLE ELSE floor(least(CASE WHEN changed THEN 1.08::DOUBLE ELSE 1.0 END * (impact + exploit), 10.0) * 10 + 0.99999) / 10 END AS score FROM i) "
-    "SELECT vector, score, CASE WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MODERATE' WHEN score IS NOT NULL THEN 'LOW' ELSE 'UNKNOWN' END AS severity FROM s",
+    "s AS (SELECT p_partkey, vector, CASE WHEN exploit IS NULL OR base IS NULL THEN NULL WHEN impact <= 0 THEN 0.0::DOUBLE ELSE floor(least(CASE WHEN changed THEN 1.08::DOUBLE ELSE 1.0 END * (impact + exploit), 10.0) * 10 + 0.99999) / 10 END AS score FROM i) "
+    "SELECT p_partkey, vector, score, CASE WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MODERATE' WHEN score IS NOT NULL THEN 'LOW' ELSE 'UNKNOWN' END AS severity FROM s",
 )
 def q31(spark, sf_dir):
-    scored = X.table(spark, X.VECTORS, "vector").withColumn("score", V.cvss(F.col("vector")))
+    vectors_ = spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(_VECTOR).alias("vector"))
+    scored = vectors_.withColumn("score", V.cvss(F.col("vector")))
     return scored.withColumn("severity", V.severity(F.col("score")))
 
 
