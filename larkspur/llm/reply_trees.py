@@ -12,6 +12,9 @@ A conversation is written in parts of up to PART_CHARS characters, with the stre
 that count for the loss; writer and reader go through a path's messages in order and
 hold one message and one part at a time, so a conversation may have any length.
 
+Messages are rows of: row (a number of its own), conv_id, tree (a key without nulls), id, parent
+(an id of the same tree, or null), role, text and score; `linear` makes them of conversations.
+
 Defined cases: a null text or role is empty; a parent that is not there makes a
 root; of messages with the same id in a tree the one with the smallest row number stays;
 messages in or below a circle belong to no path; null scores count 0; an empty table gives
