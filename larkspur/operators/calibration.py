@@ -47,12 +47,15 @@ class CalibratedClassifier(Estimator, _Settings):
         features, trees = self.getOrDefault("features"), self.getOrDefault("trees")
         rows = dataset.withColumnsRenamed({self.getOrDefault("label"): "label", self.getOrDefault("group"): "grp"})
         dealt = cut(rows.select("grp", "label", *features).join(ml.stratified_folds(rows, self.getOrDefault("folds")).select("grp", "fold"), "grp"))
-        parts = []
-        for fold in sorted(r["fold"] for r in dealt.select("fold").distinct().collect()):
+
+        def fitted(fold: int | None) -> tuple[GBTClassificationModel, IsotonicRegressionModel | None]:
+            if fold is None:  # all rows
+                return ml.train(dealt, features, trees), None
             model = ml.train(dealt.where(F.col("fold") != fold), features, trees)
             held = ml.predict(model, dealt.where(F.col("fold") == fold), features).select("score", "label")
-            parts.append((model, IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(held)))
-        whole = ml.train(dealt, features, trees)
+            return model, IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(held)
+
+        *parts, (whole, _) = ml.at_once(fitted, [*sorted(r["fold"] for r in dealt.select("fold").distinct().collect()), None])
         return self._copyValues(CalibratedModel(parts, whole))
 
 

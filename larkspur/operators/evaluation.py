@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +68,14 @@ def zeroed(rows: DataFrame, columns: list[str]) -> DataFrame:
 def ablation(rows: DataFrame, groups: dict[str, list[str]], k: int, trees: int) -> DataFrame:
     """ablated, counts and metrics: a model trained anew, out of fold, with each group of features zeroed, and once with none."""
     features = [c for cols in groups.values() for c in cols if c in rows.columns]
-    out = None
-    for name, columns in {"none": [], **groups}.items():
-        scored = ml.out_of_fold(zeroed(rows, columns), features, k, trees).select("label", "score").withColumn("ablated", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    return metrics_by(out, ["ablated"])
+    one = lambda item: ml.out_of_fold(zeroed(rows, item[1]), features, k, trees).select("label", "score").withColumn("ablated", F.lit(item[0]))
+    return metrics_by(reduce(DataFrame.unionByName, ml.at_once(one, list({"none": [], **groups}.items()))), ["ablated"])
 
 
 def feature_sets(rows: DataFrame, sets: dict[str, list[str]], k: int, trees: int) -> DataFrame:
     """feature_set, counts and metrics of models on different columns of the same rows and folds."""
-    out = None
-    for name, columns in sets.items():
-        scored = ml.out_of_fold(rows, columns, k, trees).select("label", "score").withColumn("feature_set", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    return metrics_by(out, ["feature_set"])
+    one = lambda item: ml.out_of_fold(rows, item[1], k, trees).select("label", "score").withColumn("feature_set", F.lit(item[0]))
+    return metrics_by(reduce(DataFrame.unionByName, ml.at_once(one, list(sets.items()))), ["feature_set"])
 
 
 def variants(model, rows: DataFrame, features: list[str], zero: dict[str, list[str]]) -> DataFrame:

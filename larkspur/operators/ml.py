@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import cut
@@ -147,11 +152,18 @@ def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
     return model.transform(data).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def at_once(work: Callable[[Any], Any], items: list, most: int = 4) -> list:
+    """work of each item, several at once, as a fit's many small jobs leave most of a cluster idle."""
+    with ThreadPoolExecutor(max(1, min(most, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
+
+
 def out_of_fold(rows: DataFrame, features: list[str], k: int, trees: int) -> DataFrame:
     """Scores of each fold's rows by a model of the other folds; rows has grp and label."""
     dealt = cut(rows.join(stratified_folds(rows, k).select("grp", "fold"), "grp"))
     numbers = sorted(r["fold"] for r in dealt.select("fold").distinct().collect())
-    parts = [predict(train(dealt.where(F.col("fold") != f), features, trees), dealt.where(F.col("fold") == f), features) for f in numbers]
+    models = at_once(lambda f: train(dealt.where(F.col("fold") != f), features, trees), numbers)
+    parts = [predict(model, dealt.where(F.col("fold") == f), features) for f, model in zip(numbers, models, strict=True)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
