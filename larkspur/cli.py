@@ -9,8 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import api
-from .sources import archives, shipped, store
+from . import api, projects, report
+from .sources import archives, registry, shipped, store
 
 VERSION = "0.2"
 
@@ -52,7 +52,25 @@ def scan_sample(spark: SparkSession, a: argparse.Namespace) -> None:
     _show(api.score(archives.source_files(archives.samples(found, a.password))), a.report, a.path)
 
 
-COMMANDS = {"scan-project": scan_project, "scan-manifest": scan_manifest, "scan-package": scan_package, "scan-sample": scan_sample}
+def scan_tree(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A project from its manifest to ranked findings, with stored registry documents (folders npm and pypi) and advisories, one JSON file each."""
+    name = a.path.rstrip("/").rsplit("/", 1)[-1]
+    files = _files(spark, a.path, "*.{py,js,mjs,cjs,jsx,ts,tsx,json,txt,toml}").withColumnRenamed("package", "project")
+    none = spark.createDataFrame([], "text string")
+    stored = lambda folder: registry.snapshots(spark, folder) if folder else none
+    known = projects.registry_tables(stored(f"{a.registry}/npm"), stored(f"{a.registry}/pypi"))
+    documents = stored(a.advisories).select(F.coalesce(F.get_json_object("text", "$.id"), F.lit("UNKNOWN")).alias("id"), "text")
+    found = projects.scan(files, known, None, documents)
+    for row in found.findings.orderBy(*projects.ranked(found.findings)).limit(50).collect():
+        print(f"{row['package']}\t{row['version']}\t{row['id']}\t{row['verdict']}\t{row['priority']:.1f}\t{row['fixed'] or ''}")
+    for row in found.warnings.limit(15).collect():
+        print(f"warning\t{row['warning']}")
+    if a.report:
+        with open(a.report, "w", encoding="utf-8") as f:
+            f.write(report.page(found, name))
+
+
+COMMANDS = {"scan-project": scan_project, "scan-tree": scan_tree, "scan-manifest": scan_manifest, "scan-package": scan_package, "scan-sample": scan_sample}
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -65,6 +83,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         sub.add_argument("--report", help="write an HTML page here")
         sub.add_argument("--ecosystem", choices=["npm", "pypi"], default="npm")
         sub.add_argument("--password", default="infected")
+        sub.add_argument("--registry", help="folder of registry documents, npm and pypi below it")
+        sub.add_argument("--advisories", help="folder of advisories")
     a = parser.parse_args(argv)
     if a.command == "version":
         print(VERSION)

@@ -28,6 +28,20 @@ class Registry:
     dependencies: DataFrame
 
 
+def registry_tables(npm: DataFrame, pypi: DataFrame) -> Registry:
+    """What registry documents (text) say of releases, tags and dependencies; a PyPI project names those of its present release alone."""
+    n = npm.select(F.from_json("text", registry.NPM).alias("d")).where("d.name IS NOT NULL").select("d.name", "d.`dist-tags`", "d.versions")
+    p = pypi.select(F.from_json("text", registry.PYPI).alias("d")).where("d.info.name IS NOT NULL").select(F.lower("d.info.name").alias("name"), F.col("d.info.version").alias("version"), "d.releases", F.col("d.info.requires_dist").alias("requires"))
+    of = lambda rows, ecosystem: rows.withColumn("ecosystem", F.lit(ecosystem))
+    releases = of(n.select("name", F.explode(F.map_keys("versions")).alias("version")), "npm").unionByName(of(p.select("name", F.explode(F.map_keys("releases")).alias("version")), "pypi"))
+    tags = of(n.select("name", F.explode("dist-tags").alias("tag", "version")), "npm")
+    of_npm = n.select("name", F.explode("versions").alias("version", "v")).select("name", "version", F.posexplode(F.map_entries("v.dependencies")).alias("ord", "e")).select("name", "version", F.col("e.key").alias("dependency"), F.col("e.value").alias("range"), "ord")
+    plain = F.filter(F.coalesce("requires", F.array().cast("array<string>")), lambda r: ~r.rlike(r";.*\bextra\b"))
+    line = r"^\s*([A-Za-z0-9._\-]+)\s*(?:\[[^\]]*\])?\s*\(?([^;)]*)\)?"
+    of_pypi = p.select("name", "version", F.posexplode(plain).alias("ord", "r")).select("name", "version", F.lower(F.regexp_extract("r", line, 1)).alias("dependency"), F.trim(F.regexp_extract("r", line, 2)).alias("range"), "ord")
+    return Registry(releases, tags, of(of_npm, "npm").unionByName(of(of_pypi, "pypi")))
+
+
 @dataclass
 class Scan:
     """packages: project, ecosystem, name, version, depth, is_direct, spec, required_by; findings: one row for each package of a
@@ -111,9 +125,9 @@ def _judged(found: DataFrame, files: DataFrame, import_names: DataFrame | None)
     return both.select(*key, *[c for c in both.columns if c not in key])
 
 
-def scan(files: DataFrame, known: Registry, ids: DataFrame, documents: DataFrame, import_names: DataFrame | None = None, include_dev: bool = False, callback: Callable[[str, float], None] | None = None) -> Scan:
-    """Scan projects. files: project, path, text, manifests and sources alike; ids: ecosystem, name, version, id; documents: id, text of an
-    advisory; import_names: distribution, modules. Projects without source have every advisory reported as reachable."""
+def scan(files: DataFrame, known: Registry, ids: DataFrame | None, documents: DataFrame, import_names: DataFrame | None = None, include_dev: bool = False, callback: Callable[[str, float], None] | None = None) -> Scan:
+    """Scan projects. files: project, path, text, manifests and sources alike; ids: ecosystem, name, version, id, by default what the advisories'
+    ranges say; documents: id, text of an advisory; import_names: distribution, modules. Projects without source have every advisory reported as reachable."""
     progress = Progress(STAGES, callback)
     with progress.stage("manifests"):
         asked = requirements(files)
@@ -121,6 +135,7 @@ def scan(files: DataFrame, known: Registry, ids: DataFrame, documents: DataFrame
         packages, warnings = packages_of(asked, known, include_dev)
     with progress.stage("advisories"):
         refs = packages.select("ecosystem", "name", "version").distinct()
+        ids = advisories.affecting(refs, documents) if ids is None else ids
         hits = cut(refs.join(ids, ["ecosystem", "name", "version"]).distinct())
         texts = hits.select("ecosystem", "name", "id").distinct().join(documents.dropDuplicates(["id"]), "id").select("ecosystem", F.col("name").alias("package"), "text", F.col("id").alias("asked_id"))
         parsed = advisories.parse(texts, ["asked_id"])

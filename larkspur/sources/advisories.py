@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import pep440
 from ..functions import versions as V
 
 _SYMBOLS = "imports:array<string>,affected_functions:array<string>,functions:array<string>,symbols:array<string>"
@@ -16,8 +17,9 @@ SCHEMA = (
     "struct<id:string,summary:string,details:string,published:string,aliases:array<string>,severity:array<struct<score:string>>,"
     f"database_specific:struct<severity:string>,affected:array<{_AFFECTED}>,references:array<struct<url:string>>>"
 )
+# What in prose names a symbol.
 SPAN, CALL = r"`([A-Za-z_$][\w$.]{2,60})(?:\(\))?`", r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(\s*\)"
-#: So much of a text, and so many references and parsed symbols, are kept.
+# So much of a text, and so many references and parsed symbols, are kept.
 SUMMARY, DETAILS, REFERENCES, SYMBOLS = 500, 4000, 8, 12
 
 
@@ -105,3 +107,27 @@ def for_packages(packages: DataFrame, ids: DataFrame, advisories: DataFrame) ->
     """
     asked = packages.join(ids, ["ecosystem", "name", "version"]).distinct()
     return parse(asked.join(advisories.dropDuplicates(["id"]), "id").select("ecosystem", F.col("name").alias("package"), "version", "text"))
+
+
+_RANGES = "struct<affected:array<struct<package:struct<name:string,ecosystem:string>,versions:array<string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>>>>"
+
+
+def affecting(packages: DataFrame, documents: DataFrame) -> DataFrame:
+    """ecosystem, name, version, id: which advisories affect which releases, by listed versions or by ranges of introduced, fixed and last affected ones.
+
+    packages: ecosystem, name, version; documents: id, text. Names agree in lower case; a document without an ecosystem is of any. Ranges of commits
+    say nothing about versions.
+    """
+    each = documents.dropDuplicates(["id"]).select("id", F.explode(F.from_json("text", _RANGES)["affected"]).alias("a"))
+    events = F.flatten(F.transform(F.filter(_list(F.col("a.ranges"), "struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>"), lambda r: F.coalesce(r["type"], F.lit("")) != "GIT"), lambda r: _list(r["events"], "struct<introduced:string,fixed:string,last_affected:string>")))
+    named = each.select("id", F.lower("a.package.name").alias("low"), F.lower("a.package.ecosystem").alias("of"), _list(F.col("a.versions")).alias("listed"), events.alias("events"))
+    met = packages.select("ecosystem", "name", "version").distinct().withColumn("low", F.lower("name")).join(named, "low").where(F.col("of").isNull() | (F.col("of") == F.col("ecosystem")))
+
+    def within(key: Callable[[Column], Column]) -> Column:
+        own = key(F.col("version"))
+        best = lambda field, keep: F.array_max(F.filter(F.transform("events", lambda e: key(e[field])), lambda k: keep(k)))
+        since, fixed, last = best("introduced", lambda k: k <= own), best("fixed", lambda k: k <= own), best("last_affected", lambda k: k < own)
+        return since.isNotNull() & (fixed.isNull() | (since > fixed)) & (last.isNull() | (since > last))
+
+    ranged = F.when(F.col("ecosystem") == "pypi", within(pep440.version_key)).otherwise(within(V.version_key))
+    return met.where(F.array_contains("listed", F.col("version")) | F.coalesce(ranged, F.lit(False))).select("ecosystem", "name", "version", "id").distinct()

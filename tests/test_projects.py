@@ -63,3 +63,39 @@ def test_page_of_a_project(spark):
     assert page.index("Flagged") < page.index("Reachable vulnerabilities") < page.index("Not reachable") < page.index("Upgrades") < page.index("Warnings")
     other = report.page(got, "other")
     assert "No source was analysed" in other and "None." in other and "Not reachable" not in other
+
+
+def test_which_releases_an_advisory_affects(spark):
+    from larkspur.sources import advisories
+
+    of = lambda i, **a: (i, json.dumps({"id": i, "affected": [{"package": {"name": "Lib", "ecosystem": a.pop("ecosystem", "PyPI")}, **a}]}))
+    events = lambda *e, kind="ECOSYSTEM": [{"type": kind, "events": list(e)}]
+    documents = [
+        of("open", ranges=events({"introduced": "1.2"})), of("fixed", ranges=events({"introduced": "0"}, {"fixed": "1.5"})), of("again", ranges=events({"introduced": "0"}, {"fixed": "1.1"}, {"introduced": "2.0rc1"})),
+        of("last", ranges=events({"introduced": "0"}, {"last_affected": "1.4"})), of("listed", versions=["1.4", "9"]), of("commits", ranges=events({"introduced": "0"}, kind="GIT")), of("npm", ecosystem="npm", ranges=events({"introduced": "0"})),
+        of("two", ranges=events({"introduced": "0"}, {"fixed": "1.0"}) + events({"introduced": "1.4"}, {"fixed": "1.6"})), ("broken", "no json"), ("empty", "{}"),
+    ]
+    packages = spark.createDataFrame([("pypi", "lib", v) for v in ("1.0", "1.4", "1.5", "2.0")] + [("npm", "lib", "1.10.0"), ("pypi", "other", "1.4")], "ecosystem string, name string, version string")
+    got = {}
+    for r in advisories.affecting(packages, spark.createDataFrame(documents, "id string, text string")).collect():
+        got.setdefault((r["ecosystem"], r["version"]), set()).add(r["id"])
+    assert got == {("pypi", "1.0"): {"fixed", "again", "last"}, ("pypi", "1.4"): {"open", "fixed", "last", "listed", "two"}, ("pypi", "1.5"): {"open", "two"}, ("pypi", "2.0"): {"open", "again"}, ("npm", "1.10.0"): {"npm"}}
+
+
+def test_command_line_from_stored_documents(spark, tmp_path, capsys):
+    from larkspur import cli
+
+    put = lambda path, text: ((tmp_path / path).parent.mkdir(parents=True, exist_ok=True), (tmp_path / path).write_text(text))
+    put("shop/requirements.txt", "Web>=1\nghost\n")
+    put("shop/app.py", "import web\nweb.load(1)\n")
+    release = [{"filename": "x.tar.gz", "packagetype": "sdist"}]
+    put("reg/pypi/web.json", json.dumps({"info": {"name": "Web", "version": "1.1", "requires_dist": ["Deep (>=1); python_version > '3'", "tests; extra == 't'"]}, "releases": {"1.0": release, "1.1": release}}))
+    put("reg/pypi/deep.json", json.dumps({"info": {"name": "deep", "version": "2.0", "requires_dist": None}, "releases": {"2.0": release}}))
+    put("reg/npm/left.json", json.dumps({"name": "left", "dist-tags": {"latest": "1.0.0"}, "versions": {"1.0.0": {"dependencies": {"b": "^1"}}}}))
+    advisory = lambda i, n, fixed, score: json.dumps({"id": i, "severity": [{"score": score}], "affected": [{"package": {"name": n, "ecosystem": "PyPI"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": fixed}]}], "ecosystem_specific": {"imports": [f"{n}.load"]}}]})
+    put("adv/1.json", advisory("A1", "web", "1.2", "9.0"))
+    put("adv/2.json", advisory("A2", "deep", "3.0", "8.0"))
+    put("adv/3.json", advisory("A3", "web", "1.1", "9.9"))
+    assert cli.main(["scan-tree", str(tmp_path / "shop"), "--registry", str(tmp_path / "reg"), "--advisories", str(tmp_path / "adv"), "--report", str(tmp_path / "r.html")], spark) == 0
+    assert capsys.readouterr().out.splitlines() == ["web\t1.1\tA1\treachable\t9.0\t1.2", "deep\t2.0\tA2\tnot_imported\t0.8\t3.0", "warning\tUnresolved: ghost"]
+    assert "web.load" in (tmp_path / "r.html").read_text()
