@@ -92,18 +92,21 @@ def signature_pairs(candidates: DataFrame, popular: DataFrame, parts: int, edits
     """
     p = popular.select(F.col("name").alias("target")).distinct().withColumn("size", F.char_length("target"))
     index = p.select("target", "size", F.explode(_segments(F.col("target"), F.col("size"), parts)).alias("s")).select("target", "size", "s.i", "s.text")
-    length = F.char_length("bare")
+    length, half = F.char_length("bare"), lambda n: F.floor(n / 2).cast("int")
     limit = lambda size, i: F.floor(size * i / parts).cast("int")
-    keys = []
-    for longer in range(-band, band + 1):  # the candidate's length less the target's
+
+    def stretch(longer: Column, i: Column, moved: Column) -> Column:
         size = length - longer
-        for i in range(parts):
-            begin, wide = limit(size, i) + 1, limit(size, i + 1) - limit(size, i)
-            for moved in range(-((edits - longer) // 2), (edits + longer) // 2 + 1):
-                inside = (size > 0) & (begin + moved >= 1) & (begin + moved + wide - 1 <= length)
-                keys.append(F.when(inside, F.struct(size.alias("size"), F.lit(i).alias("i"), F.substring(F.col("bare"), begin + moved, wide).alias("text"))))
+        begin, wide = limit(size, i) + 1 + moved, limit(size, i + 1) - limit(size, i)
+        inside = (size > 0) & (begin >= 1) & (begin + wide - 1 <= length)
+        return F.when(inside, F.struct(size.alias("size"), i.alias("i"), F.substring(F.col("bare"), begin, wide).alias("text")))
+
+    # longer: the candidate's length less the target's; moved: by how much a stretch may have moved then
+    moves = lambda longer, i: F.transform(F.sequence(-half(edits - longer), half(edits + longer)), lambda moved: stretch(longer, i, moved))
+    places = lambda longer: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: moves(longer, i)))
+    keys = F.flatten(F.transform(F.sequence(F.lit(-band), F.lit(band)), places))
     c = candidates.select("bare").distinct()
-    asked = c.select("bare", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("k")).select("bare", "k.*")
+    asked = c.select("bare", F.explode(F.array_distinct(F.array_compact(keys))).alias("k")).select("bare", "k.*")
     return asked.join(index, ["size", "i", "text"]).where("bare <> target").select("bare", "target").distinct()
 
 
