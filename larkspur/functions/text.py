@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,14 +14,29 @@ ADDRESS = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 BASE64_RUN = r"[A-Za-z0-9+/]{60,}={0,2}"
 
 
+#: Up to so many distinct characters each is counted by a pass over the text; beyond, all by sorting them.
+FEW_KINDS = 200
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once, however often it is named in lambdas."""
+    return F.transform(F.array(value), then)[0]
+
+
 def entropy(text: Column) -> Column:
-    """Bits a character; 0 for an empty text. One pass over the text for each distinct character."""
-    size = F.char_length(text)
-    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    counts = F.transform(kinds, lambda c: size - F.char_length(F.replace(text, c)))
+    """Bits a character; 0 for an empty text."""
     # -sum p log p = log n - sum k log k / n
-    total = F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k.cast("double")))
-    return F.when(size > 0, F.log2(size.cast("double")) - total / size).otherwise(F.lit(0.0))
+    added = lambda counts: F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k.cast("double")))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    passes = lambda kinds, size: added(F.transform(kinds, lambda c: size - F.char_length(F.replace(text, c))))
+
+    def sorted_runs(own: Column) -> Column:
+        ends = lambda s: F.array_compact(F.transform(s, lambda c, i: F.when(c.eqNullSafe(F.get(s, i + 1)), None).otherwise(i + 1)))
+        runs = lambda e: F.transform(e, lambda x, i: (x - F.coalesce(F.get(e, i - 1), F.lit(0))))
+        return _bound(F.array_sort(own), lambda s: _bound(ends(s), lambda e: added(runs(e))))
+
+    total = lambda size: _bound(F.array_distinct(chars), lambda kinds: F.when(F.size(kinds) <= FEW_KINDS, passes(kinds, size)).otherwise(sorted_runs(chars)))
+    return _bound(F.char_length(text), lambda size: F.when(size > 0, F.log2(size.cast("double")) - total(size) / size).otherwise(F.lit(0.0)))
 
 
 def public_addresses(text: Column) -> Column:
