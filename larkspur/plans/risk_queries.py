@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import cut, table
+from ..core import cut, shared_path, table
 from ..functions import patterns as P
 from ..operators import calibration, diffs, evaluation, features, graph, history, ml, names, resolution, vulns
 from ..sources import archives, registry, shipped, store
@@ -511,3 +511,56 @@ def q63(spark, sf_dir):
     return names.popular_list([part.select(F.col("p_name").alias("name")), part.select(F.col("p_brand").alias("name"))], table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
 
 
+#: A small matrix: features of labelled documents, one of them no number in some rows.
+_MATRIX_SQL = "SELECT 's' || doc_id AS sample_id, quality AS label, source AS \"group\", n_chars::DOUBLE AS size, CASE WHEN doc_id % 7 = 3 THEN 0.0 ELSE (n_chars % 10) / 8.0 END::DOUBLE AS part FROM labels JOIN documents USING (doc_id)"
+
+
+@query("q94_matrix_round_trip", _MATRIX_SQL)
+def q94(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("source").alias("group"))
+    part = F.when(F.col("doc_id") % 7 == 3, "none").otherwise(((F.col("n_chars") % 10) / 8).cast("string"))
+    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.expr("concat('s', doc_id)").alias("sample_id"), F.col("quality").alias("label"), "group", F.col("n_chars").cast("double").alias("size"), part.alias("part"))
+    path = shared_path(spark, "matrix")
+    store.write_matrix(store.coerced(rows, ["part"]), path, ["size", "part"])
+    return store.read_matrix(spark, f"{path}/features", ["size", "part"])
+
+
+@query(
+    "q95_vault_put_get",
+    "SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS sample_id, count(*) AS copies FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text",
+)
+def q95(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    samples = docs.select(F.col("doc_id").cast("string").alias("name"), F.lit("benign").alias("label"), F.lit("npm").alias("ecosystem"), F.encode("text", "UTF-8").alias("content"))
+    path = shared_path(spark, "vault")
+    for some in (samples.where("name % 2 = 0"), samples):  # what is there already is not stored again
+        store.put(spark, path, some)
+    held = spark.read.parquet(path).select("sample_id")
+    own = docs.withColumn("sample_id", F.sha2("text", 256)).join(held, "sample_id")
+    return own.groupBy("sample_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(
+    "q96_scan_store",
+    "SELECT 'c' || o_custkey AS scan_id, o_orderkey AS package, CASE WHEN o_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS run FROM orders WHERE o_custkey % 3 <> 0 OR o_orderkey % 2 = 0",
+)
+def q96(spark, sf_dir):
+    scans = table(spark, sf_dir, "orders").select(F.expr("concat('c', o_custkey)").alias("scan_id"), F.col("o_orderkey").alias("package"), F.lit("first").alias("run"), "o_custkey")
+    path = shared_path(spark, "scans")
+    store.upsert_scans(spark, path, scans.drop("o_custkey"), 16)
+    again = scans.where("o_custkey % 3 = 0").withColumn("run", F.lit("second"))
+    # a customer whose orders are all odd is scanned again without a package: a row without one stands for that
+    none = again.groupBy("scan_id").agg(F.count_if(F.col("package") % 2 == 0).alias("n")).where("n = 0").select("scan_id", F.lit(None).cast("long").alias("package"), F.lit("second").alias("run"))
+    store.upsert_scans(spark, path, again.where("package % 2 = 0").drop("o_custkey").unionByName(none), 16)
+    return spark.read.parquet(path).where("package IS NOT NULL").select("scan_id", "package", "run")
+
+
+@query(
+    "q98_detector_comparison",
+    f"WITH {_SCORED}, c AS (SELECT 'new' AS detector, label = 1 AS expected, score >= 0.5 AS raised FROM scored UNION ALL SELECT 'old', label = 1, other >= 0.5 FROM scored) "
+    "SELECT detector, count(*) FILTER (WHERE expected AND raised) AS found, count(*) FILTER (WHERE expected AND NOT raised) AS missed, count(*) FILTER (WHERE NOT expected AND raised) AS false_alarms FROM c GROUP BY detector",
+)
+def q98(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    case = lambda name, column: rows.select(F.lit(name).alias("detector"), (F.col("label") == 1).alias("expected"), (F.col(column) >= 0.5).alias("raised"))
+    return evaluation.detector_comparison(case("new", "score").unionByName(case("old", "other")))
