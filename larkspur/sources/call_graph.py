@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import cut, in_batches
+from ..core import cut, in_batches, merging
 
 MODULE = "<module>"
 EXTERNAL = "ext:"
@@ -137,7 +137,7 @@ def homes(found: DataFrame) -> DataFrame:
     parts = F.split("target", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
     named = found.where("kind IN ('name', 'call')").select("project", "target").distinct()
-    return named.select("project", "target", F.explode(prefixes).alias("home")).join(modules, ["project", "home"]).groupBy("project", "target").agg(F.max_by("home", F.length("home")).alias("home"))
+    return named.select("project", "target", F.explode(prefixes).alias("home")).join(merging(modules), ["project", "home"]).groupBy("project", "target").agg(F.max_by("home", F.length("home")).alias("home"))
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -148,15 +148,15 @@ def edges(found: DataFrame) -> DataFrame:
     """
     home = homes(found)
     src = node(F.col("module"), F.col("scope"))
-    imports = found.where("kind = 'name'").join(home, ["project", "target"]).select("project", src.alias("src"), node(F.col("home"), F.lit(MODULE)).alias("dst"), "line", F.lit("import").alias("kind"))
-    met = found.where("kind = 'call'").join(home, ["project", "target"], "left")
+    imports = found.where("kind = 'name'").join(merging(home), ["project", "target"]).select("project", src.alias("src"), node(F.col("home"), F.lit(MODULE)).alias("dst"), "line", F.lit("import").alias("kind"))
+    met = found.where("kind = 'call'").join(merging(home), ["project", "target"], "left")
     inside = F.col("home").isNotNull()
     scope = F.when(F.col("target") == F.col("home"), F.lit(MODULE)).otherwise(F.expr("substr(target, length(home) + 2)"))
     calls = met.select("project", src.alias("src"), F.when(inside, node(F.col("home"), scope)).otherwise(F.concat(F.lit(EXTERNAL), "target")).alias("dst"), "line", F.lit("call").alias("kind"))
     own = found.where("kind = 'own'").select("project", src.alias("src"), node(F.col("module"), F.col("target")).alias("dst"), "line", F.lit("call").alias("kind"))
     there = nodes(found).select("project", F.col("node").alias("dst"))
     outside = F.startswith("dst", F.lit(EXTERNAL))
-    linked = calls.where(~outside).join(there, ["project", "dst"], "left_semi").select("project", "src", "dst", "line", "kind")
+    linked = calls.where(~outside).join(merging(there), ["project", "dst"], "left_semi").select("project", "src", "dst", "line", "kind")
     every = imports.unionByName(own).unionByName(linked).unionByName(calls.where(outside))
     return every.groupBy("project", "src", "dst", "kind").agg(F.min("line").alias("line")).select("project", "src", "dst", "line", "kind")
 

@@ -130,3 +130,8 @@ def test_verdicts(spark):
 def test_no_files(spark):
     found = G.facts(spark.createDataFrame([], "path string, source string"))
     assert G.edges(found).count() == 0 and G.nodes(found).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_edges_gather_no_table_at_the_driver(spark):
+    links = G.edges(graph(spark, FILES)[0])
+    assert links.count() and "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
