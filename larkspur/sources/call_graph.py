@@ -165,14 +165,14 @@ def entry_modules(scopes: DataFrame, links: DataFrame) -> DataFrame:
     """project, module: modules that no other module of the project imports; all of a project's if each one is imported."""
     modules = scopes.select("project", "module").distinct()
     imported = links.where("kind = 'import' AND src <> dst").select("project", F.substring_index("dst", "::", 1).alias("module")).distinct()
-    free = modules.join(imported, ["project", "module"], "left_anti")
-    closed = modules.join(free.select("project").distinct(), "project", "left_anti")
+    free = modules.join(merging(imported), ["project", "module"], "left_anti")
+    closed = modules.join(merging(free.select("project").distinct()), "project", "left_anti")
     return free.unionByName(closed)
 
 
 def seeds(scopes: DataFrame, links: DataFrame, public: bool) -> DataFrame:
     """project, node: module scopes of the entry modules and, with `public`, their functions whose names do not start with _, nor those of their classes."""
-    entry = scopes.join(entry_modules(scopes, links), ["project", "module"], "left_semi")
+    entry = scopes.join(merging(entry_modules(scopes, links)), ["project", "module"], "left_semi")
     private = F.exists(F.split("scope", r"\."), lambda part: F.startswith(part, F.lit("_")))
     return entry.where((F.col("scope") == MODULE) | (F.lit(public) & ~private)).select("project", "node")
 
@@ -186,16 +186,16 @@ def reach(scopes: DataFrame, links: DataFrame, start: DataFrame) -> list[DataFra
     calls = links.where(f"kind = 'call' AND NOT startswith(dst, '{EXTERNAL}')").select("project", "src", "dst", "line")
     imports = links.where("kind = 'import'").select("project", F.substring_index("src", "::", 1).alias("module"), "dst")
     where = scopes.select("project", "node", "module", F.col("line").alias("own_line"))
-    start = start.distinct().join(where, ["project", "node"])
+    start = start.distinct().join(merging(where), ["project", "node"])
     frontier = cut(start.select("project", "node", "module", "own_line", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("line")))
     levels, seen = [frontier], frontier.select("project", "node")
     while True:
-        called = frontier.join(calls, (frontier["project"] == calls["project"]) & (frontier["node"] == calls["src"])).select(frontier["project"], calls["dst"], frontier["node"].alias("parent"), calls["line"])
+        called = frontier.join(merging(calls), (frontier["project"] == calls["project"]) & (frontier["node"] == calls["src"])).select(frontier["project"], calls["dst"], frontier["node"].alias("parent"), calls["line"])
         # one scope stands for all of its module: what it imports is the same
         opened = frontier.groupBy("project", "module").agg(F.min(F.struct("node", "own_line")).alias("first"))
-        brought = opened.join(imports, ["project", "module"]).select("project", "dst", F.col("first.node").alias("parent"), F.col("first.own_line").alias("line"))
+        brought = opened.join(merging(imports), ["project", "module"]).select("project", "dst", F.col("first.node").alias("parent"), F.col("first.own_line").alias("line"))
         new = called.unionByName(brought).groupBy("project", F.col("dst").alias("node")).agg(F.min(F.struct("parent", "line")).alias("by"))
-        new = new.join(seen, ["project", "node"], "left_anti").join(where, ["project", "node"])
+        new = new.join(merging(seen), ["project", "node"], "left_anti").join(merging(where), ["project", "node"])
         frontier = cut(new.select("project", "node", "module", "own_line", F.lit(len(levels)).alias("depth"), "by.parent", "by.line"))
         if frontier.isEmpty():
             return levels
@@ -219,9 +219,9 @@ def _hits(levels: list[DataFrame], links: DataFrame, keys: DataFrame) -> DataFra
     outside = links.where(f"startswith(dst, '{EXTERNAL}')").select("project", "src", F.expr(f"substr(dst, {len(EXTERNAL) + 1})").alias("target"), F.col("line").alias("at"))
     low = F.lower("target")
     offered = F.array(F.lit("*"), F.concat(F.lit("t:"), F.element_at(F.split(low, r"\."), -1)), F.concat(F.lit("f:"), low))
-    calls = outside.select("project", "src", "target", "at", F.split(low, r"\.")[0].alias("root"), F.explode(offered).alias("key")).join(keys, ["project", "root", "key"])
+    calls = outside.select("project", "src", "target", "at", F.split(low, r"\.")[0].alias("root"), F.explode(offered).alias("key")).join(merging(keys), ["project", "root", "key"])
     reached = _all([x.select("project", F.col("node").alias("src"), "depth") for x in levels])
-    best = calls.join(reached, ["project", "src"]).groupBy("project", "id").agg(F.min(F.struct("depth", "src", "at", "target")).alias("m"))
+    best = calls.join(merging(reached), ["project", "src"]).groupBy("project", "id").agg(F.min(F.struct("depth", "src", "at", "target")).alias("m"))
     return best.select("project", "id", "m.depth", "m.src", F.col("m.at").alias("line"), "m.target")
 
 
@@ -249,13 +249,13 @@ def _paths(levels: list[DataFrame], hits: DataFrame, scopes: DataFrame) -> DataF
     for depth in range(len(levels) - 1, 0, -1):
         here = hits.where(F.col("depth") == depth).select("project", "id", F.col("src").alias("node"))
         going = here if going is None else here.unionByName(going)
-        back = cut(going.join(levels[depth].select("project", "node", "parent", "line"), ["project", "node"]))
+        back = cut(going.join(merging(levels[depth].select("project", "node", "parent", "line")), ["project", "node"]))
         steps.append(back.select("project", "id", F.lit(depth).alias("step"), F.col("parent").alias("caller"), pretty(F.col("node")).alias("callee"), "line"))
         going = back.select("project", "id", F.col("parent").alias("node"))
     where = scopes.select("project", F.col("node").alias("caller"), F.col("path").alias("file"))
-    named = _all(steps).join(where, ["project", "caller"]).withColumn("caller", pretty(F.col("caller")))
+    named = _all(steps).join(merging(where), ["project", "caller"]).withColumn("caller", pretty(F.col("caller")))
     lined = named.groupBy("project", "id").agg(F.sort_array(F.collect_list(F.struct("step", "caller", "callee", "file", "line"))).alias("steps"))
-    return hits.select("project", "id", F.col("target").alias("symbol")).join(lined, ["project", "id"])
+    return hits.select("project", "id", F.col("target").alias("symbol")).join(merging(lined), ["project", "id"])
 
 
 def search(scopes: DataFrame, links: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def search(scopes: DataFrame, links: DataFrame, wanted: DataFrame) -> DataFrame:
     keys = cut(_keys(wanted))
     levels = reach(scopes, links, seeds(scopes, links, False))
     first = cut(_paths(levels, _hits(levels, links, keys), scopes).withColumn("proven", F.lit(True)))
-    rest = keys.join(first.select("project", "id"), ["project", "id"], "left_anti")
+    rest = keys.join(merging(first.select("project", "id")), ["project", "id"], "left_anti")
     if rest.isEmpty():
         return first
     levels = reach(scopes, links, seeds(scopes, links, True))
@@ -285,13 +285,13 @@ def verdicts(found: DataFrame, wanted: DataFrame) -> DataFrame:
     found = cut(found)
     scopes, links = cut(nodes(found)), cut(edges(found))
     analysed = scopes.select("project", F.lit(True).alias("seen")).distinct()
-    outside = found.where("kind = 'name'").join(homes(found), ["project", "target"], "left_anti")
+    outside = found.where("kind = 'name'").join(merging(homes(found)), ["project", "target"], "left_anti")
     imports = outside.select("project", F.lower(F.substring_index("target", ".", 1)).alias("root"), "module").distinct()
     roots = wanted.select("project", "id", F.explode(F.array_distinct(F.transform("roots", F.lower))).alias("root"))
-    users = roots.join(imports, ["project", "root"]).groupBy("project", "id").agg(F.count_distinct("module").alias("imported_by"))
+    users = roots.join(merging(imports), ["project", "root"]).groupBy("project", "id").agg(F.count_distinct("module").alias("imported_by"))
     named = F.coalesce(F.size(F.filter("symbols", lambda s: F.length(s) > 0)), F.lit(0)) > 0
     calls = search(scopes, links, wanted.where(named))
-    out = wanted.join(analysed, "project", "left").join(users, ["project", "id"], "left").join(calls, ["project", "id"], "left")
+    out = wanted.join(merging(analysed), "project", "left").join(merging(users), ["project", "id"], "left").join(merging(calls), ["project", "id"], "left")
     verdict = (
         F.when(F.col("seen").isNull(), "not_analysed")
         .when(F.col("imported_by").isNull(), "not_imported")
