@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import merging
+
 VERSION = r"^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]*))?(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+[a-z0-9._\-]+)?$"
 SPECIFIER = r"^\s*(===|==|!=|~=|<=|>=|<|>)\s*([^\s,]+?)(\.\*)?\s*$"
 _LAST = 10**15
@@ -91,6 +93,6 @@ def satisfies(version: Column, spec: Column) -> Column:
 
 def resolve(requests: DataFrame, versions: DataFrame) -> DataFrame:
     """name, spec, version: the highest stable release that the set allows, else the highest prerelease, else null."""
-    hits = requests.select("name", "spec").distinct().join(versions.select("name", "version"), "name").where(satisfies(F.col("version"), F.col("spec")))
+    hits = requests.select("name", "spec").distinct().join(merging(versions.select("name", "version")), "name").where(satisfies(F.col("version"), F.col("spec")))
     best = hits.groupBy("name", "spec").agg(F.max_by("version", F.struct((~is_prerelease(F.col("version"))).alias("stable"), version_key(F.col("version")).alias("key"))).alias("version"))
-    return requests.select("name", "spec").distinct().join(best, ["name", "spec"], "left")
+    return requests.select("name", "spec").distinct().join(merging(best), ["name", "spec"], "left")
