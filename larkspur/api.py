@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .core import cut, merging, spread
 from .functions import text as T
 from .operators import diffs, features, names, signals
 from .sources import javascript, manifests, python_ast
@@ -18,15 +19,35 @@ _FILE = ["package", "path"]
 def sources(files: DataFrame) -> DataFrame:
     """The files that are analysed: of a known language, not below vendored, test or documentation folders, not too large.
 
-    Of a package with more than MAX_FILES of them the first ones by path.
+    package, path, language and the key of the file's text. Of a package with more than MAX_FILES of them the first ones by path.
     """
-    path = F.lower("path")
-    language = F.when(path.rlike(PYTHON), "python").when(path.rlike(SCRIPT), "javascript")
-    kept = files.withColumn("language", language).where(features.is_source())
+    kept = _read(files).select(*_FILE, "language", "key")
     by = Window.partitionBy("package").orderBy("path")
     return kept.withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= MAX_FILES).drop("__place")
 
 
+def _read(files: DataFrame) -> DataFrame:
+    """Sources with language and key: files of one key differ in nothing that an analysis of one file looks at."""
+    path = F.lower("path")
+    language = F.when(path.rlike(PYTHON), "python").when(path.rlike(SCRIPT), "javascript")
+    name = F.when(F.col("path").rlike(python_ast.SETUP), "/setup.py").otherwise("")
+    return files.where(features.is_source()).withColumn("language", language).withColumn("key", F.concat(F.sha2("text", 256), F.lit("."), "language", name))
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """path (the key), source, language: each different source once, written, however many packages carry it."""
+    return spread(cut(_read(files).select(F.col("key").alias("path"), F.col("text").alias("source"), "language").distinct()))
+
+
+def raised(found: DataFrame) -> DataFrame:
+    """path (the key) and what is raised there, as a list of code, key and line; written. found: texts()."""
+    whole = found.select("path", F.explode(signals.file_codes(F.col("source"), F.col("language") == "python")).alias("c"), F.lit(0).alias("line"))
+    scripts = found.where("language = 'javascript'")
+    every = python_ast.code_signals(python_ast.facts(found.where("language = 'python'")))
+    every = every.unionByName(javascript.code_signals(scripts, cut(javascript.facts(scripts)))).unionByName(signals.once(whole))
+    return cut(every.groupBy("path").agg(F.collect_list(F.struct("code", "key", "line")).alias("raised")))
+
+
 def install_files(files: DataFrame, hooks: DataFrame | None) -> DataFrame:
     """package, path of the files that run at installation: setup.py, and scripts that a lifecycle command names by path or by name."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -35,7 +56,7 @@ def install_files(files: DataFrame, hooks: DataFrame | None) -> DataFrame:
         return setup
     said = F.transform(F.regexp_extract_all("command", F.lit(r"([\w./\\-]+\.(?:js|cjs|mjs))\b"), 1), lambda x: F.translate(F.regexp_replace(x, r"^[./]+", ""), "\\", "/"))
     named = hooks.select("package", F.explode(said).alias("said")).distinct()
-    scripts = files.select(*_FILE, F.explode(F.array_distinct(F.array("path", name))).alias("said")).join(named, ["package", "said"]).select(*_FILE)
+    scripts = files.select(*_FILE, F.explode(F.array_distinct(F.array("path", name))).alias("said")).join(merging(named), ["package", "said"]).select(*_FILE)
     return setup.unionByName(scripts).distinct()
 
 
@@ -45,15 +66,12 @@ def analyse(files: DataFrame, hooks: DataFrame | None = None, metadata: DataFram
     files: package, path, text; hooks: package, command of a lifecycle hook; metadata:
     package, repository_url, age_days, version_count, description; candidates and
     popular: names for look-alikes. Calls, literals and flows come from the syntax,
-    so comments raise nothing; what a whole file shows comes from its text.
+    so comments raise nothing; what a whole file shows comes from its text. A text that
+    many files have is analysed once, and its signals are handed to them.
     """
     kept = sources(files)
-    keyed = kept.select(F.concat_ws("\u0001", *_FILE).alias("path"), F.col("text").alias("source"), "language")
-    whole = keyed.select("path", F.explode(signals.file_codes(F.col("source"), F.col("language") == "python")).alias("c"), F.lit(0).alias("line"))
-    found = python_ast.code_signals(python_ast.facts(keyed.where("language = 'python'")))
-    found = found.unionByName(javascript.code_signals(keyed.where("language = 'javascript'"))).unionByName(signals.once(whole))
-    parts = F.split("path", "\u0001")
-    found = found.select(parts[0].alias("package"), parts[1].alias("path"), "code", "key", "line")
+    there = kept.join(merging(raised(texts(files)).withColumnRenamed("path", "key")), "key").select(*_FILE, F.explode("raised").alias("c"))
+    found = cut(there.groupBy(*_FILE, "c.code", "c.key").agg(F.min("c.line").alias("line")))
     both = signals.composites(found, install_files(kept, hooks), _FILE)
     out = found.unionByName(both.select(*_FILE, "code", F.lit("").alias("key"), F.lit(0).alias("line")))
     add = lambda rows: out.unionByName(rows.select("package", F.lit(None).cast("string").alias("path"), "code", F.lit("").alias("key"), F.lit(0).alias("line")))
@@ -70,18 +88,17 @@ def analyse(files: DataFrame, hooks: DataFrame | None = None, metadata: DataFram
 
 def failed(files: DataFrame) -> DataFrame:
     """package, path of the sources that don't parse."""
-    kept = sources(files)
-    keyed = kept.select(F.concat_ws("\u0001", *_FILE).alias("path"), F.col("text").alias("source"), "language")
-    found = python_ast.facts(keyed.where("language = 'python'")).select("path", "kind").unionByName(javascript.facts(keyed.where("language = 'javascript'")).select("path", "kind"))
-    parts = F.split("path", "\u0001")
-    return found.where("kind = 'parse_failed'").select(parts[0].alias("package"), parts[1].alias("path")).distinct()
+    found = texts(files)
+    rows = python_ast.facts(found.where("language = 'python'")).select("path", "kind").unionByName(javascript.facts(found.where("language = 'javascript'")).select("path", "kind"))
+    broken = rows.where("kind = 'parse_failed'").select(F.col("path").alias("key")).distinct()
+    return sources(files).join(merging(broken), "key", "left_semi").select(*_FILE).distinct()
 
 
 def score(files: DataFrame, candidates: DataFrame | None = None, popular: DataFrame | None = None, hooks: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """package, score, verdict of every package; without any signal the score is 0."""
     raised = analyse(files, hooks, metadata, candidates, popular)
     scores = signals.rules_score(raised).select("package", "score")
-    out = files.select("package").distinct().join(scores, "package", "left").na.fill(0.0, ["score"])
+    out = files.select("package").distinct().join(merging(scores), "package", "left").na.fill(0.0, ["score"])
     return out.withColumn("verdict", signals.verdict(F.col("score")))
 
 

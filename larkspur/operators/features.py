@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import merging
 from ..functions import patterns as P
 from ..functions import text as T
 from . import signals as S
@@ -68,7 +69,7 @@ def metadata_signals(metadata: DataFrame, files: DataFrame, hooks: DataFrame) ->
     """package, code from what the registry says. hooks: package, command."""
     size = files.groupBy("package").agg(F.count_if(is_source()).alias("sources"), F.sum(F.octet_length("text")).alias("bytes"))
     hooked = hooks.where(F.trim("command") != "").select("package", F.lit(True).alias("hooked")).distinct()
-    rows = metadata.join(size, "package", "left").join(hooked, "package", "left")
+    rows = metadata.join(merging(size), "package", "left").join(merging(hooked), "package", "left")
     rules = {
         "NO_REPOSITORY": F.col("repository_url").isNull(),
         "VERY_NEW_PACKAGE": F.col("age_days") < 7,
@@ -131,7 +132,7 @@ def vector(signals: DataFrame, files: DataFrame, metadata: DataFrame, squats: Da
     )
     out = shape
     for part in (by_code, scores, about, alike, broken):
-        out = out.join(part, "package", "left")
+        out = out.join(merging(part), "package", "left")
     out = out.withColumn("parse_failure_ratio", F.coalesce(F.try_divide(F.col("__failed"), F.col("__sources")), F.lit(0.0)))
     out = out.withColumn("tiny_package_with_hook", (F.col("__hooked") & (F.col("__sources") <= 3) & (F.col("__bytes") < 20_000)).cast("double"))
     return out.select("package", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NAMES])

@@ -91,6 +91,27 @@ def test_engine_known_answers(spark):
     assert {tuple(r) for r in api.failed(f).collect()} == {("broken", "a.py")}
 
 
+def test_a_text_of_many_files_is_analysed_once(spark, monkeypatch):
+    text, script = "import os\nos.system('x')\n", "eval(x);"
+    files = [(f"p{i}", path, t) for i in range(5) for path, t in (("a.py", text), ("lib/b.py", text), ("setup.py", text), ("c.py", "def ("), ("run.js", script))]
+    files += [("twice", "a.py", text), ("twice", "a.py", "eval(y)"), ("p0", "tests/a.py", text), ("p1", "none.py", None)]
+    f = spark.createDataFrame(files, "package string, path string, text string")
+    parsed = {}
+    for module in (python_ast, javascript):
+
+        def facts(rows, made=module.facts, name=module.__name__):
+            parsed.setdefault(name, []).append(rows.count())
+            return made(rows)
+
+        monkeypatch.setattr(module, "facts", facts)
+    got = sorted(tuple(r) for r in api.analyse(f).select("package", "path", "code", "line").collect())
+    spawn, side, call = ("PROCESS_SPAWN", 2), ("SETUP_PY_SIDE_EFFECTS", 2), ("DYNAMIC_EVAL", 1)
+    one = [("a.py", *spawn), ("lib/b.py", *spawn), ("run.js", *call), ("setup.py", *spawn), ("setup.py", *side)]
+    assert got == sorted([(f"p{i}", *r) for i in range(5) for r in one] + [("twice", "a.py", *spawn), ("twice", "a.py", *call)])
+    assert {tuple(r) for r in api.failed(f).collect()} == {(f"p{i}", "c.py") for i in range(5)}
+    assert parsed == {python_ast.__name__: [4, 4], javascript.__name__: [1, 1]}
+
+
 def test_harmonic_numbers_meet_at_the_bound(spark):
     ns = [1, 2, 10, signals.TERMS, signals.TERMS + 1, 5000]
     rows = spark.createDataFrame([(n,) for n in ns], "n long").select("n", signals.harmonic(F.col("n")).alias("h")).collect()
