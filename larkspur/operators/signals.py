@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..core import merging
 from ..functions import patterns as P
 from ..functions import text as T
 
@@ -116,7 +117,7 @@ def composites(signals: DataFrame, at_install: DataFrame, keys: list[str]) -> Da
         any_of("NETWORK_ACCESS", "DNS_EXFIL_PATTERN", "SUSPICIOUS_ENDPOINT", "HARDCODED_IP_ENDPOINT").alias("network"),
         any_of("ENV_ACCESS").alias("env"),
         any_of("HOST_RECON").alias("recon"),
-    ).join(at_install.select(*keys, F.lit(True).alias("install")).distinct(), keys, "left")
+    ).join(merging(at_install.select(*keys, F.lit(True).alias("install")).distinct()), keys, "left")
     on, install = F.col, F.coalesce("install", F.lit(False))
     rules = [
         ("EXFIL_CREDENTIALS_TO_NETWORK", on("secrets") & on("network")),
