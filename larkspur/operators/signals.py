@@ -55,8 +55,6 @@ def scan(files: DataFrame, package: str, path: str, text: str) -> DataFrame:
 
 
 _CODES = "array<struct<code:string,key:string>>"
-#: So much of a literal is held against patterns.
-LITERAL = 4000
 
 
 def _keyed(code: str, numbers: Column) -> Column:
@@ -67,23 +65,21 @@ def _one(code: str, condition: Column, key: str = "") -> Column:
     return F.when(condition, F.array(F.struct(F.lit(code).alias("code"), F.lit(key).alias("key")))).otherwise(F.array().cast(_CODES))
 
 
-def literal_codes(text: Column, http: bool = False, whole: bool = False) -> Column:
-    """code and key of what a string literal shows; the key is the number of the pattern.
+def literal_codes(text: Column, http: bool = False) -> Column:
+    """code and key of what a string literal shows, all of it; the key is the number of the pattern.
 
-    http: a literal that begins with http counts as an address even without ://;
-    whole: encoded payloads are sought in literals of any length, not in their beginnings.
+    http: a literal that begins with http counts as an address even without ://.
     """
-    head = F.substring(text, 1, LITERAL)
-    address = F.contains(head, F.lit("://")) | (F.char_length(head) - F.char_length(F.replace(head, F.lit("."))) == 3)
+    address = F.contains(text, F.lit("://")) | (F.char_length(text) - F.char_length(F.replace(text, F.lit("."))) == 3)
     if http:
-        address = address | F.startswith(head, F.lit("http"))
+        address = address | F.startswith(text, F.lit("http"))
     return F.concat(
-        _keyed("SENSITIVE_PATH_ACCESS", T.numbers(head, P.SENSITIVE_PATHS)),
-        _keyed("CRYPTO_WALLET_ACCESS", T.numbers(head, P.CRYPTO_WALLETS)),
-        _keyed("SUSPICIOUS_ENDPOINT", T.numbers(head, P.ENDPOINTS)),
-        _keyed("FILE_WRITE_SENSITIVE", T.numbers(head, P.PERSISTENCE)),
-        _one("HARDCODED_IP_ENDPOINT", address & (F.size(T.public_addresses(head)) > 0)),
-        _one("HIGH_ENTROPY_STRING", T.encoded_payload(text if whole else head)),
+        _keyed("SENSITIVE_PATH_ACCESS", T.numbers(text, P.SENSITIVE_PATHS)),
+        _keyed("CRYPTO_WALLET_ACCESS", T.numbers(text, P.CRYPTO_WALLETS)),
+        _keyed("SUSPICIOUS_ENDPOINT", T.numbers(text, P.ENDPOINTS)),
+        _keyed("FILE_WRITE_SENSITIVE", T.numbers(text, P.PERSISTENCE)),
+        _one("HARDCODED_IP_ENDPOINT", address & (F.size(T.public_addresses(text)) > 0)),
+        _one("HIGH_ENTROPY_STRING", T.encoded_payload(text)),
     )
 
 

@@ -3,8 +3,8 @@
 Calls, `new` expressions, member chains, arrays of strings and literals are found in the
 tree. Names stand for what they are bound to where they are used: a module that is
 required or imported, or a member of one; a parameter or a variable of the same name hides
-it. A source that has no tree, or is above a size, gives one row of kind parse_failed and
-its beginning as one literal, so that what its text shows still counts.
+it. A source that has no tree gives one row of kind parse_failed and all of it as one
+literal, so that what its text shows still counts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from ..functions import text as T
 from .js_tree import Node, NotParsed, parse
 
 SCHEMA = "path string, kind string, target string, line int, detail string"
-# Sources above these sizes have no tree made, the second for minified ones; so much of a source that fails is one literal.
-MAX_CHARS, MAX_MINIFIED, FALLBACK = 1_000_000, 300_000, 20_000
 _REQUIRE = r"""(?:require\s*\(\s*|import\s+(?:[^'"()]*?\s+from\s+)?|import\s*\(\s*)['"]([^'"]+)['"]"""
 _FUNCTIONS = ("function", "declared")
 
@@ -165,15 +163,13 @@ class Facts:
         self.rows.append((node.kind, name, node.line, ",".join(m for m, on in marks.items() if on)))
 
 
-def analyse(source: str, minified: bool = False) -> list[tuple]:
+def analyse(source: str) -> list[tuple]:
     """(kind, target, line, detail) of one source."""
     source = source or ""
     try:
-        if len(source) > (MAX_MINIFIED if minified else MAX_CHARS):
-            raise NotParsed("size")
         return Facts(source).rows
     except (NotParsed, RecursionError):
-        return [("parse_failed", None, 0, ""), ("literal", None, 0, source[:FALLBACK])]
+        return [("parse_failed", None, 0, ""), ("literal", None, 0, source)]
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -181,11 +177,10 @@ def facts(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = ((p, *r) for p, s, m in zip(batch["path"], batch["source"], batch["minified"], strict=True) for r in analyse(s, bool(m)))
+            rows = ((p, *r) for p, s in zip(batch["path"], batch["source"], strict=True) for r in analyse(s))
             yield from in_batches(rows, [c.split()[0] for c in SCHEMA.split(", ")])
 
-    source = F.col("source")
-    return files.select("path", "source", F.coalesce(T.minified(source), F.lit(False)).alias("minified")).mapInPandas(work, SCHEMA)
+    return files.select("path", "source").mapInPandas(work, SCHEMA)
 
 
 def imports(files: DataFrame) -> DataFrame:

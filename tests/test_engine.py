@@ -91,6 +91,22 @@ def test_engine_known_answers(spark):
     assert {tuple(r) for r in api.failed(f).collect()} == {("broken", "a.py")}
 
 
+def test_literals_are_searched_to_their_ends(spark):
+    """What lies beyond 4000 characters of a literal, or 20 000 of a script that has no tree, and in scripts of any size."""
+    late = "x " * 3000 + "~/.aws/credentials https://8.8.4.4/a metamask"
+    files = [
+        ("py", "a.py", f"x = '{late}'\n"),
+        ("js", "a.js", f"const x = '{late}';\n"),
+        ("broken", "a.js", "x = ;" + " y" * 15_000 + f" '{late}'"),
+        ("long", "a.js", "// a line of a comment\n" * 50_000 + "eval(x);\n"),
+        ("minified", "a.js", "a=1;" * 80_000 + "eval(x);"),
+    ]
+    got = codes(api.analyse(spark.createDataFrame(files, "package string, path string, text string")).collect())
+    for package in ("py", "js", "broken"):
+        assert {"SENSITIVE_PATH_ACCESS", "CRYPTO_WALLET_ACCESS", "HARDCODED_IP_ENDPOINT"} <= got[package], package
+    assert got["long"] == {"DYNAMIC_EVAL"} and got["minified"] == {"DYNAMIC_EVAL", "MINIFIED_SOURCE"}
+
+
 def test_a_text_of_many_files_is_analysed_once(spark, monkeypatch):
     text, script = "import os\nos.system('x')\n", "eval(x);"
     files = [(f"p{i}", path, t) for i in range(5) for path, t in (("a.py", text), ("lib/b.py", text), ("setup.py", text), ("c.py", "def ("), ("run.js", script))]
