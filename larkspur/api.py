@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .core import cut, merging, spread
@@ -10,20 +10,17 @@ from .functions import text as T
 from .operators import diffs, features, names, signals
 from .sources import javascript, manifests, python_ast
 
-# Files of a package that are analysed; suffixes by language.
-MAX_FILES = 3000
+# Suffixes by language.
 PYTHON, SCRIPT = r"\.pyi?$", r"\.(js|mjs|cjs|jsx)$"
 _FILE = ["package", "path"]
 
 
 def sources(files: DataFrame) -> DataFrame:
-    """The files that are analysed: of a known language, not below vendored, test or documentation folders, not too large.
+    """The files that are analysed: of a known language, not below vendored, test or documentation folders; any number, of any size.
 
-    package, path, language and the key of the file's text. Of a package with more than MAX_FILES of them the first ones by path.
+    package, path, language and the key of the file's text.
     """
-    kept = _read(files).select(*_FILE, "language", "key")
-    by = Window.partitionBy("package").orderBy("path")
-    return kept.withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= MAX_FILES).drop("__place")
+    return _read(files).select(*_FILE, "language", "key")
 
 
 def _read(files: DataFrame) -> DataFrame:

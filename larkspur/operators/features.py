@@ -40,8 +40,6 @@ OTHERS = {
 GROUPS = {g: [c for c, _ in COUNTS.get(g, [])] + OTHERS.get(g, []) for g in [*COUNTS, "metadata", "structure", "typosquat", "aggregate"]}
 NAMES = [c for cols in GROUPS.values() for c in cols]
 REGISTRY_ONLY = ["age_days", "version_count", "maintainer_count", "is_single_version", "is_very_new"]
-#: Largest file that is analysed, in bytes.
-MAX_FILE = 2 << 20
 SOURCE = r"\.(py|pyi|js|mjs|cjs|jsx)$"
 
 
@@ -62,7 +60,7 @@ def age_days(published: Column, now: Column) -> Column:
 def is_source() -> Column:
     """Whether a file is one that the engine analyses. Columns: path, text."""
     path = F.lower("path")
-    return F.coalesce(path.rlike(SOURCE) & ~path.rlike(P.SKIPPED_PATH) & (F.octet_length("text") <= MAX_FILE), F.lit(False))
+    return F.coalesce(path.rlike(SOURCE) & ~path.rlike(P.SKIPPED_PATH) & F.col("text").isNotNull(), F.lit(False))
 
 
 def metadata_signals(metadata: DataFrame, files: DataFrame, hooks: DataFrame) -> DataFrame:

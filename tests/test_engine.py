@@ -107,6 +107,22 @@ def test_literals_are_searched_to_their_ends(spark):
     assert got["long"] == {"DYNAMIC_EVAL"} and got["minified"] == {"DYNAMIC_EVAL", "MINIFIED_SOURCE"}
 
 
+def test_all_files_of_a_package_are_analysed(spark):
+    """More than 3000 of them, and ones above 2 MB; those of the last paths count in scores and explanations."""
+    calm = spark.range(3100).selectExpr("'many' AS package", "concat('a', lpad(id, 5, '0'), '.py') AS path", "'x = 1' AS text")
+    large = ["# " + "x" * 99 + "\n"] * 22_000
+    more = [("many", "z.py", "import os\nos.system('x')\n"), ("many", "zz.py", "def ("), ("large", "a.py", "".join([*large, "eval(y)\n"])), ("large", "none.py", None)]
+    files = calm.unionByName(spark.createDataFrame(more, "package string, path string, text string"))
+    assert {(r["package"], r["n"]) for r in api.sources(files).groupBy("package").agg(F.count("*").alias("n")).collect()} == {("many", 3102), ("large", 1)}
+    found = api.analyse(files)
+    assert {(r["package"], r["path"], r["code"]) for r in found.collect()} == {("many", "z.py", "PROCESS_SPAWN"), ("large", "a.py", "DYNAMIC_EVAL")}
+    assert {tuple(r) for r in api.failed(files).collect()} == {("many", "zz.py")}
+    packages = spark.createDataFrame([("many", "1", "benign"), ("large", "1", "benign")], "package string, version string, verdict string")
+    squats = spark.createDataFrame([], "package string, target string")
+    texts = {r["package"]: r["explanation"] for r in history.explanations(packages, found, squats).collect()}
+    assert "process spawn in z.py" in texts["many"] and "dynamic eval in a.py" in texts["large"]
+
+
 def test_a_text_of_many_files_is_analysed_once(spark, monkeypatch):
     text, script = "import os\nos.system('x')\n", "eval(x);"
     files = [(f"p{i}", path, t) for i in range(5) for path, t in (("a.py", text), ("lib/b.py", text), ("setup.py", text), ("c.py", "def ("), ("run.js", script))]
